@@ -39,8 +39,8 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def fold(column: str, modulus: int):
-    """crc32 of an id, written as text, modulo ``modulus``."""
-    return F.crc32(F.col(column).cast("string")) % modulus
+    """crc32 of an id, written as text (null: empty text), modulo ``modulus``."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
