@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram, simhash, toxicity
+from . import decontaminate, ngram, phrases, simhash, toxicity
 from ._support import fold
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ngram.train(docs.where(fold("doc_id", 7) != 2))
@@ -20,6 +24,10 @@ def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op7_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op8_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), hold_out=(4, 2))
@@ -33,7 +41,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_template_decontamination": op2_template_decontamination,
     "op6_elias_fano_lm": op6_elias_fano_lm,
+    "op7_locally_consistent_parsing": op7_locally_consistent_parsing,
     "op8_nnpu_toxicity": op8_nnpu_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
