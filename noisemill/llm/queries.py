@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram, phrases, simhash, toxicity
-from ._support import fold
+from . import decontaminate, langid, ngram, packing, phrases, simhash, toxicity, warc
+from ._support import fold, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer lies; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, hold_out=(3, 1))
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ngram.train(docs.where(fold("doc_id", 7) != 2))
@@ -35,16 +53,25 @@ def op8_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_boundary_chain_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_dir(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), archives)
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_bm25_packing": op1_bm25_packing,
     "op2_template_decontamination": op2_template_decontamination,
+    "op3_byte_cnn_langid": op3_byte_cnn_langid,
     "op6_elias_fano_lm": op6_elias_fano_lm,
     "op7_locally_consistent_parsing": op7_locally_consistent_parsing,
     "op8_nnpu_toxicity": op8_nnpu_toxicity,
+    "op9_boundary_chain_warc": op9_boundary_chain_warc,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
