@@ -4,18 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noisemill.llm import simhash
+from noisemill.llm import decontaminate, packing, secrets, simhash, toxicity
 from noisemill.llm._support import materialize
+from noisemill.llm.queries import tokenizer_path
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that score 0.3 or more."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.remove_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near copies the document with the smallest doc_id."""
     return simhash.deduplicate(docs, width=5)
 
 
-STAGES = [("simhash_near_dedup", near_copies)]
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item, as it is or re-parameterised."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace each secret by its kind; n_chars follows."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of up to 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("secret_scan", hide_secrets),
+    ("packing", pack),
+]
 
-#: The stages learn, link fingerprints and pack; SQL can't express them.
+#: Training, linking fingerprints and packing can't be said in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

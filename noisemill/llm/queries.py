@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ngram, packing, phrases, simhash, toxicity, warc
+from . import chat, decontaminate, langid, ngram, packing, phrases, secrets, simhash, toxicity, warc
 from ._support import fold, shared_dir
 
 
@@ -35,6 +35,29 @@ def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
+def op5_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    done = chat.format_turns(chat.turns_from_columns(rows.unionByName(planted))).select("conv_id", "formatted", "loss_spans")
+    back = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ngram.train(docs.where(fold("doc_id", 7) != 2))
@@ -68,6 +91,8 @@ QUERIES = {
     "op1_bm25_packing": op1_bm25_packing,
     "op2_template_decontamination": op2_template_decontamination,
     "op3_byte_cnn_langid": op3_byte_cnn_langid,
+    "op4_trigram_secret_scan": op4_trigram_secret_scan,
+    "op5_schema_chat_format": op5_schema_chat_format,
     "op6_elias_fano_lm": op6_elias_fano_lm,
     "op7_locally_consistent_parsing": op7_locally_consistent_parsing,
     "op8_nnpu_toxicity": op8_nnpu_toxicity,
