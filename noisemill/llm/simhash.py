@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import id_text, materialize, slices
+from ._support import id_text, materialize, mix, slices, word_hashes
 from .components import connected_components
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -60,27 +60,31 @@ def _segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
 
 
 def links(values: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
-    """Pairs (u, v), u <> v, of the distinct 64-bit ``fp`` at ``distance`` differing bits or fewer.
+    """Pairs (u, v) of the rows (node, fp) whose 64-bit ``fp`` have ``distance`` differing bits or fewer.
 
-    The table has each value once per segment, keyed by the segment's bits. Each value probes it
-    with the small Hamming ball round its own bits in that segment; matches are verified over all
-    64 bits inside the join. Where one bit is turned, only a zero is turned into a one: the other
-    value of the pair makes no probe for it. A pair may come more than once.
+    The table has each row once per segment, keyed by the segment's bits. Each row probes it with
+    the small Hamming ball round its own bits in that segment; matches are verified over all 64
+    bits inside the join. Of two rows that differ in the segment, the one with a zero at the lowest
+    differing bit makes the probe. With a column ``label``, pairs of one label are left out. A pair
+    may come more than once, from several segments.
     """
+    labels = ["label"] if "label" in values.columns else []
 
-    def key(k: int, shift: int, width: int, name: str):
-        return F.shiftrightunsigned(F.col(name), shift).bitwiseAND((1 << width) - 1).bitwiseOR(k << 40)
+    def key(k: int, shift: int, width: int):
+        return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1).bitwiseOR(k << 40)
 
     parts = _segments(distance, segments)
-    table = values.select(F.col("fp").alias("v"), F.explode(F.array(*(key(k, s, w, "fp") for k, (s, w, _) in enumerate(parts)))).alias("key"))
+    table = values.select(F.col("node").alias("v"), F.col("fp").alias("fp_v"), *(F.col(c).alias("label_v") for c in labels), F.explode(F.array(*(key(k, s, w) for k, (s, w, _) in enumerate(parts)))).alias("key"))
     probes = []
     for k, (shift, width, radius) in enumerate(parts):
         masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(width), r)]
-        probes.append(values.select(F.col("fp").alias("u"), key(k, shift, width, "fp").alias("own"), F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).where("bit_count(mask) <> 1 or (own & mask) = 0").select("u", "mask", F.expr("own ^ mask").alias("key")))
+        ball = F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")
+        probes.append(values.select(F.col("node").alias("u"), F.col("fp").alias("fp_u"), *(F.col(c).alias("label_u") for c in labels), key(k, shift, width).alias("own"), ball).where("own & (mask & -mask) = 0").select("u", "fp_u", *(f"{c}_u" for c in labels), (F.col("mask") != 0).alias("turned"), F.expr("own ^ mask").alias("key")))
     probe = probes[0]
     for x in probes[1:]:
         probe = probe.unionByName(x)
-    return probe.join(table, "key").where(f"bit_count(u ^ v) <= {distance} and (mask <> 0 or u < v) and u <> v").select("u", "v")
+    found = probe.join(table, "key").where(f"bit_count(fp_u ^ fp_v) <= {distance} and (turned or u < v) and u <> v" + " and label_u <> label_v" * bool(labels))
+    return found.select("u", "v", *(f"{c}_{x}" for c in labels for x in "uv"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, segments: int = 3) -> DataFrame:
@@ -92,17 +96,100 @@ def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: i
     """
     found = materialize(fingerprints(docs, width, seed), "fingerprints")
     values = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "values")
-    member = connected_components(links(values.select("fp"), distance, segments))
+    member = connected_components(links(values.select(F.col("fp").alias("node"), "fp"), distance, segments))
     named = values.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return found.join(named.select("fp", "component"), "fp").join(least, "component").select("doc_id", "fp", "component_id")
 
 
+_BINS = 256
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bins", pa.binary())])
+
+
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, bins) for each row: the SimHash of the text's distinct words, and 16 bits of the
+    least hash of its ``width``-word shingles in each of 256 bins (65535: no shingle)."""
+
+    def run(batches):
+        for x in slices(batches, most=1 << 20):
+            hashes, rows = word_hashes(x.column("text"))
+            n = x.num_rows
+            fps, bins = np.zeros(n, np.int64), np.full((n, _BINS), 0xFFFF, np.uint16)
+            if len(hashes):
+                order = np.lexsort((hashes, rows))
+                h, r = hashes[order], rows[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])
+                h, r = h[new], r[new]
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                fps[r[first]] = np.packbits(ones * 2 > np.diff(np.append(first, len(r)))[:, None], axis=1, bitorder="little").view("<i8").ravel()
+                per = np.bincount(rows, minlength=n)
+                begin = np.cumsum(per) - per
+                size = np.minimum(per, width)
+                shingle, owner = np.zeros(len(hashes), np.uint64), rows
+                keep = np.arange(len(hashes)) - begin[rows] <= per[rows] - size[rows]
+                padded = np.append(hashes, np.zeros(width, np.uint64))
+                for k in range(width):
+                    inside = k < size[rows]
+                    shingle = np.where(inside, mix(shingle + padded[k : k + len(hashes)]), shingle)
+                shingle, owner = shingle[keep], owner[keep]
+                place = owner * _BINS + (shingle >> np.uint64(56)).astype(np.int64)
+                order = np.lexsort((shingle, place))
+                place, shingle = place[order], shingle[order]
+                head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                bins.reshape(-1)[place[head]] = np.minimum(shingle[head] & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(fps), pa.array([b.tobytes() for b in bins], pa.binary())], schema=_SKETCH)
+
+    return id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, bins binary")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v, more), those whose bins agree in a share of ``similarity`` or more."""
+    names = pairs.columns
+    for end in "uv":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("bins").alias(f"bins_{end}")), end)
+    pairs = pairs.select(*names, "bins_u", "bins_v")
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def agree(batches):
+        for x in batches:
+            if x.num_rows:
+                a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, _BINS) for c in ("bins_u", "bins_v"))
+                filled = ((a != 0xFFFF) | (b != 0xFFFF)).sum(1)
+                same = ((a == b) & (a != 0xFFFF)).sum(1)
+                yield pa.RecordBatch.from_arrays([x.column(c) for c in names], schema=schema).filter(pa.array(same >= similarity * filled))
+
+    return pairs.mapInArrow(agree, ", ".join(f"{c} long" for c in names))
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 7, near: int = 3) -> DataFrame:
+    """(doc_id, component_id): documents that share ``similarity`` of their ``width``-word shingles,
+    directly or through others, have the smallest doc_id among them as component.
+
+    A shingle changes with each of its words, so at that similarity fingerprints of shingles are far
+    apart; fingerprints of distinct words are not, and multi-index hashing over them finds the
+    pairs, which the shingles' bins then verify. Texts with the same sketch are one node. A first
+    search within ``near`` bits joins dense groups of near copies; the search within ``distance``
+    skips pairs that are joined already, so a large group doesn't list all its pairs. The pairs of
+    word fingerprints beyond ``distance`` bits, about one in twenty at similarity 0.8, are missed.
+    Null texts count as empty; empty texts are copies of each other.
+    """
+    found = materialize(sketches(docs, width).withColumn("key", F.xxhash64("fp", "bins")), "sketches")
+    nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bins").alias("bins")), "nodes")
+    close = connected_components(_similar(links(nodes.select("node", "fp"), near).distinct(), nodes, similarity)).withColumnRenamed("component", "label")
+    labelled = materialize(nodes.join(close, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")), "labels")
+    wide = _similar(links(labelled.select("node", "fp", "label"), distance).distinct(), nodes, similarity).select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
+    groups = connected_components(wide).withColumnRenamed("node", "label")
+    named = labelled.join(groups, "label", "left").select("key", F.coalesce("component", "label").alias("component_id"))
+    return found.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of one document per group: that with the group's smallest doc_id.
+    """The rows of ``docs`` of one document per group of near copies: that with the smallest doc_id.
 
     Rows without a doc_id are kept as they are; of repeated rows with one id, all stay.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = near_copies(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
