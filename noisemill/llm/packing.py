@@ -15,7 +15,8 @@ from ._support import id_text, slices
 #: Okapi BM25's usual constants.
 K1, B = 1.2, 0.75
 _QUERY_TERMS = 24
-_CACHED_WORDS = 1 << 19
+_CACHED_WORDS = 1 << 18
+_AT_ONCE = 2048
 
 # Texts of these characters only are cut into words here, as the tokenizer would: it composes and
 # lower-cases them one by one, and takes contractions, runs of letters, digits and runs of signs.
@@ -35,11 +36,26 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # words of a while ago, taken over when they come again
+        self.final = np.zeros(1 << 16, bool)
+        self.final[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u2").tobytes()
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode words that blanks part, and cut the ids after each that ends a word."""
+        ids = np.array(self.whole.encode(" ".join(new), add_special_tokens=False).ids, "<u2")
+        ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
+        if len(ends) == len(new):
+            data = ids.tobytes()
+            for word, a, b in zip(new, [0, *ends], ends, strict=False):
+                self.words[word] = data[2 * a : 2 * b]
+        else:
+            for word in new:
+                self.words[word] = self._bytes(self.whole.encode(word, add_special_tokens=False).ids)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         out: list = [None] * len(texts)
@@ -48,15 +64,17 @@ class WordTokenizer:
             if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
                 cut[k] = _WORD.findall(text.lower())
         if len(self.words) > _CACHED_WORDS:
-            self.words.clear()
-        new = list(set().union(*cut.values()).difference(self.words)) if cut else []
-        for word, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[word] = self._bytes(e.ids)
+            self.words, self.before = {}, self.words
+        new = set().union(*cut.values()).difference(self.words) if cut else set()
+        self.words.update((w, self.before[w]) for w in new & self.before.keys())
+        new = list(new.difference(self.words))
+        for at in range(0, len(new), _AT_ONCE):
+            self._learn(new[at : at + _AT_ONCE])
         for k, found in cut.items():
             out[k] = b"".join(map(self.words.__getitem__, found))
-        rest = [k for k in range(len(texts)) if out[k] is None]
-        for k, e in zip(rest, self.whole.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = self._bytes(e.ids)
+        for k in range(len(texts)):
+            if out[k] is None:
+                out[k] = self._bytes(self.whole.encode(texts[k], add_special_tokens=False).ids)
         return out
 
 
@@ -65,12 +83,16 @@ class _Bm25:
 
     def __init__(self, ids: list[np.ndarray], lengths: np.ndarray):
         n = len(ids)
-        pairs, tf = np.unique(np.concatenate([np.asarray(x, np.int64) + (k << 16) for k, x in enumerate(ids)]), return_counts=True)
-        doc, token = pairs >> 16, pairs & 0xFFFF
+        each = [np.unique(x, return_counts=True) for x in ids]
+        sizes = np.array([len(t) for t, _ in each])
+        token = np.concatenate([t for t, _ in each])
+        tf = np.concatenate([c.astype(np.float32) for _, c in each])
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         df = np.bincount(token, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        part = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        self.n, self.by_doc = n, (np.searchsorted(doc, np.arange(n + 1)), token, part)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * lengths / lengths.mean())).astype(np.float32)
+        part = idf[token] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        self.n, self.by_doc = n, (np.append(0, np.cumsum(sizes)), token, part)
         order = np.argsort(token, kind="stable")
         self.doc, self.part, self.first = doc[order], part[order], np.append(0, np.cumsum(df))
 
@@ -174,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, r
 
     def tokens(batches):
         encode, end = WordTokenizer(tokenizer), np.array([end_id], "<u2").tobytes()
-        for x in slices(batches):
+        for x in slices(batches, most=1 << 20):
             ids = [i + end for i in encode(x.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("shard"), pa.array(ids, pa.binary())], schema=_TOKENS)
 
@@ -185,6 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, r
         lengths = np.array([len(x) for x in ids])
         pieces = pack_shard(lengths, _Bm25(ids, lengths).scores, window)
         doc, start, length, sequence, offset = map(list, zip(*pieces, strict=True))
-        return pa.table([[rows[d][0] for d in doc], start, length, lengths[doc], np.array(sequence) + (shard << 32), offset, pa.array([ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True)], pa.binary())], schema=_PIECES)
+        pieces_ids = (ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True))
+        return pa.table([[rows[d][0] for d in doc], start, length, lengths[doc], np.array(sequence) + (shard << 32), offset, pa.array(pieces_ids, pa.binary())], schema=_PIECES)
 
     return keyed.mapInArrow(tokens, "doc_id long, shard long, ids binary").groupBy("shard").applyInArrow(place, _PIECES_DDL)
