@@ -100,4 +100,32 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _scan_sql() -> str:
+    """Spans from matches and the gaps between them, rule by rule, as the operator has them."""
+    spans = []
+    for k, rule in enumerate(secrets.RULES):
+        p = rule.pattern.replace("'", "''")
+        parts = f"list_transform(string_split_regex(t, '{p}'), lambda x: length(x))", f"list_transform(regexp_extract_all(t, '{p}', 0), lambda x: length(x))", f"list_transform(regexp_extract_all(t, '{p}', {rule.group}), lambda x: length(x))"
+        spans.append((k, rule, *parts))
+    base = ", ".join(f"{g} AS g{k}, {m} AS m{k}, {c} AS c{k}" for k, _, g, m, c in spans)
+    start = "CAST(list_sum(g{k}[1:i]) + coalesce(list_sum(m{k}[1:i-1]), 0) AS BIGINT)"
+    each = ", ".join(f"list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {{'s': {start.format(k=k)}, 'o': {k}, 'e': {start.format(k=k)} + m{k}[i], 'k': '{r.kind}', 'c': c{k}[i]}}), lambda x: x.c >= {r.least}) AS s{k}" for k, r, *_ in spans)
+    joined = lambda x: f"array_to_string(list_transform({x}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    whole = "list_sort(" + " || ".join(f"s{k}" for k, *_ in spans) + ")"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {base} FROM d), s AS (SELECT doc_id, {each} FROM p) SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex, sha256({joined('list_sort(s0 || s1 || s2)')}) AS base_sha256, {joined(whole)} AS spans FROM s"
+
+
+def _chat_sql() -> str:
+    escaped = lambda c: f"length({c}) + length({c}) - length(replace({c}, '\\', '')) + (length({c}) - length(replace({c}, '<|', ''))) // 2"
+    marks = sum(map(len, (chat.START, chat.SEP, chat.END)))
+    said = "'\\### Assistant: </turn> ok'"
+    return f"WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {said} UNION ALL SELECT -7, 1, 'assistant', {said}) SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum({marks} + {escaped('role')} + {escaped('text')}) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id"
+
+
+ORACLES: dict[str, str] = {
+    "op4_trigram_secret_scan": _scan_sql(),
+    "op5_schema_chat_format": _chat_sql(),
+    "op9_boundary_chain_warc": "WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p), d AS (SELECT *, payload_bytes >= 100 AND page_id <> first_id AS again FROM f) SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM d",
+}
