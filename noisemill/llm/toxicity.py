@@ -15,7 +15,7 @@ from ._support import LOWER_VALUES, batch, buffers, fold, id_text, slices, span_
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = _NOT_LETTER[128:] = False
 _PREFIX = 5
-EXCESS = 4.0
+EXCESS = 5.0
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     use = column[at] >= 0
     x[owner[use], column[at[use]]] = 1
     weights, bias = fit_nnpu(x, positive, prior)
+    # few positives leave the bias too high: a text without any feature is at most as likely as any text
+    bias = min(bias, float(np.log(prior / (1 - prior))))
     return ToxicityModel(names[best], weights, bias, prior)
 
 
