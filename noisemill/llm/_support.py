@@ -55,7 +55,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of at most ``most`` bytes of text, or of one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -94,7 +94,7 @@ _tables: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_tables.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = n + (1 << 16)
         for key, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             steps = np.full(size, base)
             steps[0] = 1

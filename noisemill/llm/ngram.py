@@ -20,6 +20,7 @@ STEP = 0.04
 #: The token that ends every text, and stands before its first word; no word hashes to it but by chance.
 END = int(span_hashes(np.arange(1, 4, dtype=np.uint64), np.array([0]), np.array([3]))[0])
 _BLOCK = 4 << 20
+_SLICE = 4 << 20  # larger slices look up a repeated n-gram less often
 
 
 def _quantised(p: np.ndarray) -> np.ndarray:
@@ -184,7 +185,7 @@ def _build(model: NGramModel, docs: DataFrame, level: int, shards: int) -> NGram
 
     def count(batches):
         counter = _Counter(least)
-        for x in slices(batches):
+        for x in slices(batches, most=_SLICE):
             column = x.column("text")
             if level == 0:
                 hashes, _ = word_hashes(column)
@@ -256,7 +257,7 @@ def score(docs: DataFrame, model: NGramModel) -> DataFrame:
 
     def run(batches):
         n, v = model.tokens, model.distinct
-        for x in slices(batches):
+        for x in slices(batches, most=_SLICE):
             _, counts, rows, found = model.contexts(x.column("text"), model.order)
             ranks = _
             p = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * v / (v + 1)) / n if n else np.ones(len(counts))

@@ -156,7 +156,7 @@ def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3)
 
     @F.arrow_udf("boolean")
     def keeps(text: pa.Array) -> pa.Array:
-        parts = [model.margins(x.column(0)) for x in slices(iter([pa.record_batch([text], ["text"])]), most=1 << 20)]
+        parts = [model.margins(x.column(0)) for x in slices(iter([pa.record_batch([text], ["text"])]))]
         return pa.array(_sigmoid(np.concatenate(parts)) < threshold if parts else [], pa.bool_())
 
     return docs.where(keeps(F.coalesce(F.col("text"), F.lit(""))))
