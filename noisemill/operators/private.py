@@ -29,6 +29,13 @@ def noisy_marginal(counts: pd.DataFrame, cells: int, rho: float, rng: np.random.
     return out + rng.normal(0, per_user * budget.sigma_of_rho(rho), cells)
 
 
+def common_codes(noisy: np.ndarray, stddev: float) -> list[bool]:
+    """Which codes stay apart: those whose noisy count is three standard deviations or more. Where
+    merging the others into one saves no code, all stay."""
+    common = (noisy >= 3 * stddev).tolist()
+    return common if sum(common) + 1 < len(common) else [True] * len(common)
+
+
 def bound_contributions(df: DataFrame, user: str, most: int, seed: int = 0) -> DataFrame:
     """At most ``most`` rows of each user, chosen by a hash of the row."""
     columns = [c for c in df.columns if c != user]

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisemill.functions import budget
-from noisemill.functions.codec import decode_table, encode_table, uniform
+from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
-from noisemill.operators.private import noisy_columns, noisy_marginal
+from noisemill.operators.private import common_codes, noisy_columns, noisy_marginal
 from noisemill.spec import Categorical, Constraint, FreeText, OpenSet, Schema
 
 #: Cells of a pair's table that a broadcast may have.
@@ -268,16 +268,32 @@ def draw(spark: SparkSession, model: TreeModel, rows: int | None = None, seed: i
     return out
 
 
-def synthesize(df: DataFrame, schema: Schema, epsilon: float, delta: float, seed: int = 0, method: str = "mst", rows: int | None = None, constraints: tuple[Constraint, ...] = ()) -> DataFrame:
-    """A synthetic table under (epsilon, delta)-differential privacy, one row a user.
+def synthesize(df: DataFrame, schema: Schema, epsilon: float, delta: float, seed: int = 0, method: str = "mst", rows: int | None = None, constraints: tuple[Constraint, ...] = (), per_user: int = 1, compress: bool = False) -> DataFrame:
+    """A synthetic table under (epsilon, delta)-differential privacy.
 
+    One row is a user's, or at most ``per_user`` are: bound them first (``bound_contributions``).
+    With ``compress``, a tenth of the budget finds each column's rare codes, which count as one while
+    the rest is measured, and are drawn evenly in the end; columns with constraints keep theirs.
     Open and free-text columns are errors here: discover their values first.
     """
+    if per_user < 1:
+        raise ValueError("per_user must be at least 1")
     if bad := [n for n, a in schema.items() if isinstance(a, (OpenSet, FreeText))]:
         raise ValueError(f"columns without declared values: {bad}")
-    rng = np.random.default_rng(seed)
-    model = synthesize_codes(encode_table(df, schema), schema, budget.zcdp_rho(epsilon, delta), rng, method, constraints=constraints)
-    return decode_table(draw(df.sparkSession, model, rows, seed), schema, "id", seed=seed).drop("id")
+    rng, rho, codes, masks = np.random.default_rng(seed), budget.zcdp_rho(epsilon, delta), encode_table(df, schema), {}
+    small = dict(schema)
+    if compress:
+        each = 0.1 * rho / len(schema)
+        sigma = per_user * budget.sigma_of_rho(each)
+        fixed = {c for k in constraints for c in k.columns}
+        masks = {c: m for c, x in noisy_columns(codes, schema, each, rng, per_user).items() if c not in fixed and not all(m := common_codes(x, sigma))}
+        codes = codes.select(*((merge_rare(c, masks[c]) if c in masks else F.col(c)).alias(c) for c in schema))
+        small |= {c: Categorical(tuple(range(sum(m) + 1))) for c, m in masks.items()}
+        rho *= 0.9
+    model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints)
+    made = draw(df.sparkSession, model, rows, seed)
+    made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=seed) if c in masks else F.col(c)).alias(c) for c in schema))
+    return decode_table(made, schema, "id", seed=seed).drop("id")
 
 
 def domain_values(tables: list[DataFrame]) -> DataFrame:

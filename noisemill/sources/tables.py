@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import enum
 import json
+import math
 from collections.abc import Iterable, Iterator
+from typing import Annotated, Literal, get_args, get_origin
 
 import numpy as np
 import yaml
@@ -125,6 +128,44 @@ def load_model(spark: SparkSession, path: str) -> TreeModel:
     return TreeModel(schema_from_dict(head["schema"]), head["total"], head["order"], head["parents"], shares, head["log"])
 
 
+def _bounds(kind: type, marks: list) -> tuple[float, float] | None:
+    """Both ends of a bounded number, from marks with ge, gt, le or lt."""
+    bound = {k: getattr(m, k) for m in marks for k in ("ge", "gt", "le", "lt") if getattr(m, k, None) is not None}
+    if not {"ge", "gt"} & bound.keys() or not {"le", "lt"} & bound.keys():
+        return None
+    low = bound["ge"] if "ge" in bound else bound["gt"] + 1 if kind is int else math.nextafter(bound["gt"], math.inf)
+    high = bound["le"] if "le" in bound else bound["lt"] - 1 if kind is int else math.nextafter(bound["lt"], -math.inf)
+    return low, high
+
+
+def _choices(kind: type) -> tuple[str, ...] | None:
+    if kind is bool:
+        return ("False", "True")
+    if get_origin(kind) is Literal:
+        return tuple(str(v) for v in get_args(kind))
+    return tuple(str(e.value) for e in kind) if isinstance(kind, type) and issubclass(kind, enum.Enum) else None
+
+
+def schema_from_model(model: type) -> Schema:
+    """The schema of a pydantic model: bounded numbers, Literal, Enum and bool fields as text
+    categories. An optional number isn't clipped; an optional category has the value None."""
+    out: Schema = {}
+    for name, f in model.model_fields.items():
+        kind, marks, optional = f.annotation, list(f.metadata), False
+        if type(None) in get_args(kind):
+            kind, optional = next(a for a in get_args(kind) if a is not type(None)), True
+        if get_origin(kind) is Annotated:
+            kind, *more = get_args(kind)
+            marks += [m for x in more for m in (x, *getattr(x, "metadata", ()))]
+        if kind in (int, float) and (ends := _bounds(kind, marks)):
+            out[name] = Numerical(*ends, integer=kind is int, clip=not optional)
+        elif values := _choices(kind):
+            out[name] = Categorical((*values, "None") if optional else values)
+        else:
+            raise ValueError(f"{name}: {kind} has neither bounds nor declared values")
+    return out
+
+
 def from_records(spark: SparkSession, records: Iterable, schema: Schema) -> DataFrame:
     """Objects with ``model_dump()``, or mappings, as a table: categories as they are or as text,
     missing numbers the least."""

@@ -222,3 +222,41 @@ def test_streaming_counts_equal_batch_counts(spark, small, tmp_path):
     streaming.start(streaming.running_marginals(stream, THREE, work), "running", str(tmp_path / "c")).awaitTermination(60)
     batch = counts.marginals(encode_table(orders, THREE), THREE, work)
     assert sorted(map(tuple, spark.table("running").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_rare_codes_are_merged_and_drawn(spark):
+    df = spark.range(3000).selectExpr("cast(case when id % 100 = 0 then 2 + (id div 100) % 28 else id % 2 end as int) as a", "cast(id % 2 as int) as b")
+    schema = {"a": Categorical(tuple(range(30))), "b": Categorical((0, 1))}
+    out = synthesis.synthesize(df, schema, 1.0, 1e-6, compress=True)
+    counts_ = {r.a: r["count"] for r in out.groupBy("a").count().collect()}
+    assert counts_[0] > 1200 and counts_[1] > 1200 and all(0 <= k < 30 for k in counts_)
+    with pytest.raises(ValueError):
+        synthesis.synthesize(df, schema, 1, 1e-6, per_user=0)
+
+
+def test_schema_of_a_model():
+    import enum
+    from typing import Annotated, Literal, Optional
+
+    pydantic = pytest.importorskip("pydantic")
+
+    class Size(enum.Enum):
+        S = "s"
+        L = "l"
+
+    class Row(pydantic.BaseModel):
+        n: Annotated[int, pydantic.Field(gt=0, lt=10)]
+        x: Optional[Annotated[float, pydantic.Field(ge=0, le=1)]] = None
+        k: Literal["a", "b"]
+        s: Optional[Size] = None
+        f: bool
+
+    got = tables.schema_from_model(Row)
+    assert got["n"] == Numerical(1, 9, integer=True) and got["k"].values == ("a", "b")
+    assert got["s"].values == ("s", "l", "None") and got["f"].values == ("False", "True")
+
+    class Open(pydantic.BaseModel):
+        n: int
+
+    with pytest.raises(ValueError):
+        tables.schema_from_model(Open)
