@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,11 +118,14 @@ def exploration_table(parent: DataFrame, child: DataFrame, k: ForeignKey, parent
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Rows numbered from 0 in a global order, without a window over one partition.
 
-    The table is sorted by ranges; each partition's size, one number, gives where its numbers start.
+    The table is sorted by ranges and checkpointed, so that the ranges stay as they are; each one's
+    size, one number, gives where its rows' numbers start.
     """
     spark = df.sparkSession
-    sorted_ = df.sort(*order)
-    tagged = sorted_.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="noisemill-"))  # one machine, as in tests
+    sorted_ = df.sort(*order).withColumn("_p", F.spark_partition_id())
+    tagged = sorted_.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
     sizes = tagged.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()
     starts, at = [], 0
     for r in sizes:
