@@ -45,8 +45,8 @@ def total_variation(original: DataFrame, synthetic: DataFrame, columns: list[str
     """
     cliques = [c for r in range(1, degree + 1) for c in itertools.combinations(columns, r)]
     cells = _cells(tagged(original, synthetic, columns), cliques)
-    sums = Window.partitionBy("clique")  # of counted cells; a clique has as many as its values combine
-    shares = cells.withColumn("n_real", F.sum("real").over(sums)).withColumn("n_synthetic", F.sum("synthetic").over(sums))
+    # a row for each clique; the cells, which may be many, stay where their counts were made
+    shares = cells.join(F.broadcast(cells.groupBy("clique").agg(F.sum("real").alias("n_real"), F.sum("synthetic").alias("n_synthetic"))), "clique")
     p = F.when(F.col("n_real") > 0, F.col("real") / F.col("n_real")).otherwise(0.0)
     q = F.when(F.col("n_synthetic") > 0, F.col("synthetic") / F.col("n_synthetic")).otherwise(0.0)
     new = (F.col("real") == 0) & (F.col("synthetic") > 0)
@@ -65,8 +65,7 @@ def top_unseen(original: DataFrame, synthetic: DataFrame, columns: tuple[str, ..
 def chi_squared(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column, statistic, dof): the two-sample test of each column, Yates' correction at one degree."""
     cells = _cells(tagged(original, synthetic, columns), [(c,) for c in columns])
-    by = Window.partitionBy("clique")
-    t = cells.withColumn("a", F.sum("real").over(by)).withColumn("b", F.sum("synthetic").over(by)).withColumn("k", F.count("*").over(by))
+    t = cells.join(F.broadcast(cells.groupBy("clique").agg(F.sum("real").alias("a"), F.sum("synthetic").alias("b"), F.count("*").alias("k"))), "clique")
     n = F.col("a") + F.col("b")
     row = F.col("real") + F.col("synthetic")
     terms = []
