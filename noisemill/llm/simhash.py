@@ -178,10 +178,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, distan
     """
     found = materialize(sketches(docs, width).withColumn("key", F.xxhash64("fp", "bins")), "sketches")
     nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bins").alias("bins")), "nodes")
-    close = connected_components(_similar(links(nodes.select("node", "fp"), near).distinct(), nodes, similarity)).withColumnRenamed("component", "label")
+    # the pairs are written before their components are sought: a task then has one Python worker, not two
+    pairs = materialize(_similar(links(nodes.select("node", "fp"), near).distinct(), nodes, similarity), "pairs")
+    close = connected_components(pairs).withColumnRenamed("component", "label")
     labelled = materialize(nodes.join(close, "node", "left").select("key", "node", "fp", F.coalesce("label", "node").alias("label")), "labels")
     wide = _similar(links(labelled.select("node", "fp", "label"), distance).distinct(), nodes, similarity).select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
-    groups = connected_components(wide).withColumnRenamed("node", "label")
+    groups = connected_components(materialize(wide, "pairs")).withColumnRenamed("node", "label")
     named = labelled.join(groups, "label", "left").select("key", F.coalesce("component", "label").alias("component_id"))
     return found.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
