@@ -58,7 +58,7 @@ def test_spans_equal_python(spark, secret_docs):
     for r in rows:
         assert r.base == brute_spans(r.text or ""), r.doc_id
     more = next(r["all"] for r in rows if r.doc_id == 8)
-    assert [x.split(":")[0] for x in more.split(",")] == ["hex", "private_key", "slack", "jwt", "google"]
+    assert [x.split(":")[0] for x in more.split(",")] == ["hex", "private_key", "slack", "jwt", "cloud_key"]
     assert secrets.scan(secret_docs.where("false")).count() == 0
 
 
@@ -66,7 +66,7 @@ def test_index_names_only_candidates(spark, secret_docs):
     texts = secret_docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = {r.key: r for r in secrets.candidates(secrets.postings(texts)).collect()}
     assert 1 not in found and 2 not in found
-    assert found[8].may_google and not found[8].may_access and found[0].may_assign and found[0].may_access
+    assert found[8].may_cloud_key and not found[8].may_access and found[0].may_assign and found[0].may_access
     plan = secrets.scan(secret_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
