@@ -94,6 +94,31 @@ def test_near_copies_reach_the_similarity(spark, small):
     assert all(best[k] >= 0.7 for k, c in got.items() if c != k)
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def likeness(a, b):
+    return len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+
+
+def test_the_similarity_is_counted(spark):
+    texts, r = [], np.random.default_rng(5)
+    for k in range(24):  # a text of 204 words and its copy with some words changed, next to 0.8 from both sides
+        words = [f"g{k}n{i}" for i in range(204)]
+        copy = list(words)
+        for i in r.choice(np.arange(10, 194, 8), 4 + k % 2, replace=False):
+            copy[i] = f"other{i}"
+        if k % 3:
+            copy += [f"tail{i}" for i in range(k % 3 * (2 - k % 2))]
+        texts += [" ".join(words), " ".join(copy)]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs_of(spark, texts)).collect()}
+    like = [likeness(texts[k], texts[k + 1]) for k in range(0, 48, 2)]
+    assert min(like) > 0.74 and max(like) < 0.86 and {j >= 0.8 for j in like} == {True, False}
+    assert not [j for k, j in zip(range(0, 48, 2), like, strict=True) if j < 0.8 and got[k] == got[k + 1]]
+
+
 def test_deduplicate_keeps_rows_and_columns(spark):
     texts = ["the same words here again and again", "the same words here again and again", None, "", "other words of another kind altogether"]
     df = docs_of(spark, texts).unionByName(spark.createDataFrame([(None, "no id", "s", 1, 2)], DOCS))
