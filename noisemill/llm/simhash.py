@@ -216,25 +216,80 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, simi
     return pairs.where(both / (F.size("set_u") + F.size("set_v") - both) >= similarity).select("u", "v")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 7, near: int = 3) -> DataFrame:
+_EMPTY = np.uint16(0xFFFF)
+_ORDERS = np.argsort(np.random.default_rng(7).random((_BINS, _BINS)), axis=1)
+
+
+def _filled(bins: np.ndarray) -> np.ndarray:
+    """The bins, those without a shingle filled from others, in an order that is the bin's own.
+
+    So each of the 256 values agrees for two texts as often as the texts are alike, also if they
+    have few shingles. Texts without any keep their empty bins.
+    """
+    out = bins.copy().reshape(-1)
+    at = np.flatnonzero((bins == _EMPTY) & (bins != _EMPTY).any(1)[:, None])
+    for k in range(_BINS):
+        if not len(at):
+            break
+        value = bins[at // _BINS, _ORDERS[at % _BINS, k]]
+        out[at] = value
+        at = at[value == _EMPTY]
+    return out.reshape(-1, _BINS)
+
+
+def _band_width(similarity: float) -> int:
+    """The most bins a band can have, so that fewer than one of 10 ** 6 pairs at ``similarity`` agrees in none."""
+    return next((r for r in range(12, 1, -1) if (1 - similarity**r) ** (_BINS // r) < 1e-6), 1)
+
+
+def _bands(nodes: DataFrame, size: int) -> DataFrame:
+    """(band, key, n) for each row and each run of ``size`` bins: equal where all of them agree."""
+
+    def run(batches):
+        for x in batches:
+            for at in range(0, x.num_rows, 1024):
+                part = x.slice(at, 1024)
+                bins = _filled(np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint16).reshape(-1, _BINS)).astype(np.uint64)
+                count = _BINS // size
+                band = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(bins), 1))
+                for k in range(size):
+                    band = mix(band + bins[:, k : count * size : size])
+                each = [np.repeat(part.column(c).to_numpy(), count) for c in ("key", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), *map(pa.array, each)], schema=_BAND)
+
+    return nodes.select("key", "n", "bins").mapInArrow(run, "band long, key long, n long")
+
+
+_BAND = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near: int = 3) -> DataFrame:
     """(doc_id, component_id): documents that share ``similarity`` of their ``width``-word shingles,
     directly or through others, have the smallest doc_id among them as component.
 
-    A shingle changes with each of its words, so at that similarity fingerprints of shingles are far
-    apart; fingerprints of distinct words are not, and multi-index hashing over them finds the
-    pairs, whose shingles are then compared. Texts with the same set of shingles are one node. A
-    first search within ``near`` bits joins dense groups of near copies; the search within
-    ``distance`` skips pairs that are joined already, so a large group doesn't list all its pairs.
+    Texts with the same set of shingles are one node. Pairs come from bands of the shingles' bins,
+    whatever the shape of an edit is: those that share a band are compared, and the bands are so
+    narrow that of a million pairs at ``similarity`` fewer than one shares none. A first search
+    joins dense groups: in each band all nodes are compared with one of them only, and beside it
+    each with one whose fingerprint of distinct words lies within ``near`` bits. The second search
+    lists a band's pairs, but those that are joined already or that differ too much in size.
     Null texts count as empty; empty texts are copies of each other.
     """
     found = materialize(sketches(docs, width), "sketches")
     nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins")), "nodes")
-    points = nodes.select(F.col("key").alias("node"), "fp")
+    bands = _bands(nodes, _band_width(similarity))
+    centres = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band").alias("place"), "key", "n")).alias("c"), F.count("*").alias("nodes")).where("nodes > 1")
+    shared = materialize(bands.join(centres.select("band", F.col("c.key").alias("centre"), F.col("c.n").alias("n_centre")), "band"), "shared")
+    sizes_fit = f"least(n, n_centre) / greatest(n, n_centre) >= {similarity}"
+    stars = shared.where(f"key <> centre and {sizes_fit}").select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v"))
+    words = links(nodes.select(F.col("key").alias("node"), "fp"), near).groupBy("u").agg(F.min("v").alias("v"))
     # the pairs are written before their components are sought: a task then has one Python worker, not two
-    close = materialize(_alike(links(points, near).distinct(), nodes, docs, width, similarity), "pairs")
-    label = connected_components(close).withColumnRenamed("component", "label")
-    labelled = materialize(points.join(label, "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "labels")
-    wide = materialize(_alike(links(labelled, distance).select("u", "v").distinct(), nodes, docs, width, similarity), "pairs")
+    close = materialize(_alike(stars.unionByName(words).distinct(), nodes, docs, width, similarity), "pairs")
+    label = connected_components(close).withColumnRenamed("node", "key")
+    left = materialize(shared.join(label, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("label")), "labels")
+    end = lambda x: left.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "label")))
+    rest = end("u").join(end("v"), "band").where(f"key_u < key_v and label_u <> label_v and least(n_u, n_v) / greatest(n_u, n_v) >= {similarity}")
+    wide = materialize(_alike(rest.select(F.col("key_u").alias("u"), F.col("key_v").alias("v")).distinct(), nodes, docs, width, similarity), "pairs")
     member = connected_components(close.unionByName(wide)).withColumnRenamed("node", "key")
     named = materialize(nodes.join(member, "key", "left").select("key", "first_id", F.coalesce("component", "key").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
