@@ -36,12 +36,27 @@ def _units() -> np.ndarray:
     return _unit_hashes
 
 
+def _lower_others(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> None:
+    """Give tokens with capitals beyond A-Z the value of their small letters."""
+    high = np.append(0, np.cumsum(data >= 128))
+    raw, which, small = data.tobytes(), [], []
+    for k in np.flatnonzero(high[end] > high[start]).tolist():
+        word = raw[start[k] : end[k]]
+        lower = word.decode(errors="replace").lower().encode()
+        if lower != word.lower():
+            which.append(k)
+            small.append(lower)
+    if which:
+        bounds = np.cumsum([0, *map(len, small)])
+        value[which] = span_hashes(LOWER_VALUES[np.frombuffer(b"".join(small), np.uint8)], bounds[:-1], bounds[1:])
+
+
 def canonical(column: pa.Array) -> dict[str, np.ndarray]:
     """The template tokens of each text: start, end (bytes), row, value and template.
 
     A token is a run of letters or a number, decimal points and commas inside. In the template a
     number, a unit after a number, and a capitalised word inside a sentence are placeholders of
-    their type; any other word is itself, A-Z as a-z. ``value`` hashes what the text has there.
+    their type; any other word is itself, in lower case. ``value`` hashes what the text has there.
     """
     data, offsets = buffers(column)
     if not len(data):
@@ -62,6 +77,7 @@ def canonical(column: pa.Array) -> dict[str, np.ndarray]:
     row = np.searchsorted(offsets, start, "right") - 1
     value = span_hashes(LOWER_VALUES[data], start, end)
     value[value < _PLACEHOLDERS] += np.uint64(_PLACEHOLDERS)
+    _lower_others(data, start, end, value)
     number = kind[start] == _DIGIT
     capital = (data[start] >= 65) & (data[start] <= 90) | (data[start] == 0xC3) & (data[np.minimum(start + 1, len(data) - 1)] < 0x9F)
     breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
@@ -77,9 +93,9 @@ def canonical(column: pa.Array) -> dict[str, np.ndarray]:
     return {"start": start, "end": end, "row": row, "value": value, "template": template}
 
 
-def _windows(tokens: dict[str, np.ndarray], width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(tokens: dict[str, np.ndarray], width: int, literals: int, of: str = "template") -> tuple[np.ndarray, np.ndarray]:
     """First token and hash of each window inside a text that holds enough words of its own."""
-    t, row = tokens["template"], tokens["row"]
+    t, row = tokens[of], tokens["row"]
     n = len(t) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -93,22 +109,42 @@ def _windows(tokens: dict[str, np.ndarray], width: int, literals: int) -> tuple[
     return at, hashes[at]
 
 
+class _Table:
+    """Sorted hashes of windows, each with its first token and item."""
+
+    def __init__(self, at: np.ndarray, hashes: np.ndarray, row: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.item = hashes[order], at[order], row[at[order]]
+
+    def hits(self, at: np.ndarray, hashes: np.ndarray):
+        """(token of the text, token of the item, item) of each pair of equal windows."""
+        if not len(self.hashes):
+            return
+        hit = np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes)
+        for p, h in zip(at[hit].tolist(), hashes[hit], strict=True):
+            a, b = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+            for q, item in zip(self.at[a:b].tolist(), self.item[a:b].tolist(), strict=True):
+                yield p, q, item
+
+
 class _Index:
-    """A block of benchmark items: sorted window hashes, where each lies, and the items' tokens."""
+    """A block of benchmark items: their tokens, and tables of their template windows and, with
+    ``verbatim``, of their windows of values, by width; an item shorter than a window is one."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int):
+    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, verbatim: bool):
         self.ids = [i for i, _ in items]
         tokens = canonical(pa.array([t for _, t in items], pa.string()))
-        bounds = np.searchsorted(tokens["row"], np.arange(len(items) + 1))
+        row = tokens["row"]
+        bounds = np.searchsorted(row, np.arange(len(items) + 1))
         self.first = bounds[:-1]
         self.size = np.diff(bounds)
         self.template, self.value = tokens["template"], tokens["value"]
-        at, hashes = _windows(tokens, width, literals)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at, self.item = hashes[order], at[order], tokens["row"][at[order]]
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes) if len(self.hashes) else np.zeros(0, np.int64)
+        self.templates = _Table(*_windows(tokens, width, literals), row)
+        self.values = {}
+        for w in sorted({min(int(n), width) for n in self.size} - {0}) if verbatim else ():
+            at, hashes = _windows(tokens, w, 0, "value")
+            own = np.minimum(self.size[row[at]], width) == w
+            self.values[w] = _Table(at[own], hashes[own], row)
 
 
 def _consistent(theirs: np.ndarray, ours: np.ndarray) -> bool:
@@ -119,28 +155,28 @@ def _consistent(theirs: np.ndarray, ours: np.ndarray) -> bool:
 
 def _matches(x: pa.RecordBatch, index: _Index, width: int, literals: int, least: float, run: int):
     tokens = canonical(x.column("text"))
-    at, hashes = _windows(tokens, width, literals)
-    hit = index.hits(hashes)
-    diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for p, h in zip(at[hit].tolist(), hashes[hit], strict=True):
-        a, b = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
-        for q, item in zip(index.at[a:b].tolist(), index.item[a:b].tolist(), strict=True):
-            diagonals[int(tokens["row"][p]), item].add(p - (q - int(index.first[item])))
+    diagonals: dict[tuple[int, int], dict[int, bool]] = defaultdict(dict)  # of each shift, whether only values led to it
+    for w, table in index.values.items():
+        for p, q, item in table.hits(*_windows(tokens, w, 0, "value")):
+            diagonals[int(tokens["row"][p]), item][p - (q - int(index.first[item]))] = True
+    for p, q, item in index.templates.hits(*_windows(tokens, width, literals)):
+        diagonals[int(tokens["row"][p]), item][p - (q - int(index.first[item]))] = False
     bounds = np.searchsorted(tokens["row"], np.arange(x.num_rows + 1))
     texts = x.column("text")
-    for (row, item), shifts in sorted(diagonals.items()):
+    for (row, item), shifts in sorted(diagonals.items(), key=lambda d: d[0]):
         size, first = int(index.size[item]), int(index.first[item])
         covered, exact = np.zeros(size, bool), np.zeros(size, bool)
         theirs, ours, longest, low, high = [], [], 0, None, None
         for shift in sorted(shifts):
             a, b = max(0, int(bounds[row]) - shift), min(size, int(bounds[row + 1]) - shift)
             same = np.zeros(size + 2, bool)
-            same[a + 1 : b + 1] = tokens["template"][shift + a : shift + b] == index.template[first + a : first + b]
+            if not shifts[shift]:
+                same[a + 1 : b + 1] = tokens["template"][shift + a : shift + b] == index.template[first + a : first + b]
             # a sentence's first word may be a name elsewhere; as it stands it is the same word
             same[a + 1 : b + 1] |= tokens["value"][shift + a : shift + b] == index.value[first + a : first + b]
             edges = np.flatnonzero(np.diff(same.astype(np.int8)))
             for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if e - s < width:
+                if e - s < min(width, size):
                     continue
                 t, o = index.value[first + s : first + e], tokens["value"][shift + s : shift + e]
                 slot = index.template[first + s : first + e] < _PLACEHOLDERS
@@ -168,7 +204,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens
 _DDL = "doc_id long, item_id long, item_tokens long, matched_tokens long, longest_run long, n_slots long, n_changed long, kind string, start long, end long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals: int = 3, coverage: float = 0.5, run: int = 13, block_chars: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals: int = 3, coverage: float = 0.5, run: int = 13, block_chars: int = 8 << 20, verbatim: bool = False) -> DataFrame:
     """Pairs of documents and benchmark items whose wording the document holds.
 
     Texts become template tokens (see ``canonical``). Windows of ``width`` tokens with at least
@@ -179,9 +215,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals
     ``kind`` is exact, reparameterised, or inconsistent (but covered without its slots);
     ``start`` and ``end`` bound the matches, in code points.
 
+    With ``verbatim``, windows of the words and numbers as they stand, in lower case, are joined as
+    well, however few of them are no slots, and items shorter than a window as a whole. So copies
+    in capitals or title case, and copies of items of numbers, are found too. ``decontaminate`` and
+    the query ask for it.
+
     The benchmark's items are the query set: they are matched against all documents in blocks of
     about ``block_chars``, one broadcast each, so that its size bounds no machine's memory.
-    Items shorter than a window match nothing. Null texts count as empty; an empty benchmark or
+    Null texts count as empty; an empty benchmark or
     corpus gives no pairs; repeated rows give repeated pairs.
     """
     spark = docs.sparkSession
@@ -191,7 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals
     found = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(_Index([(r.item_id, r.text) for r in part], width, literals))
+        index = spark.sparkContext.broadcast(_Index([(r.item_id, r.text) for r in part], width, literals, verbatim))
 
         def match(batches, index=index):
             for x in slices(batches):
@@ -207,7 +248,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated pair; rows without an id are judged alike."""
+    """The rows of ``docs`` whose id has no contaminated pair, verbatim ones included; rows without
+    an id are judged alike."""
+    options = {"verbatim": True} | options
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     bad = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(bad, "_key", "left_anti").select(*docs.columns)

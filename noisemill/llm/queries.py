@@ -26,7 +26,7 @@ def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), verbatim=True)
 
 
 def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,29 @@ def test_templates(spark, benchmark, text, kind):
     assert [r.kind for r in rows] == ([kind] if kind else [])
 
 
+DENSE = [*ITEMS, "Compute 12 * 7 + 5 / 3 - 8", "Élan für Åsa: Zoë trägt 3 Äpfel über die Brücke"]
+
+
+@pytest.mark.parametrize(
+    "text, items",
+    [
+        ("Before. " + ITEMS[0].upper() + " after", {0}),
+        (ITEMS[1].title(), {1}),
+        ("so Compute 12 * 7 + 5 / 3 - 8 then", {3}),
+        ("compute 13 * 9 + 4 / 2 - 6", set()),
+        ("It was a SHORT ONE indeed", {2}),
+        ("a short and one", set()),
+        (DENSE[4].upper(), {4}),
+        ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", set()),
+    ],
+)
+def test_verbatim_copies_whatever_their_case(spark, text, items):
+    benchmark = spark.createDataFrame(list(enumerate(DENSE)), "item_id long, text string")
+    rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark, verbatim=True).collect()
+    assert {r.item_id for r in rows} == items and {r.kind for r in rows} <= {"exact"}
+    assert decontaminate.decontaminate(docs_of(spark, [text]), benchmark).count() == (not items)
+
+
 def test_slots_must_be_a_renaming(spark, benchmark):
     text = ITEMS[1].replace("does Bob", "does Erin")  # one name stands for two
     rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark, coverage=0.99, run=99).collect()
