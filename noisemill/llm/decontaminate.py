@@ -153,6 +153,46 @@ def _consistent(theirs: np.ndarray, ours: np.ndarray) -> bool:
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def _covered(runs: list[tuple], size: int) -> int:
+    at = np.zeros(size, bool)
+    for r in runs:
+        at[r[0] : r[1]] = True
+    return int(at.sum())
+
+
+def _renaming(runs: list[tuple], size: int, least: float, run: int) -> list[tuple] | None:
+    """The runs of one renaming that hold enough of an item, those with the most tokens; None if none does.
+
+    ``runs``: (from, to, slots of the item, slots of the text, from and to in the text). Each run
+    begins a renaming, which takes up, longest first, all others that agree with it. So other
+    variants of the item in the same text don't count against a variant.
+    """
+    if _consistent(np.concatenate([r[2] for r in runs]), np.concatenate([r[3] for r in runs])):
+        return runs if _covered(runs, size) >= least * size or max(r[1] - r[0] for r in runs) >= run else None
+    runs = sorted((r for r in runs if _consistent(r[2], r[3])), key=lambda r: (r[0] - r[1], r[4]))
+    once: dict[tuple, tuple] = {}
+    for r in runs:
+        once.setdefault((r[0], r[1], r[3].tobytes()), r)
+    runs = list(once.values())
+    if not runs or _covered(runs, size) < least * size and runs[0][1] - runs[0][0] < run:
+        return None
+    pairs = [set(zip(r[2].tolist(), r[3].tolist(), strict=True)) for r in runs]
+    best, most = None, 0
+    for k in range(len(runs)):
+        there, back, own = {}, {}, []
+        for j in (k, *range(k), *range(k + 1, len(runs))):
+            if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs[j]):
+                there.update(pairs[j])
+                back.update((b, a) for a, b in pairs[j])
+                own.append(runs[j])
+        n = _covered(own, size)
+        if n > most and (n >= least * size or max(r[1] - r[0] for r in own) >= run):
+            best, most = own, n
+        if most == size:
+            break
+    return best
+
+
 def _matches(x: pa.RecordBatch, index: _Index, width: int, literals: int, least: float, run: int):
     tokens = canonical(x.column("text"))
     diagonals: dict[tuple[int, int], dict[int, bool]] = defaultdict(dict)  # of each shift, whether only values led to it
@@ -165,34 +205,33 @@ def _matches(x: pa.RecordBatch, index: _Index, width: int, literals: int, least:
     texts = x.column("text")
     for (row, item), shifts in sorted(diagonals.items(), key=lambda d: d[0]):
         size, first = int(index.size[item]), int(index.first[item])
-        covered, exact = np.zeros(size, bool), np.zeros(size, bool)
-        theirs, ours, longest, low, high = [], [], 0, None, None
+        exact, runs, quoted = np.zeros(size, bool), [], 0
         for shift in sorted(shifts):
             a, b = max(0, int(bounds[row]) - shift), min(size, int(bounds[row + 1]) - shift)
-            same = np.zeros(size + 2, bool)
-            if not shifts[shift]:
-                same[a + 1 : b + 1] = tokens["template"][shift + a : shift + b] == index.template[first + a : first + b]
+            same, equal = np.zeros(size + 2, bool), np.zeros(size + 2, bool)
+            equal[a + 1 : b + 1] = tokens["value"][shift + a : shift + b] == index.value[first + a : first + b]
             # a sentence's first word may be a name elsewhere; as it stands it is the same word
-            same[a + 1 : b + 1] |= tokens["value"][shift + a : shift + b] == index.value[first + a : first + b]
+            same |= equal
+            if not shifts[shift]:
+                same[a + 1 : b + 1] |= tokens["template"][shift + a : shift + b] == index.template[first + a : first + b]
+            edges = np.flatnonzero(np.diff(equal.astype(np.int8)))
+            quoted = max(quoted, int((edges[1::2] - edges[::2]).max(initial=0)))
             edges = np.flatnonzero(np.diff(same.astype(np.int8)))
             for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if e - s < min(width, size):
                     continue
                 t, o = index.value[first + s : first + e], tokens["value"][shift + s : shift + e]
                 slot = index.template[first + s : first + e] < _PLACEHOLDERS
-                covered[s:e] = True
                 exact[s:e] |= t == o
-                theirs.append(t[slot])
-                ours.append(o[slot])
-                longest = max(longest, e - s)
-                low = min(low, shift + s) if low is not None else shift + s
-                high = max(high, shift + e) if high is not None else shift + e
-        if low is None:
+                runs.append((s, e, t[slot], o[slot], shift + s, shift + e))
+        if not runs:
             continue
-        theirs, ours = np.concatenate(theirs), np.concatenate(ours)
-        consistent = _consistent(theirs, ours)
-        matched = int((covered if consistent else exact).sum())
-        if matched >= least * size or consistent and longest >= run:
+        own = _renaming(runs, size, least, run)
+        if own is not None or exact.sum() >= least * size or quoted >= run:
+            matched = int(exact.sum()) if own is None else _covered(own, size)
+            consistent, runs = own is not None, runs if own is None else own
+            theirs, ours = (np.concatenate([r[k] for r in runs]) for k in (2, 3))
+            longest, low, high = max(r[1] - r[0] for r in runs), min(r[4] for r in runs), max(r[5] for r in runs)
             raw, base = texts[row].as_py().encode(), int(buffers(texts)[1][row])
             begin, end = int(tokens["start"][low]) - base, int(tokens["end"][high - 1]) - base
             kind = "exact" if bool((theirs == ours).all()) else "reparameterised" if consistent else "inconsistent"
@@ -209,9 +248,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals
 
     Texts become template tokens (see ``canonical``). Windows of ``width`` tokens with at least
     ``literals`` words of their own are hash-joined; each pair's windows are extended on their
-    diagonals to runs of equal templates. The values in the slots must be a one-to-one renaming.
-    The pair counts if the runs cover ``coverage`` of the item's tokens, or one of them is ``run``
-    long; where the renaming fails, only tokens that are equal as they stand cover the item.
+    diagonals to runs of equal templates. The values in the slots must be a one-to-one renaming;
+    runs that disagree are other variants of the item, each judged with the runs that agree with it.
+    The pair counts if the runs of a renaming cover ``coverage`` of the item's tokens, or one of them
+    is ``run`` long. Where no renaming does, tokens that are equal as they stand cover the item, or
+    ``run`` of them in sequence.
     ``kind`` is exact, reparameterised, or inconsistent (but covered without its slots);
     ``start`` and ``end`` bound the matches, in code points.
 

@@ -160,6 +160,27 @@ def test_slots_must_be_a_renaming(spark, benchmark):
     assert [r.kind for r in rows] == ["inconsistent"] and rows[0].matched_tokens < rows[0].item_tokens
 
 
+SLOTTED = "Take 3 pens and 4 cups to Mia then 5 mugs and 6 bowls to Leo before 7 forks and 8 knives reach Ann at 9 or Tom at 10 today"
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        (SLOTTED.replace("5", "15") + ". Other words. " + SLOTTED.replace("5", "25").replace("Mia", "Eva"), "reparameterised"),
+        (SLOTTED + ". Other words. " + SLOTTED.replace("5", "25"), "exact"),
+        (" ".join(SLOTTED.split()[:13]) + " stop. Later we Take 13 pens and 14 cups there", "exact"),
+        (" ".join(SLOTTED.split()[:13]) + " bowls to Leo before 3 forks and 3 knives", "inconsistent"),
+        ("Take 13 pens and 14 cups there. Take 23 pens and 24 cups there", None),
+    ],
+)
+def test_other_variants_hide_none(spark, text, kind):
+    item = SLOTTED + " while nobody else in the whole street has noticed anything of what was going on there that day"
+    benchmark = spark.createDataFrame([(1, SLOTTED if "Other" in text else item)], "item_id long, text string")
+    rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark).collect()
+    assert [r.kind for r in rows] == ([kind] if kind else [])
+    assert "Other" not in text or rows[0].matched_tokens == rows[0].item_tokens
+
+
 def test_span_is_in_code_points(spark, benchmark):
     text = "é😀 ü. " + ITEMS[0] + " fin"
     r = decontaminate.contaminated(docs_of(spark, [text]), benchmark).first()
