@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._support import id_text, slices
+from noisemill.operators.relational import ranked
+
+from ._support import id_text, materialize, slices
 
 #: Okapi BM25's usual constants.
 K1, B = 1.2, 0.75
@@ -78,10 +81,65 @@ class WordTokenizer:
         return out
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 takes from all documents: how many they are, their mean length, each token's document frequency."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)).astype(np.float32)
+
+    def norm(self, lengths: np.ndarray) -> np.ndarray:
+        return (K1 * (1 - B + B * lengths / self.mean)).astype(np.float32)
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Of the rows (ids): sums per task first, so at most a row for each token is collected."""
+
+    def count(batches):
+        df = np.zeros((1 << 16) + 2, np.int64)
+        for x in batches:
+            for ids in x.column("ids").to_pylist():
+                ids = np.frombuffer(ids, "<u2")
+                df[np.unique(ids)] += 1
+                df[-2:] += 1, len(ids)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["token", "n"])
+
+    df = np.zeros((1 << 16) + 2, np.int64)
+    for r in tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        df[r.token] = r.n
+    return Corpus(int(df[-2]), float(df[-1] / max(df[-2], 1)), df[:-2])
+
+
+def content_key(ids: np.ndarray, corpus: Corpus, idf: np.ndarray) -> list[int]:
+    """Tokens by which a document's lexical neighbours sort beside it.
+
+    Of the tokens that a third of the documents have, or more, its weightiest; then of those that a
+    ninth have, and so on; last the weightiest that another document has. Each token splits the
+    documents that agree in those before it.
+    """
+    token, tf = np.unique(ids, return_counts=True)
+    part = idf[token] * tf / (tf + corpus.norm(np.array([len(ids)]))[0])
+    df = corpus.df[token]
+    levels, least = [], corpus.n / 3
+    while least >= 32:
+        levels.append(least)
+        least /= 3
+    at = [np.where(df >= least, part, -1.0) for least in (*levels, 2)]
+    return [int(token[k]) if p[k := int(p.argmax())] >= 0 else -1 for p in at]
+
+
 class _Bm25:
-    """Postings of a shard's documents: by token, the documents and each one's part of a score."""
+    """Postings of a shard's documents: by token, the documents and each one's part of a score.
+
+    Weights are those of ``corpus``, or of these documents where none is given.
+    """
 
-    def __init__(self, ids: list[np.ndarray], lengths: np.ndarray):
+    def __init__(self, ids: list[np.ndarray], lengths: np.ndarray, corpus: Corpus | None = None):
         n = len(ids)
         each = [np.unique(x, return_counts=True) for x in ids]
         sizes = np.array([len(t) for t, _ in each])
@@ -89,8 +147,8 @@ class _Bm25:
         tf = np.concatenate([c.astype(np.float32) for _, c in each])
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         df = np.bincount(token, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = (K1 * (1 - B + B * lengths / lengths.mean())).astype(np.float32)
+        corpus = corpus or Corpus(n, float(lengths.mean()), df)
+        idf, norm = corpus.idf(), corpus.norm(lengths)
         part = idf[token] * tf * np.float32(K1 + 1) / (tf + norm[doc])
         self.n, self.by_doc = n, (np.append(0, np.cumsum(sizes)), token, part)
         order = np.argsort(token, kind="stable")
@@ -175,7 +233,8 @@ def pack_shard(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int,
     return pieces
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("place", pa.list_(pa.int32()))])
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 _PIECES_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -183,31 +242,45 @@ _PIECES_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_i
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, rows_per_shard: int = 4096) -> DataFrame:
     """Every document's ids and ``end_id``, in pieces of sequences of at most ``window`` tokens.
 
-    Documents are dealt into shards by a hash of id and text, about ``rows_per_shard`` each, so
-    that a shard's index has the same size however large the corpus is. In a shard, a BM25
-    inverted index over token ids returns the unused neighbours of each seed, best first, which
-    fill its window (see ``pack_shard``). ``tokenizer``: see ``WordTokenizer``; ids below 65536.
+    Documents are sorted by content (see ``content_key``) and cut into shards of about
+    ``rows_per_shard``, so that a shard's index has the same size however large the corpus is, and
+    copies and texts of one topic share it; neighbours in other shards aren't sought. In a shard, a
+    BM25 inverted index over token ids, weighted by all documents, returns the unused neighbours of
+    each seed, best first, which fill its window (see ``pack_shard``). ``tokenizer``: see ``WordTokenizer``; ids below 65536.
     ``ids`` has a piece's ids, little-endian unsigned 32-bit. A null or empty text has ``end_id``
     alone; repeated rows are packed each; an empty table gives no pieces.
     """
     texts = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = max(1, -(-docs.count() // rows_per_shard))
-    keyed = texts.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "text")
 
     def tokens(batches):
         encode, end = WordTokenizer(tokenizer), np.array([end_id], "<u2").tobytes()
         for x in slices(batches):
             ids = [i + end for i in encode(x.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("shard"), pa.array(ids, pa.binary())], schema=_TOKENS)
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(ids, pa.binary())], schema=_TOKENS)
+
+    def keys(batches):
+        idf = corpus.idf()
+        for x in batches:
+            found = [content_key(np.frombuffer(i, "<u2"), corpus, idf) for i in x.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("ids"), pa.array(found, pa.list_(pa.int32()))], schema=_KEYED)
+
+    known = materialize(texts.mapInArrow(tokens, "doc_id long, ids binary"), "tokens")
+    corpus = corpus_of(known)
+    shards = max(1, -(-corpus.n // rows_per_shard))
+    if shards == 1:
+        keyed = known.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        sorted_ = ranked(known.mapInArrow(keys, "doc_id long, ids binary, place array<int>"), "place", "doc_id", F.xxhash64("ids"))
+        keyed = sorted_.select("doc_id", "ids", F.floor(F.col("rank") * shards / corpus.n).alias("shard"))
 
     def place(key, table):
         shard = key[0].as_py()
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         ids = [np.frombuffer(r[1], "<u2") for r in rows]
         lengths = np.array([len(x) for x in ids])
-        pieces = pack_shard(lengths, _Bm25(ids, lengths).scores, window)
+        pieces = pack_shard(lengths, _Bm25(ids, lengths, corpus).scores, window)
         doc, start, length, sequence, offset = map(list, zip(*pieces, strict=True))
         pieces_ids = (ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True))
         return pa.table([[rows[d][0] for d in doc], start, length, lengths[doc], np.array(sequence) + (shard << 32), offset, pa.array(pieces_ids, pa.binary())], schema=_PIECES)
 
-    return keyed.mapInArrow(tokens, "doc_id long, shard long, ids binary").groupBy("shard").applyInArrow(place, _PIECES_DDL)
+    return keyed.groupBy("shard").applyInArrow(place, _PIECES_DDL)

@@ -97,6 +97,25 @@ def test_bm25_and_neighbours():
     assert first[0] == 0 and all(d % 3 == 0 for d in first)
 
 
+def test_shards_hold_neighbours_and_weights_are_the_corpus(spark, tokenizer):
+    r = np.random.default_rng(1)
+    vocabulary = sorted(t[:-4] for t in tokenizer.get_vocab() if re.fullmatch("[a-z]{6,}</w>", t))
+    words = r.choice(vocabulary, 206, replace=False).tolist()
+    themes, words = words[:6], words[6:]
+    texts = [" ".join([*[themes[k % 6]] * 3, *r.choice(words, 15)]) for k in range(480)]
+    pieces = packing.pack(docs_of(spark, texts), tokenizer_path(), window=256, rows_per_shard=40).collect()
+    shards = {}
+    for p in pieces:
+        shards.setdefault(p.sequence_id >> 32, {})[p.doc_id] = p.doc_id % 6
+    assert len(shards) == 12 and sum(map(len, shards.values())) == 480
+    most = [max(list(s.values()).count(t) for t in range(6)) / len(s) for s in shards.values()]
+    assert np.mean(most) > 0.8  # dealt by a hash: about 0.3
+    ids = [np.frombuffer(b, "<u2") for b in packing.WordTokenizer(tokenizer_path())(texts)]
+    corpus = packing.corpus_of(spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary"))
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    assert corpus.n == 480 and corpus.mean == pytest.approx(np.mean([len(x) for x in ids])) and (corpus.df == df).all()
+
+
 # ---- decontamination
 
 ITEMS = [
