@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noisemill.spec import ForeignKey, Relations
@@ -115,6 +115,20 @@ def exploration_table(parent: DataFrame, child: DataFrame, k: ForeignKey, parent
     return joined.select(*parent_columns, "group_size", *cells, "weight")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. On one machine a temporary folder serves where it isn't set; on a
+    cluster, whose machines don't share such a folder, that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = _local.setdefault("root", tempfile.mkdtemp(prefix="noisemill-"))
+    return root
+
+
+_local: dict[str, str] = {}
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Rows numbered from 0 in a global order, without a window over one partition.
 
@@ -123,7 +137,7 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="noisemill-"))  # one machine, as in tests
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     sorted_ = df.sort(*order).withColumn("_p", F.spark_partition_id())
     tagged = sorted_.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
     sizes = tagged.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()
