@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,25 +11,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_fallback: dict[str, str] = {}
+from noisemill.operators.relational import scratch_root
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``, which all machines of a cluster see.
 
-    Where the session names no such folder (tests on one machine), a temporary one serves.
+    Where the session names no such folder, a temporary one serves on a single machine, as in tests;
+    on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _fallback.setdefault("root", tempfile.mkdtemp(prefix="noisemill-"))
-    return f"{root.rstrip('/')}/noisemill/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/noisemill/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize``. Only what nothing lazy reads any more may go."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder; lazy results that need it are lost."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def free_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, with as many underscores before it as no column is called so."""
+    lower = {c.lower() for c in columns}
+    while wanted.lower() in lower:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def spread_join(
+    big: DataFrame, small: DataFrame, key: str, by: str, counts: DataFrame | None = None, most: int = 4096
+) -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, however many rows of ``big`` share one.
+
+    ``small`` has a row for each key at most. Keys with over 1 / ``most`` of all rows are dealt into
+    parts by a hash of ``by``, and their rows of ``small`` repeated. Such keys are fewer than
+    ``most``, so a broadcast tells both sides which they are. ``counts``: (key, n) if it is known.
+    """
+    if counts is None:
+        counts = big.groupBy(key).agg(F.count("*").alias("n"))
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()  # two numbers
+    limit = max(1000, (total or 0) // most)
+    if (top or 0) <= limit:
+        return big.join(small, key)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
+    dealt = big.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    copies = small.join(hot, key, "left").withColumn("_part", each).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
@@ -44,8 +97,8 @@ def fold(column: str, modulus: int):
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column without nulls, and each row's offset into them."""
-    if pa.types.is_large_string(column.type):
+    """The bytes of a string or binary column without nulls, and each row's offset into them."""
+    if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     else:
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)

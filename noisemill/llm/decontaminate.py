@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import LOWER_VALUES, batch, buffers, hash_of, id_text, mix, slices, span_hashes
+from ._support import LOWER_VALUES, batch, buffers, free_name, hash_of, id_text, materialize, mix, slices, span_hashes
 
 #: Words that count as units when they follow a number.
 UNITS = """
@@ -109,42 +109,79 @@ def _windows(tokens: dict[str, np.ndarray], width: int, literals: int, of: str =
     return at, hashes[at]
 
 
-class _Table:
-    """Sorted hashes of windows, each with its first token and item."""
-
-    def __init__(self, at: np.ndarray, hashes: np.ndarray, row: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at, self.item = hashes[order], at[order], row[at[order]]
-
-    def hits(self, at: np.ndarray, hashes: np.ndarray):
-        """(token of the text, token of the item, item) of each pair of equal windows."""
-        if not len(self.hashes):
-            return
-        hit = np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes)
-        for p, h in zip(at[hit].tolist(), hashes[hit], strict=True):
-            a, b = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for q, item in zip(self.at[a:b].tolist(), self.item[a:b].tolist(), strict=True):
-                yield p, q, item
-
-
-class _Index:
-    """A block of benchmark items: their tokens, and tables of their template windows and, with
-    ``verbatim``, of their windows of values, by width; an item shorter than a window is one."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int, literals: int, verbatim: bool):
-        self.ids = [i for i, _ in items]
-        tokens = canonical(pa.array([t for _, t in items], pa.string()))
-        row = tokens["row"]
-        bounds = np.searchsorted(row, np.arange(len(items) + 1))
-        self.first = bounds[:-1]
-        self.size = np.diff(bounds)
-        self.template, self.value = tokens["template"], tokens["value"]
-        self.templates = _Table(*_windows(tokens, width, literals), row)
-        self.values = {}
-        for w in sorted({min(int(n), width) for n in self.size} - {0}) if verbatim else ():
-            at, hashes = _windows(tokens, w, 0, "value")
-            own = np.minimum(self.size[row[at]], width) == w
-            self.values[w] = _Table(at[own], hashes[own], row)
+def _salted(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of windows of values: other ones for each width, and than those of templates."""
+    return mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (width + 1) & (1 << 64) - 1))
+
+
+def _all_windows(tokens: dict[str, np.ndarray], width: int, literals: int, widths: list[int]):
+    """(first token, hash, whether of values only) of the template windows, then of the values' of each width."""
+    at, hashes = _windows(tokens, width, literals)
+    yield at, hashes, False
+    for w in widths:
+        at, hashes = _windows(tokens, w, 0, "value")
+        yield at, _salted(hashes, w), True
+
+
+_ITEM_WINDOWS = pa.schema([("item", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("verbatim", pa.bool_()), ("width", pa.int32())])
+_ITEM_DDL = "item long, hash long, place int, verbatim boolean, width int"
+
+
+def item_windows(items: DataFrame, width: int, literals: int) -> DataFrame:
+    """(item, hash, place, verbatim, width) of all windows of the rows (item, text): of template tokens,
+    and of values; an item shorter than a window is one."""
+
+    def run(batches):
+        for x in slices(batches):
+            tokens = canonical(x.column("text"))
+            row = tokens["row"]
+            first = np.searchsorted(row, np.arange(x.num_rows + 1))
+            short = np.minimum(np.diff(first), width)
+            parts = []
+            for k, (at, hashes, verbatim) in enumerate(_all_windows(tokens, width, literals, list(range(1, width + 1)))):
+                if verbatim:
+                    own = short[row[at]] == k
+                    at, hashes = at[own], hashes[own]
+                parts.append((row[at], hashes, at - first[row[at]], np.full(len(at), verbatim), np.full(len(at), k)))
+            rows, hashes, place, verbatim, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+            item = x.column("item").take(pa.array(rows))
+            yield batch(_ITEM_WINDOWS, item, hashes.view(np.int64), place.astype(np.int32), verbatim, w.astype(np.int32))
+
+    return items.mapInArrow(run, _ITEM_DDL)
+
+
+#: Bits of the filter of window hashes at most, whatever the benchmark's size: 8 MB.
+_FILTER_BITS = 1 << 26
+
+
+@dataclass
+class _Filter:
+    """A Bloom filter of hashes, two bits each."""
+
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, windows: DataFrame) -> _Filter:
+        bits = 1 << 16
+        while bits < min(64 * windows.count(), _FILTER_BITS):
+            bits *= 2
+        mask = F.lit(bits - 1).cast("long")
+        both = F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))
+        bit = windows.select(F.explode(both).alias("bit"))
+        word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")))
+        found = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(word.alias("bits")).toArrow()  # bits / 64 rows at most
+        words = np.zeros(bits // 64, np.uint64)
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def _bit_is_set(self, bit: np.ndarray) -> np.ndarray:
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Where a hash may be one of them."""
+        mask = np.uint64(len(self.words) * 64 - 1)
+        at = np.flatnonzero(self._bit_is_set(hashes & mask))
+        return at[self._bit_is_set(hashes[at] >> np.uint64(32) & mask)]
 
 
 def _consistent(theirs: np.ndarray, ours: np.ndarray) -> bool:
@@ -193,105 +230,154 @@ def _renaming(runs: list[tuple], size: int, least: float, run: int) -> list[tupl
     return best
 
 
-def _matches(x: pa.RecordBatch, index: _Index, width: int, literals: int, least: float, run: int):
-    tokens = canonical(x.column("text"))
-    diagonals: dict[tuple[int, int], dict[int, bool]] = defaultdict(dict)  # of each shift, whether only values led to it
-    for w, table in index.values.items():
-        for p, q, item in table.hits(*_windows(tokens, w, 0, "value")):
-            diagonals[int(tokens["row"][p]), item][p - (q - int(index.first[item]))] = True
-    for p, q, item in index.templates.hits(*_windows(tokens, width, literals)):
-        diagonals[int(tokens["row"][p]), item][p - (q - int(index.first[item]))] = False
-    bounds = np.searchsorted(tokens["row"], np.arange(x.num_rows + 1))
+def _verified(x: pa.RecordBatch, width: int, least: float, run: int):
+    """The rows of ``_OUT`` for the rows (doc_id, text, item_id, item_text, shifts, verbatim) that hold."""
+    tokens, items = canonical(x.column("text")), canonical(x.column("item_text"))
+    bounds, first = (np.searchsorted(t["row"], np.arange(x.num_rows + 1)) for t in (tokens, items))
     texts = x.column("text")
-    for (row, item), shifts in sorted(diagonals.items(), key=lambda d: d[0]):
-        size, first = int(index.size[item]), int(index.first[item])
-        exact, runs, quoted = np.zeros(size, bool), [], 0
-        for shift in sorted(shifts):
-            a, b = max(0, int(bounds[row]) - shift), min(size, int(bounds[row + 1]) - shift)
+    bases = buffers(texts)[1]
+    for k, (shifts, only) in enumerate(zip(x.column("shifts").to_pylist(), x.column("verbatim").to_pylist(), strict=True)):
+        size, origin, begin = int(first[k + 1] - first[k]), int(first[k]), int(bounds[k])
+        quoted, runs, longest = np.zeros(size, bool), [], 0
+        for shift, verbatim in zip(shifts, only, strict=True):
+            shift += begin
+            a, b = max(0, begin - shift), min(size, int(bounds[k + 1]) - shift)
             same, equal = np.zeros(size + 2, bool), np.zeros(size + 2, bool)
-            equal[a + 1 : b + 1] = tokens["value"][shift + a : shift + b] == index.value[first + a : first + b]
+            equal[a + 1 : b + 1] = tokens["value"][shift + a : shift + b] == items["value"][origin + a : origin + b]
             # a sentence's first word may be a name elsewhere; as it stands it is the same word
             same |= equal
-            if not shifts[shift]:
-                same[a + 1 : b + 1] |= tokens["template"][shift + a : shift + b] == index.template[first + a : first + b]
-            edges = np.flatnonzero(np.diff(equal.astype(np.int8)))
-            quoted = max(quoted, int((edges[1::2] - edges[::2]).max(initial=0)))
-            edges = np.flatnonzero(np.diff(same.astype(np.int8)))
-            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if e - s < min(width, size):
-                    continue
-                t, o = index.value[first + s : first + e], tokens["value"][shift + s : shift + e]
-                slot = index.template[first + s : first + e] < _PLACEHOLDERS
-                exact[s:e] |= t == o
-                runs.append((s, e, t[slot], o[slot], shift + s, shift + e))
+            if not verbatim:
+                same[a + 1 : b + 1] |= tokens["template"][shift + a : shift + b] == items["template"][origin + a : origin + b]
+            for s, e in _runs(equal, min(width, size)):
+                quoted[s:e] = True
+                longest = max(longest, e - s)
+            for s, e in _runs(same, min(width, size)):
+                theirs, ours = items["value"][origin + s : origin + e], tokens["value"][shift + s : shift + e]
+                slot = items["template"][origin + s : origin + e] < _PLACEHOLDERS
+                runs.append((s, e, theirs[slot], ours[slot], shift + s, shift + e))
         if not runs:
             continue
         own = _renaming(runs, size, least, run)
-        if own is not None or exact.sum() >= least * size or quoted >= run:
-            matched = int(exact.sum()) if own is None else _covered(own, size)
-            consistent, runs = own is not None, runs if own is None else own
-            theirs, ours = (np.concatenate([r[k] for r in runs]) for k in (2, 3))
-            longest, low, high = max(r[1] - r[0] for r in runs), min(r[4] for r in runs), max(r[5] for r in runs)
-            raw, base = texts[row].as_py().encode(), int(buffers(texts)[1][row])
-            begin, end = int(tokens["start"][low]) - base, int(tokens["end"][high - 1]) - base
-            kind = "exact" if bool((theirs == ours).all()) else "reparameterised" if consistent else "inconsistent"
-            begin, end = len(raw[:begin].decode(errors="ignore")), len(raw[:end].decode(errors="ignore"))
-            yield x.column("doc_id")[row].as_py(), index.ids[item], size, matched, longest, len(theirs), int((theirs != ours).sum()), kind, begin, end
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int64()), ("matched_tokens", pa.int64()), ("longest_run", pa.int64()), ("n_slots", pa.int64()), ("n_changed", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_DDL = "doc_id long, item_id long, item_tokens long, matched_tokens long, longest_run long, n_slots long, n_changed long, kind string, start long, end long"
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, literals: int = 3, coverage: float = 0.5, run: int = 13, block_chars: int = 8 << 20, verbatim: bool = False) -> DataFrame:
+        if own is not None:
+            theirs, ours = (np.concatenate([r[j] for r in own]) for j in (2, 3))
+            changed = int((theirs != ours).sum())
+            kind, matched = ("reparameterised" if changed else "exact"), _covered(own, size)
+        elif quoted.sum() >= least * size or longest >= run:
+            own, theirs, changed = runs, np.zeros(0), 0
+            kind, matched = "quoted", int(quoted.sum())
+        else:
+            continue
+        low, high = min(r[4] for r in own), max(r[5] for r in own)
+        raw, base = texts[k].as_py().encode(), int(bases[k])
+        span = (len(raw[: int(at) - base].decode(errors="ignore")) for at in (tokens["start"][low], tokens["end"][high - 1]))
+        most = max(r[1] - r[0] for r in own)
+        yield x.column("doc_id")[k].as_py(), x.column("item_id")[k].as_py(), size, matched, most, len(theirs), changed, kind, *span
+
+
+def _runs(same: np.ndarray, least: int):
+    """(start, end) of the runs of at least ``least``, of a mask with a false at both ends."""
+    edges = np.flatnonzero(np.diff(same.astype(np.int8)))
+    return [(s, e) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if e - s >= least]
+
+
+_OUT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("item_id", pa.int64()),
+        ("item_tokens", pa.int64()),
+        ("matched_tokens", pa.int64()),
+        ("longest_run", pa.int64()),
+        ("n_slots", pa.int64()),
+        ("n_changed", pa.int64()),
+        ("kind", pa.string()),
+        ("start", pa.int64()),
+        ("end", pa.int64()),
+    ]
+)
+_DDL = (
+    "doc_id long, item_id long, item_tokens long, matched_tokens long, longest_run long, "
+    "n_slots long, n_changed long, kind string, start long, end long"
+)
+_HITS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+
+
+def _hits(texts: DataFrame, windows: DataFrame, width: int, literals: int) -> DataFrame:
+    """(doc_id, text, hashes, places) of the texts with windows that the filter of all item windows lets pass."""
+    spark = texts.sparkSession
+    passing = spark.sparkContext.broadcast(_Filter.of(windows))
+    widths = [r.width for r in windows.where("verbatim").select("width").distinct().collect()]  # ``width`` of them at most
+
+    def run(batches):
+        for x in slices(batches):
+            tokens = canonical(x.column("text"))
+            row = tokens["row"]
+            first = np.searchsorted(row, np.arange(x.num_rows + 1))
+            rows, hashes, places = [], [], []
+            for at, h, _ in _all_windows(tokens, width, literals, widths):
+                hit = passing.value.holds(h)
+                rows.append(row[at[hit]])
+                hashes.append(h[hit])
+                places.append(at[hit] - first[row[at[hit]]])
+            rows = np.concatenate(rows)
+            if not len(rows):
+                continue
+            order = np.argsort(rows, kind="stable")
+            own, count = np.unique(rows, return_counts=True)
+            ends = pa.array(np.append(0, np.cumsum(count)), pa.int32())
+            lists = [np.concatenate(hashes)[order].view(np.int64), np.concatenate(places)[order].astype(np.int32)]
+            kept = [x.column(c).take(pa.array(own)) for c in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in lists)], schema=_HITS)
+
+    return texts.mapInArrow(run, "doc_id long, text string, hashes array<long>, places array<int>")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, width: int = 5, literals: int = 3, coverage: float = 0.5, run: int = 13
+) -> DataFrame:
     """Pairs of documents and benchmark items whose wording the document holds.
 
     Texts become template tokens (see ``canonical``). Windows of ``width`` tokens with at least
-    ``literals`` words of their own are hash-joined; each pair's windows are extended on their
-    diagonals to runs of equal templates. The values in the slots must be a one-to-one renaming;
-    runs that disagree are other variants of the item, each judged with the runs that agree with it.
-    The pair counts if the runs of a renaming cover ``coverage`` of the item's tokens, or one of them
-    is ``run`` long. Where no renaming does, tokens that are equal as they stand cover the item, or
-    ``run`` of them in sequence.
-    ``kind`` is exact, reparameterised, or inconsistent (but covered without its slots);
-    ``start`` and ``end`` bound the matches, in code points.
-
-    With ``verbatim``, windows of the words and numbers as they stand, in lower case, are joined as
-    well, however few of them are no slots, and items shorter than a window as a whole. So copies
-    in capitals or title case, and copies of items of numbers, are found too. ``decontaminate`` and
-    the query ask for it.
-
-    The benchmark's items are the query set: they are matched against all documents in blocks of
-    about ``block_chars``, one broadcast each, so that its size bounds no machine's memory.
-    Null texts count as empty; an empty benchmark or
-    corpus gives no pairs; repeated rows give repeated pairs.
+    ``literals`` words of their own are hash-joined with those of the items, and beside them windows of
+    the words and numbers as they stand, in lower case, however few of them are no slots; an item
+    shorter than a window is one as a whole. So copies in capitals, and copies of items of numbers,
+    are found too. A pair's windows are extended on their diagonals to runs of equal templates.
+
+    The values in the slots must be a one-to-one renaming; runs that disagree are other variants of
+    the item, each judged with the runs that agree with it. The pair counts if the runs of a renaming
+    cover ``coverage`` of the item's tokens, or one of them is ``run`` long: ``kind`` is then exact or
+    reparameterised. Where no renaming does, runs of at least ``width`` tokens that are equal as they
+    stand may cover as much, or one be ``run`` long: quoted. Slots that contradict each other make no
+    pair. ``start`` and ``end`` bound the matches, in code points.
+
+    All documents are read once: a filter of fixed size, made of the items' window hashes, lets few
+    windows pass, and those are joined with the items' windows as tables. Null texts count as empty; an
+    empty benchmark or corpus gives no pairs; repeated rows and repeated items give repeated pairs.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+    items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = materialize(item_windows(items.select("item", "text"), width, literals), "item-windows")
     texts = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(_Index([(r.item_id, r.text) for r in part], width, literals, verbatim))
+    found = materialize(_hits(texts, windows, width, literals).withColumn("row", F.monotonically_increasing_id()), "hits")
+    hits = found.select("row", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("places").alias("at"))))
+    joined = hits.join(windows.drop("width"), "hash").select("row", "item", (F.col("at") - F.col("place")).alias("shift"), "verbatim")
+    shifts = joined.groupBy("row", "item", "shift").agg(F.bool_and("verbatim").alias("verbatim"))
+    pairs = shifts.groupBy("row", "item").agg(F.sort_array(F.collect_list(F.struct("shift", "verbatim"))).alias("all"))
+    lists = pairs.select("row", "item", F.col("all.shift").alias("shifts"), F.col("all.verbatim").alias("verbatim"))
+    wide = lists.join(found.select("row", "doc_id", "text"), "row").join(items.withColumnRenamed("text", "item_text"), "item")
 
-        def match(batches, index=index):
-            for x in slices(batches):
-                rows = list(_matches(x, index.value, width, literals, coverage, run))
-                if rows:
-                    yield batch(_OUT, *zip(*rows, strict=True))
+    def verify(batches):
+        for x in slices(slices(batches), "item_text"):
+            rows = list(_verified(x, width, coverage, run))
+            if rows:
+                yield batch(_OUT, *zip(*rows, strict=True))
 
-        found.append(texts.mapInArrow(match, _DDL))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return wide.select("doc_id", "text", "item_id", "item_text", "shifts", "verbatim").mapInArrow(verify, _DDL)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated pair, verbatim ones included; rows without
-    an id are judged alike."""
-    options = {"verbatim": True} | options
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    bad = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id has no contaminated pair; rows without an id are judged alike, as one."""
+    key = free_name("key", docs.columns)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, **options)
+    bad = found.select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

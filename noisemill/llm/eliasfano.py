@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import OrderedDict
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -143,18 +144,36 @@ def put(uri: str, arrays: dict[str, np.ndarray]) -> None:
             out.write(x)
 
 
-@lru_cache(maxsize=4096)
+#: Bytes of shards that a worker keeps where it can't map them into memory.
+MOST_CACHED = 256 << 20
+_cached: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def _fetched(uri: str) -> np.ndarray:
+    """A file of an object store: read whole, kept until others need its place."""
+    if uri in _cached:
+        _cached.move_to_end(uri)
+        return _cached[uri]
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        data = np.frombuffer(f.read(), np.uint8)
+    _cached[uri] = data
+    while len(_cached) > 1 and sum(x.nbytes for x in _cached.values()) > MOST_CACHED:
+        _cached.popitem(last=False)
+    return data
+
+
+@lru_cache(maxsize=1024)
+def _mapped(path: str) -> np.ndarray:
+    return np.memmap(path, np.uint8, "r")
+
+
 def mapped(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file: memory-mapped where the shared folder is mounted, else read once."""
+    """The arrays of a file: memory-mapped where the shared folder is mounted, else fetched."""
     at = urlparse(uri)
-    if at.scheme in ("", "file"):
-        data = np.memmap(at.path, np.uint8, "r")
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_input_file(path) as f:
-            data = np.frombuffer(f.read(), np.uint8)
+    data = _mapped(at.path) if at.scheme in ("", "file") else _fetched(uri)
     size = int(data[:8].view("<u8")[0])
     names = json.loads(bytes(data[8 : 8 + size]))
     return {k: data[8 + size + a : 8 + size + a + n * np.dtype(t).itemsize].view(t) for k, (a, n, t) in names.items()}

@@ -92,26 +92,32 @@ def fit_cnn(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: i
     return LanguageModel(langs, theta[0], theta[1 : 1 + k], theta[1 + k : 1 + 2 * k], theta[-2], theta[-1])
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's bytes in fixed-length windows, the last one filled with zeros; each window's row."""
-    lengths = np.diff(offsets)
-    counts = -(-lengths // WINDOW)
-    rows = np.repeat(np.arange(len(lengths)), counts)
+def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of each text's windows of fixed length; the last one of a text may be shorter."""
+    counts = -(-np.diff(offsets) // WINDOW)
+    rows = np.repeat(np.arange(len(counts)), counts)
     begin = offsets[:-1][rows] + (np.arange(len(rows)) - (np.cumsum(counts) - counts)[rows]) * WINDOW
-    at = begin[:, None] + np.arange(WINDOW)
-    inside = at < offsets[1:][rows][:, None]
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0), rows
+    return begin, np.minimum(begin + WINDOW, offsets[1:][rows]), rows
+
+
+def _windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of windows, what is missing filled with zeros."""
+    out = sliding_window_view(np.append(data, np.zeros(WINDOW, np.uint8)), WINDOW)[begin]
+    short = np.flatnonzero(end - begin < WINDOW)
+    out[short] = np.where(np.arange(WINDOW) < (end - begin)[short, None], out[short], 0)
+    return out
 
 
 def train(docs: DataFrame, per_lang: int = 600, windows_per_text: int = 4, hold_out: tuple[int, int] | None = None) -> LanguageModel:
     """Fit the network to texts with a ``lang``.
 
     The fit uses a bounded sample: of each language at most ``per_lang`` texts, those with the
-    least hash of the id, and of each text at most ``windows_per_text`` windows, evenly spread. With
-    ``hold_out`` = (modulus, remainder) no text of such an id is seen. Null languages and texts
-    teach nothing; without any the model knows no language.
+    least hash of the id, and of each text at most ``windows_per_text`` windows, evenly spread, so that
+    a few long texts don't make up the sample. With ``hold_out`` = (modulus, remainder) no text of
+    such an id is seen. Null languages, and null and empty texts, teach nothing; without any
+    other the model knows no language.
     """
-    docs = docs.where("lang is not null and text is not null")
+    docs = docs.where("lang is not null and length(text) > 0")
     if hold_out:
         docs = docs.where(fold("doc_id", hold_out[0]) != hold_out[1])
     counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row for each language
@@ -127,12 +133,11 @@ def train(docs: DataFrame, per_lang: int = 600, windows_per_text: int = 4, hold_
     def cut(batches):
         for x in slices(batches):
             data, offsets = buffers(x.column("text"))
-            if not len(data):
-                continue
-            windows, rows = _windows(data, offsets)
+            begin, end, rows = _places(offsets)
             first = np.searchsorted(rows, np.arange(x.num_rows + 1))
-            picks = [np.unique(np.linspace(a, b - 1, windows_per_text).astype(np.int64)) if b > a else np.zeros(0, np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield batch(schema, x.column("lang"), x.column("h"), [windows[p].tobytes() for p in picks])
+            spread = (np.linspace(a, b - 1, windows_per_text) for a, b in zip(first[:-1], first[1:], strict=True))
+            picks = [np.unique(p.astype(np.int64)) for p in spread]
+            yield batch(schema, x.column("lang"), x.column("h"), [_windows(data, begin[p], end[p]).tobytes() for p in picks])
 
     seen = chosen.mapInArrow(cut, "lang string, h long, windows binary").collect()
     kept, labels = [], []
@@ -141,6 +146,8 @@ def train(docs: DataFrame, per_lang: int = 600, windows_per_text: int = 4, hold_
             w = np.frombuffer(bytes(r.windows), np.uint8).reshape(-1, WINDOW)
             kept.append(w)
             labels += [k] * len(w)
+    if not kept:
+        return LanguageModel([], *[np.zeros(0)] * 5)
     return fit_cnn(np.concatenate(kept), np.array(labels), langs)
 
 
@@ -161,13 +168,14 @@ def predict(docs: DataFrame, model: LanguageModel, windows_at_once: int = 512) -
             if not len(data) or not model.langs:
                 yield batch(_OUT, x.column("doc_id"), [UNKNOWN] * x.num_rows, [0.0] * x.num_rows)
                 continue
-            windows, rows = _windows(data, offsets)
-            total = np.zeros((x.num_rows, len(model.langs)))
-            letters = _LETTER[windows].sum(1)
-            for at in range(0, len(windows), windows_at_once):
+            begin, end, rows = _places(offsets)
+            total, mass = np.zeros((x.num_rows, len(model.langs))), np.zeros(x.num_rows)
+            for at in range(0, len(rows), windows_at_once):
                 part = slice(at, at + windows_at_once)
-                np.add.at(total, rows[part], model.probabilities(windows[part]) * letters[part, None])
-            mass = np.bincount(rows, letters, x.num_rows)
+                windows = _windows(data, begin[part], end[part])
+                letters = _LETTER[windows].sum(1)
+                np.add.at(total, rows[part], model.probabilities(windows) * letters[:, None])
+                np.add.at(mass, rows[part], letters)
             best = total.argmax(1)
             score = total[np.arange(x.num_rows), best] / np.maximum(mass, 1)
             plain = np.add.reduceat(np.append(data < 128, True).astype(np.int64), offsets[:-1])

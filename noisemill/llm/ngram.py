@@ -180,6 +180,8 @@ def _build(model: NGramModel, docs: DataFrame, level: int, shards: int) -> NGram
         parent = [0] * (shards + 1)
     else:
         parents = model.rank[level - 1][-1]
+        if parents * size >= 1 << 64:
+            raise ValueError(f"level {level}: {parents} contexts of {size} words don't fit keys of 64 bits")
         parent = [k * parents // shards for k in range(shards + 1)]
         least = [p * size for p in parent[:-1]]
 
@@ -258,8 +260,7 @@ def score(docs: DataFrame, model: NGramModel) -> DataFrame:
     def run(batches):
         n, v = model.tokens, model.distinct
         for x in slices(batches, most=_SLICE):
-            _, counts, rows, found = model.contexts(x.column("text"), model.order)
-            ranks = _
+            ranks, counts, rows, found = model.contexts(x.column("text"), model.order)
             p = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * v / (v + 1)) / n if n else np.ones(len(counts))
             for level, (context, share, left) in enumerate(found[: model.order - 1], 1):
                 if share is None:

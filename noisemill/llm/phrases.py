@@ -18,6 +18,7 @@ BINS = 64
 _LEVELS = 40
 _EMPTY = 0xFFFF
 _PIECE = 1 << 20
+_MOST_RANGES = 100_000
 
 
 def _tossed(names: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -185,32 +186,45 @@ def _compared(batches):
             )
 
 
-def compare_with_next(docs: DataFrame, rows_per_bucket: int = 4096) -> DataFrame:
+def compare_with_next(docs: DataFrame, bytes_per_range: int = 8 << 20) -> DataFrame:
     """Each document's fingerprint, held against that of an edited copy and of the next document.
 
-    The next document is the one before in doc_id; the smallest doc_id's is the largest. Documents
-    are dealt into ranges of doc_id, each range sorted; the first document of the range below comes
-    along as a copy, so no table is sorted in one task. Rows without doc_id are left out; rows with
-    the same doc_id follow each other by text. Null texts count as empty. A document alone is its
-    own next one.
+    The next document is the one before in doc_id; the smallest doc_id's is the largest. Rows without
+    doc_id come after all others, rows of one doc_id by a hash of the text. Documents are dealt
+    into ranges of that order, each a task that runs through its sorted rows; the first document
+    of the next range comes along as a copy. Ranges are cut at quantiles of doc_id; where very many
+    rows have one doc_id, or none, at quantiles of the hash. Null texts count as empty. A document
+    alone is its own next one; an empty table gives no rows.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    shares = [k / buckets for k in range(1, buckets)]
-    cuts = np.array(sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0])) if n and shares else [], np.int64)
-
-    @F.arrow_udf(T.LongType())
-    def bucket_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, ids.to_numpy(), "left"))
-
-    dealt = docs.withColumn("bucket", bucket_of("doc_id") if len(cuts) else F.lit(0).cast("long")).withColumn("border", F.lit(False))
-    heads = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.max("doc_id")).collect())  # a pair for each range
-    if not heads:
+    hashed = F.xxhash64("text").alias("h")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("*", hashed)
+    rows, known, size = docs.agg(F.count("*"), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
+    if not rows:
         return docs.sparkSession.createDataFrame([], _COMPARED_DDL)
-    # the first document of each range also ends the range above; that of the highest ends the lowest
-    to = {first: heads[(k + 1) % len(heads)][0] for k, (_, first) in enumerate(heads)}
-    lookup = docs.sparkSession.createDataFrame(sorted(to.items()), "doc_id long, bucket long")
-    copies = docs.where(F.col("doc_id").isin(sorted(to))).join(F.broadcast(lookup), "doc_id").select("doc_id", "text", "bucket", F.lit(True).alias("border"))
-    both = dealt.unionByName(copies).select("bucket", "border", "doc_id", "text")
-    return both.repartition(buckets, "bucket").sortWithinPartitions(F.asc("bucket"), F.asc("border"), F.desc("doc_id"), F.asc("text")).mapInArrow(_compared, _COMPARED_DDL)
+    wanted = max(1, min(rows, -(-size // bytes_per_range), _MOST_RANGES))
+    unnamed = -(-wanted * (rows - known) // rows)
+    ranges = max(1, wanted - unnamed) if known else 0
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = np.array(docs.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if shares else [], np.int64)
+
+    @F.arrow_udf(T.IntegerType())
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        share = (hashes.to_numpy() >> 32) + (1 << 31)
+        value = ids.fill_null(0).to_numpy()
+        low = np.searchsorted(cuts, value, "left")
+        same = np.searchsorted(cuts, value, "right") - low
+        place = unnamed + low + (share * np.maximum(same, 1) >> 32)
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(np.where(none, share * unnamed >> 32, place).astype(np.int32))
+
+    dealt = docs.withColumn("bucket", range_of("doc_id", "h"))
+    heads = dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("first")).orderBy("bucket").collect()
+    # the first document of each range, of which there are _MOST_RANGES at most, also ends the range above
+    to = [(*r["first"], heads[(k + 1) % len(heads)].bucket) for k, r in enumerate(heads)]
+    lookup = F.broadcast(docs.sparkSession.createDataFrame(to, "first_id long, first_h long, bucket int"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    copies = docs.join(lookup, first).select(*docs.columns, "bucket", F.lit(True).alias("border"))
+    both = dealt.withColumn("border", F.lit(False)).unionByName(copies).select("bucket", "border", "doc_id", "text", "h")
+    order = (F.asc("border"), F.desc_nulls_last("doc_id"), F.desc("h"), F.desc("text"))
+    ranged = both.repartitionById(unnamed + ranges, "bucket").sortWithinPartitions(*order)
+    return ranged.select("bucket", "border", "doc_id", "text").mapInArrow(_compared, _COMPARED_DDL)

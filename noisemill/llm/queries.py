@@ -26,7 +26,7 @@ def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), verbatim=True)
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,20 @@ def op4_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
-    done = chat.format_turns(chat.turns_from_columns(rows.unionByName(planted))).select("conv_id", "formatted", "loss_spans")
-    back = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    """The table's rows are one layout. Its conversations are dealt into payloads of the others, which are
+    told apart by their fingerprints again; those too large for a payload keep their typed turns."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    rows = _table(spark, sf_dir, "conversations").select(long("conv_id"), long("turn"), "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    said = F.lit(r"\### Assistant: </turn> ok").alias("text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, said)
+    typed = chat.turns_from_columns(rows.unionByName(planted)).withColumnRenamed("turns", "typed").drop("layout")
+    mixed = chat.payloads(typed.withColumn("turns", F.col("typed"))).drop("turns")
+    turns = F.when(F.col("payload").isNull(), F.col("typed")).otherwise(F.col("turns"))
+    known = chat.turns_from_json(mixed).select("conv_id", turns.alias("turns"))
+    done = chat.format_turns(known).select("conv_id", "formatted", "loss_spans")
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    back = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), loss.alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

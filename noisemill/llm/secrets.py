@@ -8,6 +8,8 @@ from re import _parser as regex_tree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import greatest_before, let, pieces, sums_before
+
 _MOST = 16  # strings that a derivation follows exactly before it gives them up
 
 
@@ -141,6 +143,9 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return found.where(wanted)
 
 
+_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
 def _spans(rule: Rule, order: int) -> Column:
     """The rule's matches in ``text``, leftmost and non-overlapping, as sorted structs.
 
@@ -150,18 +155,34 @@ def _spans(rule: Rule, order: int) -> Column:
     pattern = F.lit(rule.pattern)
     whole = F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.length)
     gaps = F.transform(F.split("text", rule.pattern, -1), F.length)
-    counted = F.regexp_extract_all("text", pattern, F.lit(rule.group))
-    rows = F.arrays_zip(whole.alias("n"), gaps.alias("gap"), F.transform(counted, F.length).alias("counted"))
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    counted = F.transform(F.regexp_extract_all("text", pattern, F.lit(rule.group)), F.length)
+    rows = F.filter(F.arrays_zip(whole.alias("n"), gaps.alias("gap"), counted.alias("counted")), lambda x: x["n"].isNotNull())
+
+    def placed(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))
+        return F.struct(span.alias("span"), x["counted"].alias("counted"))
+
+    def kept(found: Column) -> Column:
+        at = sums_before(F.transform(found, lambda x: x["gap"] + x["n"]))
+        long = F.filter(F.zip_with(found, at, placed), lambda x: x["counted"] >= rule.least)
+        return F.transform(long, lambda x: x["span"])
+
+    return F.when(F.regexp_like("text", pattern), let(rows, kept).cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.coalesce(x["gap"], F.lit(0))
-        end = start + F.coalesce(x["n"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(x["n"].isNotNull() & (x["counted"] >= rule.least), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
 
-    return F.when(F.regexp_like("text", pattern), F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row, text, spans): each row of ``docs`` as a struct, its text, null as empty, and the secrets in it."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    texts = docs.select(whole, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("row.doc_id", "text"))
+    may = candidates(postings(texts.select("key", "text"), rules), rules)
+    each = []
+    for k, rule in enumerate(rules):
+        spans = _spans(rule, k)
+        if f"may_{rule.kind}" in may.columns:
+            spans = F.when(F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)), spans).otherwise(F.array().cast(_SPANS))
+        each.append(spans)
+    return texts.join(may, "key", "left").select("row", "text", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -171,20 +192,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A rule with mandatory trigrams is verified only on texts that its postings' intersection
     names; a rule without scans every text. Postings are keyed by a hash of id and text, so equal
     rows share an entry and a hash shared by chance only costs a verification. A null text is empty
-    here and stays null in the output; other columns stay as they are.
+    here and stays null in the output; other columns stay as they are, but a column ``spans`` gives way.
     """
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_text"))
-    texts = keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text"))
-    may = candidates(postings(texts, rules), rules).withColumnRenamed("key", "_key")
-    joined = keyed.join(may, "_key", "left")
-    each = []
-    for k, rule in enumerate(rules):
-        spans = _spans(rule, k)
-        none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-        each.append(F.when(F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)), spans).otherwise(none) if f"may_{rule.kind}" in may.columns else spans)
-    own = joined.select(*(F.col(c) if c != "text" else F.col("_text").alias("text") for c in docs.columns), F.col("text").isNull().alias("_null"), *(c for c in may.columns if c != "_key"))
-    found = own.withColumn("spans", F.array_sort(F.concat(*each)))
-    return found.select(*(F.when(~F.col("_null"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns), "spans")
+    names = [c for c in docs.columns if c.lower() != "spans"]
+    return _found(docs, rules).select(*(F.col(f"row.`{c}`") for c in names), "spans")
 
 
 def digest(spans: Column) -> Column:
@@ -195,15 +206,28 @@ def digest(spans: Column) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret replaced by <kind>; overlapping spans go as one, under the first kind.
 
-    A column n_chars follows the text. Texts without secrets, and null ones, stay as they are.
+    A column n_chars follows the text. Texts without secrets, and null ones, stay as they are, and so
+    do all other columns, whatever their names.
     """
-    found = scan(docs, rules)
-    clean = F.expr(
-        "aggregate(spans, named_struct('at', 0, 'out', ''),"
-        " (acc, s) -> named_struct('at', greatest(acc.at, s.end), 'out', if(s.start >= acc.at, concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), '<', s.kind, '>'), acc.out)),"
-        " acc -> concat(acc.out, substring(text, acc.at + 1)))"
-    )
-    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    found = _found(docs, rules)
+    # of each span the text from the end of all before it; spans that begin inside others have none
+    last = greatest_before(F.transform("spans", lambda s: s["end"]))
+    shown = F.zip_with("spans", last, lambda s, at: F.struct(at.alias("start"), s["start"].alias("end"), s["kind"].alias("kind")))
+
+    def clean(v: Column) -> Column:
+        kept = F.zip_with(pieces(F.col("text"), v), v, lambda t, s: F.concat(t, F.lit("<"), s["kind"], F.lit(">")))
+        end = F.array_max(F.transform("spans", lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), F.substring("text", end + 1, F.length("text") - end))
+
+    hidden = let(F.filter(shown, lambda s: s["end"] >= s["start"]), clean)
+    some = F.size("spans") > 0
+    found = found.select("row", some.alias("some"), F.when(some, hidden).otherwise(F.col("row.text")).alias("text"))
+    out = []
+    for c in docs.columns:
+        column = F.col(f"row.`{c}`")
+        if c == "text":
+            column = F.col("text").alias("text")
+        elif c == "n_chars":
+            column = F.when(F.col("some"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(column).alias("n_chars")
+        out.append(column)
+    return found.select(*out)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._support import materialize
+from ._support import batch
 
 MAGIC = b"WARC/1.0\r\n"
 _END = b"\r\n\r\n"
@@ -58,19 +59,59 @@ def record(date: str) -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4096, compression: str = "gzip") -> None:
+def write(
+    pages: DataFrame,
+    path: str,
+    date: str = "1970-01-01T00:00:00Z",
+    records_per_file: int = 4096,
+    bytes_per_file: int = 512 << 20,
+    compression: str = "gzip",
+) -> None:
     """Write one record for each page into archives below ``path``.
 
     A record ends with two line breaks, which here are the text writer's line separator. The
     writer commits whole files, so a lost task leaves none behind. Line breaks in a url become %20.
+
+    A file has ``records_per_file`` records at most. Pages so large that those could exceed
+    ``bytes_per_file`` go into archives of their own below ``path``/large, with as few records each as
+    the largest page demands; one page alone may be larger.
     """
-    rows = deduplicated(pages).select(record(date).alias("value"))
-    rows.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    rows = deduplicated(pages)
+    usual = bytes_per_file // records_per_file
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0  # one number
+
+    def save(part: DataFrame, where: str, records: int) -> None:
+        writer = part.select(record(date).alias("value")).write.option("lineSep", _END.decode())
+        writer.option("maxRecordsPerFile", records).option("compression", compression).text(where)
+
+    if largest <= usual:
+        save(rows, path, records_per_file)
+    else:
+        save(rows.where(F.col("payload_bytes") <= usual), f"{path.rstrip('/')}/usual", records_per_file)
+        save(rows.where(F.col("payload_bytes") > usual), f"{path.rstrip('/')}/large", max(1, bytes_per_file // largest))
 
 
 _FIELD = re.compile(rb"(?m)^([A-Za-z-]+): ([^\r\n]*)\r$")
-_SCHEMA = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-_DDL = "file string, at long, next long, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
+_LENGTH = re.compile(rb"(?mi)^content-length: ([0-9]{1,18})\r$")
+_SCHEMA = pa.schema(
+    [
+        ("file", pa.string()),
+        ("at", pa.int64()),
+        ("next", pa.int64()),
+        ("record_type", pa.string()),
+        ("page_id", pa.int64()),
+        ("refers_to", pa.int64()),
+        ("url", pa.string()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("payload", pa.binary()),
+        ("reached", pa.bool_()),
+    ]
+)
+_DDL = (
+    "file string, at long, next long, record_type string, page_id long, refers_to long, url string, "
+    "payload_bytes long, payload_digest string, payload binary, reached boolean"
+)
 
 
 def _page(value: bytes | None) -> int | None:
@@ -78,77 +119,112 @@ def _page(value: bytes | None) -> int | None:
     return int(digits) if re.fullmatch(rb"-?[0-9]+", digits) else None
 
 
-def _candidates(name: str, data: bytes, payload: bool):
-    """A row for each place that looks like a record: where it would end, what it would hold."""
+def _places(data: bytes):
+    """(place, end of the header, length of the block, where a next record would begin) of what looks like a record."""
     at = data.find(MAGIC)
     while at >= 0:
         head = data.find(_END, at)
-        fields = {k.lower(): v for k, v in _FIELD.findall(data[at + len(MAGIC) : head + 2])} if head >= 0 else {}
-        length = fields.get(b"content-length", b"")
-        if re.fullmatch(rb"[0-9]{1,18}", length):
-            body = head + len(_END)
-            end = body + int(length)
+        length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
+        if length:
+            end = head + len(_END) + int(length[1])
             if data[end : end + len(_END)] == _END:
-                http = data.find(_END, body, end)
-                kind = fields.get(b"warc-type", b"").decode("latin-1")
-                content = data[http + len(_END) : end] if http >= 0 else data[body:end]
-                if kind == "revisit":
-                    digest = fields.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha256:")
-                    size = int(fields.get(b"x-payload-length", b"0"))
-                else:
-                    digest, size = hashlib.sha256(content).hexdigest(), len(content)
-                yield name, at, end + len(_END), kind, _page(fields.get(b"warc-record-id")), _page(fields.get(b"warc-refers-to")), fields.get(b"warc-target-uri", b"").decode(errors="replace"), size, digest, content if payload else None
+                yield at, head, int(length[1]), end + len(_END)
         at = data.find(MAGIC, at + 1)
 
 
+def _candidates(name: str, data: bytes, payload: bool):
+    """A row for each place that looks like a record: where it would end, what it would hold."""
+    for at, head, length, following in _places(data):
+        fields = {k.lower(): v for k, v in _FIELD.findall(data[at + len(MAGIC) : head + 2])}
+        body = head + len(_END)
+        end = body + length
+        http = data.find(_END, body, end)
+        kind = fields.get(b"warc-type", b"").decode("latin-1")
+        content = data[http + len(_END) : end] if http >= 0 else data[body:end]
+        if kind == "revisit":
+            digest = fields.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha256:")
+            size = int(fields.get(b"x-payload-length", b"0"))
+        else:
+            digest, size = hashlib.sha256(content).hexdigest(), len(content)
+        url = fields.get(b"warc-target-uri", b"").decode(errors="replace")
+        page, first = _page(fields.get(b"warc-record-id")), _page(fields.get(b"warc-refers-to"))
+        yield name, at, following, kind, page, first, url, size, digest, content if payload else None
+
+
+def unpacked(data: bytes) -> bytes:
+    """A file's bytes, out of any number of gzip members; what lies behind a damaged place is left out."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at, view = [], 0, memoryview(data)
+    member = zlib.decompressobj(31)
+    while at < len(data):
+        part = view[at : at + (1 << 16)]
+        try:
+            out.append(member.decompress(part))
+        except zlib.error:
+            break
+        at += len(part) - len(member.unused_data)
+        if member.eof:
+            if data[at : at + 2] != b"\x1f\x8b":
+                break
+            member = zlib.decompressobj(31)
+    return b"".join(out)
+
+
+def reachable(at: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Which of a file's links (rising places, where each leads) a chain from place 0 comes to.
+
+    Pointer jumping: each round every link's target becomes its target's target, and the targets of
+    what is reached join it, so a chain of n records takes log2(n) rounds.
+    """
+    n = len(at)
+    jump = np.searchsorted(at, following)
+    jump = np.append(np.where(np.append(at, -1)[jump] == following, jump, n), n)  # n: no link begins there
+    reached = np.append(at == 0, False)
+    while True:
+        wider = reached.copy()
+        wider[jump[reached]] = True
+        wider[n] = False
+        if np.array_equal(wider, reached) and np.array_equal(jump[jump], jump):
+            return reached[:n]
+        reached, jump = wider, jump[jump]
+
+
 def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """Every place below ``path`` that looks like a record, magic inside payloads included."""
+    """Every place below ``path`` that looks like a record, magic inside payloads included.
+
+    The task that reads a file emits a row for each such place with where it leads, and ``reached``:
+    whether the chain of places from the file's start comes to it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def find(batches):
         for x in batches:
-            for name, data in zip(x.column("path").to_pylist(), x.column("content"), strict=True):
-                data = data.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+            for name, content in zip(x.column("path").to_pylist(), x.column("content"), strict=True):
+                data = unpacked(content.as_py())
+                links = [(at, following) for at, _, _, following in _places(data)]
+                at, following = np.array(links, np.int64).reshape(-1, 2).T
+                chain = dict(zip(at.tolist(), reachable(at, following).tolist(), strict=True))
                 rows = []
                 for row in _candidates(name, data, payload):
-                    rows.append(row)
+                    rows.append((*row, chain[row[1]]))
                     if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+                        yield batch(_SCHEMA, *zip(*rows, strict=True))
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+                    yield batch(_SCHEMA, *zip(*rows, strict=True))
 
     return files.mapInArrow(find, _DDL)
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """(file, at) of the links (file, at, next) that a chain from the file's start, 0, comes to.
-
-    Pointer jumping: each round every link's target becomes its target's target, and the places
-    reached by the old links join the rest, so a chain of n records takes log2(n) rounds.
-    """
-    jumps = materialize(links.select("file", "at", "next"), "jumps")
-    reached = materialize(jumps.where("at = 0").select("file", "at"), "reached")
-    while True:
-        found = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
-        wider = materialize(reached.unionByName(found).join(jumps.select("file", "at"), ["file", "at"], "left_semi").distinct(), "reached")
-        if wider.count() == reached.count():
-            return reached
-        reached = wider
-        further = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("beyond"))
-        jumps = materialize(jumps.join(further, ["file", "next"], "left").select("file", "at", F.coalesce("beyond", "next").alias("next")), "jumps")
-
-
 def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """The records of the archives below ``path``, in files of any compression by gzip or none.
 
     Columns: file, at, record_type, page_id, refers_to, url, payload_bytes, payload_digest (for a
     revisit both as its header says, else of the bytes that are there), and payload if asked for.
-    Each file is read by one task; archives should have bounded sizes, as ``write`` makes them.
+    Each file is read by one task; archives should have bounded sizes, as ``write`` makes them. Of a
+    damaged file the records before the damage are read, of one that is no archive none; an empty
+    folder gives no rows; records repeat as often as they are there.
     """
-    found = candidates(spark, path) if payload else materialize(candidates(spark, path), "candidates")
-    links = materialize(found.select("file", "at", "next"), "links") if payload else found
-    kept = reachable(links)
-    rows = candidates(spark, path, payload=True) if payload else found.drop("payload")
-    return rows.join(kept, ["file", "at"], "left_semi").drop("next")
+    found = candidates(spark, path, payload).where("reached").drop("next", "reached")
+    return found if payload else found.drop("payload")

@@ -98,8 +98,9 @@ def test_language_held_out(spark):
     assert len(got) == len(ODD) + 3 and all(0 <= s <= 1 for _, _, s in got)
     assert {i for i, lang, _ in got if lang == "und"} == {-1, -2, -3, -6, -7}
     assert langid.predict(odd.where("false"), model).count() == 0
-    nothing = langid.train(docs.where("false"))
-    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+    empty = odd.selectExpr("doc_id", "'' as text", "'x' as lang").unionByName(odd.selectExpr("doc_id", "cast(null as string) as text", "'y' as lang"))
+    for nothing in (langid.train(docs.where("false")), langid.train(empty)):
+        assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
 def test_language_is_learned_from_text_alone(spark):
@@ -110,6 +111,63 @@ def test_language_is_learned_from_text_alone(spark):
     assert a == b
 
 
+def one_window(model, window):
+    """The network on one window, a value after the other."""
+    pooled = []
+    for width, f, b in zip(langid.WIDTHS, model.filters, model.biases, strict=True):
+        best = np.full(langid.FILTERS, -np.inf)
+        for at in range(langid.WINDOW - width + 1):
+            z = np.zeros(langid.FILTERS)
+            for k in range(width):
+                for d in range(langid.DEPTH):
+                    z += float(model.bytes_[window[at + k], d]) * f[k * langid.DEPTH + d]
+            best = np.maximum(best, z)
+        pooled.append(np.maximum(best + b, 0))
+    logits = np.concatenate(pooled) @ model.dense + model.offset
+    e = np.exp(logits - logits.max())
+    return e / e.sum()
+
+
+def test_network_equals_loops(spark):
+    r = np.random.default_rng(1)
+    x, y = r.integers(97, 123, (6, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 2])
+    model = langid.fit_cnn(x, y, ["p", "q", "s"], epochs=2)
+    assert np.allclose(model.probabilities(x[:2]), [one_window(model, w) for w in x[:2]], atol=1e-4)
+    text = "".join(map(chr, x.ravel()[:700])) + " 12"
+    windows = [np.frombuffer(text.encode()[k : k + 256].ljust(256, b"\0"), np.uint8) for k in range(0, len(text), 256)]
+    letters = np.array([sum(chr(v).isalpha() for v in w) for w in windows])
+    share = (np.array([one_window(model, w) for w in windows]) * letters[:, None]).sum(0) / letters.sum()
+    got = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert got.lang_pred == model.langs[share.argmax()] and abs(got.score - share.max()) < 1e-4
+
+
+def test_first_step_follows_the_gradient():
+    """Adam's first step has the rate's size against the sign of the gradient, here from differences."""
+    r = np.random.default_rng(2)
+    x, y = r.integers(97, 110, (8, langid.WINDOW)).astype(np.uint8), r.integers(0, 2, 8)
+    start, after = (langid.fit_cnn(x, y, ["p", "q"], epochs=1, size=8, rate=k, seed=5) for k in (0.0, 1e-3))
+
+    def loss(m):
+        return -np.log(m.probabilities(x)[np.arange(8), y]).mean()
+
+    checked = 0
+    for part in (lambda m: m.dense, lambda m: m.filters[1], lambda m: m.bytes_, lambda m: m.offset):
+        a, b = part(start), part(after)
+        for at in r.permutation(a.size)[:60]:
+            at = np.unravel_index(at, a.shape)
+            old = a[at]
+            ends = []
+            for step in (3e-3, -3e-3):
+                a[at] = old + step
+                ends.append(loss(start))
+            a[at] = old
+            slope = (ends[0] - ends[1]) / 6e-3
+            if abs(slope) > 5e-3:
+                checked += 1
+                assert np.sign(b[at] - old) == -np.sign(slope)
+    assert checked > 20
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -144,3 +202,26 @@ def test_toxicity_odd_rows(spark, docs):
     assert toxicity.remove_toxic(odd, model).count() == len(ODD)
     marks = spark.createDataFrame([(0, None), (None, 1), (1, 1), (1, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.train(docs.where("false"), marks)).count() == len(ODD)
+
+
+def test_nnpu_first_step_follows_the_risk():
+    """The first step goes against the gradient of the risk, here from differences of its definition."""
+    r = np.random.default_rng(3)
+    x = (r.random((60, 6)) < 0.4).astype(np.float32)
+    positive, prior = np.arange(60) < 20, 0.3
+
+    def risk(w, b):
+        g = x @ w + b
+        plus = lambda z: np.logaddexp(0, -z).mean()
+        negative = np.logaddexp(0, g[~positive]).mean() - prior * np.logaddexp(0, g[positive]).mean()
+        return prior * plus(g[positive]) + max(0.0, negative)
+
+    start = float(np.log(prior / (1 - prior)))
+    w, b = toxicity.fit_nnpu(x, positive, prior, steps=1, rate=1e-3, decay=0.0)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-5
+        slope = (risk(step, start) - risk(-step, start)) / 2e-5
+        assert abs(slope) < 1e-4 or np.sign(w[k]) == -np.sign(slope)
+    slope = (risk(np.zeros(6), start + 1e-5) - risk(np.zeros(6), start - 1e-5)) / 2e-5
+    assert abs(slope) < 1e-4 or np.sign(b - start) == -np.sign(slope)
