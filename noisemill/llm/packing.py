@@ -2,83 +2,175 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from noisemill.operators.relational import ranked
-
-from ._support import id_text, materialize, slices
+from ._support import LOWER, LOWER_VALUES, buffers, id_text, materialize, slices, span_hashes
 
 #: Okapi BM25's usual constants.
 K1, B = 1.2, 0.75
-_QUERY_TERMS = 24
-_CACHED_WORDS = 1 << 18
-_AT_ONCE = 2048
-
-# Texts of these characters only are cut into words here, as the tokenizer would: it composes and
-# lower-cases them one by one, and takes contractions, runs of letters, digits and runs of signs.
-_PLAIN = re.compile(r"[\x20-\x7e\n\t\r\xc0-\xff]*")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+_IDS = 1 << 16
+
+# Bytes of text that is cut into words here, as the tokenizer would: it composes and lower-cases
+# characters, and takes contractions, runs of letters, single digits and runs of other signs. Beyond
+# ASCII only the letters from U+00C0 to U+00FF are known, whose first byte is C3.
+_SPACE, _LETTER, _DIGIT, _SIGN, _UNKNOWN = range(5)
+_KIND = np.full(256, _UNKNOWN, np.uint8)
+_KIND[32:127] = _SIGN
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[0x80:0xC0] = _KIND[0xC3] = _LETTER
+_LONGEST = 512  # bytes of a word; texts with longer ones go to the tokenizer whole
+
+
+def _words_of(data: np.ndarray, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's words in the texts of a buffer."""
+    kind = _KIND[data]
+    edge = np.zeros(len(data), bool)
+    edge[offsets[:-1][offsets[:-1] < len(data)]] = True
+    first = edge.copy()
+    edge[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], len(data))
+    word = kind[start] != _SPACE
+    start, end = start[word], end[word]
+    # an apostrophe alone takes up s, t, m, d, re, ve or ll after it
+    at = np.flatnonzero((low[start[:-1]] == 39) & (end[:-1] - start[:-1] == 1) & (end[:-1] == start[1:]) & ~first[start[1:]])
+    if len(at):
+        a = low[start[at + 1]]
+        b = np.where(end[at + 1] - start[at + 1] > 1, low[np.minimum(start[at + 1] + 1, len(low) - 1)], 0)
+        one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+        two = (a == 114) & (b == 101) | (a == 118) & (b == 101) | (a == 108) & (b == 108)
+        more = np.where(one, 1, np.where(two, 2, 0))
+        end[at] += more
+        start[at + 1] += more
+        some = start < end
+        start, end = start[some], end[some]
+    return start, end
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose words don't influence each other.
 
-    ``path``: a file of the ``tokenizers`` library. Each word's ids are kept, so a text costs a
-    regular expression and a lookup per word. Texts with other characters than ``_PLAIN`` or with a
-    special token's string go to the tokenizer whole.
+    ``path``: a file of the ``tokenizers`` library, ids below 65536. Texts are cut into words by array
+    operations; a word's ids are looked up by its hash in a table of two places a word, and what
+    isn't there is encoded once. Texts with other characters than ``_KIND`` knows, with very long
+    words, or with a special token's string go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, places: int = 1 << 20, most_ids: int = 1 << 22):
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # words of a while ago, taken over when they come again
-        self.final = np.zeros(1 << 16, bool)
+        self.special = [t.content.lower().encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.final = np.zeros(_IDS, bool)
         self.final[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u2").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode words that blanks part, and cut the ids after each that ends a word."""
-        ids = np.array(self.whole.encode(" ".join(new), add_special_tokens=False).ids, "<u2")
-        ends = (np.flatnonzero(self.final[ids]) + 1).tolist()
-        if len(ends) == len(new):
-            data = ids.tobytes()
-            for word, a, b in zip(new, [0, *ends], ends, strict=False):
-                self.words[word] = data[2 * a : 2 * b]
-        else:
-            for word in new:
-                self.words[word] = self._bytes(self.whole.encode(word, add_special_tokens=False).ids)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text."""
-        out: list = [None] * len(texts)
-        cut = {}
-        for k, text in enumerate(texts):
-            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                cut[k] = _WORD.findall(text.lower())
-        if len(self.words) > _CACHED_WORDS:
-            self.words, self.before = {}, self.words
-        new = set().union(*cut.values()).difference(self.words) if cut else set()
-        self.words.update((w, self.before[w]) for w in new & self.before.keys())
-        new = list(new.difference(self.words))
-        for at in range(0, len(new), _AT_ONCE):
-            self._learn(new[at : at + _AT_ONCE])
-        for k, found in cut.items():
-            out[k] = b"".join(map(self.words.__getitem__, found))
-        for k in range(len(texts)):
-            if out[k] is None:
-                out[k] = self._bytes(self.whole.encode(texts[k], add_special_tokens=False).ids)
-        return out
+        self.places, self.most_ids = places, most_ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash = np.zeros(self.places, np.uint64)
+        self.first = np.zeros(self.places, np.int32)
+        self.size = np.zeros(self.places, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, "<u2"), 0
+
+    def _add(self, ids: np.ndarray) -> int:
+        """Keep ids; where they lie."""
+        at = self.used
+        while at + len(ids) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.pool[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's ids lie, and how many they are: encoded parted by blanks, and cut after each that ends a word."""
+        first, size = [], []
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.array(self.whole.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(part):
+                each = [np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u2") for w in part]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            begin = np.append(0, ends[:-1])
+            first.append(self._add(ids) + begin)
+            size.append(ends - begin)
+        return np.concatenate(first), np.concatenate(size)
+
+    def _look_up(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = span_hashes(LOWER_VALUES[low], start, end)
+        mask = np.uint64(self.places - 1)
+        one, two = (hashes >> np.uint64(40) & mask).astype(np.int64), (hashes >> np.uint64(8) & mask).astype(np.int64)
+        place = np.where(self.hash[one] == hashes, one, two)
+        first, size = self.first[place], self.size[place]
+        new = np.flatnonzero(self.hash[place] != hashes)
+        if len(new):
+            known, at, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            raw, at = low.tobytes(), new[at]
+            f, n = self._encoded([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            place = np.where(self.hash[one[at]] == 0, one[at], np.where(self.hash[two[at]] == 0, two[at], one[at]))
+            self.hash[place] = known
+            self.first[place], self.size[place] = f, n
+            first[new], size[new] = f[back], n[back]
+        return first, size
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 16-bit ids of all texts, ``end_id`` after each, and where each text's begin and end."""
+        if self.used > self.most_ids:
+            self._forget()
+        data, offsets = buffers(texts)
+        n = len(texts)
+        low = LOWER[data]
+        high = np.flatnonzero(data == 0xC3)
+        high = high[high + 1 < len(data)]
+        small = high[(data[high + 1] >= 0x80) & (data[high + 1] <= 0x9E)] + 1
+        low[small] += 32
+        odd = np.append(np.flatnonzero(_KIND[data] == _UNKNOWN), high[np.isin(data[high + 1], (0x97, 0xB7))])
+        start, end = _words_of(data, low, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
+        odd = [odd, start[end - start > _LONGEST]]
+        raw = low.tobytes()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                odd.append(np.array([at]))
+                at = raw.find(s, at + 1)
+        whole = np.unique(np.searchsorted(offsets, np.concatenate(odd), "right") - 1)
+        bounds = np.searchsorted(start, offsets)
+        if len(whole):
+            use = np.ones(n, bool)
+            use[whole] = False
+            keep = np.repeat(use, np.diff(bounds))
+            start, end = start[keep], end[keep]
+            bounds = np.append(0, np.cumsum(np.where(use, np.diff(bounds), 0)))
+        first, size = self._look_up(low, start, end) if len(start) else (np.zeros(0, np.int32),) * 2
+        # an end behind each text, and texts encoded whole as if they were words
+        used = self.used
+        marks = [self._add(np.array([end_id], "<u2"))] * n
+        lengths = [1] * n
+        for k in whole.tolist():
+            ids = self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids
+            marks[k], lengths[k] = self._add(np.array([*ids, end_id], "<u2")), len(ids) + 1
+        first, size = np.insert(first.astype(np.int64), bounds[1:], marks), np.insert(size.astype(np.int64), bounds[1:], lengths)
+        ends = np.cumsum(size)
+        out = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
+        self.used = used
+        return out, np.append(0, ends)[bounds + np.arange(n + 1)]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process, which keeps the words that it has met."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 @dataclass(frozen=True)
@@ -96,41 +188,79 @@ class Corpus:
         return (K1 * (1 - B + B * lengths / self.mean)).astype(np.float32)
 
 
-def corpus_of(tokens: DataFrame) -> Corpus:
-    """Of the rows (ids): sums per task first, so at most a row for each token is collected."""
+def _counted(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and count of the distinct tokens of each row, in order."""
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint32), np.diff(bounds))
+    pairs = np.sort(row << np.uint32(16) | ids) if len(bounds) <= _IDS else np.sort(row.astype(np.uint64) << np.uint64(16) | ids)
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    token = (pairs[first] & pairs.dtype.type(_IDS - 1)).astype(np.int64)
+    return (pairs[first] >> pairs.dtype.type(16)).astype(np.int64), token, np.diff(np.append(first, len(pairs)))
 
-    def count(batches):
-        df = np.zeros((1 << 16) + 2, np.int64)
-        for x in batches:
-            for ids in x.column("ids").to_pylist():
-                ids = np.frombuffer(ids, "<u2")
-                df[np.unique(ids)] += 1
-                df[-2:] += 1, len(ids)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["token", "n"])
-
-    df = np.zeros((1 << 16) + 2, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.int64()))])
+_TOKENS_DDL = "doc_id long, ids binary, counts array<long>"
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, ids, counts): each text's ids, little-endian unsigned 16-bit; beside them a row for each
+    task, without ids, whose ``counts`` are 65536 document frequencies, then rows and tokens in sum."""
+    texts = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches):
+        encode, counts = word_tokenizer(tokenizer), np.zeros(_IDS + 2, np.int64)
+        for x in slices(batches):
+            ids, bounds = encode(x.column("text"), end_id)
+            counts[:_IDS] += np.bincount(_counted(ids, bounds)[1], minlength=_IDS)
+            counts[_IDS:] += x.num_rows, len(ids)
+            none = pa.nulls(x.num_rows, _TOKENS.types[2])
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), _binary(ids, bounds), none], schema=_TOKENS)
+        if counts.any():
+            last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], _TOKENS.types[2])]
+            yield pa.RecordBatch.from_arrays(last, schema=_TOKENS)
+
+    return texts.mapInArrow(run, _TOKENS_DDL)
+
+
+def _binary(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The ids of each row as bytes."""
+    size = ids.dtype.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(ids)])
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """Sums of the tasks' counts: a row for each token is collected, 65536 at most."""
+    each = tokens.where("counts is not null").select(F.posexplode("counts").alias("token", "n")).where("n > 0")
+    df = np.zeros(_IDS + 2, np.int64)
+    for r in each.groupBy("token").agg(F.sum("n").alias("n")).collect():
         df[r.token] = r.n
-    return Corpus(int(df[-2]), float(df[-1] / max(df[-2], 1)), df[:-2])
+    return Corpus(int(df[_IDS]), float(df[_IDS + 1] / max(df[_IDS], 1)), df[:_IDS])
 
 
-def content_key(ids: np.ndarray, corpus: Corpus, idf: np.ndarray) -> list[int]:
-    """Tokens by which a document's lexical neighbours sort beside it.
+def content_keys(ids: np.ndarray, bounds: np.ndarray, corpus: Corpus, idf: np.ndarray) -> np.ndarray:
+    """Tokens by which each document's lexical neighbours sort beside it, as a row of unsigned numbers.
 
     Of the tokens that a third of the documents have, or more, its weightiest; then of those that a
     ninth have, and so on; last the weightiest that another document has. Each token splits the
-    documents that agree in those before it.
+    documents that agree in those before it. Zero stands for none, else a token's id and one.
     """
-    token, tf = np.unique(ids, return_counts=True)
-    part = idf[token] * tf / (tf + corpus.norm(np.array([len(ids)]))[0])
+    row, token, tf = _counted(ids, bounds)
+    part = idf[token] * tf / (tf + corpus.norm(np.diff(bounds))[row])
     df = corpus.df[token]
     levels, least = [], corpus.n / 3
     while least >= 32:
         levels.append(least)
         least /= 3
-    at = [np.where(df >= least, part, -1.0) for least in (*levels, 2)]
-    return [int(token[k]) if p[k := int(p.argmax())] >= 0 else -1 for p in at]
+    out = np.zeros((len(bounds) - 1, len(levels) + 1), np.uint32)
+    for k, least in enumerate((*levels, 2)):
+        at = np.flatnonzero(df >= least)
+        if len(at):
+            r, p = row[at], part[at]
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            best = np.repeat(np.maximum.reduceat(p, first), np.diff(np.append(first, len(r))))
+            hit = at[p == best]
+            hit = hit[np.append(True, row[hit][1:] != row[hit][:-1])]
+            out[row[hit], k] = token[hit] + 1
+    return out
 
 
 class _Bm25:
@@ -139,30 +269,23 @@ class _Bm25:
     Weights are those of ``corpus``, or of these documents where none is given.
     """
 
-    def __init__(self, ids: list[np.ndarray], lengths: np.ndarray, corpus: Corpus | None = None):
-        n = len(ids)
-        each = [np.unique(x, return_counts=True) for x in ids]
-        sizes = np.array([len(t) for t, _ in each])
-        token = np.concatenate([t for t, _ in each])
-        tf = np.concatenate([c.astype(np.float32) for _, c in each])
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        df = np.bincount(token, minlength=1 << 16)
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, corpus: Corpus | None = None):
+        n, lengths = len(bounds) - 1, np.diff(bounds)
+        doc, token, tf = _counted(ids, bounds)
+        df = np.bincount(token, minlength=_IDS)
         corpus = corpus or Corpus(n, float(lengths.mean()), df)
-        idf, norm = corpus.idf(), corpus.norm(lengths)
-        part = idf[token] * tf * np.float32(K1 + 1) / (tf + norm[doc])
-        self.n, self.by_doc = n, (np.append(0, np.cumsum(sizes)), token, part)
+        part = corpus.idf()[token] * tf * np.float32(K1 + 1) / (tf + corpus.norm(lengths)[doc])
+        self.n, self.token, self.own = n, token, np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(token, kind="stable")
-        self.doc, self.part, self.first = doc[order], part[order], np.append(0, np.cumsum(df))
+        self.doc, self.part, self.first = doc[order].astype(np.int32), part[order], np.append(0, np.cumsum(df))
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of every document for the seed's ``_QUERY_TERMS`` weightiest tokens."""
-        bounds, token, part = self.by_doc
-        own = slice(bounds[seed], bounds[seed + 1])
-        terms = token[own]
-        if len(terms) > _QUERY_TERMS:
-            terms = terms[np.argpartition(-part[own], _QUERY_TERMS - 1)[:_QUERY_TERMS]]
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.part[s] for s in spans]), self.n)
+        """Of every document for all tokens of the seed."""
+        terms = self.token[self.own[seed] : self.own[seed + 1]]
+        begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+        return np.bincount(self.doc[at], self.part[at], self.n)
 
 
 def _ranked(scores: np.ndarray):
@@ -233,54 +356,85 @@ def pack_shard(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int,
     return pieces
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-_KEYED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("place", pa.list_(pa.int32()))])
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+_PIECES = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("start", pa.int64()),
+        ("length", pa.int64()),
+        ("doc_tokens", pa.int64()),
+        ("sequence_id", pa.int64()),
+        ("offset", pa.int64()),
+        ("ids", pa.binary()),
+    ]
+)
 _PIECES_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, rows_per_shard: int = 4096) -> DataFrame:
+def _packed(rows: list[tuple], corpus: Corpus, window: int, sequence: int) -> tuple[pa.RecordBatch, int]:
+    """The pieces of a shard's (doc_id, ids), and the number after its last sequence."""
+    ids = np.concatenate([np.frombuffer(r[1], "<u2") for r in rows])
+    lengths = np.array([len(r[1]) // 2 for r in rows])
+    bounds = np.append(0, np.cumsum(lengths))
+    pieces = pack_shard(lengths, _Bm25(ids, bounds, corpus).scores, window)
+    doc, start, length, place, offset = np.array(pieces, np.int64).T
+    each = [ids[a : a + n].astype("<u4").tobytes() for a, n in zip((bounds[doc] + start).tolist(), length.tolist(), strict=True)]
+    ids_of = pa.array([r[0] for r in rows], pa.int64()).take(pa.array(doc))
+    columns = [ids_of, *map(pa.array, (start, length, lengths[doc], place + sequence, offset)), pa.array(each, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, schema=_PIECES), sequence + int(place.max()) + 1
+
+
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, rows_per_shard: int = 4096, tokens_per_shard: int = 1 << 22
+) -> DataFrame:
     """Every document's ids and ``end_id``, in pieces of sequences of at most ``window`` tokens.
 
-    Documents are sorted by content (see ``content_key``) and cut into shards of about
-    ``rows_per_shard``, so that a shard's index has the same size however large the corpus is, and
-    copies and texts of one topic share it; neighbours in other shards aren't sought. In a shard, a
-    BM25 inverted index over token ids, weighted by all documents, returns the unused neighbours of
-    each seed, best first, which fill its window (see ``pack_shard``). ``tokenizer``: see ``WordTokenizer``; ids below 65536.
+    Documents are dealt into ranges by content (see ``content_keys``), and each range is cut into
+    shards of at most ``rows_per_shard`` documents and about ``tokens_per_shard`` tokens. So a shard's
+    index has the same size however large the corpus is, and copies and texts of one topic share it;
+    neighbours in other shards aren't sought. In a shard, a BM25 inverted index over token ids,
+    weighted by all documents, returns the unused neighbours of each seed, best first, by all its
+    tokens; they fill its window (see ``pack_shard``). ``tokenizer``: see ``WordTokenizer``.
     ``ids`` has a piece's ids, little-endian unsigned 32-bit. A null or empty text has ``end_id``
-    alone; repeated rows are packed each; an empty table gives no pieces.
+    alone; a very long one fills windows of its own first; repeated rows are packed each; ties are
+    broken by doc_id, then by the ids; an empty table gives no pieces.
     """
-    texts = id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def tokens(batches):
-        encode, end = WordTokenizer(tokenizer), np.array([end_id], "<u2").tobytes()
-        for x in slices(batches):
-            ids = [i + end for i in encode(x.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(ids, pa.binary())], schema=_TOKENS)
+    known = materialize(tokenized(docs, tokenizer, end_id), "tokens")
+    corpus = corpus_of(known)
 
     def keys(batches):
         idf = corpus.idf()
-        for x in batches:
-            found = [content_key(np.frombuffer(i, "<u2"), corpus, idf) for i in x.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("ids"), pa.array(found, pa.list_(pa.int32()))], schema=_KEYED)
+        for x in slices(batches, "ids"):
+            data, bounds = buffers(x.column("ids"))
+            found = content_keys(data.view("<u2"), bounds // 2, corpus, idf).astype(">u4")
+            width = 4 * found.shape[1]
+            place = _binary(found.view(np.uint8).ravel(), np.arange(x.num_rows + 1) * width)
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("ids"), place], names=["doc_id", "ids", "place"])
+
+    def place(batches):
+        sequence, held, tokens = TaskContext.get().partitionId() << 40, [], 0
+
+        def shards(parts: int):
+            nonlocal sequence, held, tokens
+            cut = len(held) // parts
+            out, sequence = _packed(held[:cut], corpus, window, sequence)
+            held = held[cut:]
+            tokens = sum(len(r[1]) for r in held) // 2
+            return out
 
-    known = materialize(texts.mapInArrow(tokens, "doc_id long, ids binary"), "tokens")
-    corpus = corpus_of(known)
-    shards = max(1, -(-corpus.n // rows_per_shard))
-    if shards == 1:
-        keyed = known.withColumn("shard", F.lit(0).cast("long"))
-    else:
-        sorted_ = ranked(known.mapInArrow(keys, "doc_id long, ids binary, place array<int>"), "place", "doc_id", F.xxhash64("ids"))
-        keyed = sorted_.select("doc_id", "ids", F.floor(F.col("rank") * shards / corpus.n).alias("shard"))
-
-    def place(key, table):
-        shard = key[0].as_py()
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        ids = [np.frombuffer(r[1], "<u2") for r in rows]
-        lengths = np.array([len(x) for x in ids])
-        pieces = pack_shard(lengths, _Bm25(ids, lengths, corpus).scores, window)
-        doc, start, length, sequence, offset = map(list, zip(*pieces, strict=True))
-        pieces_ids = (ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc, start, length, strict=True))
-        return pa.table([[rows[d][0] for d in doc], start, length, lengths[doc], np.array(sequence) + (shard << 32), offset, pa.array(pieces_ids, pa.binary())], schema=_PIECES)
-
-    return keyed.groupBy("shard").applyInArrow(place, _PIECES_DDL)
+        for x in batches:
+            for row in zip(x.column("doc_id").to_pylist(), x.column("ids").to_pylist(), strict=True):
+                held.append(row)
+                tokens += len(row[1]) // 2
+                while len(held) >= 2 * rows_per_shard or tokens >= 2 * tokens_per_shard and len(held) > 1:
+                    yield shards(2)
+        if len(held) > rows_per_shard:
+            yield shards(2)
+        if held:
+            yield shards(1)
+
+    rows = known.where("ids is not null").select("doc_id", "ids")
+    order = ("place", "doc_id", F.xxhash64("ids"))
+    keyed = rows.mapInArrow(keys, "doc_id long, ids binary, place binary")
+    ranges = max(1, min(-(-corpus.n // rows_per_shard), max(4096, int(corpus.n * corpus.mean) >> 26)))
+    sorted_ = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "ids")
+    return sorted_.select("doc_id", "ids").mapInArrow(place, _PIECES_DDL)

@@ -1,9 +1,12 @@
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from noisemill.llm import decontaminate, packing, phrases
 from noisemill.llm.queries import op2_template_decontamination, tokenizer_path
@@ -30,14 +33,17 @@ ODD = ["Don't we'LL 'S 've x²½ é× ÷ ſ İ", "a<|endoftext|>b", "1234 ÀÉ_
 
 def test_word_tokenizer_is_the_tokenizer(spark, small, tokenizer):
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()] + ODD
-    own = packing.WordTokenizer(tokenizer_path())
-    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
-    assert own(texts) == want
-    old, packing._CACHED_WORDS = packing._CACHED_WORDS, 10
-    try:
-        assert [own([t])[0] for t in texts[:20]] == want[:20] and own(texts) == want
-    finally:
-        packing._CACHED_WORDS = old
+    r = random.Random(4)
+    signs = [*"aBst'1 -$_\n", "re", "ve", "ll", "'s", "'LL", "É", "ß", "×", "÷", "Ā", "漢", "́", "<|ENDOFTEXT|>", "x" * 600, "\x0b", "\xa0"]
+    texts += ["".join(r.choice(signs) for _ in range(r.randrange(25))) for _ in range(800)]
+    want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
+    for own in (packing.WordTokenizer(tokenizer_path()), packing.WordTokenizer(tokenizer_path(), places=64, most_ids=1000)):
+        for size in (len(texts), 3):
+            got = []
+            for at in range(0, len(texts), size):
+                ids, bounds = own(pa.array(texts[at : at + size]), 2)
+                got += [ids[x:y].tobytes() for x, y in itertools.pairwise(bounds)]
+            assert got == want
 
 
 def held(pieces, window):
@@ -77,11 +83,11 @@ def test_bm25_and_neighbours():
     r = np.random.default_rng(0)
     ids = [np.concatenate([r.integers(0, 40, 30) + 1000 * (k % 3), r.integers(5000, 5200, 5)]).astype(np.uint16) for k in range(30)]
     lengths = np.array([len(x) for x in ids])
-    index = packing._Bm25(ids, lengths)
+    index = packing._Bm25(np.concatenate(ids), np.append(0, np.cumsum(lengths)))
     own = index.scores(0)
     terms = set(ids[0].tolist())
     df = {t: sum(t in x for x in ids) for t in terms}
-    packing_terms, want = packing._QUERY_TERMS, np.zeros(30)
+    want = np.zeros(30)
     parts = {}
     for t in terms:
         idf = np.log1p((30 - df[t] + 0.5) / (df[t] + 0.5))
@@ -89,9 +95,9 @@ def test_bm25_and_neighbours():
             tf = int((x == t).sum())
             if tf:
                 parts[t, d] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / lengths.mean()))
-    for t in sorted(terms, key=lambda t: -parts[t, 0])[:packing_terms]:
+    for t in terms:
         want += [parts.get((t, d), 0.0) for d in range(30)]
-    assert np.allclose(own, want, rtol=1e-3, atol=0.3)
+    assert np.allclose(own, want, rtol=1e-4)
     pieces = packing.pack_shard(lengths, index.scores, 128)
     first = [d for d, _, _, s, _ in pieces if s == 0]
     assert first[0] == 0 and all(d % 3 == 0 for d in first)
@@ -106,16 +112,42 @@ def test_shards_hold_neighbours_and_weights_are_the_corpus(spark, tokenizer):
     pieces = packing.pack(docs_of(spark, texts), tokenizer_path(), window=256, rows_per_shard=40).collect()
     shards = {}
     for p in pieces:
-        shards.setdefault(p.sequence_id >> 32, {})[p.doc_id] = p.doc_id % 6
-    assert len(shards) == 12 and sum(map(len, shards.values())) == 480
+        shards.setdefault(p.sequence_id >> 40, {})[p.doc_id] = p.doc_id % 6
+    assert 10 <= len(shards) <= 12 and sum(map(len, shards.values())) == 480
     most = [max(list(s.values()).count(t) for t in range(6)) / len(s) for s in shards.values()]
     assert np.mean(most) > 0.8  # dealt by a hash: about 0.3
-    ids = [np.frombuffer(b, "<u2") for b in packing.WordTokenizer(tokenizer_path())(texts)]
-    corpus = packing.corpus_of(spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary"))
+    corpus = packing.corpus_of(packing.tokenized(docs_of(spark, texts).repartition(3), tokenizer_path(), 2))
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
     assert corpus.n == 480 and corpus.mean == pytest.approx(np.mean([len(x) for x in ids])) and (corpus.df == df).all()
 
 
+def test_content_keys_are_the_weightiest_tokens():
+    r = np.random.default_rng(2)
+    ids = [r.integers(0, 60, r.integers(1, 40)).astype(np.uint16) for _ in range(400)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    corpus = packing.Corpus(400, float(np.mean([len(x) for x in ids])), df)
+    idf = corpus.idf()
+    got = packing.content_keys(np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids])), corpus, idf)
+    assert got.shape == (400, 3)  # 133, 44, then 2 documents or more
+    for x, row in zip(ids, got.tolist(), strict=True):
+        for least, key in zip((400 / 3, 400 / 9, 2), (row[0], row[1], row[-1]), strict=True):
+            part = {int(t): idf[t] * n / (n + corpus.norm(np.array([len(x)]))[0]) for t, n in zip(*np.unique(x, return_counts=True), strict=True) if df[t] >= least}
+            assert key == (0 if not part else 1 + min(t for t in part if part[t] == max(part.values())))
+
+
+def test_a_topic_shares_windows_with_many_shards(spark, tokenizer):
+    r = np.random.default_rng(3)
+    vocabulary = r.permutation(sorted(t[:-4] for t in tokenizer.get_vocab() if re.fullmatch("[a-z]{6,}</w>", t)))
+    texts = [" ".join([*r.choice(vocabulary[5000:8000], 20), *r.choice(vocabulary[40 * (k % 30) : 40 * (k % 30) + 40], 12)]) for k in range(900)]
+    pieces = packing.pack(docs_of(spark, texts), tokenizer_path(), window=256, rows_per_shard=64).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id, set()).add(p.doc_id % 30)
+    mixed = np.mean([len(v) for v in windows.values()])
+    assert mixed < 5.5  # about 7 of 30 topics in a window dealt at random
+
+
 # ---- decontamination
 
 ITEMS = [
@@ -136,7 +168,8 @@ def benchmark(spark):
         ("Intro words here. " + ITEMS[0] + " and more words follow.", "exact"),
         (ITEMS[1].replace("Bob", "Dave").replace("12", "77").replace(" 5 ", " 9 "), "reparameterised"),
         (ITEMS[1].replace("gives 5", "gives 8"), "reparameterised"),
-        (ITEMS[0].upper(), None),
+        (ITEMS[0].upper(), "exact"),
+        ("It was a SHORT ONE indeed", "exact"),
         ("the old stone bridge over the road", None),
         ("", None),
         (None, None),
@@ -166,7 +199,7 @@ DENSE = [*ITEMS, "Compute 12 * 7 + 5 / 3 - 8", "Élan für Åsa: Zoë trägt 3 
 )
 def test_verbatim_copies_whatever_their_case(spark, text, items):
     benchmark = spark.createDataFrame(list(enumerate(DENSE)), "item_id long, text string")
-    rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark, verbatim=True).collect()
+    rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark).collect()
     assert {r.item_id for r in rows} == items and {r.kind for r in rows} <= {"exact"}
     assert decontaminate.decontaminate(docs_of(spark, [text]), benchmark).count() == (not items)
 
@@ -176,7 +209,7 @@ def test_slots_must_be_a_renaming(spark, benchmark):
     rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark, coverage=0.99, run=99).collect()
     assert rows == []
     rows = decontaminate.contaminated(docs_of(spark, [text]), benchmark).collect()
-    assert [r.kind for r in rows] == ["inconsistent"] and rows[0].matched_tokens < rows[0].item_tokens
+    assert [r.kind for r in rows] == ["quoted"] and 13 <= rows[0].matched_tokens < rows[0].item_tokens
 
 
 SLOTTED = "Take 3 pens and 4 cups to Mia then 5 mugs and 6 bowls to Leo before 7 forks and 8 knives reach Ann at 9 or Tom at 10 today"
@@ -188,7 +221,8 @@ SLOTTED = "Take 3 pens and 4 cups to Mia then 5 mugs and 6 bowls to Leo before 7
         (SLOTTED.replace("5", "15") + ". Other words. " + SLOTTED.replace("5", "25").replace("Mia", "Eva"), "reparameterised"),
         (SLOTTED + ". Other words. " + SLOTTED.replace("5", "25"), "exact"),
         (" ".join(SLOTTED.split()[:13]) + " stop. Later we Take 13 pens and 14 cups there", "exact"),
-        (" ".join(SLOTTED.split()[:13]) + " bowls to Leo before 3 forks and 3 knives", "inconsistent"),
+        (" ".join(SLOTTED.split()[:13]) + " bowls to Leo before 3 forks and 3 knives", "quoted"),
+        (re.sub(r"[0-9]+", "4", SLOTTED), None),
         ("Take 13 pens and 14 cups there. Take 23 pens and 24 cups there", None),
     ],
 )
@@ -215,15 +249,67 @@ def test_leaks_equal_brute_force(spark, small):
     assert want and got == want
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark, small):
+def test_decontaminate_keeps_the_rest(spark, small):
     docs, items = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "benchmark"))
-    key = lambda df: sorted((r.doc_id, r.item_id, r.matched_tokens) for r in df.collect())
-    assert key(decontaminate.contaminated(docs, items)) == key(decontaminate.contaminated(docs, items, block_chars=2000))
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
     assert decontaminate.contaminated(docs.where("false"), items).count() == 0
-    kept = decontaminate.decontaminate(docs.unionByName(docs.limit(1).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars")), items)
+    nulls = docs.limit(1).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars")
+    more = docs.unionByName(nulls).withColumns({"key": F.lit(3), "row": F.lit("r"), "kind": F.lit("k"), "item": F.lit(1)})
+    kept = decontaminate.decontaminate(more, items)
     bad = {r.doc_id for r in decontaminate.contaminated(docs, items).collect()}
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad | {None}
+    rows = kept.collect()
+    assert bad and kept.columns == more.columns and {(r.key, r.row, r.kind, r.item) for r in rows} == {(3, "r", "k", 1)}
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()} - bad | {None}
+    twice = decontaminate.contaminated(docs.unionByName(docs), items.unionByName(items))
+    assert twice.count() == 4 * decontaminate.contaminated(docs, items).count()
+
+
+def test_reparameterised_copies_equal_brute_force(spark):
+    """Items of words and numbers; texts with copies whose numbers are renamed, or contradict each other."""
+    r = random.Random(8)
+    words = [a + b for a in ("ka", "lo", "mi", "ru", "te", "so") for b in ("nal", "bet", "dorf", "kim", "pas", "wen")]
+
+    def item(k):
+        n = 3 + k % 3
+        parts = []
+        for j in range(n):
+            parts += [r.choice(words) for _ in range(4)] + [str(10 + j)]
+        return [*parts, *(r.choice(words) for _ in range(3))]
+
+    items = [item(k) for k in range(12)]
+
+    def copy(x, kind):
+        numbers = [t for t in x if t.isdigit()]
+        if kind == "renamed":
+            to = dict(zip(numbers, map(str, r.sample(range(100, 999), len(numbers))), strict=True))
+        elif kind == "collapsed":
+            to = dict.fromkeys(numbers, "77")
+        else:
+            to = {t: t for t in numbers}
+        return [to.get(t, t) for t in x]
+
+    texts, want = [], set()
+    for k in range(80):
+        filler = lambda: [f"filler{r.randrange(10**6)}" for _ in range(r.randrange(4))]
+        text = filler()
+        for _ in range(r.randrange(4)):
+            i, kind = r.randrange(len(items)), r.choice(["renamed", "renamed", "collapsed", "exact"])
+            text += copy(items[i], kind) + filler()
+            if kind != "collapsed":
+                want.add((k, i))
+        texts.append(" ".join(text))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(docs_of(spark, texts), benchmark).collect()
+    assert {(x.doc_id, x.item_id) for x in rows} == want and {x.kind for x in rows} == {"exact", "reparameterised"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_short_items_are_found_whole(spark, n):
+    words = ["Zeugma", "kvasir", "42", "oblique"][:n]
+    benchmark = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "item_id long, text string")
+    texts = ["so " + " ".join(words).upper() + "!", " ".join(words[:-1]), "zeugmas " + " ".join(words[1:]), None]
+    rows = decontaminate.contaminated(docs_of(spark, texts), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.kind) for r in rows] == [(0, 1, "exact")]
 
 
 # ---- fingerprints
@@ -247,23 +333,80 @@ def test_phrase_borders_are_local():
     assert len(names[0] & names[1]) > 0.98 * len(names[0]) and len(names[0]) < 0.6 * len(a)
 
 
+MASK = (1 << 64) - 1
+
+
+def one_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x
+
+
+def one_span(names):
+    """The hash of a sequence of names: a polynomial, then the length, mixed."""
+    total = sum(v * pow(0xD6E8FEB86659FD93, k, 1 << 64) for k, v in enumerate(names))
+    return one_mix((total + len(names) * 0x9E3779B97F4A7C15) & MASK)
+
+
+def one_level(symbols, level):
+    runs = [(v, len(list(g))) for v, g in itertools.groupby(symbols)]
+    names = [v if n == 1 else one_mix((v + n * 0x9E3779B97F4A7C15) & MASK) for v, n in runs]
+    label = list(names)
+    for _ in range(4):
+        new = []
+        for k, v in enumerate(label):
+            differ = v ^ (label[k - 1] if k else v ^ 1)
+            low = (differ & -differ).bit_length() - 1
+            new.append(2 * low + (v >> low & 1))
+        label = new
+    begins = [k for k in range(len(names)) if k == 0 or k + 1 < len(names) and label[k - 1] < label[k] > label[k + 1]]
+    out = []
+    for a, b in zip(begins, [*begins[1:], len(names)], strict=True):
+        out.append(one_mix((names[a] + level + 1) & MASK) if b - a == 1 else one_span(names[a:b]))
+    return out
+
+
+def one_fingerprint(text):
+    symbols = [one_mix(ord(c) + 1) for c in text]
+    names = []
+    for level in range(1, phrases._LEVELS):
+        if not symbols:
+            break
+        symbols = one_level(symbols, level)
+        if level >= phrases.LEVEL or len(symbols) == 1:
+            names += symbols
+        if len(symbols) == 1:
+            break
+    bins = [[] for _ in range(phrases.BINS)]
+    for x in map(one_mix, names):
+        bins[x >> 58].append(x & (1 << 58) - 1)
+    return [min(0xFFFE, min(b) & 0xFFFF) if b else 0xFFFF for b in bins]
+
+
+def one_likeness(a, b):
+    filled = [(x, y) for x, y in zip(a, b, strict=True) if x != 0xFFFF or y != 0xFFFF]
+    return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+
 def test_compared_with_next_equals_brute_force(spark, small):
-    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    more = spark.createDataFrame([(1000, None), (1001, ""), (1002, "é😀 z"), (1003, "x" * 200_000), (-5, "ab"), (None, "gone")], "doc_id long, text string")
-    rows = sorted(((r.doc_id, r.text or "") for r in df.unionByName(more).collect() if r.doc_id is not None), reverse=True)
-    prints, _ = phrases.fingerprints([t for _, t in rows])
-    for size in (16, 4096):
-        got = {r.doc_id: r for r in phrases.compare_with_next(df.unionByName(more), size).collect()}
-        assert len(got) == len(rows)
-        for k, (i, t) in enumerate(rows):
-            after = rows[(k + 1) % len(rows)][1]
-            n = len(t) // 3
-            edited = t[: len(t) - n] + after[:n]
-            one, _ = phrases.fingerprints([edited])
-            assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            assert got[i].fingerprint == phrases.as_hex(prints[k : k + 1])[0] and got[i].edited_fingerprint == phrases.as_hex(one)[0]
-            assert got[i].near_edited == pytest.approx(float(phrases.likeness(prints[k : k + 1], one)[0]))
-            assert got[i].near_next == pytest.approx(float(phrases.likeness(prints[k : k + 1], prints[(k + 1) % len(rows)][None])[0]))
+    """Against a parser that takes one symbol after the other."""
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.substring("text", 1, 900).alias("text")).limit(60)
+    odd = [(1000, None), (1001, ""), (1002, "é😀 z"), (1003, "x" * 20_000), (-5, "ab"), (None, "no id"), (None, None), (7, "seven"), (7, "again")]
+    both = df.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text or "", r.h) for r in both.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]), reverse=True)
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = []
+    for k, (i, t, _) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + after[:n]
+        a, b, c = map(one_fingerprint, (t, edited, after))
+        text = lambda x: "".join(f"{v:04x}" for v in x)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), one_likeness(a, b), one_likeness(a, c)))
+    for size in (4000, 1 << 23):
+        out = phrases.compare_with_next(both, size).drop("n_phrases")
+        assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
 
 
 def test_compare_few_rows(spark):
@@ -271,6 +414,7 @@ def test_compare_few_rows(spark):
     r = phrases.compare_with_next(df).first()
     assert r.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
     assert phrases.compare_with_next(df.where("false")).count() == 0
-    twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
-    assert phrases.compare_with_next(twice).count() == 3
-    assert phrases.fingerprint_documents(twice).count() == 3
+    many = spark.createDataFrame([(k % 3 or None, f"text number {k}") for k in range(60)], "doc_id long, text string")
+    got = phrases.compare_with_next(many, 64).collect()  # each doc_id's rows, and those without, over several ranges
+    assert len(got) == 60 and sum(r.doc_id is None for r in got) == 20
+    assert phrases.fingerprint_documents(many).count() == 60
