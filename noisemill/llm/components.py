@@ -7,43 +7,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import materialize
+from ._support import discard, materialize
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _forest(batches):
-    """Union-find over blocks of a task's edges: at most nodes - 1 edges leave each block."""
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Each node but the least of its component, with that least node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(new, shorter := new[new]):
+            new = shorter
+        if np.array_equal(new, label):
+            break
+        label = new
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[label[child]])], schema=_EDGES)
 
-    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = at[: len(u)], at[len(u) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            while not np.array_equal(new, shorter := new[new]):
-                new = shorter
-            if np.array_equal(new, label):
-                break
-            label = new
-        child = np.flatnonzero(label != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[label[child]])], schema=_EDGES)
 
+def _forest(batches, block: int = 1 << 21):
+    """The stars of blocks of a task's edges: at most nodes - 1 edges leave each block."""
     held, n = [], 0
     for x in batches:
         held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
         n += x.num_rows
-        if n >= 1 << 20:
-            out = stars(*map(np.concatenate, zip(*held, strict=True)))
-            held, n = [(out.column(0).to_numpy(), out.column(1).to_numpy())], 0
-            if out.num_rows >= 1 << 19:
+        if n >= block:
+            out = _stars(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [(out.column(0).to_numpy(), out.column(1).to_numpy())], out.num_rows
+            if 2 * n >= block:
                 yield out
-                held = []
+                held, n = [], 0
     if held:
-        yield stars(*map(np.concatenate, zip(*held, strict=True)))
+        yield _stars(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -58,19 +59,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, per_task: int = 1 << 20) -> DataFrame:
     """(node, component) for every node of the edges (u, v); a component is named by its least node.
 
-    Each round is two grouped minima and two joins, written to the shared folder. Rounds end when
-    the edges are stars, after about the logarithm of the longest path. Null ends and loops are
-    ignored; an empty table gives an empty table.
+    The edges are dealt to tasks, ``per_task`` to each, which contract theirs. If one task had them
+    all, that is it. Else rounds follow, each of two grouped minima and two joins, written to the
+    shared folder, until the edges are stars, after about the logarithm of the longest path. Null
+    ends and loops are ignored; an empty table gives an empty table.
     """
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v")
-    edges = materialize(edges.mapInArrow(_forest, "u long, v long"), "edges")
-    seen = None
-    while True:
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = materialize(edges.where("u is not null and v is not null and u <> v"), "edges")
+    tasks = max(1, -(-edges.count() // per_task))
+    dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
+    forest = materialize(dealt.mapInArrow(_forest, "u long, v long"), "edges")
+    discard(edges)
+    edges, seen = forest, None
+    while tasks > 1:
+        new = materialize(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(edges)
+        edges = new
         if now == seen:
             break
         seen = now

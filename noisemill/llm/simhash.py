@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import id_text, materialize, mix, slices, word_hashes
+from ._support import discard, id_text, materialize, mix, slices, spread_join, word_hashes
 from .components import connected_components
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -59,52 +60,79 @@ def _segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
     return [(sum(widths[:k]), widths[k], radii[k]) for k in range(segments)]
 
 
-def links(values: DataFrame, distance: int = 4, segments: int = 3) -> DataFrame:
+def links(values: DataFrame, distance: int = 4, segments: int | None = None) -> DataFrame:
     """Pairs (u, v) of the rows (node, fp) whose 64-bit ``fp`` have ``distance`` differing bits or fewer.
 
     The table has each row once per segment, keyed by the segment's bits. Each row probes it with
     the small Hamming ball round its own bits in that segment; matches are verified over all 64
     bits inside the join. Of two rows that differ in the segment, the one with a zero at the lowest
-    differing bit makes the probe. With a column ``label``, pairs of one label are left out. A pair
-    may come more than once, from several segments.
+    differing bit makes the probe. A pair may come more than once, from several segments.
+
+    Without ``segments`` there are three, and two for more than 2 ** 24 values: wider segments have
+    larger balls, but buckets that don't fill up. The pairs are the same either way.
     """
-    labels = ["label"] if "label" in values.columns else []
+    if segments is None:
+        segments = 3 if values.count() <= 1 << 24 else 2
 
     def key(k: int, shift: int, width: int):
-        return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1).bitwiseOR(k << 40)
+        own = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << width) - 1)
+        return own.bitwiseOR(F.lit(k << 40).cast("long"))
 
     parts = _segments(distance, segments)
-    table = values.select(F.col("node").alias("v"), F.col("fp").alias("fp_v"), *(F.col(c).alias("label_v") for c in labels), F.explode(F.array(*(key(k, s, w) for k, (s, w, _) in enumerate(parts)))).alias("key"))
+    keys = F.explode(F.array(*(key(k, s, w) for k, (s, w, _) in enumerate(parts))))
+    table = values.select(F.col("node").alias("v"), F.col("fp").alias("fp_v"), keys.alias("key"))
     probes = []
     for k, (shift, width, radius) in enumerate(parts):
         masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(width), r)]
         ball = F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")
-        probes.append(values.select(F.col("node").alias("u"), F.col("fp").alias("fp_u"), *(F.col(c).alias("label_u") for c in labels), key(k, shift, width).alias("own"), ball).where("own & (mask & -mask) = 0").select("u", "fp_u", *(f"{c}_u" for c in labels), (F.col("mask") != 0).alias("turned"), F.expr("own ^ mask").alias("key")))
+        each = values.select(F.col("node").alias("u"), F.col("fp").alias("fp_u"), key(k, shift, width).alias("own"), ball)
+        first = each.where("own & (mask & -mask) = 0")
+        probes.append(first.select("u", "fp_u", (F.col("mask") != 0).alias("turned"), F.expr("own ^ mask").alias("key")))
     probe = probes[0]
     for x in probes[1:]:
         probe = probe.unionByName(x)
-    found = probe.join(table, "key").where(f"bit_count(fp_u ^ fp_v) <= {distance} and (turned or u < v) and u <> v" + " and label_u <> label_v" * bool(labels))
-    return found.select("u", "v", *(f"{c}_{x}" for c in labels for x in "uv"))
+    near = f"bit_count(fp_u ^ fp_v) <= {distance} and (turned or u < v) and u <> v"
+    return probe.join(table, "key").where(near).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, segments: int = 3) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = 4, seed: int = 42, distance: int = 4, segments: int | None = None
+) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints are linked, directly or through
     others, share the smallest doc_id among them.
 
     Equal fingerprints meet in a grouped minimum first, so that thousands of copies cost one row
-    in the search. Null texts count as empty. One row per input row.
+    in the search. Null texts count as empty; a null doc_id is no component's name unless all of it
+    are null. One row per input row. The joins back to the documents split fingerprints and
+    components that very many of them have.
     """
     found = materialize(fingerprints(docs, width, seed), "fingerprints")
     values = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "values")
-    member = connected_components(links(values.select(F.col("fp").alias("node"), "fp"), distance, segments))
-    named = values.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    pairs = materialize(links(values.select(F.col("fp").alias("node"), "fp"), distance, segments), "links")
+    member = connected_components(pairs).withColumnRenamed("node", "fp")
+    named = values.join(member, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "named")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return found.join(named.select("fp", "component"), "fp").join(least, "component").select("doc_id", "fp", "component_id")
+    least = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    ids = materialize(spread_join(named.select("fp", "component"), least, "component", "fp").select("fp", "component_id"), "ids")
+    return spread_join(found, ids, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
-_BINS = 256
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bins", pa.binary())])
+_BINS = 512
+_EMPTY = np.uint16(0xFFFF)
+_ORDERS = np.argsort(np.random.default_rng(7).random((_BINS, _BINS)), axis=1)
+_BITS = [f"bits{k}" for k in range(_BINS // 64)]
+_AT_ONCE = 1024
+_SKETCH = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("key", pa.int64()),
+        ("n", pa.int64()),
+        ("fp", pa.int64()),
+        ("bands", pa.list_(pa.int64())),
+        *((c, pa.int64()) for c in _BITS),
+    ]
+)
+_SKETCH_DDL = "doc_id long, key long, n long, fp long, bands array<long>, " + ", ".join(f"{c} long" for c in _BITS)
 _SETS = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -137,163 +165,234 @@ def _set_keys(shingle: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, key, n, fp, bins) for each row: a hash and the size of the text's set of ``width``-word
-    shingles, the SimHash of its distinct words, and 16 bits of the least hash of a shingle in each
-    of 256 bins (65535: no shingle)."""
+def _filled(bins: np.ndarray) -> np.ndarray:
+    """The bins, those without a shingle filled from others, in an order that is the bin's own.
+
+    So each of the values agrees for two texts as often as the texts are alike, also if they
+    have few shingles. Texts without any keep their empty bins.
+    """
+    out = bins.copy().reshape(-1)
+    at = np.flatnonzero((bins == _EMPTY) & (bins != _EMPTY).any(1)[:, None])
+    for k in range(_BINS):
+        if not len(at):
+            break
+        value = bins[at // _BINS, _ORDERS[at % _BINS, k]]
+        out[at] = value
+        at = at[value == _EMPTY]
+    return out.reshape(-1, _BINS)
+
+
+def _band_width(similarity: float) -> int:
+    """The most bins a band can have, so that fewer than one of 10 ** 5 pairs at ``similarity`` agrees in none."""
+    return next((r for r in range(12, 1, -1) if (1 - similarity**r) ** (_BINS // r) < 1e-5), 1)
+
+
+def _most_bits(similarity: float) -> int:
+    """How many of the bins' lowest bits may differ: six standard deviations more than pairs at ``similarity`` have."""
+    p = (1 - similarity) / 2
+    return int(_BINS * p + 6 * math.sqrt(_BINS * p * (1 - p)))
+
+
+def _sketch(x: pa.RecordBatch, width: int, size: int) -> pa.RecordBatch:
+    hashes, rows = word_hashes(x.column("text"))
+    n = x.num_rows
+    fps, bins = np.zeros(n, np.int64), np.full((n, _BINS), _EMPTY, np.uint16)
+    keys, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if len(hashes):
+        h, r = _distinct(hashes, rows)
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        half = np.diff(np.append(first, len(r)))[:, None]
+        fps[r[first]] = np.packbits(ones * 2 > half, axis=1, bitorder="little").view("<i8").ravel()
+        shingle, owner = _shingles(hashes, rows, n, width)
+        keys, sizes = _set_keys(shingle, owner, n), np.bincount(owner, minlength=n)
+        place = owner * _BINS + (shingle >> np.uint64(55)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        bins.reshape(-1)[place[head]] = np.minimum(shingle[head] & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
+    bins = _filled(bins)
+    low = np.packbits((bins & np.uint16(1)).astype(bool), axis=1, bitorder="little").view("<i8")
+    count = _BINS // size
+    bands = np.tile(np.arange(1, count + 1, dtype=np.uint64), (n, 1))
+    for k in range(size):
+        bands = mix(bands + bins[:, k : count * size : size])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), pa.array(bands.view(np.int64).ravel()))
+    columns = [x.column("doc_id"), pa.array(keys), pa.array(sizes), pa.array(fps), lists]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(low[:, k])) for k in range(len(_BITS)))], schema=_SKETCH)
+
+
+def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, key, n, fp, bands, bits0 ... bits7) for each row.
+
+    ``key`` and ``n``: a hash and the size of the text's set of ``width``-word shingles. ``fp``: the
+    SimHash of its distinct words. From 512 bins with 16 bits of the least shingle hash in each come
+    ``bands``, hashes of runs of bins, and the lowest bit of each bin.
+    """
+    size = _band_width(similarity)
 
     def run(batches):
-        for x in slices(batches, most=1 << 20):
-            hashes, rows = word_hashes(x.column("text"))
-            n = x.num_rows
-            fps, bins = np.zeros(n, np.int64), np.full((n, _BINS), 0xFFFF, np.uint16)
-            keys, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            if len(hashes):
-                h, r = _distinct(hashes, rows)
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-                fps[r[first]] = np.packbits(ones * 2 > np.diff(np.append(first, len(r)))[:, None], axis=1, bitorder="little").view("<i8").ravel()
-                shingle, owner = _shingles(hashes, rows, n, width)
-                keys, sizes = _set_keys(shingle, owner, n), np.bincount(owner, minlength=n)
-                place = owner * _BINS + (shingle >> np.uint64(56)).astype(np.int64)
-                head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                bins.reshape(-1)[place[head]] = np.minimum(shingle[head] & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(keys), pa.array(sizes), pa.array(fps), pa.array([b.tobytes() for b in bins], pa.binary())], schema=_SKETCH)
-
-    return id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, n long, fp long, bins binary")
+        for x in slices(batches):
+            for at in range(0, x.num_rows, _AT_ONCE):
+                yield _sketch(x.slice(at, _AT_ONCE), width, size)
+
+    return id_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH_DDL)
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(key, shingles) for each row: the hashes of the text's distinct shingles, under the key of ``sketches``."""
 
     def run(batches):
-        for x in slices(batches, most=1 << 20):
+        for x in slices(batches):
             n = x.num_rows
             shingle, owner = _shingles(*word_hashes(x.column("text")), n, width)
             at = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(shingle, owner, n)), pa.ListArray.from_arrays(at, pa.array(shingle.view(np.int64)))], schema=_SETS)
+            lists = pa.ListArray.from_arrays(at, pa.array(shingle.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(shingle, owner, n)), lists], schema=_SETS)
 
     return id_text(docs).select("text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (u, v), those whose bins agree in a share of ``similarity`` or more: an estimate."""
-    for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("key").alias(end), F.col("bins").alias(f"bins_{end}")), end)
-    pairs = pairs.select("u", "v", "bins_u", "bins_v")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _sizes_fit(similarity: float) -> str:
+    return f"least(n_u, n_v) >= {similarity} * greatest(n_u, n_v)"
 
-    def agree(batches):
-        for x in batches:
-            if x.num_rows:
-                a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, _BINS) for c in ("bins_u", "bins_v"))
-                filled = ((a != 0xFFFF) | (b != 0xFFFF)).sum(1)
-                same = ((a == b) & (a != 0xFFFF)).sum(1)
-                yield pa.RecordBatch.from_arrays([x.column("u"), x.column("v")], schema=schema).filter(pa.array(same >= similarity * filled))
 
-    return pairs.mapInArrow(agree, "u long, v long")
+def _bits_fit(similarity: float) -> str:
+    return " + ".join(f"bit_count({c}_u ^ {c}_v)" for c in _BITS) + f" <= {_most_bits(similarity)}"
 
 
-#: The bins' estimate is off by at most 0.05 in one of twenty pairs, by this in hardly one of 10 ** 8.
-_SLACK = 0.15
+def _end(nodes: DataFrame, end: str) -> DataFrame:
+    """The nodes as one end of pairs: their columns with ``_u`` or ``_v``, the key as ``u`` or ``v``."""
+    return nodes.select(F.col("key").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in nodes.columns if c != "key"))
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Of the pairs (u, v) of keys, those that share ``similarity`` of their shingles: counted, not estimated.
+def _with_ends(pairs: DataFrame, nodes: DataFrame, counted: DataFrame) -> DataFrame:
+    """The pairs with the columns of both their nodes; a node may be in very many of the ``counted`` pairs."""
+    for end, other in (("u", "v"), ("v", "u")):
+        counts = counted.groupBy(end).agg(F.count("*").alias("n"))
+        pairs = spread_join(pairs, _end(nodes, end), end, other, counts)
+    return pairs
 
-    The bins only spare the pairs that are far below it. Shingles are taken again from the texts of
-    the documents that are left.
-    """
-    pairs = materialize(_similar(pairs, nodes, similarity - _SLACK), "pairs")
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    ids = nodes.join(keys, "key", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = _shingle_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), width)
-    sets = materialize(sets.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
-    for end in "uv":
-        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("shingles").alias(f"set_{end}")), end)
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    return pairs.where(both / (F.size("set_u") + F.size("set_v") - both) >= similarity).select("u", "v")
 
+def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v), those that sizes and bins don't rule out."""
+    pairs = materialize(pairs, "tried")
+    both = _with_ends(pairs, nodes.select("key", "n", *_BITS), pairs)
+    return materialize(both.where(f"{_sizes_fit(similarity)} and {_bits_fit(similarity)}").select("u", "v"), "pairs")
 
-_EMPTY = np.uint16(0xFFFF)
-_ORDERS = np.argsort(np.random.default_rng(7).random((_BINS, _BINS)), axis=1)
 
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of keys, those that share ``similarity`` of their shingles: counted, not estimated."""
+    both = F.size(F.array_intersect("shingles_u", "shingles_v"))
+    either = F.size("shingles_u") + F.size("shingles_v") - both
+    return materialize(_with_ends(pairs, sets, pairs).where(both / either >= similarity).select("u", "v"), "close")
 
-def _filled(bins: np.ndarray) -> np.ndarray:
-    """The bins, those without a shingle filled from others, in an order that is the bin's own.
-
-    So each of the 256 values agrees for two texts as often as the texts are alike, also if they
-    have few shingles. Texts without any keep their empty bins.
-    """
-    out = bins.copy().reshape(-1)
-    at = np.flatnonzero((bins == _EMPTY) & (bins != _EMPTY).any(1)[:, None])
-    for k in range(_BINS):
-        if not len(at):
-            break
-        value = bins[at // _BINS, _ORDERS[at % _BINS, k]]
-        out[at] = value
-        at = at[value == _EMPTY]
-    return out.reshape(-1, _BINS)
 
+def _by_fingerprint(nodes: DataFrame, near: int) -> DataFrame:
+    """Pairs (u, v) from the index: nodes of one word fingerprint with one of them, fingerprints within ``near`` bits."""
+    fps = materialize(nodes.groupBy("fp").agg(F.min("key").alias("node")), "fps")
+    same = spread_join(nodes.select("key", "fp"), fps, "fp", "key").where("key <> node")
+    same = same.select(F.col("key").alias("u"), F.col("node").alias("v"))
+    other = links(fps.select("node", "fp"), near).groupBy("u").agg(F.min("v").alias("v"))
+    return same.unionByName(other)
 
-def _band_width(similarity: float) -> int:
-    """The most bins a band can have, so that fewer than one of 10 ** 6 pairs at ``similarity`` agrees in none."""
-    return next((r for r in range(12, 1, -1) if (1 - similarity**r) ** (_BINS // r) < 1e-6), 1)
 
+def _with_label(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, "key", "left").select(*rows.columns, F.coalesce("component", "key").alias("label"))
 
-def _bands(nodes: DataFrame, size: int) -> DataFrame:
-    """(band, key, n) for each row and each run of ``size`` bins: equal where all of them agree."""
 
-    def run(batches):
-        for x in batches:
-            for at in range(0, x.num_rows, 1024):
-                part = x.slice(at, 1024)
-                bins = _filled(np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint16).reshape(-1, _BINS)).astype(np.uint64)
-                count = _BINS // size
-                band = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(bins), 1))
-                for k in range(size):
-                    band = mix(band + bins[:, k : count * size : size])
-                each = [np.repeat(part.column(c).to_numpy(), count) for c in ("key", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), *map(pa.array, each)], schema=_BAND)
+def _leaders(state: DataFrame, mask: int) -> DataFrame:
+    """Pairs (u, v) of each node and one other of a label that isn't its own, from a band that both are in.
 
-    return nodes.select("key", "n", "bins").mapInArrow(run, "band long, key long, n long")
+    A band's leader is its node with the least key under ``mask``. As that order is the same in all
+    bands, a dense group's nodes mostly meet the same leader.
+    """
+    place = F.col("key").bitwiseXOR(F.lit(mask).cast("long"))
+    leader = state.groupBy("band").agg(
+        F.min(place).alias("leader"),
+        F.min_by("label", place).alias("theirs"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.count("*").alias("n"),
+    )
+    leader = materialize(leader.where("low <> high").select("band", "leader", "theirs", "n"), "leaders")
+    met = spread_join(state, leader.drop("n"), "band", "key", leader.select("band", "n")).where("label <> theirs")
+    return met.groupBy(F.col("key").alias("u")).agg(F.min("leader").bitwiseXOR(F.lit(mask).cast("long")).alias("v"))
+
+
+def _between(state: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) of nodes that share a band but no label, unless sizes and bins rule them out.
+
+    Of two nodes one at least isn't of the label that most nodes of the band have: it looks for the
+    others, so that a large group that is joined already isn't compared with itself.
+    """
+    size = state.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = size.groupBy("band").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = state.join(main.drop("labels"), "band").join(nodes.select("key", "n", *_BITS), "key")
+    open_ = materialize(open_, "open")
+    one, other = _end(open_.where("label <> main"), "u"), _end(open_, "v").drop("main_v")
+    once = "label_u <> label_v and (label_v = main_u or u < v)"
+    found = one.withColumnRenamed("band_u", "band").join(other.withColumnRenamed("band_v", "band"), "band")
+    return found.where(f"{once} and {_sizes_fit(similarity)} and {_bits_fit(similarity)}").select("u", "v").distinct()
 
 
-_BAND = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+#: Orders in which the leaders of bands are chosen, round after round.
+_MASKS = [int(x) for x in mix(np.arange(1, 9, dtype=np.uint64)).view(np.int64)]
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near: int = 3) -> DataFrame:
     """(doc_id, component_id): documents that share ``similarity`` of their ``width``-word shingles,
     directly or through others, have the smallest doc_id among them as component.
 
-    Texts with the same set of shingles are one node. Pairs come from bands of the shingles' bins,
-    whatever the shape of an edit is: those that share a band are compared, and the bands are so
-    narrow that of a million pairs at ``similarity`` fewer than one shares none. A first search
-    joins dense groups: in each band all nodes are compared with one of them only, and beside it
-    each with one whose fingerprint of distinct words lies within ``near`` bits. The second search
-    lists a band's pairs, but those that are joined already or that differ too much in size.
-    Null texts count as empty; empty texts are copies of each other.
+    Texts with the same set of shingles are one node. The first pairs come from the multi-index
+    search: fingerprints of distinct words within ``near`` bits. The rest come from bands of bins
+    of shingle hashes, whatever the shape of an edit is: of 10 ** 5 pairs at ``similarity`` fewer
+    than one shares no band. Each pair is decided by its counted shingles.
+
+    Dense groups are joined first, by rounds in which every node is compared with one leader; rounds
+    end when hardly any joins. Then all pairs of a band are taken that no label joins yet, so no
+    pair is left out, and none within a joined group is listed. Null texts count as empty; empty
+    texts are copies of each other.
     """
-    found = materialize(sketches(docs, width), "sketches")
-    nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bins").alias("bins")), "nodes")
-    bands = _bands(nodes, _band_width(similarity))
-    centres = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band").alias("place"), "key", "n")).alias("c"), F.count("*").alias("nodes")).where("nodes > 1")
-    shared = materialize(bands.join(centres.select("band", F.col("c.key").alias("centre"), F.col("c.n").alias("n_centre")), "band"), "shared")
-    sizes_fit = f"least(n, n_centre) / greatest(n, n_centre) >= {similarity}"
-    stars = shared.where(f"key <> centre and {sizes_fit}").select(F.least("key", "centre").alias("u"), F.greatest("key", "centre").alias("v"))
-    words = links(nodes.select(F.col("key").alias("node"), "fp"), near).groupBy("u").agg(F.min("v").alias("v"))
-    # the pairs are written before their components are sought: a task then has one Python worker, not two
-    close = materialize(_alike(stars.unionByName(words).distinct(), nodes, docs, width, similarity), "pairs")
+    found = materialize(sketches(docs, width, similarity), "sketches")
+    member_of = materialize(found.select("doc_id", "key"), "keys")
+    first = (F.first(c).alias(c) for c in ("n", "fp", "bands", *_BITS))
+    nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("first_id"), *first), "nodes")
+    discard(found)
+    bands = nodes.select("key", F.explode("bands").alias("band"))
+    many = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    shared = materialize(spread_join(bands, many.select("band"), "band", "key", many).select("band", "key"), "shared")
+    pairs = _plausible(_by_fingerprint(nodes, near), nodes, similarity)
+
+    keys = shared.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    ids = nodes.join(keys, "key", "left_semi").select(F.col("first_id").alias("doc_id"))
+    sets = _shingle_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), width)
+    sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+
+    # pairs are written before their components are sought: a task then has one Python worker, not two
+    close = _alike(pairs, sets, similarity)
     label = connected_components(close).withColumnRenamed("node", "key")
-    left = materialize(shared.join(label, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("label")), "labels")
-    end = lambda x: left.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "label")))
-    rest = end("u").join(end("v"), "band").where(f"key_u < key_v and label_u <> label_v and least(n_u, n_v) / greatest(n_u, n_v) >= {similarity}")
-    wide = materialize(_alike(rest.select(F.col("key_u").alias("u"), F.col("key_v").alias("v")).distinct(), nodes, docs, width, similarity), "pairs")
-    member = connected_components(close.unionByName(wide)).withColumnRenamed("node", "key")
-    named = materialize(nodes.join(member, "key", "left").select("key", "first_id", F.coalesce("component", "key").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return found.select("doc_id", "key").join(named.select("key", "component"), "key").join(least, "component").select("doc_id", "component_id")
+    for mask in _MASKS:
+        state = materialize(_with_label(shared, label), "state")
+        pairs = _plausible(_leaders(state, mask), nodes, similarity)
+        more = _alike(pairs, sets, similarity)
+        tried, joined = pairs.count(), more.count()
+        discard(state)
+        if joined:
+            close = close.unionByName(more)
+            label = connected_components(close).withColumnRenamed("node", "key")
+        if joined * 20 <= tried:
+            break
+    state = materialize(_with_label(shared, label), "state")
+    pairs = materialize(_between(state, nodes, similarity), "pairs")
+    close = close.unionByName(_alike(pairs, sets, similarity))
+    label = connected_components(close).withColumnRenamed("node", "key")
+
+    named = materialize(_with_label(nodes.select("key", "first_id"), label), "named")
+    least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
+    ids = materialize(spread_join(named.select("key", "label"), least, "label", "key").select("key", "component_id"), "ids")
+    out = materialize(spread_join(member_of, ids, "key", "doc_id").select("doc_id", "component_id"), "components")
+    discard(member_of, nodes, many, shared, sets, state, pairs, named, least, ids)
+    return out
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
