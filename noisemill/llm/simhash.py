@@ -120,7 +120,9 @@ def near_duplicates(
 _BINS = 512
 _EMPTY = np.uint16(0xFFFF)
 _ORDERS = np.argsort(np.random.default_rng(7).random((_BINS, _BINS)), axis=1)
-_BITS = [f"bits{k}" for k in range(_BINS // 64)]
+_BITS = [f"bits{k}" for k in range(_BINS // 32)]
+_ODD_BITS = 1024
+_ODD = [f"odd{k}" for k in range(_ODD_BITS // 64)]
 _AT_ONCE = 1024
 _SKETCH = pa.schema(
     [
@@ -129,10 +131,10 @@ _SKETCH = pa.schema(
         ("n", pa.int64()),
         ("fp", pa.int64()),
         ("bands", pa.list_(pa.int64())),
-        *((c, pa.int64()) for c in _BITS),
+        *((c, pa.int64()) for c in (*_BITS, *_ODD)),
     ]
 )
-_SKETCH_DDL = "doc_id long, key long, n long, fp long, bands array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+_SKETCH_DDL = "doc_id long, key long, n long, fp long, bands array<long>, " + ", ".join(f"{c} long" for c in (*_BITS, *_ODD))
 _SETS = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
@@ -187,10 +189,10 @@ def _band_width(similarity: float) -> int:
     return next((r for r in range(12, 1, -1) if (1 - similarity**r) ** (_BINS // r) < 1e-5), 1)
 
 
-def _most_bits(similarity: float) -> int:
-    """How many of the bins' lowest bits may differ: six standard deviations more than pairs at ``similarity`` have."""
-    p = (1 - similarity) / 2
-    return int(_BINS * p + 6 * math.sqrt(_BINS * p * (1 - p)))
+def _most_bins(similarity: float) -> int:
+    """How many bins may differ in their two lowest bits: five standard deviations more than pairs at ``similarity`` have."""
+    p = (1 - similarity) * 0.75
+    return int(_BINS * p + 5 * math.sqrt(_BINS * p * (1 - p)))
 
 
 def _sketch(x: pa.RecordBatch, width: int, size: int) -> pa.RecordBatch:
@@ -198,6 +200,7 @@ def _sketch(x: pa.RecordBatch, width: int, size: int) -> pa.RecordBatch:
     n = x.num_rows
     fps, bins = np.zeros(n, np.int64), np.full((n, _BINS), _EMPTY, np.uint16)
     keys, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    odd = np.zeros((n, _ODD_BITS), bool)
     if len(hashes):
         h, r = _distinct(hashes, rows)
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
@@ -207,26 +210,30 @@ def _sketch(x: pa.RecordBatch, width: int, size: int) -> pa.RecordBatch:
         fps[r[first]] = np.packbits(ones * 2 > half, axis=1, bitorder="little").view("<i8").ravel()
         shingle, owner = _shingles(hashes, rows, n, width)
         keys, sizes = _set_keys(shingle, owner, n), np.bincount(owner, minlength=n)
+        bit = owner * _ODD_BITS + (shingle >> np.uint64(20) & np.uint64(_ODD_BITS - 1)).astype(np.int64)
+        odd = (np.bincount(bit, minlength=odd.size) & 1).astype(bool).reshape(odd.shape)
         place = owner * _BINS + (shingle >> np.uint64(55)).astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         bins.reshape(-1)[place[head]] = np.minimum(shingle[head] & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16)
     bins = _filled(bins)
-    low = np.packbits((bins & np.uint16(1)).astype(bool), axis=1, bitorder="little").view("<i8")
+    low = np.stack([bins & np.uint16(1), bins >> np.uint16(1) & np.uint16(1)], axis=2).reshape(n, 2 * _BINS)
+    low = np.packbits(np.concatenate([low.astype(bool), odd], axis=1), axis=1, bitorder="little").view("<i8")
     count = _BINS // size
     bands = np.tile(np.arange(1, count + 1, dtype=np.uint64), (n, 1))
     for k in range(size):
         bands = mix(bands + bins[:, k : count * size : size])
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * count, pa.int32()), pa.array(bands.view(np.int64).ravel()))
     columns = [x.column("doc_id"), pa.array(keys), pa.array(sizes), pa.array(fps), lists]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(low[:, k])) for k in range(len(_BITS)))], schema=_SKETCH)
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(c)) for c in low.T)], schema=_SKETCH)
 
 
 def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, key, n, fp, bands, bits0 ... bits7) for each row.
+    """(doc_id, key, n, fp, bands, bits0 ... bits15, odd0 ... odd15) for each row.
 
     ``key`` and ``n``: a hash and the size of the text's set of ``width``-word shingles. ``fp``: the
     SimHash of its distinct words. From 512 bins with 16 bits of the least shingle hash in each come
-    ``bands``, hashes of runs of bins, and the lowest bit of each bin.
+    ``bands``, hashes of runs of bins, and the two lowest bits of each bin. ``odd``: 1024 bits, set where an
+    odd number of shingles falls; two texts' bits differ at most as often as their shingles do.
     """
     size = _band_width(similarity)
 
@@ -252,12 +259,30 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return id_text(docs).select("text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def _sizes_fit(similarity: float) -> str:
-    return f"least(n_u, n_v) >= {similarity} * greatest(n_u, n_v)"
+def _fits(similarity: float) -> str:
+    """Whether the nodes u and v may be alike.
+
+    What they share is bounded by the shingles that any other node has, and what they don't share by
+    their odd bits; both bounds are exact. The bins only estimate, which serves long texts.
+    """
+    share, apart = similarity / (1 + similarity) * (1 - 1e-9), (1 - similarity) / (1 + similarity) * (1 + 1e-9)
+    odd = " + ".join(f"bit_count({c}_u ^ {c}_v)" for c in _ODD)
+    bins = " + ".join(f"bit_count(({c}_u ^ {c}_v | shiftrightunsigned({c}_u ^ {c}_v, 1)) & {_EVEN_BITS})" for c in _BITS)
+    return (
+        f"least(common_u, common_v) >= {share}D * (n_u + n_v) and {odd} <= {apart}D * (n_u + n_v) + 1e-6D"
+        f" and {bins} <= {_most_bins(similarity)}"
+    )
+
+
+_EVEN_BITS = 0x5555555555555555
 
 
-def _bits_fit(similarity: float) -> str:
-    return " + ".join(f"bit_count({c}_u ^ {c}_v)" for c in _BITS) + f" <= {_most_bits(similarity)}"
+def _with_common(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes that have sets, with ``common``: how many of a node's shingles another of them has too."""
+    alone = sets.select("key", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    own = alone.where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
+    known = nodes.join(sets.select("key"), "key").join(own, "key", "left")
+    return known.select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), *_BITS, *_ODD)
 
 
 def _end(nodes: DataFrame, end: str) -> DataFrame:
@@ -274,10 +299,9 @@ def _with_ends(pairs: DataFrame, nodes: DataFrame, counted: DataFrame) -> DataFr
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (u, v), those that sizes and bins don't rule out."""
+    """Of the pairs (u, v), those that counts and bins don't rule out."""
     pairs = materialize(pairs, "tried")
-    both = _with_ends(pairs, nodes.select("key", "n", *_BITS), pairs)
-    return materialize(both.where(f"{_sizes_fit(similarity)} and {_bits_fit(similarity)}").select("u", "v"), "pairs")
+    return materialize(_with_ends(pairs, nodes, pairs).where(_fits(similarity)).select("u", "v"), "pairs")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -303,40 +327,45 @@ def _with_label(rows: DataFrame, label: DataFrame) -> DataFrame:
 def _leaders(state: DataFrame, mask: int) -> DataFrame:
     """Pairs (u, v) of each node and one other of a label that isn't its own, from a band that both are in.
 
-    A band's leader is its node with the least key under ``mask``. As that order is the same in all
-    bands, a dense group's nodes mostly meet the same leader.
+    With no mask, a band's leader is its node with the fewest shingles of its own: the text that a
+    group's others were made of has none. With a mask it is the node with the least key under it.
+    As the order is the same in all bands, a dense group's nodes mostly meet the same leader.
     """
     place = F.col("key").bitwiseXOR(F.lit(mask).cast("long"))
-    leader = state.groupBy("band").agg(
-        F.min(place).alias("leader"),
-        F.min_by("label", place).alias("theirs"),
+    if not mask:
+        place = F.shiftleft(F.least("own", F.lit(1 << 20)), 43).bitwiseOR(place.bitwiseAND(F.lit((1 << 43) - 1)))
+    leader = state.withColumn("place", place).groupBy("band").agg(
+        F.min_by("key", "place").alias("leader"),
+        F.min_by("label", "place").alias("theirs"),
+        F.min("place").alias("place"),
         F.min("label").alias("low"),
         F.max("label").alias("high"),
         F.count("*").alias("n"),
     )
-    leader = materialize(leader.where("low <> high").select("band", "leader", "theirs", "n"), "leaders")
+    leader = materialize(leader.where("low <> high").select("band", "leader", "theirs", "place", "n"), "leaders")
     met = spread_join(state, leader.drop("n"), "band", "key", leader.select("band", "n")).where("label <> theirs")
-    return met.groupBy(F.col("key").alias("u")).agg(F.min("leader").bitwiseXOR(F.lit(mask).cast("long")).alias("v"))
+    return met.groupBy(F.col("key").alias("u")).agg(F.min_by("leader", "place").alias("v"))
 
 
 def _between(state: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u, v) of nodes that share a band but no label, unless sizes and bins rule them out.
+    """All pairs (u, v) of nodes that share a band but no label, unless counts and bins rule them out.
 
     Of two nodes one at least isn't of the label that most nodes of the band have: it looks for the
     others, so that a large group that is joined already isn't compared with itself.
     """
     size = state.groupBy("band", "label").agg(F.count("*").alias("n"))
     main = size.groupBy("band").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = state.join(main.drop("labels"), "band").join(nodes.select("key", "n", *_BITS), "key")
+    open_ = state.join(main.drop("labels"), "band").join(nodes, "key")
     open_ = materialize(open_, "open")
+    open_ = open_.drop("own")
     one, other = _end(open_.where("label <> main"), "u"), _end(open_, "v").drop("main_v")
     once = "label_u <> label_v and (label_v = main_u or u < v)"
     found = one.withColumnRenamed("band_u", "band").join(other.withColumnRenamed("band_v", "band"), "band")
-    return found.where(f"{once} and {_sizes_fit(similarity)} and {_bits_fit(similarity)}").select("u", "v").distinct()
+    return found.where(f"{once} and {_fits(similarity)}").select("u", "v").distinct()
 
 
 #: Orders in which the leaders of bands are chosen, round after round.
-_MASKS = [int(x) for x in mix(np.arange(1, 9, dtype=np.uint64)).view(np.int64)]
+_MASKS = [0, *map(int, mix(np.arange(1, 9, dtype=np.uint64)).view(np.int64))]
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near: int = 3) -> DataFrame:
@@ -350,30 +379,37 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near:
 
     Dense groups are joined first, by rounds in which every node is compared with one leader; rounds
     end when hardly any joins. Then all pairs of a band are taken that no label joins yet, so no
-    pair is left out, and none within a joined group is listed. Null texts count as empty; empty
+    pair is left out, and none within a joined group is listed. A pair is spared the count where exact
+    bounds rule it out, or where bins differ so much that of 10 ** 6 pairs at ``similarity`` about one
+    would. Null texts count as empty; empty
     texts are copies of each other.
     """
     found = materialize(sketches(docs, width, similarity), "sketches")
     member_of = materialize(found.select("doc_id", "key"), "keys")
-    first = (F.first(c).alias(c) for c in ("n", "fp", "bands", *_BITS))
+    first = (F.first(c).alias(c) for c in ("n", "fp", "bands", *_BITS, *_ODD))
     nodes = materialize(found.groupBy("key").agg(F.min("doc_id").alias("first_id"), *first), "nodes")
     discard(found)
     bands = nodes.select("key", F.explode("bands").alias("band"))
     many = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     shared = materialize(spread_join(bands, many.select("band"), "band", "key", many).select("band", "key"), "shared")
-    pairs = _plausible(_by_fingerprint(nodes, near), nodes, similarity)
+    pairs = materialize(_by_fingerprint(nodes, near), "pairs")
 
     keys = shared.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
     ids = nodes.join(keys, "key", "left_semi").select(F.col("first_id").alias("doc_id"))
     sets = _shingle_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), width)
-    sets = materialize(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = sets.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "sets")
+    # a node that shares too little with all others together can't be like any of them
+    small = materialize(_with_common(nodes, sets).where(f"common >= {similarity} * n"), "common")
+    shared = materialize(shared.join(small.select("key", (F.col("n") - F.col("common")).alias("own")), "key"), "shared")
+    pairs = _plausible(pairs, small, similarity)
 
     # pairs are written before their components are sought: a task then has one Python worker, not two
     close = _alike(pairs, sets, similarity)
     label = connected_components(close).withColumnRenamed("node", "key")
     for mask in _MASKS:
         state = materialize(_with_label(shared, label), "state")
-        pairs = _plausible(_leaders(state, mask), nodes, similarity)
+        pairs = _plausible(_leaders(state, mask), small, similarity)
         more = _alike(pairs, sets, similarity)
         tried, joined = pairs.count(), more.count()
         discard(state)
@@ -383,7 +419,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near:
         if joined * 20 <= tried:
             break
     state = materialize(_with_label(shared, label), "state")
-    pairs = materialize(_between(state, nodes, similarity), "pairs")
+    pairs = materialize(_between(state, small, similarity), "pairs")
     close = close.unionByName(_alike(pairs, sets, similarity))
     label = connected_components(close).withColumnRenamed("node", "key")
 
@@ -391,7 +427,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near:
     least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
     ids = materialize(spread_join(named.select("key", "label"), least, "label", "key").select("key", "component_id"), "ids")
     out = materialize(spread_join(member_of, ids, "key", "doc_id").select("doc_id", "component_id"), "components")
-    discard(member_of, nodes, many, shared, sets, state, pairs, named, least, ids)
+    discard(member_of, nodes, many, shared, sets, small, state, pairs, named, least, ids)
     return out
 
 
