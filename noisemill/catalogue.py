@@ -327,6 +327,22 @@ def chi2_two_sample_stat(spark, sf):
     return evaluate.chi_squared(*_parts(spark, sf), ["o_orderstatus", "o_orderpriority"]).withColumn("statistic", F.round("statistic", 6))
 
 
+_TWO_WAY = "SELECT o_orderkey % 3 <> 0 AS real, o_totalprice > 250000 AS v FROM orders"
+
+
+@query(f"WITH c AS (SELECT v, count(*) FILTER (real)::DOUBLE AS a, count(*) FILTER (NOT real)::DOUBLE AS b FROM ({_TWO_WAY}) GROUP BY v), s AS (SELECT *, (a + b) * sum(a) OVER () / (sum(a) OVER () + sum(b) OVER ()) AS e, (a + b) * sum(b) OVER () / (sum(a) OVER () + sum(b) OVER ()) AS f FROM c) SELECT 'dear' AS \"column\", round(sum((abs(a - e) - least(0.5, abs(a - e))) ** 2 / e + (abs(b - f) - least(0.5, abs(b - f))) ** 2 / f), 6) AS statistic, count(*) - 1 AS dof FROM s")
+def chi2_two_values_corrected(spark, sf):
+    two = (x.withColumn("dear", F.col("o_totalprice") > 250_000) for x in _parts(spark, sf))
+    return evaluate.chi_squared(*two, ["dear"]).withColumn("statistic", F.round("statistic", 6))
+
+
+@query(f"SELECT \"column\", dof, round(CASE dof WHEN 2 THEN exp(-statistic / 2) ELSE exp(-statistic / 2) * (1 + statistic / 2) END, 6) AS p FROM ({ORACLES['chi2_two_sample_stat'].replace(', 6) AS statistic', ', 12) AS statistic')})")
+def chi2_p_values(spark, sf):
+    """The tail's closed form, for the two columns with two and four degrees of freedom."""
+    tests = evaluate.chi_squared(*_parts(spark, sf), ["o_orderstatus", "o_orderpriority"])
+    return evaluate.with_p_values(tests).select("column", "dof", F.round("p", 6).alias("p"))
+
+
 def _cramer_sql(frm: str, columns: list[str]) -> str:
     parts = [f"SELECT '{a}|{b}' AS pair, CAST({a} AS VARCHAR) AS x, CAST({b} AS VARCHAR) AS y FROM ({frm})" for a, b in itertools.combinations(columns, 2)]
     return f"SELECT pair, sqrt(greatest(sum(o * o / (r * c)) - 1, 0) / (least(count(DISTINCT x), count(DISTINCT y)) - 1)) AS v FROM (SELECT *, sum(o) OVER (PARTITION BY pair, x) AS r, sum(o) OVER (PARTITION BY pair, y) AS c FROM (SELECT pair, x, y, count(*)::DOUBLE AS o FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)) GROUP BY pair"
@@ -345,6 +361,16 @@ def correlation_distance(spark, sf):
     return evaluate.correlation_distance(*_parts(spark, sf, "lineitem", "l_orderkey"), _RELATED).withColumn("distance", F.round("distance", 9))
 
 
+_TV2 = _tv_sql(2)
+
+
+@query(f"SELECT 'total_variation' AS measure, clique AS name, tv AS value FROM ({_TV2}) UNION ALL SELECT 'unseen_rows', clique, unseen_rows::DOUBLE FROM ({_TV2}) UNION ALL SELECT 'association_distance', 'o_orderstatus|o_orderpriority', (SELECT round(sqrt(avg((x.v - y.v) ** 2)), 9) FROM ({_cramer_sql('SELECT * FROM orders WHERE o_orderkey % 3 <> 0', _SEEN[:2])}) x JOIN ({_cramer_sql('SELECT * FROM orders WHERE o_orderkey % 3 = 0', _SEEN[:2])}) y USING (pair))")
+def evaluation_report(spark, sf):
+    """The report without its tests, which have queries of their own."""
+    made = evaluate.report(*_bands(spark, sf), _SEEN, _SEEN[:2])
+    return made.where("measure not in ('chi_squared', 'p_value')").withColumn("value", F.round("value", 9))
+
+
 @query("SELECT o_orderpriority, o_orderstatus, round(coalesce(avg(o_totalprice) FILTER (o_orderkey % 3 <> 0), -1), 4) AS real, round(coalesce(avg(o_totalprice) FILTER (o_orderkey % 3 = 0 AND o_orderstatus <> 'P'), -1), 4) AS synthetic FROM orders GROUP BY 1, 2")
 def groupby_mean_compare(spark, sf):
     real, synthetic = _parts(spark, sf)
@@ -522,21 +548,29 @@ def infer_domain_from_marginals(spark, sf):
 # ---- annotations
 
 _ANSWER: Schema = {"event": Categorical(("unknown", "click", "error", "view")), "k": Numerical(0, 100), "note": OpenSet("")}
-_RAW = "'Here: ```json\n{\"event\": \"' || event_type || '\", \"k\": ' || CASE WHEN event_id % 7 = 0 THEN 'null' ELSE CAST(event_id % 100 AS VARCHAR) END || '}\n``` done'"
+# fenced answers, some with prose round the fence, numbers that are null or text, and events that aren't asked for
+_K_SQL = "CASE WHEN event_id % 7 = 0 THEN 'null' WHEN event_id % 11 = 0 THEN '\"much\"' ELSE CAST(event_id % 125 AS VARCHAR) END"
+_BODY_SQL = f"'{{\"event\": \"' || event_type || '\", \"k\": ' || {_K_SQL} || '}}'"
+_RAW = f"CASE WHEN event_id % 5 = 0 THEN 'Here: ' ELSE '' END || '```json\n' || {_BODY_SQL} || '\n```'"
 
 
 def _answers(spark, sf) -> DataFrame:
-    k = F.when(F.col("event_id") % 7 == 0, "null").otherwise((F.col("event_id") % 100).cast("string"))
-    text = F.concat(F.lit('Here: ```json\n{"event": "'), F.col("event_type"), F.lit('", "k": '), k, F.lit("}\n``` done"))
+    i = F.col("event_id")
+    k = F.when(i % 7 == 0, "null").when(i % 11 == 0, '"much"').otherwise((i % 125).cast("string"))
+    body = F.concat(F.lit('{"event": "'), F.col("event_type"), F.lit('", "k": '), k, F.lit("}"))
+    text = F.concat(F.when(i % 5 == 0, "Here: ").otherwise(""), F.lit("```json\n"), body, F.lit("\n```"))
     return table(spark, sf, "events").select("event_id", text.alias("answer"))
 
 
-@query(f"SELECT event_id, trim(regexp_extract({_RAW}, '```(?:json)?\\s*(.*?)\\s*```', 1, 's')) AS body FROM events")
+@query(f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN {_RAW} ELSE {_BODY_SQL} END AS body FROM events")
 def strip_fences(spark, sf):
     return _answers(spark, sf).select("event_id", annotate.strip_fences("answer").alias("body"))
 
 
-@query("SELECT event_id, event_type AS event, CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id % 100 END::DOUBLE AS k, '' AS note, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 2 END::INT AS fields FROM events")
+_GOOD = "event_id % 5 <> 0 AND event_type IN ('click', 'error', 'view')", "event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 125 <= 100"
+
+
+@query(f"SELECT event_id, CASE WHEN {_GOOD[0]} THEN event_type ELSE 'unknown' END AS event, CASE WHEN {_GOOD[1]} THEN event_id % 125 ELSE 0 END::DOUBLE AS k, '' AS note, CAST(CASE WHEN {_GOOD[0]} THEN 1 ELSE 0 END + CASE WHEN {_GOOD[1]} THEN 1 ELSE 0 END AS INT) AS fields FROM events")
 def llm_json_parse(spark, sf):
     return annotate.parse_answers(_answers(spark, sf), "answer", _ANSWER).select("event_id", "event", "k", "note", F.col("_fields_decoded").alias("fields"))
 
@@ -583,7 +617,7 @@ def synthesize_constrained(spark, sf):
 
 @query()
 def open_set_discovery(spark, sf):
-    found = private.discover(table(spark, sf, "part"), {"p_name": OpenSet(), "p_brand": OpenSet()}, 0.5, 1e-6, np.random.default_rng(0))
+    found = private.discover(table(spark, sf, "part"), {"p_name": OpenSet(), "p_brand": OpenSet()}, 0.5, 1e-6)
     return spark.createDataFrame([(c, k, v) for c, vs in found.items() for k, v in enumerate(vs)], "column string, code int, value string")
 
 
@@ -596,7 +630,4 @@ def dp_quantiles(spark, sf):
 
 @query()
 def dp_sips_partitions(spark, sf):
-    found = private.sips(table(spark, sf, "events"), "user_id", "event_type", 1.0, 1e-6, np.random.default_rng(0), 5)
-    return spark.createDataFrame([(x,) for x in found], "event_type string")
-
-
+    return private.sips(table(spark, sf, "events"), "user_id", "event_type", 1.0, 1e-6, most=5)

@@ -9,40 +9,63 @@ import math
 from statistics import NormalDist
 
 
+def _lowest(f) -> float:
+    """The least value of a function of t = log(alpha - 1): the best of a grid of orders, and then between its neighbours."""
+    step = 0.25
+    t = min((k * step for k in range(-120, 241)), key=f)
+    for _ in range(60):
+        step /= 1.5
+        t = min((t - step, t, t + step), key=f)
+    return f(t)
+
+
+def _order(t: float) -> tuple[float, float]:
+    """alpha - 1, and the bound's term alpha * log(1 - 1 / alpha) - log(alpha - 1), for t = log(alpha - 1)."""
+    above = math.exp(t)
+    return above, (1 + above) * (t - math.log1p(above)) - t if t < 30 else -1.0 - t
+
+
 def zcdp_delta(rho: float, epsilon: float) -> float:
-    """The least delta of rho-zCDP at epsilon (Canonne, Kamath, Steinke 2020): the bound at the
-    order alpha where its derivative vanishes, found by bisection."""
+    """The least delta of rho-zCDP at epsilon: the bound of Canonne, Kamath and Steinke (2020) at its best order."""
     if rho == 0:
         return 0.0
-    low, high = 1.0 + 1e-9, (epsilon + 1) / (2 * rho) + 2
-    for _ in range(200):
-        alpha = 0.5 * (low + high)
-        if (2 * alpha - 1) * rho - epsilon + math.log1p(-1 / alpha) < 0:
-            low = alpha
-        else:
-            high = alpha
-    log_delta = (alpha - 1) * (alpha * rho - epsilon) + alpha * math.log1p(-1 / alpha) - math.log(alpha - 1)
-    return min(1.0, math.exp(min(log_delta, 0.0)))
 
+    def log_delta(t: float) -> float:
+        above, term = _order(t)
+        return above * ((1 + above) * rho - epsilon) + term
 
-def _root(decreasing, target: float, low: float, high: float) -> float:
-    for _ in range(200):
-        middle = 0.5 * (low + high)
-        low, high = (middle, high) if decreasing(middle) > target else (low, middle)
-    return 0.5 * (low + high)
+    return math.exp(min(_lowest(log_delta), 0.0))
 
 
 def zcdp_epsilon(rho: float, delta: float) -> float:
+    """The least epsilon of rho-zCDP at delta: the same bound, solved for epsilon at each order."""
     if rho == 0 or delta >= 1:
         return 0.0
-    return _root(lambda e: zcdp_delta(rho, e), delta, 0.0, rho + 2 * math.sqrt(rho * math.log(1 / delta)) + 1)
+
+    def epsilon(t: float) -> float:
+        above, term = _order(t)
+        return (1 + above) * rho + (term - math.log(delta)) / above
+
+    return max(0.0, _lowest(epsilon))
 
 
 def zcdp_rho(epsilon: float, delta: float) -> float:
-    """The greatest rho that implies (epsilon, delta)."""
+    """The greatest rho that implies (epsilon, delta): the same bound, solved for rho at each order."""
     if epsilon == 0:
         return 0.0
-    return _root(lambda r: -zcdp_delta(r, epsilon), -delta, 0.0, epsilon + 1)
+
+    def spent(t: float) -> float:
+        above, term = _order(t)
+        return -(epsilon - (term - math.log(delta)) / above) / (1 + above)
+
+    return max(0.0, -_lowest(spent))
+
+
+def _root(decreasing, target: float, low: float, high: float) -> float:
+    for _ in range(200):
+        middle = 0.5 * (low + high)
+        low, high = (middle, high) if decreasing(middle) > target else (low, middle)
+    return 0.5 * (low + high)
 
 
 def gaussian_delta(mu: float, epsilon: float) -> float:

@@ -17,6 +17,18 @@ def uniform(*keys: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def gaussian(secret: str, *keys: Column | str) -> Column:
+    """A standard normal number from a keyed hash of the keys. Whoever has the secret can tell it: take
+    a new one from the operating system for each release. A task that runs again draws the same."""
+    text = F.concat_ws("\x1f", *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys))
+    digest = F.sha2(F.concat(F.lit(secret), text), 256)
+
+    def unit(at: int) -> Column:
+        return (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+    return F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(13))
+
+
 def _number(column: Column | str) -> Column:
     x = F.col(column) if isinstance(column, str) else column
     x = x.try_cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,10 +13,10 @@ from noisemill.spec import Categorical, Numerical, Schema
 
 
 def strip_fences(text: Column | str) -> Column:
-    """What stands inside a Markdown code fence, or the whole text, trimmed."""
-    c = F.col(text) if isinstance(text, str) else text
-    inside = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return F.trim(F.when(F.contains(c, F.lit("```")) & (F.length(inside) > 0), inside).otherwise(c))
+    """What stands inside a Markdown code fence, if that is all of the text; else the text, trimmed."""
+    c = F.trim(F.col(text) if isinstance(text, str) else text)
+    fence = r"(?s)^```[A-Za-z]*\s*(.*?)\s*```$"
+    return F.when(F.regexp_like(c, F.lit(fence)), F.trim(F.regexp_extract(c, fence, 1))).otherwise(c)
 
 
 def json_schema(schema: Schema) -> dict:
@@ -34,20 +35,21 @@ def json_schema(schema: Schema) -> dict:
 def parse_answers(df: DataFrame, answer: str, schema: Schema) -> DataFrame:
     """``df`` with a column for each attribute, and how many of them the answer gave.
 
-    What is no JSON object, lacks a key, or has a null there takes the attribute's default: the
-    out-of-domain value, the least number, or an empty text. Other keys are ignored.
+    What is no JSON object, lacks a key, has a null there, or a value that isn't the attribute's (none
+    of its categories, no number, or one out of range), takes the attribute's default: the
+    out-of-domain value, the least number, or an empty text, and doesn't count. Other keys are ignored.
     """
     parsed = F.try_parse_json(strip_fences(answer))
     out, got = [], F.lit(0)
     for name, a in schema.items():
-        value = F.try_variant_get(parsed, f"$.{name}", "string")
-        got = got + F.when(value.isNotNull(), 1).otherwise(0)
+        value, default = F.try_variant_get(parsed, f"$.{name}", "string"), F.lit("")
         if isinstance(a, Categorical):
-            out.append(F.coalesce(value, F.lit(str(a.values[a.ood]))).alias(name))
+            value, default = F.when(value.isin(*map(str, a.values)), value), F.lit(str(a.values[a.ood]))
         elif isinstance(a, Numerical):
-            out.append(F.coalesce(value.try_cast("double"), F.lit(float(a.low))).alias(name))
-        else:
-            out.append(F.coalesce(value, F.lit("")).alias(name))
+            number = value.try_cast("double")
+            value, default = F.when(number.between(a.low, a.high), number), F.lit(float(a.low))
+        got = got + F.when(value.isNotNull(), 1).otherwise(0)
+        out.append(F.coalesce(value, default).alias(name))
     return df.select("*", *out, got.alias("_fields_decoded"))
 
 
@@ -66,18 +68,43 @@ def generation_prompt(about: str, schema: Schema) -> Column:
     return F.concat(*parts)
 
 
-def ask(prompts: DataFrame, prompt: str, answer: str, backend: Callable[[list[str]], list[str | None]], chunk: int = 100) -> DataFrame:
+def ask(
+    prompts: DataFrame,
+    prompt: str,
+    answer: str,
+    backend: Callable[[list[str]], list[str | None]],
+    chunk: int = 100,
+    tries: int = 3,
+    pause: float = 1.0,
+) -> DataFrame:
     """``prompts`` with the backend's answers, asked for in chunks; a failed answer is empty text.
 
-    The backend runs in the tasks; how many ask at once is how many tasks run.
+    The backend runs in the tasks; how many ask at once is how many tasks run. A chunk that raises, or
+    gives another number of answers, is asked again after ``pause`` seconds, twice as long each time;
+    after ``tries`` its prompts are asked one by one, and those that raise still have failed.
     """
 
+    def once(texts: list[str]) -> list[str] | None:
+        try:
+            got = backend(texts)
+        except Exception:  # whatever a backend raises is a failed answer
+            return None
+        return [x or "" for x in got] if len(got) == len(texts) else None
+
+    def tried(texts: list[str]) -> list[str]:
+        for k in range(tries):
+            if (got := once(texts)) is not None:
+                return got
+            if k + 1 < tries:
+                time.sleep(pause * 2**k)
+        return [(once([x]) or [""])[0] for x in texts] if len(texts) > 1 else [""] * len(texts)
+
     @F.pandas_udf("string")
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             got: list[str] = []
             for at in range(0, len(texts), chunk):
-                got += [x or "" for x in backend(list(texts.iloc[at : at + chunk]))]
-            yield pd.Series(got, index=texts.index)
+                got += tried(list(texts.iloc[at : at + chunk]))
+            yield pd.Series(got, index=texts.index, dtype="object")
 
     return prompts.withColumn(answer, answers(prompt))

@@ -92,22 +92,20 @@ def independence_errors(counts: DataFrame, singles: DataFrame, schema: Schema, w
     size. The cells that don't occur need no rows: what the product puts on them is what it leaves
     over on the others, as it sums to the total.
     """
+    spark = counts.sparkSession
     total = float(singles.where("column = '__total'").agg(F.sum("n")).first()[0] or 0)  # one number
-    # a table of the schema's codes: its size is the schema's
-    share = F.broadcast(singles.where("column <> '__total'").select("column", "code", (F.col("n") / F.lit(total or 1.0)).alias("p")))
-    out = None
+    places = []
     for k, clique in enumerate(workload):
-        cells = counts.where(F.col("clique") == k)
-        sizes, stride = [schema[c].size for c in clique], 1
-        for c, n in zip(reversed(clique), reversed(sizes), strict=True):
-            cells = cells.withColumn(f"_{c}", F.expr(f"cell div {stride} % {n}"))
-            stride *= n
-        for c in clique:
-            cells = cells.join(share.where(F.col("column") == c).select(F.col("code").alias(f"_{c}"), F.col("p").alias(f"p_{c}")), f"_{c}")
-        p = F.lit(1.0)
-        for c in clique:
-            p = p * F.col(f"p_{c}")
-        one = cells.agg(F.sum(F.abs(F.col("n") - total * p)).alias("seen"), (F.lit(total) - F.sum(total * p)).alias("unseen"))
-        one = one.select(F.lit("|".join(clique)).alias("clique"), (F.col("seen") + F.greatest("unseen", F.lit(0.0))).alias("error"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        stride = 1
+        for c in reversed(clique):
+            places.append((k, c, stride, schema[c].size))
+            stride *= schema[c].size
+    # two tables of the schema's size: where a clique's columns are in a cell's number, and the columns' shares
+    where = F.broadcast(spark.createDataFrame(places, "clique int, column string, stride long, size long"))
+    share = F.broadcast(singles.where("column <> '__total'").select("column", "code", (F.col("n") / F.lit(total or 1.0)).alias("p")))
+    codes = counts.join(where, "clique").withColumn("code", F.expr("cell div stride % size")).join(share, ["column", "code"])
+    cells = codes.groupBy("clique", "cell").agg(F.first("n").alias("n"), F.product("p").alias("p"))
+    each = cells.groupBy("clique").agg(F.sum(F.abs(F.col("n") - total * F.col("p"))).alias("seen"), F.sum("p").alias("p"))
+    names = spark.createDataFrame([(k, "|".join(c)) for k, c in enumerate(workload)], "clique int, name string")
+    error = F.coalesce(F.col("seen") + F.greatest(total * (1 - F.col("p")), F.lit(0.0)), F.lit(total))
+    return names.join(each, "clique", "left").select(F.col("name").alias("clique"), error.alias("error"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _cells(both: DataFrame, cliques: list[tuple[str, ...]]) -> DataFrame:
     """(clique, cell, real, synthetic): both counts of each combination of values, in one shuffle."""
-    sets = F.array(*(F.struct(F.lit("|".join(c)).alias("clique"), F.to_json(F.array(*map(F.col, c))).alias("cell")) for c in cliques))
+    sets = F.array(*(F.struct(F.lit("|".join(c)).alias("clique"), F.array(*map(F.col, c)).alias("cell")) for c in cliques))
     rows = both.select("real", F.inline(sets))
     return rows.groupBy("clique", "cell").agg(F.count_if("real").alias("real"), F.count_if(~F.col("real")).alias("synthetic"))
 
@@ -45,8 +46,8 @@ def total_variation(original: DataFrame, synthetic: DataFrame, columns: list[str
     """
     cliques = [c for r in range(1, degree + 1) for c in itertools.combinations(columns, r)]
     cells = _cells(tagged(original, synthetic, columns), cliques)
-    # a row for each clique; the cells, which may be many, stay where their counts were made
-    shares = cells.join(F.broadcast(cells.groupBy("clique").agg(F.sum("real").alias("n_real"), F.sum("synthetic").alias("n_synthetic"))), "clique")
+    # every row has a cell in each clique: the totals are the tables' sizes, two numbers
+    shares = cells.withColumn("n_real", F.lit(original.count())).withColumn("n_synthetic", F.lit(synthetic.count()))
     p = F.when(F.col("n_real") > 0, F.col("real") / F.col("n_real")).otherwise(0.0)
     q = F.when(F.col("n_synthetic") > 0, F.col("synthetic") / F.col("n_synthetic")).otherwise(0.0)
     new = (F.col("real") == 0) & (F.col("synthetic") > 0)
@@ -58,7 +59,7 @@ def total_variation(original: DataFrame, synthetic: DataFrame, columns: list[str
 def top_unseen(original: DataFrame, synthetic: DataFrame, columns: tuple[str, ...], k: int = 3) -> DataFrame:
     """(cell, n, place): the ``k`` most frequent combinations that the original lacks, ties by value."""
     cells = _cells(tagged(original, synthetic, list(columns)), [columns]).where("real = 0 and synthetic > 0")
-    best = cells.orderBy(F.desc("synthetic"), "cell").limit(k)
+    best = cells.withColumn("cell", F.to_json("cell")).orderBy(F.desc("synthetic"), "cell").limit(k)
     return best.select("cell", F.col("synthetic").alias("n"), F.row_number().over(Window.orderBy(F.desc("synthetic"), "cell")).alias("place"))
 
 
@@ -107,6 +108,38 @@ def chi_squared_p(statistic: float, dof: int) -> float:
     return min(1.0, scale * h)
 
 
+def with_p_values(tests: DataFrame) -> DataFrame:
+    """The rows of ``chi_squared``, one for each column, with ``p``."""
+
+    @F.pandas_udf("double")
+    def p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([chi_squared_p(x, int(n)) for x, n in zip(statistic, dof, strict=True)], dtype="float64")
+
+    return tests.withColumn("p", p("statistic", "dof"))
+
+
+def report(original: DataFrame, synthetic: DataFrame, columns: list[str], categories: list[str] | None = None, degree: int = 2) -> DataFrame:
+    """(measure, name, value): all that the other functions say of two tables, in one long table.
+
+    Distances and unseen rows of every combination of up to ``degree`` columns, tests of each column,
+    and the distance of associations, over ``categories`` only, as numbers have too many values.
+    """
+    tv = total_variation(original, synthetic, columns, degree)
+    tests = with_p_values(chi_squared(original, synthetic, columns))
+    parts = [
+        tv.select(F.lit("total_variation").alias("measure"), F.col("clique").alias("name"), F.col("tv").alias("value")),
+        tv.select(F.lit("unseen_rows"), "clique", F.col("unseen_rows").cast("double")),
+        tests.select(F.lit("chi_squared"), "column", "statistic"),
+        tests.select(F.lit("p_value"), "column", "p"),
+    ]
+    if len(categories or []) > 1:
+        parts.append(correlation_distance(original, synthetic, categories).select(F.lit("association_distance"), F.lit("|".join(categories)), "distance"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
+
+
 def cramers_v(df: DataFrame, columns: list[str]) -> DataFrame:
     """(pair, v) of all column pairs, nulls a value; 0 without rows or where a side has one value."""
     texts = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit(NULL)).alias(c) for c in columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import secrets
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisemill.functions import budget
-from noisemill.functions.codec import grid_index, uniform
+from noisemill.functions.codec import gaussian, grid_index
 from noisemill.operators.counts import dense_counts, open_counts
+from noisemill.operators.relational import checkpointed
 from noisemill.spec import Numerical, OpenSet, Schema
 
 
@@ -43,26 +45,30 @@ def bound_contributions(df: DataFrame, user: str, most: int, seed: int = 0) -> D
     return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-def discover(df: DataFrame, columns: dict[str, OpenSet], rho: float, delta: float, rng: np.random.Generator, min_count: int = 1, most: int = 1_000_000) -> dict[str, list[str]]:
+def discover(
+    df: DataFrame,
+    columns: dict[str, OpenSet],
+    rho: float,
+    delta: float,
+    secret: str | None = None,
+    min_count: int = 1,
+    most: int = 1_000_000,
+    per_user: int = 1,
+) -> dict[str, list[str]]:
     """Values of open columns that are safe to show: noisy counts above the threshold, and public ones.
 
-    The default comes first, then values in order. Only counts that could pass at all (a tail of the
-    noise allowed for) leave Spark, at most ``most`` of them: more is an error, as then the columns
-    are no categories.
+    The default comes first, then values in order. A row adds to one histogram of each column, so rho
+    and delta are shared out among them. Noise and threshold are applied in Spark; only what may be
+    shown is collected, at most ``most`` values: more are no categories, and an error. ``secret``
+    keys the noise; without, the operating system gives one.
     """
-    sigma = budget.sigma_of_rho(rho)
-    threshold = budget.selection_threshold(sigma, delta, min_count=min_count)
-    counts = open_counts(df, columns, min_count)
-    rows = counts.limit(most + 1).collect()
+    sigma = budget.sigma_of_rho(rho / len(columns))
+    threshold = budget.selection_threshold(sigma, delta / len(columns), per_user, min_count)
+    noisy = F.col("n") + per_user * sigma * gaussian(secret or secrets.token_hex(32), "column", "value")
+    rows = open_counts(df, columns, min_count).where(noisy >= threshold).select("column", "value").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} values")
-    out = {}
-    for c, a in columns.items():
-        own = sorted((r.value, r.n) for r in rows if r.column == c)
-        noise = rng.normal(0, sigma, len(own))
-        kept = {v for (v, n), e in zip(own, noise, strict=True) if n + e >= threshold}
-        out[c] = [a.default, *sorted((kept | set(a.public)) - {a.default})]
-    return out
+    return {c: [a.default, *sorted(({r.value for r in rows if r.column == c} | set(a.public)) - {a.default})] for c, a in columns.items()}
 
 
 def sips_weights(df: DataFrame, user: str, partition: str, most: int) -> DataFrame:
@@ -72,19 +78,22 @@ def sips_weights(df: DataFrame, user: str, partition: str, most: int) -> DataFra
     return once.withColumn("_w", 1.0 / F.sqrt(k)).groupBy(partition).agg(F.sum("_w").alias("weight"))
 
 
-def sips(df: DataFrame, user: str, partition: str, rho: float, delta: float, rng: np.random.Generator, most: int = 10, rounds: int = 3) -> list:
-    """Partitions chosen over several rounds; those found leave room for others in the next round."""
-    found: list = []
-    spark = df.sparkSession
-    for share in budget.sips_rounds(rho, rounds):
+def sips(
+    df: DataFrame, user: str, partition: str, rho: float, delta: float, secret: str | None = None, most: int = 10, rounds: int = 3
+) -> DataFrame:
+    """Partitions chosen over several rounds; those found leave room for others in the next round.
+
+    Noise, keyed by ``secret`` or one of the operating system's, and threshold are applied in Spark, and
+    what is found stays a table: no partition passes through the driver.
+    """
+    secret, found, left = secret or secrets.token_hex(32), None, df
+    for k, share in enumerate(budget.sips_rounds(rho, rounds)):
         sigma = budget.sigma_of_rho(share)
         cut = budget.sips_threshold(sigma, delta / rounds, most)
-        left = df
-        if found:
-            left = df.join(spark.createDataFrame([(x,) for x in found], df.select(partition).schema), partition, "left_anti")
-        rows = sorted((r[0], r[1]) for r in sips_weights(left, user, partition, most).collect())
-        noise = rng.normal(0, sigma, len(rows))
-        found += [v for (v, w), e in zip(rows, noise, strict=True) if w + e >= cut]
+        noisy = F.col("weight") + sigma * gaussian(f"{secret}{k}", partition)
+        more = checkpointed(sips_weights(left, user, partition, most).where(noisy >= cut).select(partition))
+        found = more if found is None else found.unionByName(more)
+        left = df.join(found, partition, "left_anti")
     return found
 
 
@@ -95,48 +104,51 @@ def grid_histogram(df: DataFrame, column: str, low: float, high: float, step: fl
     return rows.groupBy("point").agg(F.count("*").alias("n"))
 
 
-def median_point(counts: np.ndarray, epsilon: float, rng: np.random.Generator | None) -> int:
-    """A grid point near the middle: exactly it for infinite epsilon, else drawn by the exponential
-    mechanism on the distance from the middle rank to the point's ranks."""
-    if not len(counts):
-        return 0
-    upper = np.cumsum(counts)
-    middle = counts.sum() / 2
-    if math.isinf(epsilon):
-        return int(np.searchsorted(upper, middle))
-    score = -epsilon * np.maximum(0, np.maximum(upper - counts - middle, middle - upper))
-    p = np.exp(score - score.max())
-    return int(rng.choice(len(counts), p=p / p.sum()))
-
-
-def quantile_points(counts: np.ndarray, epsilons: list[float], rng: np.random.Generator | None = None) -> list[int]:
-    """2 ** levels - 1 points: the median, then the medians on both sides of it, level by level."""
-
-    def halves(at: int, part: np.ndarray, level: int) -> list[int]:
-        if level == len(epsilons):
-            return []
-        m = median_point(part, epsilons[level], rng)
-        low, high = part[: m + 1].copy(), part[m:].copy()
-        if part[m]:  # the point's rows go to both sides, as many as make the halves even
-            low[m] = min(max(part.sum() / 2 - part[:m].sum(), 0.0), part[m])
-            high[0] = part[m] - low[m]
-        return [*halves(at, low, level + 1), at + m, *halves(at + m, high, level + 1)]
+def quantile_cells(cells: np.ndarray, counts: np.ndarray, size: int, epsilons: list[float], rng: np.random.Generator | None = None) -> list[int]:
+    """The cells below 2 ** levels - 1 cuts of a histogram over ``size`` cells, given by its filled ``cells``.
 
-    return halves(0, counts.astype(float), 0)
+    Each level cuts every part between two cells, near its middle: a cut costs the rows by which the
+    part below it misses half, and is drawn by the exponential mechanism. A row is in one part of a
+    level only, so the parts of a level share its epsilon.
+    """
+    below = np.append(0, np.cumsum(counts))  # rows before each filled cell
+    parts, cuts = [(0, size)], []
+    for epsilon in epsilons:
+        found = []
+        for low, high in parts:
+            inside = slice(*np.searchsorted(cells, (low, high)))
+            # between filled cells all cuts are alike: as many as there are empty cells, and one
+            ends = np.concatenate([[low], cells[inside] + 1, [high + 1]])
+            ways = np.diff(ends)
+            miss = np.abs(below[inside.start : inside.stop + 1] - (below[inside.start] + below[inside.stop]) / 2)
+            if math.isinf(epsilon):
+                pick = int(np.argmin(np.where(ways > 0, miss, np.inf)))
+                found.append(int(ends[pick]))
+            else:
+                score = np.where(ways > 0, np.log(np.maximum(ways, 1)) - epsilon * miss, -np.inf)
+                p = np.exp(score - score.max())
+                pick = int(rng.choice(len(p), p=p / p.sum()))
+                found.append(int(ends[pick] + rng.integers(ways[pick])))
+        cuts = sorted([*cuts, *found])
+        edges = [0, *cuts, size]
+        parts = list(zip(edges[:-1], edges[1:], strict=True))
+    return [max(c - 1, 0) for c in cuts]
 
 
 def private_edges(df: DataFrame, column: str, a: Numerical, rho: float, rng: np.random.Generator, levels: int = 5, points: int = 100_001) -> tuple[float, ...]:
-    """Bin edges near the quantiles: a histogram over a grid of ``points``, then private medians."""
+    """Bin edges near the quantiles: a histogram over a grid of ``points``, then private cuts.
+
+    A point's rows are dealt at random to finer cells before anything is counted, so that points which
+    many rows have can be cut within. At most 2 ** 20 cells are collected.
+    """
     step = max(1.0, math.ceil((a.high - a.low) / (points - 1))) if a.integer else (a.high - a.low) / (points - 1)
-    size = int(math.floor((a.high - a.low) / step)) + 1
-    dense = np.zeros(size + 1)
-    for r in grid_histogram(df, column, a.low, a.high, step, a.clip).collect():
-        dense[min(r.point, size)] += r.n
+    size = int(math.floor((a.high - a.low) / step)) + 2
+    fine = max(1, (1 << 20) // size)
+    rows = df if a.clip else df.where(F.col(column).between(a.low, a.high) & ~F.isnan(F.col(column).cast("double")))
+    point = F.least(F.coalesce(grid_index(column, a.low, a.high, step), F.lit(0)), F.lit(size - 1))
+    cell = (point * fine + F.floor(F.rand() * fine)).cast("long")
+    dense = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").toPandas()
     epsilons = [math.inf] * levels if math.isinf(rho) else budget.quantile_levels(rho, levels)
-    edges = sorted({a.low + step * p for p in quantile_points(dense, epsilons, rng)})
+    cells = quantile_cells(dense["cell"].to_numpy(np.int64), dense["n"].to_numpy(np.int64), size * fine, epsilons, rng)
+    edges = sorted({a.low + step * (c // fine) for c in cells})
     return tuple(e for e in edges if a.low <= e < a.high)
-
-
-def hash_order(*columns: str, seed: int = 0):
-    """An order of rows that looks random and is the same in every run."""
-    return uniform(*columns, seed=seed)

@@ -59,8 +59,11 @@ def lineage(tables: dict[str, DataFrame], relations: Relations, keys: dict[str,
             continue
         up = first_rows(out[k.parent].where("_root is not null").select(F.col(k.parent_key).alias(k.child_key), "_root"), k.child_key, "_root")
         joined = df.join(up, k.child_key, "left")
-        place = F.row_number().over(Window.partitionBy(k.child_key, F.col("_root").isNull()).orderBy(*order[name]))
-        out[name] = joined.withColumn("_root", F.when(place <= k.capacity, F.col("_root")))
+        # rows without a root, which may be many under one key or none, aren't ranked
+        place = F.row_number().over(Window.partitionBy(k.child_key).orderBy(*order[name]))
+        below = joined.where("_root is not null").withColumn("_place", place)
+        below = below.withColumn("_root", F.when(F.col("_place") <= k.capacity, F.col("_root"))).drop("_place")
+        out[name] = below.unionByName(joined.where("_root is null"))
     return out
 
 
@@ -129,6 +132,14 @@ def scratch_root(spark: SparkSession) -> str:
 _local: dict[str, str] = {}
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table, written to the checkpoint folder: lineage ends here."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+    return df.checkpoint()
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Rows numbered from 0 in a global order, without a window over one partition.
 
@@ -136,10 +147,9 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     size, one number, gives where its rows' numbers start.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     sorted_ = df.sort(*order).withColumn("_p", F.spark_partition_id())
-    tagged = sorted_.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
+    tagged = sorted_.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    tagged = checkpointed(tagged)
     sizes = tagged.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()
     starts, at = [], 0
     for r in sizes:

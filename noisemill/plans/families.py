@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 
 from noisemill.functions import budget
 from noisemill.functions.codec import decode_table, encode_table, uniform
-from noisemill.operators.relational import exploration_table, truncate
+from noisemill.operators.relational import checkpointed, exploration_table, truncate
 from noisemill.plans.synthesis import draw, synthesize_codes
 from noisemill.spec import Categorical, Relations, Schema
 
 
-def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, epsilon: float, delta: float, order: dict[str, list], seed: int = 0, method: str = "mst") -> dict[str, DataFrame]:
+def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, epsilon: float, delta: float, order: dict[str, list], seed: int | None = None, method: str = "mst", draw_seed: int = 0) -> dict[str, DataFrame]:
     """Every table anew under (epsilon, delta), a root row with all that hangs on it protected.
 
     Per link, parents' columns, the number of children and one child's columns make a table whose
     rows sum to 1 a parent; noise grows with the parents that a root row can touch. Synthetic
     parents get a number of children from it, and each child draws its columns given its parent.
-    Keys are new: a parent's row number, and children's row numbers below it.
+    Keys are new: a parent's row number, and children's row numbers below it. Each table is written
+    out once it is drawn. Noise comes from the operating system; a ``seed`` is for tests only.
     """
     spark = next(iter(tables.values())).sparkSession
     rng = np.random.default_rng(seed)
@@ -27,7 +28,7 @@ def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, eps
     rho = budget.zcdp_rho(epsilon, delta) / (len(links) + 1)
     reach = relations.sensitivities()
     root, _ = relations.order()[0]
-    done: dict[str, DataFrame] = {root: draw(spark, synthesize_codes(encode_table(tables[root], relations.tables[root]), relations.tables[root], rho, rng, method), seed=seed)}
+    done: dict[str, DataFrame] = {root: draw(spark, synthesize_codes(encode_table(tables[root], relations.tables[root]), relations.tables[root], rho, rng, method), seed=draw_seed)}
     kept = dict(tables)
     for name, k in relations.order():
         if k is None:
@@ -40,19 +41,19 @@ def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, eps
         wide = wide.select(*list(up), "group_size", *(F.col(f"`slot_1.{c}`").alias(f"child_{c}") for c in own), "weight")
         joint: Schema = {**up, "group_size": Categorical(tuple(range(k.capacity + 1))), **{f"child_{c}": Categorical(tuple(range(a.size + 1))) for c, a in own.items()}}
         model = synthesize_codes(wide, joint, rho, rng, method, weight="weight", sensitivity=reach[f"{k.parent}->{name}"])
-        families = draw(spark, _only(model, [*up, "group_size"]), seed=seed + 1, given=done[k.parent])
+        families = draw(spark, _only(model, [*up, "group_size"]), seed=draw_seed + 1, given=done[k.parent])
         kids = families.where("group_size > 0").select(F.col("id").alias("_parent"), *list(up), "group_size", F.explode(F.sequence(F.lit(1), F.col("group_size"))).alias("_slot"))
         kids = kids.withColumn("id", F.col("_parent") * (k.capacity + 1) + F.col("_slot"))
-        drawn = draw(spark, model, seed=seed + 2, given=kids)
+        drawn = draw(spark, model, seed=draw_seed + 2, given=kids)
         for c, a in own.items():
             # a child that is there has no empty columns: such a draw is made again, evenly
-            again = F.floor(uniform("id", F.lit(c), seed=seed + 3) * a.size).cast("int")
+            again = F.floor(uniform("id", F.lit(c), seed=draw_seed + 3) * a.size).cast("int")
             drawn = drawn.withColumn(f"child_{c}", F.when(F.col(f"child_{c}") < a.size, F.col(f"child_{c}")).otherwise(again))
-        done[name] = drawn.select("id", F.col("_parent").alias(k.child_key), *(F.col(f"child_{c}").alias(c) for c in own))
+        done[name] = checkpointed(drawn.select("id", F.col("_parent").alias(k.child_key), *(F.col(f"child_{c}").alias(c) for c in own)))
     out = {}
     for name, k in relations.order():
         key = next((x.parent_key for x in links if x.parent == name), "id")
-        df = decode_table(done[name], relations.tables[name], "id", seed=seed)
+        df = decode_table(done[name], relations.tables[name], "id", seed=draw_seed)
         out[name] = df.withColumnRenamed("id", key) if key not in df.columns else df
     return out
 

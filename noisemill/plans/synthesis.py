@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from noisemill.functions import budget
 from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
-from noisemill.operators.private import common_codes, noisy_columns, noisy_marginal
-from noisemill.spec import Categorical, Constraint, FreeText, OpenSet, Schema
+from noisemill.operators.private import common_codes, discover, noisy_columns, noisy_marginal, private_edges
+from noisemill.spec import Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
 
 #: Cells of a pair's table that a broadcast may have.
 _MOST_CELLS = 5_000_000
@@ -61,10 +61,14 @@ class TreeModel:
         return given(a).T @ (self.single(common)[:, None] * given(b))
 
 
-def _shares(counts: np.ndarray) -> np.ndarray:
-    out = np.maximum(counts, 0)
-    total = out.sum(-1, keepdims=True)
-    return np.where(total > 0, out / np.where(total > 0, total, 1), 1 / out.shape[-1])
+def _shares(counts: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Counts as shares of their row; where a row has none, even shares of what ``mask`` allows there."""
+    allowed = np.ones(counts.shape) if mask is None else mask.astype(float)
+    if not allowed.any(-1).all():
+        raise ValueError("a constraint leaves no value that may occur")
+    out = np.maximum(counts, 0) * allowed
+    total, even = out.sum(-1, keepdims=True), allowed / allowed.sum(-1, keepdims=True)
+    return np.where(total > 0, out / np.where(total > 0, total, 1), even)
 
 
 def fit_tree(schema: Schema, singles: dict[str, np.ndarray], pairs: dict[tuple[str, str], np.ndarray], total: float, allowed: dict[tuple[str, str], np.ndarray] | None = None) -> TreeModel:
@@ -93,7 +97,7 @@ def fit_tree(schema: Schema, singles: dict[str, np.ndarray], pairs: dict[tuple[s
                     table = np.maximum(table, 0)
                     thin = table.sum(1, keepdims=True) <= 0
                     table = np.where(thin, np.maximum(singles[c], 1e-9)[None], table)
-                    parents[c], shares[c] = at, _shares(table if mask is None else table * mask)
+                    parents[c], shares[c] = at, _shares(table, mask)
                     queue.append(c)
     return TreeModel(schema, max(1.0, total), order, parents, shares)
 
@@ -150,6 +154,8 @@ def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.rando
     n = codes.count() if weight is None else codes.agg(F.sum(weight)).first()[0] or 0.0
     total = n + rng.normal(0, sensitivity * budget.sigma_of_rho(parts["each"]))
     masks = _masks(schema, constraints)
+    if method == "direct" and len(_forest(dict.fromkeys(map(tuple, cliques), 0.0), columns, lambda f: f[0])) < len(set(map(tuple, cliques))):
+        raise ValueError(f"the cliques must make a forest: {cliques}")
     if method == "independent" or len(columns) < 2 and not masks:
         return fit_tree(schema, singles, {}, total)
     pairs = [tuple(e) for e in cliques] if method == "direct" else list(itertools.combinations(columns, 2))
@@ -241,46 +247,96 @@ def _weighted_columns(codes: DataFrame, schema: Schema, weight: str, rho: float,
     return out
 
 
+def _aliases(shares: np.ndarray) -> list[tuple[float, int]]:
+    """Of each code how often its place stays with it, and which code it gives way to: Walker's alias method."""
+    rest = shares / shares.sum() * len(shares)
+    out = [(1.0, k) for k in range(len(rest))]
+    low, high = [k for k in range(len(rest)) if rest[k] < 1], [k for k in range(len(rest)) if rest[k] >= 1]
+    while low and high:
+        a, b = low.pop(), high[-1]
+        out[a] = (float(rest[a]), b)
+        rest[b] -= 1 - rest[a]
+        if rest[b] < 1:
+            low.append(high.pop())
+    return out
+
+
 def draw(spark: SparkSession, model: TreeModel, rows: int | None = None, seed: int = 0, given: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Rows of codes from the model, in as many tasks as Spark likes.
 
-    Each column is one lookup: the parent's code picks a row of running sums (a broadcast table of
-    domain size), and a hash of row number and column picks the code in it. Columns that ``given``
-    has already are taken from there; its rows are told apart by ``key``.
+    Each column is one lookup in an alias table of domain size, by the parent's code and a place that
+    a hash of row number and column draws; a second hash chooses between the place's code and its
+    alias. Columns that ``given`` has already are taken from there; its rows are told apart by ``key``.
     """
     out = given if given is not None else spark.range(int(round(model.total)) if rows is None else rows).withColumnRenamed("id", key)
     for c in model.order:
         if c in out.columns:
             continue
         up = model.parents[c]
-        sums = np.cumsum(np.atleast_2d(model.shares[c]), axis=1)
-        sums[:, -1] = 2.0
-        if sums.size > _MOST_CELLS:
-            raise ValueError(f"{c}: a table of {sums.size} cells")
-        u = uniform(key, F.lit(c), seed=seed)
-        if up is None:
-            sums_of = F.array(*map(F.lit, sums[0].tolist()))
-        else:
-            table = spark.createDataFrame([(k, r) for k, r in enumerate(sums.tolist())], f"`{up}` int, _sums array<double>")
-            out = out.join(F.broadcast(table), up)
-            sums_of = F.col("_sums")
-        out = out.withColumn("_u", u).withColumn(c, F.size(F.filter(sums_of, lambda x: x <= F.col("_u"))).cast("int")).drop("_sums", "_u")
+        shares = np.atleast_2d(model.shares[c])
+        if shares.size > _MOST_CELLS:
+            raise ValueError(f"{c}: a table of {shares.size} cells")
+        rows_of = [(k, j, *pair) for k, row in enumerate(shares) for j, pair in enumerate(_aliases(row))]
+        table = F.broadcast(spark.createDataFrame(rows_of, "_up int, _place int, _keep double, _alias int"))
+        place = F.floor(uniform(key, F.lit(c), seed=seed) * shares.shape[1]).cast("int")
+        parent = F.lit(0) if up is None else F.col(up)
+        out = out.withColumn("_up", parent).withColumn("_place", place).join(table, ["_up", "_place"])
+        stays = uniform(F.lit(c), key, seed=seed) < F.col("_keep")
+        out = out.withColumn(c, F.when(stays, F.col("_place")).otherwise(F.col("_alias"))).drop("_up", "_place", "_keep", "_alias")
+    return out
+
+
+def declared(df: DataFrame, schema: Schema, rho: float, delta: float, rng: np.random.Generator, per_user: int = 1) -> Schema:
+    """The schema with values for its open columns and edges for its numbers without any, found privately.
+
+    The columns share rho; the open ones delta. Numbers get edges near their octiles.
+    """
+    opened = {c: a for c, a in schema.items() if isinstance(a, OpenSet)}
+    bare = [c for c, a in schema.items() if isinstance(a, Numerical) and not a.edges]
+    share, out = rho / max(1, len(opened) + len(bare)), dict(schema)
+    if opened:
+        found = discover(df, opened, share * len(opened), delta, rng.bytes(32).hex(), per_user=per_user)
+        out |= {c: Categorical(tuple(v)) for c, v in found.items()}
+    for c in bare:
+        out[c] = replace(schema[c], edges=private_edges(df, c, schema[c], share / per_user**2, rng, levels=3))
     return out
 
 
-def synthesize(df: DataFrame, schema: Schema, epsilon: float, delta: float, seed: int = 0, method: str = "mst", rows: int | None = None, constraints: tuple[Constraint, ...] = (), per_user: int = 1, compress: bool = False) -> DataFrame:
+def synthesize(
+    df: DataFrame,
+    schema: Schema,
+    epsilon: float,
+    delta: float,
+    seed: int | None = None,
+    method: str = "mst",
+    rows: int | None = None,
+    constraints: tuple[Constraint, ...] = (),
+    per_user: int = 1,
+    compress: bool = False,
+    draw_seed: int = 0,
+) -> DataFrame:
     """A synthetic table under (epsilon, delta)-differential privacy.
 
     One row is a user's, or at most ``per_user`` are: bound them first (``bound_contributions``).
     With ``compress``, a tenth of the budget finds each column's rare codes, which count as one while
     the rest is measured, and are drawn evenly in the end; columns with constraints keep theirs.
-    Open and free-text columns are errors here: discover their values first.
+    Open columns' values, and edges of numbers without any, are found privately, for a tenth of the
+    budget and, for open columns, half of delta. Free text is an error.
+
+    Noise comes from the operating system. A ``seed`` makes it predictable, so that it protects
+    nothing: for tests only. ``draw_seed`` tells the rows that are drawn from the noisy model.
     """
     if per_user < 1:
         raise ValueError("per_user must be at least 1")
-    if bad := [n for n, a in schema.items() if isinstance(a, (OpenSet, FreeText))]:
-        raise ValueError(f"columns without declared values: {bad}")
-    rng, rho, codes, masks = np.random.default_rng(seed), budget.zcdp_rho(epsilon, delta), encode_table(df, schema), {}
+    if bad := [n for n, a in schema.items() if isinstance(a, FreeText)]:
+        raise ValueError(f"columns without values: {bad}")
+    rng, masks = np.random.default_rng(seed), {}
+    opened = any(isinstance(a, OpenSet) for a in schema.values())
+    rho = budget.zcdp_rho(epsilon, delta / 2 if opened else delta)
+    if opened or any(isinstance(a, Numerical) and not a.edges for a in schema.values()):
+        schema = declared(df, schema, 0.1 * rho, delta / 2, rng, per_user)
+        rho *= 0.9
+    codes = encode_table(df, schema)
     small = dict(schema)
     if compress:
         each = 0.1 * rho / len(schema)
@@ -291,9 +347,9 @@ def synthesize(df: DataFrame, schema: Schema, epsilon: float, delta: float, seed
         small |= {c: Categorical(tuple(range(sum(m) + 1))) for c, m in masks.items()}
         rho *= 0.9
     model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints)
-    made = draw(df.sparkSession, model, rows, seed)
-    made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=seed) if c in masks else F.col(c)).alias(c) for c in schema))
-    return decode_table(made, schema, "id", seed=seed).drop("id")
+    made = draw(df.sparkSession, model, rows, draw_seed)
+    made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=draw_seed) if c in masks else F.col(c)).alias(c) for c in schema))
+    return decode_table(made, schema, "id", seed=draw_seed).drop("id")
 
 
 def domain_values(tables: list[DataFrame]) -> DataFrame:
@@ -317,8 +373,12 @@ def infer_domain(tables: list[DataFrame]) -> dict[str, list[str]]:
 
 
 def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] | None = None) -> TreeModel:
-    """The tree through given joint counts of one or two columns, as they are; values that a table
-    doesn't list have no rows there. The total is the largest sum."""
+    """The tree through given joint counts of one or two columns, as they are. The total is the largest sum.
+
+    A cell of a pair that its table doesn't list wasn't measured: it gets what its row and column,
+    taken for independent, would have there. Zero counts must be listed to be kept. A single
+    column's value that its table doesn't list has no rows.
+    """
     values = values or infer_domain(tables)
     schema: Schema = {c: Categorical(tuple(v)) for c, v in values.items()}
     singles: dict[str, np.ndarray] = {}
@@ -327,13 +387,16 @@ def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] |
     for t in tables:
         columns = t.columns[:-1]
         counts = np.zeros([schema[c].size for c in columns])
+        measured = np.zeros(counts.shape, bool)
         for r in t.collect():
-            counts[tuple(values[c].index(str(r[c])) for c in columns)] += r["count"]
+            at = tuple(values[c].index(str(r[c])) for c in columns)
+            counts[at] += r["count"]
+            measured[at] = True
         total = max(total, counts.sum())
         if len(columns) == 1:
             singles[columns[0]] = counts
         elif len(columns) == 2:
-            pairs[columns[0], columns[1]] = counts
+            pairs[columns[0], columns[1]] = _completed(counts, measured)
         else:
             raise ValueError("joint counts of three columns or more don't fit a tree")
     for (a, b), x in pairs.items():
@@ -343,6 +406,14 @@ def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] |
     return fit_tree(schema, singles, {e: pairs[e] for e in tree}, total)
 
 
+def _completed(counts: np.ndarray, measured: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The counts, those not measured as if rows and columns were independent."""
+    out = np.where(measured, counts, 0.0)
+    for _ in range(rounds if not measured.all() and out.sum() > 0 else 0):
+        out = np.where(measured, counts, np.outer(out.sum(1), out.sum(0)) / out.sum())
+    return out
+
+
 def pair_errors(df: DataFrame, schema: Schema) -> DataFrame:
     """(clique, error): every column pair's distance from independence."""
     codes = encode_table(df, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +18,8 @@ def running_marginals(stream: DataFrame, schema: Schema, workload: list[tuple[st
     return marginals(encode_table(stream, schema), schema, workload)
 
 
-def start(counts: DataFrame, name: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the counts as the in-memory table ``name``; give ``availableNow=True`` to stop at the end."""
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def start(counts: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Hand the counts so far to ``write`` (table, batch number), which replaces the last ones wherever it
+    keeps them; give ``availableNow=True`` to stop at the end."""
+    writer = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from noisemill.functions import budget
+from noisemill.functions.codec import gaussian
 from noisemill.operators import private
 from noisemill.spec import ForeignKey, Numerical, OpenSet, Relations
 
@@ -40,8 +41,24 @@ def test_link_sensitivities():
 def test_discovery_drops_rare_values(spark):
     rows = [("A",)] * 100 + [("3",)] * 100 + [("C",)] + [(None,)] * 50
     df = spark.createDataFrame(rows, "x string")
-    found = private.discover(df, {"x": OpenSet(public=("P",))}, budget.zcdp_rho(5, 1e-10), 1e-10, np.random.default_rng(0))
+    found = private.discover(df, {"x": OpenSet(public=("P",))}, budget.zcdp_rho(5, 1e-10), 1e-10, "secret")
     assert found == {"x": ["<OOD>", "3", "A", "P"]}
+    with pytest.raises(ValueError):
+        private.discover(df, {"x": OpenSet()}, 50.0, 1e-3, most=1)
+
+
+def test_discovery_shares_its_budget(spark):
+    """Ten columns at once get the noise of a tenth each: a count that one column shows is hidden."""
+    df = spark.range(40).selectExpr(*(f"'v' as c{k}" for k in range(10)))
+    one = private.discover(df, {"c0": OpenSet()}, 0.05, 1e-6, "s")
+    ten = private.discover(df, {f"c{k}": OpenSet() for k in range(10)}, 0.05, 1e-6, "s")
+    assert one == {"c0": ["<OOD>", "v"]} and sum(len(v) for v in ten.values()) < 15
+
+
+def test_keyed_noise_is_normal_and_secret(spark):
+    rows = spark.range(20_000).select(gaussian("a", "id").alias("x"), gaussian("b", "id").alias("y")).toPandas()
+    assert abs(rows.x.mean()) < 0.03 and abs(rows.x.std() - 1) < 0.03 and abs(np.corrcoef(rows.x, rows.y)[0, 1]) < 0.03
+    assert spark.range(5).select(gaussian("a", "id")).collect() == spark.range(5).repartition(3).sort("id").select(gaussian("a", "id")).collect()
 
 
 def test_quantiles_without_noise(spark):
@@ -50,16 +67,36 @@ def test_quantiles_without_noise(spark):
     assert np.allclose(edges, [12, 24, 37, 49, 62, 74, 87], atol=1.5)
 
 
-def test_quantiles_of_a_spike():
-    counts = np.ones(80)
-    counts[40] = 10_000
-    assert set(private.quantile_points(counts, [math.inf] * 2)) == {40}
+def test_quantiles_of_a_spike(spark):
+    df = spark.range(10_080).selectExpr("cast(case when id < 80 then id else 40 end as double) as x")
+    assert private.private_edges(df, "x", Numerical(0, 79, integer=True), math.inf, np.random.default_rng(0), 2) == (40.0,)
+
+
+def test_cuts_part_the_rows():
+    """One more row changes what one part of a level holds, and no other."""
+    cells, size = np.array([1, 4, 9, 30]), 40
+    for extra in range(4):
+        counts = np.array([3, 10, 3, 5])
+        cuts = private.quantile_cells(cells, counts, size, [math.inf] * 2)
+        parts = np.searchsorted([c + 1 for c in cuts], cells, "right")
+        more = counts.copy()
+        more[extra] += 1
+        before, after = (np.bincount(parts, x, 4) for x in (counts, more))
+        assert (before != after).sum() == 1 and after[parts[extra]] == before[parts[extra]] + 1
+
+
+def test_private_cuts_are_near_the_quantiles():
+    counts = np.full(1000, 50)
+    got = private.quantile_cells(np.arange(1000), counts, 1000, [0.5] * 3, np.random.default_rng(0))
+    assert np.allclose(got, [124, 249, 374, 499, 624, 749, 874], atol=4)
+    none = private.quantile_cells(np.zeros(0, np.int64), np.zeros(0, np.int64), 50, [0.5] * 2, np.random.default_rng(0))
+    assert len(none) == 3 and all(0 <= c < 50 for c in none)
 
 
 def test_sips_finds_common_partitions(spark):
     df = spark.range(4000).selectExpr("id div 2 as user", "case when id % 40 = 0 then concat('rare', id) else concat('p', id % 3) end as p")
-    found = private.sips(df, "user", "p", 5.0, 1e-8, np.random.default_rng(0), 2)
-    assert sorted(found) == ["p0", "p1", "p2"]
+    found = private.sips(df, "user", "p", 5.0, 1e-8, "secret", 2)
+    assert sorted(r.p for r in found.collect()) == ["p0", "p1", "p2"]
 
 
 def test_contributions(spark):
