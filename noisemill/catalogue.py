@@ -83,6 +83,26 @@ def encode_categorical_ood(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", codec.encode_categorical("o_orderpriority", _FEW).alias("code"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_partkey BETWEEN 1 AND 1500 THEN 1500 - l_partkey ELSE 3 END AS INT) AS code FROM lineitem")
+def encode_many_values(spark, sf):
+    """1500 values, the last first: looked up by a join."""
+    a = Categorical(tuple(range(1500, 0, -1)), ood=3)
+    return codec.encode_table(table(spark, sf, "lineitem"), {"l_partkey": a}, ("l_orderkey", "l_linenumber")).withColumnRenamed("l_partkey", "code")
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '2-HIGH' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '5-LOW' THEN 2 ELSE 0 END AS INT) AS code, CASE WHEN o_orderpriority = '2-HIGH' THEN '2-HIGH' WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN '1-URGENT' ELSE 'other' END AS value FROM orders")
+def reversible_chain(spark, sf):
+    """Values to codes, two rare codes to one, and back."""
+    both = codec.coded(_FEW).then(codec.merged([True, False, True, False]))
+    return table(spark, sf, "orders").select("o_orderkey", both("o_orderpriority").cast("int").alias("code"), both.inverse()(both("o_orderpriority")).alias("value"))
+
+
+@query("SELECT o_orderkey, round((greatest(10000, least(o_totalprice, 400000)) - 10000) / 390000.0, 9) AS unit, round(greatest(10000, least(o_totalprice, 400000)), 4) AS value FROM orders")
+def unit_interval(spark, sf):
+    to = codec.unit_interval(_NARROW)
+    return table(spark, sf, "orders").select("o_orderkey", F.round(to("o_totalprice"), 9).alias("unit"), F.round(to.inverse()(to("o_totalprice")), 4).alias("value"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') THEN o_orderpriority ELSE 'other' END AS value FROM orders")
 def decode_categorical(spark, sf):
     return encode_categorical_ood(spark, sf).select("o_orderkey", codec.decode_categorical("code", _FEW).alias("value"))
@@ -322,6 +342,15 @@ def top3_unseen(spark, sf):
     return evaluate.top_unseen(*_fine(spark, sf), ("o_orderpriority", "band"), 3)
 
 
+_CELLS = {"o_orderpriority|band": "'[\"' || o_orderpriority || '\",\"' || band || '\"]'", "band": "'[\"' || band || '\"]'"}
+_EACH = " UNION ALL ".join(f"SELECT '{k}' AS clique, {cell} AS cell, real FROM ({_FINE})" for k, cell in _CELLS.items())
+
+
+@query(f"WITH c AS (SELECT clique, cell, count(*) FILTER (real) AS a, count(*) FILTER (NOT real) AS n FROM ({_EACH}) GROUP BY 1, 2), r AS (SELECT clique, cell, n, CAST(row_number() OVER (PARTITION BY clique ORDER BY n DESC, cell) AS INT) AS place FROM c WHERE a = 0 AND n > 0) SELECT * FROM r WHERE place <= 3")
+def top3_unseen_each(spark, sf):
+    return evaluate.top_unseen_each(*_fine(spark, sf), [tuple(k.split("|")) for k in _CELLS], 3)
+
+
 @query(f"WITH t AS ({_COARSE}), c AS (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS v, count(*) FILTER (real)::DOUBLE AS a, count(*) FILTER (NOT real)::DOUBLE AS b FROM t GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FILTER (real), count(*) FILTER (NOT real) FROM t GROUP BY 2), s AS (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb FROM c WINDOW w AS (PARTITION BY \"column\")) SELECT \"column\", round(sum((a - (a + b) * na / (na + nb)) ** 2 / ((a + b) * na / (na + nb)) + (b - (a + b) * nb / (na + nb)) ** 2 / ((a + b) * nb / (na + nb))), 6) AS statistic, count(*) - 1 AS dof FROM s GROUP BY 1")
 def chi2_two_sample_stat(spark, sf):
     return evaluate.chi_squared(*_parts(spark, sf), ["o_orderstatus", "o_orderpriority"]).withColumn("statistic", F.round("statistic", 6))
@@ -343,6 +372,27 @@ def chi2_p_values(spark, sf):
     return evaluate.with_p_values(tests).select("column", "dof", F.round("p", 6).alias("p"))
 
 
+_KINDS = {"o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(o_totalprice AS VARCHAR)", "o_orderkey": "CAST(o_orderkey AS VARCHAR)", "nothing": "CAST(NULL AS VARCHAR)"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN count({x}) > 0 AND count({x}) = count(TRY_CAST({x} AS DOUBLE)) THEN 'number' ELSE 'category' END AS kind FROM orders" for c, x in _KINDS.items()))
+def evaluation_types(spark, sf):
+    """Columns as a reader without a schema gives them: all text."""
+    texts = table(spark, sf, "orders").withColumn("nothing", F.lit(None)).select(*(F.col(c).cast("string").alias(c) for c in _KINDS))
+    return evaluate.evaluation_types(texts, list(_KINDS))
+
+
+def _attribute_sql() -> str:
+    sides = (f"(SELECT '{c}' AS \"column\", count({c}) FILTER (real) AS original_present, count(DISTINCT {c}) FILTER (real) AS original_distinct, count({c}) FILTER (NOT real) AS synthetic_present, count(DISTINCT {c}) FILTER (NOT real) AS synthetic_distinct FROM ({_COARSE}))" for c in _SEEN[:2])
+    return f"SELECT s.*, v.tv, v.unseen, v.unseen_rows, x.statistic, p.dof, p.p FROM ({' UNION ALL '.join(sides)}) s JOIN ({ORACLES['tv_one_way']}) v ON v.clique = s.\"column\" JOIN ({ORACLES['chi2_two_sample_stat']}) x ON x.\"column\" = s.\"column\" JOIN ({ORACLES['chi2_p_values']}) p ON p.\"column\" = s.\"column\""
+
+
+@query(_attribute_sql())
+def attribute_report(spark, sf):
+    out = evaluate.attribute_report(*_parts(spark, sf), _SEEN[:2])
+    return out.withColumns({c: F.round(c, n) for c, n in (("tv", 9), ("statistic", 6), ("p", 6))})
+
+
 def _cramer_sql(frm: str, columns: list[str]) -> str:
     parts = [f"SELECT '{a}|{b}' AS pair, CAST({a} AS VARCHAR) AS x, CAST({b} AS VARCHAR) AS y FROM ({frm})" for a, b in itertools.combinations(columns, 2)]
     return f"SELECT pair, sqrt(greatest(sum(o * o / (r * c)) - 1, 0) / (least(count(DISTINCT x), count(DISTINCT y)) - 1)) AS v FROM (SELECT *, sum(o) OVER (PARTITION BY pair, x) AS r, sum(o) OVER (PARTITION BY pair, y) AS c FROM (SELECT pair, x, y, count(*)::DOUBLE AS o FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)) GROUP BY pair"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from noisemill.spec import Categorical, Numerical, Schema
 
 _INLINE = 64  # values up to which a lookup is written into the plan
+_JOINED = 1000  # values from which a table's column is looked up by a join
+_BROADCAST = 100_000  # values up to which that join may broadcast them
 
 
 def uniform(*keys: Column | str, seed: int = 0) -> Column:
@@ -152,16 +156,83 @@ def linear_index(codes: list[Column | str], sizes: list[int]) -> Column:
     return out
 
 
+def look_up(df: DataFrame, column: str, a: Categorical, to: str) -> DataFrame:
+    """``df`` with the codes of ``column`` as ``to``, by a join with the values: for thousands of them."""
+    kind = {bool: "boolean", int: "bigint", float: "double", str: "string"}[type(a.values[0])]
+    value, code = "_value", "_code"
+    while {value, code} & set(df.columns):
+        value, code = f"_{value}", f"_{code}"
+    known = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(a.values)], f"{value} {kind}, {code} int")
+    if a.size <= _BROADCAST:
+        known = F.broadcast(known)
+    found = df.join(known, F.col(column).try_cast(kind) == F.col(value), "left")
+    return found.withColumn(to, F.coalesce(code, F.lit(a.ood))).drop(value, code)
+
+
 def encode_table(df: DataFrame, schema: Schema, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The schema's columns as codes, and the columns named in ``keep``, in one projection."""
+    """The schema's columns as codes, and the columns named in ``keep``, in one projection.
+
+    Columns of more than 1000 values are looked up by joins before it.
+    """
     out = []
     for name, a in schema.items():
         if not isinstance(a, (Categorical, Numerical)):
             raise TypeError(f"{name}: {type(a).__name__} has no codes")
-        out.append((encode_categorical(name, a) if isinstance(a, Categorical) else discretize(name, a)).alias(name))
+        if isinstance(a, Numerical):
+            code = discretize(name, a)
+        elif a.size <= _JOINED:
+            code = encode_categorical(name, a)
+        else:
+            to = f"_code_of_{name}"
+            while to in df.columns:
+                to = f"_{to}"
+            df, code = look_up(df, name, a, to), F.col(to)
+        out.append(code.alias(name))
     return df.select(*keep, *out)
 
 
+@dataclass(frozen=True)
+class Reversible:
+    """A column expression and its way back; ``then`` puts another after it."""
+
+    forward: Callable[[Column], Column]
+    back: Callable[[Column], Column]
+
+    def __call__(self, column: Column | str) -> Column:
+        return self.forward(F.col(column) if isinstance(column, str) else column)
+
+    def inverse(self) -> Reversible:
+        return Reversible(self.back, self.forward)
+
+    def then(self, after: Reversible) -> Reversible:
+        return Reversible(lambda c: after.forward(self.forward(c)), lambda c: self.back(after.back(c)))
+
+
+def coded(a: Categorical) -> Reversible:
+    """Values to codes; unknown ones come back as the out-of-domain value."""
+    return Reversible(lambda c: encode_categorical(c, a), lambda c: decode_categorical(c, a))
+
+
+def merged(common: list[bool]) -> Reversible:
+    """Rare codes to one; it comes back as the first of them."""
+    return Reversible(lambda c: merge_rare(c, common), lambda c: unmerge_rare(c, common))
+
+
+def unit_interval(a: Numerical) -> Reversible:
+    """[low, high] to [0, 1]; what lies outside goes to the nearer end, null stays null."""
+    width = float(a.high - a.low)
+
+    def forward(c: Column) -> Column:
+        x = _number(c)
+        return F.when(x.isNotNull(), (F.greatest(F.lit(float(a.low)), F.least(x, F.lit(float(a.high)))) - a.low) / width)
+
+    def back(c: Column) -> Column:
+        x = F.lit(float(a.low)) + c * width
+        return F.rint(x).cast("long") if a.integer else x
+
+    return Reversible(forward, back)
+
+
 def decode_table(df: DataFrame, schema: Schema, *keys: str, seed: int = 0) -> DataFrame:
     """The codes' values; ``keys`` tell rows apart where a value is drawn."""
     return df.select(*(c for c in df.columns if c not in schema), *((decode_categorical(n, a) if isinstance(a, Categorical) else undiscretize(n, a, *keys, F.lit(n), seed=seed)).alias(n) for n, a in schema.items()))

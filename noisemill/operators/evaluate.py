@@ -63,6 +63,15 @@ def top_unseen(original: DataFrame, synthetic: DataFrame, columns: tuple[str, ..
     return best.select("cell", F.col("synthetic").alias("n"), F.row_number().over(Window.orderBy(F.desc("synthetic"), "cell")).alias("place"))
 
 
+def top_unseen_each(original: DataFrame, synthetic: DataFrame, cliques: list[tuple[str, ...]], k: int = 3) -> DataFrame:
+    """(clique, cell, n, place): the same for every clique at once; each task keeps ``k`` of a clique
+    before the shuffle that ranks them."""
+    columns = sorted({c for clique in cliques for c in clique})
+    cells = _cells(tagged(original, synthetic, columns), cliques).where("real = 0 and synthetic > 0").withColumn("cell", F.to_json("cell"))
+    ranked = cells.withColumn("place", F.row_number().over(Window.partitionBy("clique").orderBy(F.desc("synthetic"), "cell")))
+    return ranked.where(F.col("place") <= k).select("clique", "cell", F.col("synthetic").alias("n"), "place")
+
+
 def chi_squared(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column, statistic, dof): the two-sample test of each column, Yates' correction at one degree."""
     cells = _cells(tagged(original, synthetic, columns), [(c,) for c in columns])
@@ -118,6 +127,41 @@ def with_p_values(tests: DataFrame) -> DataFrame:
     return tests.withColumn("p", p("statistic", "dof"))
 
 
+def aligned(original: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """The original's columns that the synthetic table has, in its order; one that it lacks is an error."""
+    if missing := [c for c in synthetic.columns if c not in original.columns]:
+        raise ValueError(f"the original lacks {missing}")
+    return original.select(*synthetic.columns)
+
+
+def evaluation_types(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, kind): ``number`` if there are values and all read as finite numbers, else ``category``."""
+    number = F.col("value").try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    ends = df.select(F.inline(pairs)).groupBy("column").agg(F.count("value").alias("present"), F.count_if(finite).alias("numbers"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    kind = F.when((F.col("present") > 0) & (F.col("present") == F.col("numbers")), "number").otherwise("category")
+    return names.join(ends, "column", "left").select("column", kind.alias("kind"))
+
+
+def categorical_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of ``columns`` that aren't numbers, in their order: a row for each column is collected."""
+    found = {r["column"] for r in evaluation_types(df, columns).where("kind = 'category'").collect()}
+    return [c for c in columns if c in found]
+
+
+def attribute_report(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each column: rows with a value and distinct values of both tables, distance, unseen
+    values and their rows, and the test's statistic, degrees of freedom and p-value."""
+    out = original.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    for name, x in (("original", original), ("synthetic", synthetic)):
+        some = statistics(x, columns).select("column", F.col("present").alias(f"{name}_present"), F.col("distinct_values").alias(f"{name}_distinct"))
+        out = out.join(some, "column", "left").fillna(0, [f"{name}_present", f"{name}_distinct"])
+    tv = total_variation(original, synthetic, columns).withColumnRenamed("clique", "column")
+    return out.join(tv, "column", "left").join(with_p_values(chi_squared(original, synthetic, columns)), "column", "left")
+
+
 def report(original: DataFrame, synthetic: DataFrame, columns: list[str], categories: list[str] | None = None, degree: int = 2) -> DataFrame:
     """(measure, name, value): all that the other functions say of two tables, in one long table.
 

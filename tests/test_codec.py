@@ -81,3 +81,18 @@ def test_uniform_is_the_same_in_any_partitioning(spark):
     df = spark.range(100).select("id", codec.uniform("id", seed=3).alias("u"))
     assert df.orderBy("id").collect() == df.repartition(7).orderBy("id").collect()
     assert 0.3 < df.agg(F.avg("u")).first()[0] < 0.7
+
+
+def test_many_values_are_joined_without_touching_clashing_names(spark):
+    a = Categorical(tuple(range(1200)), ood=7)
+    df = spark.createDataFrame([(3, "x", "y"), (5000, "x", "y"), (None, "x", "y"), (3, "x", "y")], "k long, _code string, _code_of_k string")
+    rows = codec.encode_table(df, {"k": a}, ("_code", "_code_of_k")).collect()
+    assert sorted(r.k for r in rows) == [3, 3, 7, 7]
+    assert {(r._code, r._code_of_k) for r in rows} == {("x", "y")}
+    assert codec.encode_table(df.limit(0), {"k": a}).count() == 0
+
+
+def test_reversible_inverse_undoes_in_turn(spark):
+    to = codec.coded(Categorical(("a", "b", "c"))).then(codec.merged([True, True, False]))
+    df = spark.createDataFrame([("b",), ("c",), ("z",), (None,)], "v string")
+    assert [r[0] for r in df.select(to.inverse()(to("v"))).collect()] == ["b", "c", "a", "a"]

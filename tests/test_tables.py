@@ -329,3 +329,17 @@ def test_schema_of_a_model():
 
     with pytest.raises(ValueError):
         tables.schema_from_model(Open)
+
+
+def test_attribute_report_of_an_empty_table(spark):
+    some = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    rows = {r["column"]: r for r in evaluate.attribute_report(some, some.limit(0), ["k", "n"]).collect()}
+    assert set(rows) == {"k", "n"} and all(r.tv == 1.0 and r.synthetic_present == 0 and r.original_present == 2 for r in rows.values())
+
+
+def test_aligned_and_categorical_columns(spark):
+    some = spark.createDataFrame([("a", "1", "2.5"), ("b", None, "NaN")], "k string, n string, x string")
+    assert evaluate.aligned(some, some.select("n", "k")).columns == ["n", "k"]
+    assert evaluate.categorical_columns(some, ["x", "n", "k"]) == ["x", "k"]
+    with pytest.raises(ValueError, match="lacks"):
+        evaluate.aligned(some.select("k"), some)
