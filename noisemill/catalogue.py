@@ -212,6 +212,17 @@ def one_way_counts_dense(spark, sf):
     return counts.dense_counts(codec.encode_table(table(spark, sf, "part"), _ROOMY), _ROOMY)
 
 
+@query("WITH d AS (SELECT 'p_type' AS \"column\", range AS code FROM range(8) UNION ALL SELECT 'p_size', range FROM range(3)), t AS (" + coded(_ROOMY, "part") + "), c AS (SELECT 'p_type' AS \"column\", CAST(p_type AS BIGINT) AS code, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS BIGINT), count(*) FROM t GROUP BY 2), e AS (SELECT \"column\", CASE WHEN \"column\" = 'p_type' AND code IN (1, 2) OR \"column\" = 'p_size' AND code = 1 THEN code ELSE -1 END AS bin, coalesce(n, 0) AS n FROM d LEFT JOIN c USING (\"column\", code)) SELECT \"column\", bin, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / sqrt(count(*)), 6) AS scaled FROM e GROUP BY ALL")
+def compressed_counts(spark, sf):
+    common = spark.createDataFrame([("p_type", 1), ("p_type", 2), ("p_size", 1)], "column string, code long")
+    return counts.compressed(one_way_counts_dense(spark, sf), common).withColumn("scaled", F.round("scaled", 6))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_linenumber")))
+def min_max_per_column(spark, sf):
+    return counts.ends(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_linenumber"])
+
+
 @query("WITH t AS (" + coded(ORDERS, "orders") + ") SELECT o_orderstatus, o_totalprice, count(*) AS n FROM t GROUP BY ALL")
 def marginal_2way(spark, sf):
     return counts.marginal(codec.encode_table(table(spark, sf, "orders"), ORDERS), ("o_orderstatus", "o_totalprice"))
@@ -269,6 +280,11 @@ def independence_error_pairs(spark, sf):
     return synthesis.pair_errors(table(spark, sf, "orders"), ORDERS).withColumn("error", F.round("error", 4))
 
 
+@query("SELECT clique, error, row_number() OVER (ORDER BY error DESC, clique)::INT AS place FROM (" + _independence_sql() + ") ORDER BY place LIMIT 2")
+def largest_error_pairs(spark, sf):
+    return counts.largest_errors(independence_error_pairs(spark, sf), 2)
+
+
 # ---- evaluation: two parts of a table, told apart by the key, stand for original and synthetic
 
 

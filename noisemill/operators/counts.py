@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisemill.functions.codec import linear_index
@@ -64,6 +64,26 @@ def grouping_sets(df: DataFrame, workload: list[tuple[str, ...]]) -> DataFrame:
     return df.select(F.inline(sets)).groupBy("clique", *columns).agg(F.count("*").alias("n"))
 
 
+def compressed(counts: DataFrame, common: DataFrame) -> DataFrame:
+    """(column, bin, n, scaled) of a dense count table: a common code is a bin of its own, all others
+    of its column share bin -1.
+
+    ``common`` lists (column, code). ``scaled`` is the count over the root of the bin's number of
+    codes: noise of one size on every code has that size on ``scaled`` too. Both tables have the
+    domain's size; a common code without a count has no row.
+    """
+    kept = common.select("column", "code").distinct().withColumn("_kept", F.lit(True))
+    bins = counts.join(kept, ["column", "code"], "left").withColumn("bin", F.when(F.col("_kept"), F.col("code")).otherwise(F.lit(-1).cast("long")))
+    return bins.groupBy("column", "bin").agg(F.sum("n").alias("n"), (F.sum("n") / F.sqrt(F.count("*"))).alias("scaled"))
+
+
+def ends(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, low, high): least and greatest number of each column, in one pass; nulls and NaN left
+    out, null ends where nothing is left. Not private: for columns whose range is public."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def cells_of(schema: Schema, clique: tuple[str, ...]) -> int:
     return prod(schema[c].size for c in clique)
 
@@ -109,3 +129,12 @@ def independence_errors(counts: DataFrame, singles: DataFrame, schema: Schema, w
     names = spark.createDataFrame([(k, "|".join(c)) for k, c in enumerate(workload)], "clique int, name string")
     error = F.coalesce(F.col("seen") + F.greatest(total * (1 - F.col("p")), F.lit(0.0)), F.lit(total))
     return names.join(each, "clique", "left").select(F.col("name").alias("clique"), error.alias("error"))
+
+
+def largest_errors(errors: DataFrame, most: int) -> DataFrame:
+    """The ``most`` cliques of an ``independence_errors`` table that are wrong most, ties by name, with ``place`` from 1."""
+    if most < 1:
+        raise ValueError("most must be at least 1")
+    # as many rows as the feature asks for, so that ranking them in one task is bounded
+    top = errors.orderBy(F.desc("error"), "clique").limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("error"), "clique")))

@@ -22,6 +22,7 @@ def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, eps
     Keys are new: a parent's row number, and children's row numbers below it. Each table is written
     out once it is drawn. Noise comes from the operating system; a ``seed`` is for tests only.
     """
+    relations.check_columns({n: t.columns for n, t in tables.items()})
     spark = next(iter(tables.values())).sparkSession
     rng = np.random.default_rng(seed)
     links = [k for _, k in relations.order() if k is not None]

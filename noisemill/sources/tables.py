@@ -121,6 +121,12 @@ def save_model(spark: SparkSession, model: TreeModel, path: str) -> None:
     spark.createDataFrame(rows, "column string, shape array<int>, shares array<double>, head string").coalesce(1).write.parquet(path)
 
 
+def write_log(spark: SparkSession, model: TreeModel, path: str) -> None:
+    """The fit's rounds as text, one JSON object a line; first a line of the total and the columns' order."""
+    lines = [{"total": model.total, "order": model.order, "parents": model.parents}, *model.log]
+    spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.text(path)
+
+
 def load_model(spark: SparkSession, path: str) -> TreeModel:
     rows = spark.read.parquet(path).collect()
     head = json.loads(next(r["head"] for r in rows if not r["column"]))
@@ -146,17 +152,24 @@ def _choices(kind: type) -> tuple[str, ...] | None:
     return tuple(str(e.value) for e in kind) if isinstance(kind, type) and issubclass(kind, enum.Enum) else None
 
 
+def _plain(kind: type) -> tuple[type, list, bool]:
+    """The type below Optional and Annotated, its marks, and whether None is allowed."""
+    marks, optional = [], type(None) in get_args(kind)
+    if optional:
+        kind = next(a for a in get_args(kind) if a is not type(None))
+    if get_origin(kind) is Annotated:
+        kind, *more = get_args(kind)
+        marks = [m for x in more for m in (x, *getattr(x, "metadata", ()))]
+    return kind, marks, optional
+
+
 def schema_from_model(model: type) -> Schema:
     """The schema of a pydantic model: bounded numbers, Literal, Enum and bool fields as text
     categories. An optional number isn't clipped; an optional category has the value None."""
     out: Schema = {}
     for name, f in model.model_fields.items():
-        kind, marks, optional = f.annotation, list(f.metadata), False
-        if type(None) in get_args(kind):
-            kind, optional = next(a for a in get_args(kind) if a is not type(None)), True
-        if get_origin(kind) is Annotated:
-            kind, *more = get_args(kind)
-            marks += [m for x in more for m in (x, *getattr(x, "metadata", ()))]
+        kind, more, optional = _plain(f.annotation)
+        marks = [*f.metadata, *more]
         if kind in (int, float) and (ends := _bounds(kind, marks)):
             out[name] = Numerical(*ends, integer=kind is int, clip=not optional)
         elif values := _choices(kind):
@@ -182,6 +195,8 @@ def from_records(spark: SparkSession, records: Iterable, schema: Schema) -> Data
 
 
 def to_records(df: DataFrame, model: type) -> Iterator:
-    """The rows as objects, fetched partition by partition."""
+    """The rows as objects, fetched partition by partition; numbers of the model's int fields are rounded."""
+    whole = {n for n, f in getattr(model, "model_fields", {}).items() if _plain(f.annotation)[0] is int}
     for r in df.toLocalIterator(prefetchPartitions=True):
-        yield model(**{k: None if v == "None" or isinstance(v, float) and v != v else v for k, v in r.asDict().items()})
+        row = {k: None if v == "None" or isinstance(v, float) and v != v else v for k, v in r.asDict().items()}
+        yield model(**{k: round(v) if k in whole and isinstance(v, float) else v for k, v in row.items()})

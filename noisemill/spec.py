@@ -157,6 +157,15 @@ class Relations:
             raise ValueError("the foreign keys have a cycle")
         return out
 
+    def check_columns(self, columns: dict[str, list[str]]) -> None:
+        """An error unless each table is given, with its declared columns and its keys."""
+        for name, own in self.tables.items():
+            if name not in columns:
+                raise ValueError(f"no table {name}")
+            keys = [k.parent_key for k in self.keys if k.parent == name] + [k.child_key for k in self.keys if k.child == name]
+            if missing := sorted({*own, *keys} - set(columns[name])):
+                raise ValueError(f"{name} lacks {missing}")
+
     def sensitivities(self, per_root: int = 1) -> dict[str, int]:
         """How many rows of each link's parent one root row can touch."""
         reach, out = {}, {}

@@ -27,6 +27,26 @@ def test_exact_marginals(spark):
     assert [r.n for r in dense] == [0, 0, 4, 0]
 
 
+def test_compressed_counts(spark):
+    dense = spark.createDataFrame([("a", k, n) for k, n in enumerate((8, 1, 0, 2, 3))] + [("b", 0, 5)], "column string, code long, n long")
+    common = spark.createDataFrame([("a", 0), ("a", 0)], "column string, code long")
+    got = sorted(map(tuple, counts.compressed(dense, common).collect()))
+    assert got == [("a", -1, 6, 3.0), ("a", 0, 8, 8.0), ("b", -1, 5, 5.0)]
+
+
+def test_ends(spark):
+    df = spark.createDataFrame([(1.5, None), (float("nan"), None), (None, None), (-2.0, None)], "x double, y int")
+    assert sorted(map(tuple, counts.ends(df, ["x", "y"]).collect())) == [("x", -2.0, 1.5), ("y", None, None)]
+    assert counts.ends(df.limit(0), ["x", "y"]).collect() == []
+
+
+def test_largest_errors_by_name_on_ties(spark):
+    errors = spark.createDataFrame([("c", 1.0), ("b", 2.0), ("a", 1.0)], "clique string, error double")
+    assert [tuple(r) for r in counts.largest_errors(errors, 2).orderBy("place").collect()] == [("b", 2.0, 1), ("a", 1.0, 2)]
+    with pytest.raises(ValueError):
+        counts.largest_errors(errors, 0)
+
+
 def test_empty_table_has_zero_counts(spark):
     df = spark.createDataFrame([], "c0 int, c1 int, c2 int")
     assert {r.n for r in counts.dense_counts(df, THREE).collect()} == {0}
@@ -259,6 +279,38 @@ def test_records(spark):
     assert sorted(tables.to_records(df, lambda **k: tuple(k.values()))) == [(0, "v"), (4, "u")]
 
 
+def test_records_round_whole_numbers(spark):
+    from typing import Optional
+
+    pydantic = pytest.importorskip("pydantic")
+
+    class Row(pydantic.BaseModel):
+        n: int
+        m: Optional[int] = None
+        x: float
+
+    df = spark.createDataFrame([(1.6, float("nan"), 1.6), (2.0, 3.4, 0.5)], "n double, m double, x double")
+    assert sorted(((r.n, r.m, r.x) for r in tables.to_records(df, Row)), key=lambda r: r[2]) == [(2, 3, 0.5), (2, None, 1.6)]
+
+
+def test_log_of_a_fit_as_text(spark, tmp_path):
+    import json
+
+    model = synthesis.TreeModel(THREE, 4.0, ["c0"], {"c0": None}, {"c0": np.ones(2) / 2}, [{"round": 0, "clique": "c0|c1", "rho": 0.5}])
+    tables.write_log(spark, model, str(tmp_path / "log"))
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert got == [{"total": 4.0, "order": ["c0"], "parents": {"c0": None}}, *model.log]
+
+
+def test_missing_columns_are_told():
+    rel = Relations((KEY,), {"households": {"c": Categorical((1, 2))}, "persons": {"n": Numerical(0, 9)}})
+    have = {"households": ["c", KEY.parent_key, "more"], "persons": ["n", KEY.child_key]}
+    rel.check_columns(have)
+    for bad in ({**have, "persons": ["n"]}, {**have, "households": [KEY.parent_key]}, {"persons": have["persons"]}):
+        with pytest.raises(ValueError):
+            rel.check_columns(bad)
+
+
 def test_answers(spark):
     schema = {"k": Categorical(("none", "a")), "x": Numerical(1, 5), "t": OpenSet("")}
     rows = ['```json\n{"k": "a", "x": 2, "more": 1}\n```', '{"k": null}', "sorry", "", None, '[{"k": "a"}]']
