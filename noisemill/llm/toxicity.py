@@ -28,6 +28,33 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([span_hashes(values, starts, ends), prefixes]), np.concatenate([rows, rows[long]])
 
 
+def _hits(known: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in ``known``, which is sorted, of each of its features that a row holds, once, by row."""
+    if not len(known) or not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = np.flatnonzero(known[at] == hashes)
+    pairs = np.unique(rows[hit] * len(known) + at[hit])
+    return pairs // len(known), pairs % len(known)
+
+
+_COUNTED = pa.schema([("hash", pa.int64()), ("in_p", pa.int64()), ("in_u", pa.int64())])
+
+
+def _text_counts(batches):
+    """In how many positive and unlabelled texts of a slice each feature is."""
+    for x in slices(batches):
+        hashes, rows = _features(x.column("text"))
+        order = np.lexsort((rows, hashes))
+        hashes, rows = hashes[order], rows[order]
+        first = np.ones(len(rows), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+        names, at = np.unique(hashes[first], return_inverse=True)
+        positive = x.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+        in_p = np.bincount(at, positive[rows[first]], len(names)).astype(np.int64)
+        yield batch(_COUNTED, names.view(np.int64), in_p, np.bincount(at, minlength=len(names)) - in_p)
+
+
 @dataclass
 class ToxicityModel:
     """A weight for each feature that a text may hold, by sorted hash, and the bias."""
@@ -40,11 +67,9 @@ class ToxicityModel:
     def margins(self, column: pa.Array) -> np.ndarray:
         hashes, rows = _features(column)
         out = np.full(len(column), self.bias)
-        if len(self.hashes) and len(hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = np.flatnonzero(self.hashes[at] == hashes)
-            pairs = np.unique(rows[hit] * len(self.hashes) + at[hit])
-            out += np.bincount(pairs // len(self.hashes), self.weights[pairs % len(self.hashes)], len(column))
+        rows, at = _hits(self.hashes, hashes, rows)
+        if len(at):
+            out += np.bincount(rows, self.weights[at], len(column))
         return out
 
 
@@ -100,39 +125,32 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     rest = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(draw, "doc_id").limit(unlabelled).withColumn("positive", F.lit(False))
     # the sample has at most positives + unlabelled ids: small enough to broadcast at any size of the corpus
     sample = id_text(docs).join(F.broadcast(chosen.unionByName(rest)), "doc_id").select("text", "positive")
+    n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    if not n_p or not n_u:
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
+    # features are counted and chosen in Spark: texts of any length send the driver the chosen ones only
+    usual = (F.col("in_u") + 1) / (n_u + 2)
+    excess = (F.col("in_p") - n_p * usual) / F.sqrt(n_p * usual * (1 - usual))
+    counted = sample.mapInArrow(_text_counts, "hash long, in_p long, in_u long").groupBy("hash").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    best = counted.where("in_p >= 3").select("hash", excess.alias("excess")).where(F.col("excess") >= EXCESS)
+    names = np.sort(np.array([r.hash for r in best.orderBy(F.desc("excess"), "hash").limit(features).collect()], np.int64).view(np.uint64))
     schema = pa.schema([("positive", pa.bool_()), ("features", pa.binary())])
 
-    def extract(batches):
+    def chosen_of(batches):
         for x in slices(batches):
-            hashes, owner = _features(x.column("text"))
-            order = np.argsort(owner, kind="stable")
-            ends = np.cumsum(np.bincount(owner, minlength=x.num_rows))
-            parts = np.split(hashes[order], ends[:-1])
-            yield batch(schema, x.column("positive"), [np.unique(p).tobytes() for p in parts])
+            rows, at = _hits(names, *_features(x.column("text")))
+            parts = np.split(at.astype(np.int32), np.searchsorted(rows, np.arange(1, x.num_rows)))
+            yield batch(schema, x.column("positive"), [part.tobytes() for part in parts])
 
-    seen = sample.mapInArrow(extract, "positive boolean, features binary").collect()
+    seen = sample.mapInArrow(chosen_of, "positive boolean, features binary").collect()
     positive = np.array([r.positive for r in seen], bool)
-    if not positive.any() or positive.all():
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
-    each = [np.frombuffer(r.features, np.uint64) for r in seen]
-    names, at = np.unique(np.concatenate(each), return_inverse=True)
-    owner = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    in_p = np.bincount(at[positive[owner]], minlength=len(names))
-    in_u = np.bincount(at[~positive[owner]], minlength=len(names))
-    usual = (in_u + 1) / ((~positive).sum() + 2)
-    excess = (in_p - positive.sum() * usual) / np.sqrt(positive.sum() * usual * (1 - usual))
-    gain = np.where(in_p >= 3, excess, 0.0)
-    order = np.argsort(-gain, kind="stable")[:features]
-    best = np.sort(order[gain[order] >= EXCESS])
-    column = np.full(len(names), -1)
-    column[best] = np.arange(len(best))
-    x = np.zeros((len(each), len(best)), np.float32)
-    use = column[at] >= 0
-    x[owner[use], column[at[use]]] = 1
+    x = np.zeros((len(seen), len(names)), np.float32)
+    for k, r in enumerate(seen):
+        x[k, np.frombuffer(r.features, np.int32)] = 1
     weights, bias = fit_nnpu(x, positive, prior)
     # few positives leave the bias too high: a text without any feature is at most as likely as any text
     bias = min(bias, float(np.log(prior / (1 - prior))))
-    return ToxicityModel(names[best], weights, bias, prior)
+    return ToxicityModel(names, weights, bias, prior)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
