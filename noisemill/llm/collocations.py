@@ -281,14 +281,17 @@ def _ranked(groups: DataFrame, frequent: DataFrame, sizes: DataFrame, longest: i
     shorter = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda at: F.slice("name", at, k))))
     above = candidates.where(size > 2).select(F.explode(shorter).alias("name"), F.col("a").alias("more")).groupBy("name").agg(F.max("more").alias("more"))
     open_ = candidates.join(above, "name", "left").where((F.coalesce("more", F.lit(0)) * 100 < F.col("a") * inside)).drop("more")
+    open_ = materialize(open_, "candidates")
     cuts = open_.select("name", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    cuts = cuts.select("*", F.slice("name", F.lit(1), F.col("k")).alias("left"), F.expr("slice(name, k + 1, size(name) - k)").alias("right"))
-    for side, short in (("left", "l"), ("right", "r")):
-        cuts = spread_join(cuts, groups.select(F.col("name").alias(side), F.col("a").alias(short)), side, "name")
+    sides = F.array(F.struct(F.lit("l").alias("side"), F.slice("name", F.lit(1), F.col("k")).alias("part")), F.struct(F.lit("r").alias("side"), F.slice("name", F.col("k") + 1, size - F.col("k")).alias("part")))
+    halves = spread_join(cuts.select("*", F.inline(sides)), groups.select(F.col("name").alias("part"), F.col("a").alias("often")), "part", "name")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("often"))).alias(side)
+    cuts = halves.groupBy("name", "a", "k").agg(of("l"), of("r"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     cuts = cuts.withColumn("top", F.lit(1000000).cast("decimal(7,0)") * wide("a") * wide("a")).withColumn("low", wide("l") * wide("r"))
     cuts = cuts.withColumn("score", F.expr("top div low"))
     scored = cuts.groupBy("name", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut")).select("name", "a", "cut.score", "cut.l", "cut.r")
+    scored = materialize(scored, "scores")
     parts = scored.select("*", F.posexplode("name").alias("place", "names"))
     parts = spread_join(parts, frequent.select("names", F.col("langs").alias("lang"), F.col("words").alias("word")), "names", "name")
     phrase = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ")
