@@ -34,15 +34,26 @@ _ONES = pa.schema(
         ("words", pa.list_(pa.string())),
         ("langs", pa.list_(pa.string())),
         ("counts", pa.list_(pa.int32())),
-        ("codes", pa.list_(pa.int32())),
-        ("starts", pa.list_(pa.int32())),
+        ("codes", pa.binary()),
+        ("starts", pa.binary()),
     ]
 )
-_ONES_SQL = "block long, names array<long>, words array<string>, langs array<string>, counts array<int>, codes array<int>, starts array<int>"
+_ONES_SQL = "block long, names array<long>, words array<string>, langs array<string>, counts array<int>, codes binary, starts binary"
 _KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _KEPT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary())])
-_LONGER = pa.schema([("block", pa.int64()), ("names", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
-_GROUPS = pa.schema([("name", pa.list_(pa.int64())), ("n", pa.int64())])
+_LONGER = pa.schema([("block", pa.int64()), ("names", pa.list_(pa.int64())), ("codes", pa.binary()), ("starts", pa.binary()), ("at", pa.binary())])
+
+
+def _packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers of 31 bits, rising ones by their steps, compressed."""
+    values = np.diff(values, prepend=0) if rising else values
+    return len(values).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(values.astype(np.int32).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    values = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 4 * n, asbytes=True), np.int32)
+    return np.cumsum(values) if rising else values
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -73,12 +84,15 @@ def _ones(batches: Iterator[pa.RecordBatch], salt: int, block_bytes: int) -> Ite
         lowered = LOWER[data]
         names = mix((span_hashes(LOWER_VALUES[data], starts, ends) ^ np.uint64(salt)) * _ODD + lang_names[lang_of])
         known, first, codes, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        often = np.argsort(-counts, kind="stable")
+        codes = np.argsort(often)[codes]
+        known, first, counts = known[often], first[often], counts[often]
         ended = np.cumsum(_PIECE_END[data])[starts]
         new = np.ones(len(starts), bool)
         new[1:] = (row[1:] != row[:-1]) | (ended[1:] != ended[:-1])
         text = _gather(lowered, starts[first], ends[first])
         lang = langs.dictionary.take(pa.array(lang_of[first]))
-        yield batch(_ONES, [number], *_lists(known.view(np.int64), text, lang, counts.astype(np.int32), codes.astype(np.int32), np.flatnonzero(new).astype(np.int32)))
+        yield batch(_ONES, [number], *_lists(known.view(np.int64), text, lang, counts.astype(np.int32)), [_packed(codes)], [_packed(np.flatnonzero(new), True)])
         number += 1
 
 
@@ -88,23 +102,31 @@ def _exact(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return span_hashes(values, offsets[:-1], offsets[1:]) if len(data) else np.zeros(len(offsets) - 1, np.uint64)
 
 
-def _column(rows: pa.RecordBatch, name: str, k: int) -> np.ndarray:
-    return rows.column(name)[k].values.to_numpy(zero_copy_only=False)
+def _names(rows: pa.RecordBatch, k: int) -> np.ndarray:
+    return rows.column("names")[k].values.to_numpy(zero_copy_only=False)
+
+
+def _codes(rows: pa.RecordBatch, k: int) -> np.ndarray:
+    return _unpacked(rows.column("codes")[k].as_py())
+
+
+def _rising(rows: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+    return _unpacked(rows.column(name)[k].as_py(), True)
 
 
 def _phrases(rows: pa.RecordBatch, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Where phrases of a length begin in a block, and its words: R_(length - 1) merged with itself by piece
     and adjacent position, for pairs R_1 with R_1."""
-    codes = _column(rows, "codes", k)
+    codes = _codes(rows, k)
     piece = np.zeros(len(codes), np.int32)
-    piece[_column(rows, "starts", k)] = 1
+    piece[_rising(rows, "starts", k)] = 1
     piece = np.cumsum(piece)
     if length == 2:
         at = np.flatnonzero(piece[1:] == piece[:-1])
     else:
-        before = _column(rows, "at", k)
+        before = _rising(rows, "at", k)
         follows = np.flatnonzero(before[1:] == before[:-1] + 1)
-        at = before[follows].astype(np.int64)
+        at = before[follows]
         at = at[piece[at] == piece[at + length - 1]]
     return at, codes
 
@@ -124,7 +146,7 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Itera
             at, codes = _phrases(rows, k, length)
             if not len(at):
                 continue
-            hashed = _hashed(_column(rows, "names", k), codes, at, length)
+            hashed = _hashed(_names(rows, k), codes, at, length)
             whole = ((hashed >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
             whole, counts = np.unique(whole, return_counts=True)
             bucket = (whole >> np.uint64(32)).astype(np.int64)
@@ -175,7 +197,7 @@ def _reduced(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
             kept = [np.frombuffer(x["keys"].as_py(), np.uint32).astype(np.uint64) | np.uint64(x["bucket"].as_py() << 32) for x in rows.column("kept")[k]]
             kept = np.sort(np.concatenate(kept))
             at, codes = _phrases(rows, k, length)
-            names = _column(rows, "names", k)
+            names = _names(rows, k)
             hashed = _hashed(names, codes, at, length)
             whole = ((hashed >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (hashed & np.uint64(0xFFFFFFFF))
             place = np.minimum(np.searchsorted(kept, whole), len(kept) - 1)
@@ -186,39 +208,39 @@ def _reduced(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
             needed = needed[:-1]
             # a piece's kept words may lie apart: each run of them begins a piece of its own
             starts = np.zeros(len(codes), bool)
-            starts[_column(rows, "starts", k)] = True
+            starts[_rising(rows, "starts", k)] = True
             starts[1:] |= needed[1:] & ~needed[:-1]
             new = np.cumsum(needed) - 1
             used, again = np.unique(codes[needed], return_inverse=True)
-            yield batch(_LONGER, [rows.column("block")[k].as_py()], *_lists(names[used], again.astype(np.int32), np.flatnonzero(starts[needed]).astype(np.int32), new[at].astype(np.int32)))
+            yield batch(_LONGER, [rows.column("block")[k].as_py()], *_lists(names[used]), [_packed(again)], [_packed(np.flatnonzero(starts[needed]), True)], [_packed(new[at], True)])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], length: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """(name, n): a block's distinct phrases of R_length, and of those that are one word longer where
-    these are the ``longest``."""
+    """Words' names and n: a block's distinct phrases of R_length, and of those that are one word longer
+    where these are the ``longest``; shorter ones end in nulls."""
+    schema = pa.schema([*((f"w{j}", pa.int64()) for j in range(longest)), ("n", pa.int64())])
     for rows in batches:
         for k in range(rows.num_rows):
-            names, codes = _column(rows, "names", k), _column(rows, "codes", k)
-            sets = [(length, _column(rows, "at", k).astype(np.int64))]
+            names, codes = _names(rows, k), _codes(rows, k)
+            sets = [(length, _rising(rows, "at", k))]
             if length + 1 == longest:
                 sets.append((longest, _phrases(rows, k, longest)[0]))
             for size, at in sets:
                 if not len(at):
                     continue
                 whole = names[codes[at[:, None] + np.arange(size)]]
-                order = np.argsort(_hashed(names, codes, at, size), kind="stable")
-                whole = whole[order]
+                whole = whole[np.argsort(_hashed(names, codes, at, size), kind="stable")]
                 # two phrases of one hash stand apart, each perhaps in several runs
                 first = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]).any(1)))
-                counts = np.diff(np.append(first, len(whole)))
-                whole = whole[first]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * size), pa.array(whole.ravel()))
-                yield batch(_GROUPS, flat, counts)
+                none = [pa.nulls(len(first), pa.int64())] * (longest - size)
+                yield batch(schema, *(pa.array(np.ascontiguousarray(whole[first, j])) for j in range(size)), *none, np.diff(np.append(first, len(whole))))
 
 
 def _counted(relation: DataFrame, length: int, longest: int, least: int) -> DataFrame:
-    groups = relation.mapInArrow(lambda x: _groups(x, length, longest), "name array<long>, n long")
-    return groups.groupBy("name").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    ws = [f"w{j}" for j in range(longest)]
+    groups = relation.mapInArrow(lambda x: _groups(x, length, longest), ", ".join(f"{w} long" for w in [*ws, "n"]))
+    counted = groups.groupBy(*ws).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    return counted.select(F.filter(F.array(*ws), lambda w: w.isNotNull()).alias("name"), "a")
 
 
 def occurrences(docs: DataFrame, block_bytes: int = 1 << 22, salt: int = 0) -> DataFrame:
@@ -228,7 +250,7 @@ def occurrences(docs: DataFrame, block_bytes: int = 1 << 22, salt: int = 0) -> D
     return texts.mapInArrow(lambda x: _ones(x, salt, block_bytes), _ONES_SQL)
 
 
-def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, most: int = 2000, block_bytes: int = 1 << 22, bucket_keys: int = 1 << 22) -> DataFrame:
+def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, most: int = 2000, block_bytes: int = 1 << 22, bucket_keys: int = 1 << 21) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's ``most`` first collocations.
 
     A candidate is a phrase of 2 to ``longest`` words within a piece that occurs ``least`` times or more;
@@ -255,23 +277,27 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, m
             break
         discard(ones, vocabulary)
         salt += 1
-    sizes = vocabulary.groupBy(F.col("langs").alias("lang")).agg(F.sum("f").alias("n"))
-    ones_, total = ones.select("block", "names", "codes", "starts"), vocabulary.agg(F.sum("f")).first()[0] or 0
-    frequent = vocabulary.where(F.col("f") >= least)
+    sizes = materialize(vocabulary.groupBy(F.col("langs").alias("lang")).agg(F.sum("f").alias("n")), "langs")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    frequent = materialize(vocabulary.where(F.col("f") >= least), "frequent")
+    discard(vocabulary)
     counts = [frequent.select(F.array("names").alias("name"), F.col("f").alias("a"))]
-    relation, buckets = ones_, max(16, -(-total // bucket_keys))
+    relation, buckets, written = ones.select("block", "names", "codes", "starts"), max(16, -(-total // bucket_keys)), [ones]
     for length in range(2, max(3, longest)):
         before = relation
         keys = before.mapInArrow(lambda x, k=length: _keys(x, k, buckets), "bucket int, block long, keys binary, counts binary")
         kept = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: _frequent(x, least), "block long, bucket int, keys binary")
         kept = kept.groupBy("block").agg(F.collect_list(F.struct("bucket", "keys")).alias("kept"))
         joined = before.join(kept, "block")
-        relation = materialize(joined.mapInArrow(lambda x, k=length: _reduced(x, k, buckets), "block long, names array<long>, codes array<int>, starts array<int>, at array<int>"), f"phrases{length}")
-        counts.append(_counted(relation, length, longest, least))
+        relation = materialize(joined.mapInArrow(lambda x, k=length: _reduced(x, k, buckets), "block long, names array<long>, codes binary, starts binary, at binary"), f"phrases{length}")
+        counts.append(materialize(_counted(relation, length, longest, least), f"counts{length}"))
+        discard(written.pop())
+        written.append(relation)
     every = counts[0]
     for x in counts[1:]:
         every = every.unionByName(x)
-    return _ranked(materialize(every, "groups"), frequent, sizes, longest, inside, most)
+    discard(*written)
+    return _ranked(every, frequent, sizes, longest, inside, most)
 
 
 def _ranked(groups: DataFrame, frequent: DataFrame, sizes: DataFrame, longest: int, inside: int, most: int) -> DataFrame:
