@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noisemill.functions import codec
 from noisemill.operators import annotate, counts, evaluate, private, relational
-from noisemill.plans import families, synthesis
+from noisemill.plans import cliques, families, synthesis
 from noisemill.spec import Categorical, Constraint, ForeignKey, Numerical, OpenSet, Relations, Schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,6 +611,73 @@ def infer_domain_from_marginals(spark, sf):
     return synthesis.domain_values([orders.groupBy("o_orderstatus", "o_orderpriority").count(), orders.groupBy("o_orderpriority").count()])
 
 
+# ---- models over cliques
+
+_RING = [("l_returnflag", "l_linestatus"), ("l_linestatus", "l_quantity"), ("l_quantity", "l_discount"), ("l_returnflag", "l_discount")]
+_RING_SQL = f"WITH t AS ({coded(LINES, 'lineitem')}), " + ", ".join(f"f{k} AS (SELECT {', '.join(c)}, count(*) / (SELECT count(*) FROM t)::DOUBLE AS v{k} FROM t GROUP BY ALL)" for k, c in enumerate(_RING))
+_RING_SQL += ", j AS (SELECT l_returnflag, l_linestatus, l_quantity, l_discount, v0 * v1 * v2 * v3 AS v FROM f0 JOIN f1 USING (l_linestatus) JOIN f2 USING (l_quantity) JOIN f3 USING (l_returnflag, l_discount))"
+
+
+@query(_RING_SQL + " SELECT 'l_linestatus' AS \"column\", l_linestatus AS code, round(sum(v), 12) AS value FROM j GROUP BY ALL UNION ALL SELECT 'l_returnflag', l_returnflag, round(sum(v), 12) FROM j GROUP BY ALL UNION ALL SELECT 'l_quantity', l_quantity, round(sum(v), 12) FROM j GROUP BY ALL UNION ALL SELECT 'l_discount', l_discount, round(sum(v), 12) FROM j GROUP BY ALL")
+def clique_tree_marginals(spark, sf):
+    """A ring of four factors, which a junction tree of two triples holds: each column's sums of their product."""
+    codes = codec.encode_table(table(spark, sf, "lineitem"), LINES)
+    n = codes.count()
+    factors = [(c, codes.groupBy(*c).agg((F.count("*") / F.lit(float(n))).alias("value"))) for c in _RING]
+    tree = cliques.junction_tree(LINES, _RING)
+    out = None
+    for clique, belief in zip(tree.cliques, cliques.calibrate(factors, tree, LINES), strict=True):
+        for c in clique:
+            part = belief.groupBy(F.lit(c).alias("column"), F.col(c).alias("code")).agg(F.round(F.sum("value"), 12).alias("value"))
+            out = part if out is None else out.unionByName(part)
+    return out.where("value > 0").distinct()
+
+
+_TRIPLE = tuple(ORDERS)
+_ORDER_CODES = f"WITH t AS ({coded(ORDERS, 'orders')})"
+
+
+@query(_ORDER_CODES + " SELECT *, count(*)::DOUBLE AS n FROM t GROUP BY ALL")
+def clique_model_exact(spark, sf):
+    """A clique of three columns, measured without noise and fitted: the model's joint counts are the table's."""
+    codes = codec.encode_table(table(spark, sf, "orders"), ORDERS)
+    model = synthesis.synthesize_codes(codes, ORDERS, float("inf"), np.random.default_rng(), "direct", [_TRIPLE])
+    counts = model.total * model.marginal(_TRIPLE)
+    rows = [(*map(int, at), float(round(counts[at], 3))) for at in np.ndindex(counts.shape) if round(counts[at], 3) > 0]
+    return spark.createDataFrame(rows, "o_orderstatus int, o_orderpriority int, o_totalprice int, n double")
+
+
+_ERROR_SQL = _ORDER_CODES + ", a AS (SELECT o_orderstatus, o_totalprice, count(*)::DOUBLE AS x FROM t GROUP BY ALL), b AS (SELECT o_orderstatus, o_orderpriority, count(*)::DOUBLE AS y FROM t GROUP BY ALL), s AS (SELECT o_orderstatus, count(*)::DOUBLE AS z FROM t GROUP BY ALL), m AS (SELECT o_orderstatus, o_orderpriority, o_totalprice, x * y / z AS e FROM a JOIN b USING (o_orderstatus) JOIN s USING (o_orderstatus)), c AS (SELECT *, count(*)::DOUBLE AS n FROM t GROUP BY ALL)"
+
+
+@query(_ERROR_SQL + ", p AS (SELECT o_orderpriority, o_totalprice, sum(e) AS e FROM m GROUP BY ALL), q AS (SELECT o_orderpriority, o_totalprice, sum(n) AS n FROM c GROUP BY ALL) SELECT 'o_orderpriority|o_totalprice' AS clique, round(sum(abs(coalesce(n, 0) - coalesce(e, 0))), 4) AS error FROM p FULL JOIN q USING (o_orderpriority, o_totalprice) UNION ALL SELECT 'o_orderstatus|o_orderpriority|o_totalprice', round(sum(abs(coalesce(n, 0) - coalesce(e, 0))), 4) FROM m FULL JOIN c USING (o_orderstatus, o_orderpriority, o_totalprice)")
+def model_errors(spark, sf):
+    """How far the table lies from a model of two of its pairs, on the third pair and on all three columns."""
+    codes = codec.encode_table(table(spark, sf, "orders"), ORDERS)
+    known = [("o_orderstatus", "o_totalprice"), ("o_orderstatus", "o_orderpriority")]
+    model = synthesis.synthesize_codes(codes, ORDERS, float("inf"), np.random.default_rng(), "direct", known)
+    tables = {e: model.pair(*e) for e in known}
+    fitted = cliques.fit_cliques(ORDERS, tables, model.total)
+    asked = [("o_orderpriority", "o_totalprice"), _TRIPLE]
+    return cliques.model_errors(counts.marginals(codes, ORDERS, asked), fitted, asked).withColumn("error", F.round("error", 4))
+
+
+_WORKLOAD = {("l_returnflag", "l_linestatus", "l_quantity"): 2.0, ("l_quantity", "l_discount"): 1.0, ("l_linestatus", "l_shipdate"): 0.5}
+_PART_COLUMNS = sorted({c for w in _WORKLOAD for c in w})
+_SIZES_SQL = "WITH s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS n FROM lineitem" for c in _PART_COLUMNS) + ")"
+_WORKLOAD_SQL = ", ".join(f"({w}, {list(c)})" for c, w in _WORKLOAD.items())
+
+
+@query(_SIZES_SQL + f", w(weight, cs) AS (VALUES {_WORKLOAD_SQL}), i AS (SELECT unnest(cs) AS c, cs FROM w), p AS (SELECT DISTINCT list_sort([c]) AS part FROM i UNION SELECT DISTINCT list_sort([a.c, b.c]) FROM i a JOIN i b ON a.cs = b.cs AND a.c < b.c UNION SELECT DISTINCT list_sort(cs) FROM w WHERE len(cs) = 3), z AS (SELECT part, (SELECT CAST(product(n) AS BIGINT) FROM s WHERE list_contains(part, c)) AS cells, (SELECT sum(n) FROM s WHERE NOT list_contains(part, c)) AS others FROM p) SELECT array_to_string(part, '|') AS clique, cells, (SELECT sum(weight * len(list_intersect(cs, part))) FROM w)::DOUBLE AS score, CAST(cells + others AS BIGINT) AS tree_cells, cells + others <= 3000 AS within FROM z")
+def workload_scores(spark, sf):
+    """Scores and sizes of every part of a workload, over the numbers of values that the table has."""
+    lines = table(spark, sf, "lineitem")
+    sizes = lines.agg(*(F.count_distinct(c).alias(c) for c in _PART_COLUMNS)).first()  # a number a column
+    schema = {c: Categorical(tuple(range(sizes[c]))) for c in _PART_COLUMNS}
+    rows = [("|".join(c), n, score, cells, within) for c, n, score, cells, within in cliques.compile_workload(schema, _WORKLOAD, 3, 3000)]
+    return spark.createDataFrame(rows, "clique string, cells long, score double, tree_cells long, within boolean")
+
+
 # ---- annotations
 
 _ANSWER: Schema = {"event": Categorical(("unknown", "click", "error", "view")), "k": Numerical(0, 100), "note": OpenSet("")}
@@ -681,6 +748,18 @@ def synthesize_constrained(spark, sf):
     return synthesis.synthesize(table(spark, sf, "orders"), ORDERS, 1.0, 1e-6, constraints=(rule,))
 
 
+_WIDE_RULE = Constraint(("l_returnflag", "l_linestatus", "bulk"), impossible=(("R", "O", True), ("A", "O", True), ("N", "F", False)))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS broken, CAST(1 AS BIGINT) AS some_rows")
+def constrained_three_columns(spark, sf):
+    """A rule on three columns: no synthetic row breaks it, though rows of the table do."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_quantity") > 25).alias("bulk"))
+    schema = {"l_returnflag": LINES["l_returnflag"], "l_linestatus": LINES["l_linestatus"], "bulk": Categorical((False, True))}
+    made = synthesis.synthesize(lines, schema, 1.0, 1e-6, constraints=(_WIDE_RULE,))
+    return made.agg(F.lit(evaluate.violations(made, _WIDE_RULE).count()).cast("long").alias("broken"), (F.count("*") > 100).cast("long").alias("some_rows"))
+
+
 @query()
 def open_set_discovery(spark, sf):
     found = private.discover(table(spark, sf, "part"), {"p_name": OpenSet(), "p_brand": OpenSet()}, 0.5, 1e-6)

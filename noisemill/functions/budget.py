@@ -101,13 +101,18 @@ def selection_epsilon(rho: float) -> float:
 def split(rho: float, columns: int, first: float = 0.1) -> dict[str, float]:
     """The share of each column's first look and of the total, and what the joint tables get."""
     each = first * rho / (columns + 1)
-    return {"each": each, "joint": rho - each * (columns + 1)}
+    return {"each": each, "joint": (1 - first) * rho}
 
 
 def selection_threshold(sigma: float, delta: float, per_user: int = 1, min_count: int = 1) -> float:
-    """The noisy count from which a value may be shown: a value of fewer than ``min_count`` users
-    passes with probability delta at most."""
-    return per_user + min_count - 1 + per_user * sigma * NormalDist().inv_cdf(1 - delta)
+    """The noisy count from which a value may be shown, so that of all values that fewer than ``min_count``
+    users and one more have, none passes with probability 1 - delta at least.
+
+    A user of ``per_user`` rows may bring k values that nobody else has, with per_user - k + 1 rows
+    of one: each of the k must stay below, whatever k is. ``sigma`` is the noise of one row.
+    """
+    tail = lambda k: NormalDist().inv_cdf((1 - delta) ** (1 / k))
+    return max(per_user - k + 1 + per_user * sigma * tail(k) for k in range(1, per_user + 1)) + min_count - 1
 
 
 def sips_threshold(sigma: float, delta: float, per_user: int) -> float:

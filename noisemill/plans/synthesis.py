@@ -18,6 +18,7 @@ from noisemill.functions import budget
 from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
 from noisemill.operators.private import common_codes, discover, noisy_columns, noisy_marginal, private_edges
+from noisemill.plans.cliques import CliqueModel, draw_cliques, fit_cliques
 from noisemill.spec import Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
 
 #: Cells of a pair's table that a broadcast may have.
@@ -121,30 +122,31 @@ def _exponential(scores: np.ndarray, epsilon: float, sensitivity: float, rng: np
     return int(rng.choice(len(scores), p=p / p.sum()))
 
 
-def _masks(schema: Schema, constraints: tuple[Constraint, ...]) -> dict[tuple[str, str], np.ndarray]:
-    """Which code pairs each two-column constraint allows."""
-    out = {}
+def _masks(schema: Schema, constraints: tuple[Constraint, ...]) -> dict[tuple[str, ...], np.ndarray]:
+    """Which cells of its columns' joint table each constraint allows; constraints on the same columns meet."""
+    out: dict[tuple[str, ...], np.ndarray] = {}
     for k in constraints:
-        if len(k.columns) != 2:
-            raise ValueError("only constraints on two columns can be kept while rows are drawn")
-        a, b = k.columns
-        x, y = schema[a], schema[b]
-        mask = np.full((x.size, y.size), bool(k.impossible))
-        for u, v in k.possible or k.impossible or k.depends:
-            mask[x.values.index(u), y.values.index(v)] = not k.impossible
-        out[a, b] = mask
+        shape = [schema[c].size for c in k.columns]
+        if np.prod(shape, dtype=float) > _MOST_CELLS:
+            raise ValueError(f"a constraint over more than {_MOST_CELLS} cells: {k.columns}")
+        mask = np.full(shape, bool(k.impossible))
+        for combination in k.possible or k.impossible or k.depends:
+            mask[tuple(schema[c].values.index(v) for c, v in zip(k.columns, combination, strict=True))] = not k.impossible
+        out[k.columns] = out.get(k.columns, True) & mask
     return out
 
 
-def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.random.Generator, method: str = "mst", cliques: list[tuple[str, str]] | None = None, weight: str | None = None, sensitivity: float = 1.0, constraints: tuple[Constraint, ...] = ()) -> TreeModel:
-    """Measure a coded table under rho-zCDP and fit the tree.
+def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.random.Generator, method: str = "mst", cliques: list[tuple[str, ...]] | None = None, weight: str | None = None, sensitivity: float = 1.0, constraints: tuple[Constraint, ...] = ()) -> TreeModel | CliqueModel:
+    """Measure a coded table under rho-zCDP and fit the model.
 
     A tenth of rho goes to the columns and the total; the rest by ``method``: *independent* stops
-    there; *direct* measures ``cliques``; *mst* draws a spanning tree by the pairs' distance from
+    there; *direct* measures ``cliques`` of any width; *mst* draws a spanning tree by the pairs' distance from
     independence and measures it; *aim* and *aim_gdp* add the pair that the model so far gets most
     wrong, round by round (the latter from noisy errors taken once); *swift* takes noisy errors of all
     pairs, keeps the tree that is worth its noise, and shares the budget to match. All pairs are
     counted in one Spark pass, over codes; what comes back has the size of the declared domain.
+    Pairs that make a forest give a tree; wider cliques, cycles and constraints on three columns or
+    more give a model over the cliques of a junction tree.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -154,16 +156,20 @@ def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.rando
     n = codes.count() if weight is None else codes.agg(F.sum(weight)).first()[0] or 0.0
     total = n + rng.normal(0, sensitivity * budget.sigma_of_rho(parts["each"]))
     masks = _masks(schema, constraints)
-    if method == "direct" and len(_forest(dict.fromkeys(map(tuple, cliques), 0.0), columns, lambda f: f[0])) < len(set(map(tuple, cliques))):
-        raise ValueError(f"the cliques must make a forest: {cliques}")
-    if method == "independent" or len(columns) < 2 and not masks:
+    wide = any(len(m) != 2 for m in masks)
+    if method == "independent" and not wide or len(columns) < 2 and not masks:
         return fit_tree(schema, singles, {}, total)
-    pairs = [tuple(e) for e in cliques] if method == "direct" else list(itertools.combinations(columns, 2))
+    if method == "independent":
+        return fit_cliques(schema, {(c,): x for c, x in singles.items()}, total, masks)
+    if method == "direct":
+        cliques = list(dict.fromkeys(map(tuple, cliques)))
+        forest = all(len(c) == 2 for c in cliques) and len(_forest(dict.fromkeys(cliques, 0.0), columns, lambda f: f[0])) == len(cliques)
+    pairs = cliques if method == "direct" else list(itertools.combinations(columns, 2))
     if big := [e for e in pairs if cells_of(schema, e) > _MOST_CELLS]:
         raise ValueError(f"tables of more than {_MOST_CELLS} cells: {big}")
     counts = marginals(codes, schema, pairs, weight).toPandas()
     tables = {e: counts[counts["clique"] == k] for k, e in enumerate(pairs)}
-    shape = {e: (schema[e[0]].size, schema[e[1]].size) for e in pairs}
+    shape = {e: tuple(schema[c].size for c in e) for e in pairs}
     rest = parts["joint"]
 
     def exact(e: tuple[str, str]) -> np.ndarray:
@@ -181,7 +187,7 @@ def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.rando
     need = len(columns) - 1
     log: list[dict] = []
     if method == "direct":
-        found = {e: measure(e, rest / len(pairs)) for e in _forest(dict.fromkeys(pairs, 0.0), columns, lambda f: f[0])}
+        found = {e: measure(e, rest / len(pairs)) for e in pairs}
     elif method == "mst":
         scores = {e: error(e, free) for e in pairs}
         epsilon = budget.selection_epsilon(rest / 2 / need)
@@ -212,6 +218,10 @@ def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.rando
             part = {c: part[e[0]] if p == old else p for c, p in part.items()}
             model = fit_tree(schema, singles, found, total)
             log.append({"round": k, "clique": "|".join(e), "rho": share})
+    if wide or method == "direct" and not forest:
+        model = fit_cliques(schema, {**{(c,): x for c, x in singles.items()}, **found}, total, masks)
+        model.log = log or [{"round": k, "clique": "|".join(e), "rho": rest / len(found)} for k, e in enumerate(found)]
+        return model
     for e in masks:
         if e not in found and e[::-1] not in found:
             found = _with_edge(found, e, lambda p, x=e: np.outer(np.maximum(singles[x[0]], 0), np.maximum(singles[x[1]], 0)))
@@ -261,13 +271,17 @@ def _aliases(shares: np.ndarray) -> list[tuple[float, int]]:
     return out
 
 
-def draw(spark: SparkSession, model: TreeModel, rows: int | None = None, seed: int = 0, given: DataFrame | None = None, key: str = "id") -> DataFrame:
+def draw(spark: SparkSession, model: TreeModel | CliqueModel, rows: int | None = None, seed: int = 0, given: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Rows of codes from the model, in as many tasks as Spark likes.
 
     Each column is one lookup in an alias table of domain size, by the parent's code and a place that
     a hash of row number and column draws; a second hash chooses between the place's code and its
     alias. Columns that ``given`` has already are taken from there; its rows are told apart by ``key``.
     """
+    if isinstance(model, CliqueModel):
+        if given is not None:
+            raise ValueError("a model over cliques draws whole rows")
+        return draw_cliques(spark, model, rows, seed, key, _aliases)
     out = given if given is not None else spark.range(int(round(model.total)) if rows is None else rows).withColumnRenamed("id", key)
     for c in model.order:
         if c in out.columns:
@@ -372,17 +386,17 @@ def infer_domain(tables: list[DataFrame]) -> dict[str, list[str]]:
     return out
 
 
-def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] | None = None) -> TreeModel:
-    """The tree through given joint counts of one or two columns, as they are. The total is the largest sum.
+def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] | None = None) -> TreeModel | CliqueModel:
+    """The model through given joint counts of any number of columns, as they are. The total is the largest sum.
 
-    A cell of a pair that its table doesn't list wasn't measured: it gets what its row and column,
-    taken for independent, would have there. Zero counts must be listed to be kept. A single
+    Pairs that make a forest give a tree, others a model over cliques. A cell that its table doesn't list wasn't measured: it gets what its columns, taken
+    for independent, would have there. Zero counts must be listed to be kept. A single
     column's value that its table doesn't list has no rows.
     """
     values = values or infer_domain(tables)
     schema: Schema = {c: Categorical(tuple(v)) for c, v in values.items()}
     singles: dict[str, np.ndarray] = {}
-    pairs: dict[tuple[str, str], np.ndarray] = {}
+    pairs: dict[tuple[str, ...], np.ndarray] = {}
     total = 0.0
     for t in tables:
         columns = t.columns[:-1]
@@ -395,10 +409,10 @@ def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] |
         total = max(total, counts.sum())
         if len(columns) == 1:
             singles[columns[0]] = counts
-        elif len(columns) == 2:
-            pairs[columns[0], columns[1]] = _completed(counts, measured)
         else:
-            raise ValueError("joint counts of three columns or more don't fit a tree")
+            pairs[tuple(columns)] = _completed(counts, measured)
+    if any(len(e) > 2 for e in pairs) or len(_forest(dict.fromkeys(pairs, 0.0), list(schema), lambda f: f[0])) < len(pairs):
+        return fit_cliques(schema, {**{(c,): x for c, x in singles.items()}, **pairs}, total)
     for (a, b), x in pairs.items():
         singles.setdefault(a, x.sum(1))
         singles.setdefault(b, x.sum(0))
@@ -407,10 +421,13 @@ def model_from_marginals(tables: list[DataFrame], values: dict[str, list[str]] |
 
 
 def _completed(counts: np.ndarray, measured: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The counts, those not measured as if rows and columns were independent."""
+    """The counts, those not measured as if the columns were independent."""
     out = np.where(measured, counts, 0.0)
     for _ in range(rounds if not measured.all() and out.sum() > 0 else 0):
-        out = np.where(measured, counts, np.outer(out.sum(1), out.sum(0)) / out.sum())
+        even, every = np.ones_like(out), range(out.ndim)
+        for k in every:
+            even = even * out.sum(tuple(j for j in every if j != k), keepdims=True) / (out.sum() if k else 1.0)
+        out = np.where(measured, counts, even)
     return out
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noisemill.plans.cliques import CliqueModel, JunctionTree
 from noisemill.plans.synthesis import TreeModel
 from noisemill.spec import Categorical, ForeignKey, FreeText, Numerical, OpenSet, Relations, Schema
 
@@ -114,23 +115,33 @@ def relations_from_yaml(text: str) -> Relations:
     return Relations(tuple(ForeignKey(**k) for k in x["foreign_keys"]), {n: schema_from_dict(s) for n, s in x["tables"].items()})
 
 
-def save_model(spark: SparkSession, model: TreeModel, path: str) -> None:
-    """One Parquet row for each column's shares, and a row with the rest as JSON."""
-    head = json.dumps({"schema": schema_to_dict(model.schema), "total": model.total, "order": model.order, "parents": model.parents, "log": model.log})
-    rows = [("", [], [], head), *((c, list(s.shape), s.ravel().tolist(), "") for c, s in model.shares.items())]
+def save_model(spark: SparkSession, model: TreeModel | CliqueModel, path: str) -> None:
+    """One Parquet row for each column's or clique's shares, and a row with the rest as JSON."""
+    head = {"schema": schema_to_dict(model.schema), "total": model.total, "log": model.log}
+    if isinstance(model, CliqueModel):
+        head |= {"cliques": model.tree.cliques, "parents": model.tree.parents}
+        shares = {str(k): x for k, x in enumerate(model.beliefs)}
+    else:
+        head |= {"order": model.order, "parents": model.parents}
+        shares = model.shares
+    rows = [("", [], [], json.dumps(head)), *((c, list(s.shape), s.ravel().tolist(), "") for c, s in shares.items())]
     spark.createDataFrame(rows, "column string, shape array<int>, shares array<double>, head string").coalesce(1).write.parquet(path)
 
 
-def write_log(spark: SparkSession, model: TreeModel, path: str) -> None:
+def write_log(spark: SparkSession, model: TreeModel | CliqueModel, path: str) -> None:
     """The fit's rounds as text, one JSON object a line; first a line of the total and the columns' order."""
-    lines = [{"total": model.total, "order": model.order, "parents": model.parents}, *model.log]
+    parents = model.tree.parents if isinstance(model, CliqueModel) else model.parents
+    lines = [{"total": model.total, "order": model.order, "parents": parents}, *model.log]
     spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.text(path)
 
 
-def load_model(spark: SparkSession, path: str) -> TreeModel:
+def load_model(spark: SparkSession, path: str) -> TreeModel | CliqueModel:
     rows = spark.read.parquet(path).collect()
     head = json.loads(next(r["head"] for r in rows if not r["column"]))
     shares = {r["column"]: np.array(r["shares"]).reshape(r["shape"]) for r in rows if r["column"]}
+    if "cliques" in head:
+        tree = JunctionTree(tuple(map(tuple, head["cliques"])), tuple(head["parents"]))
+        return CliqueModel(schema_from_dict(head["schema"]), head["total"], tree, [shares[str(k)] for k in range(len(tree.cliques))], head["log"])
     return TreeModel(schema_from_dict(head["schema"]), head["total"], head["order"], head["parents"], shares, head["log"])
 
 
