@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from noisemill.functions.codec import linear_index
 from noisemill.spec import ForeignKey, Relations
 
 
@@ -183,3 +186,59 @@ def integrity(parent: DataFrame, child: DataFrame, k: ForeignKey) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("p").isNotNull(), F.col("c"))), F.lit(0)).cast("long").alias("most_children"),
         F.count_if(F.col("p") > 1).alias("duplicate_keys"),
     )
+
+
+_SLOT = re.compile(r"slot_([0-9]+)\.(.+)", re.DOTALL)
+
+
+def slot_of(name: str) -> tuple[int, str] | None:
+    """The slot and the child's column of a wide table's column ``slot_<n>.<column>``; none of any other."""
+    found = _SLOT.fullmatch(name)
+    return (int(found[1]), found[2]) if found else None
+
+
+def slots_in(clique: tuple[str, ...]) -> list[int]:
+    """The slots that a clique's columns lie in, each once, in order."""
+    return sorted({found[0] for c in clique if (found := slot_of(c))})
+
+
+def remapped(clique: tuple[str, ...], to: dict[int, int]) -> tuple[str, ...]:
+    """The clique with its slots renamed; other columns and slots that ``to`` lacks stay."""
+    return tuple(f"slot_{to.get(found[0], found[0])}.{found[1]}" if (found := slot_of(c)) else c for c in clique)
+
+
+def replicated(clique: tuple[str, ...], slots: int) -> list[tuple[str, ...]]:
+    """The clique over every choice of as many of ``slots`` slots as it has, in order: children are exchangeable."""
+    own = slots_in(clique)
+    return [remapped(clique, dict(zip(own, chosen, strict=True))) for chosen in combinations(range(1, slots + 1), len(own))]
+
+
+def symmetric_marginals(wide: DataFrame, sizes: dict[str, int], workload: list[tuple[str, ...]], slots: int, weight: str | None = None, real: dict[str, int] | None = None) -> DataFrame:
+    """(clique, cell, n): joint tables of a wide table that don't depend on how its slots are numbered.
+
+    A row counts for a clique once for every way to lay the clique's slots into the row's ``slots``,
+    by one over their number: a union of permuted projections under one aggregation, in one pass, so
+    that a clique's total stays. With ``real``, the code of an empty slot by child column, only slots
+    that aren't empty are used; a row with too few of them doesn't count for the clique.
+    """
+    parts = []
+    own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    filled = [F.lit(True)] * slots
+    if real:
+        name, empty = next(iter(real.items()))
+        filled = [F.col(f"`slot_{s}.{name}`") != empty for s in range(1, slots + 1)]
+    there = sum((f.cast("int") for f in filled), F.lit(0))
+    for k, clique in enumerate(workload):
+        used = slots_in(clique)
+        ways = F.lit(1)
+        for j in range(len(used)):
+            ways = ways * (there - j)
+        for chosen in permutations(range(1, slots + 1), len(used)):
+            names = remapped(clique, dict(zip(used, chosen, strict=True)))
+            cell = linear_index([F.col(f"`{c}`") for c in names], [sizes[c] for c in clique])
+            inside = F.lit(True)
+            for s in chosen:
+                inside = inside & filled[s - 1]
+            parts.append(F.when(inside, F.struct(F.lit(k).alias("clique"), cell.alias("cell"), F.try_divide(own, ways).alias("n"))))
+    rows = wide.select(F.inline(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+    return rows.groupBy("clique", "cell").agg(F.sum("n").alias("n"))

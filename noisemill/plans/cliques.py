@@ -311,7 +311,7 @@ def draw_cliques(spark: SparkSession, model: CliqueModel, rows: int | None, seed
                 table.append((at, [float(p[0]) for p in pairs], [int(p[1]) for p in pairs]))
         # at most MOST_CELLS numbers, by declaration
         lookup = F.broadcast(spark.createDataFrame(table, "_up long, _keep array<double>, _alias array<int>"))
-        at = linear_index(list(sep), [model.schema[c].size for c in sep]) if sep else F.lit(0).cast("long")
+        at = linear_index([F.col(f"`{c}`") for c in sep], [model.schema[c].size for c in sep]) if sep else F.lit(0).cast("long")
         name = F.lit("|".join(clique))
         place = F.floor(uniform(key, name, seed=seed) * prod(sizes)).cast("int")
         out = out.withColumn("_up", at).withColumn("_place", place).join(lookup, "_up")
@@ -322,4 +322,4 @@ def draw_cliques(spark: SparkSession, model: CliqueModel, rows: int | None, seed
             stride //= n
             out = out.withColumn(c, F.expr(f"cast(_cell div {stride} % {n} as int)"))
         out = out.drop("_up", "_place", "_cell", "_keep", "_alias")
-    return out.select(key, *model.schema)
+    return out.select(key, *(F.col(f"`{c}`") for c in model.schema))
