@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from math import prod
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisemill.functions.codec import linear_index, uniform
@@ -268,31 +269,65 @@ def fit_cliques(schema: Schema, measured: dict[Clique, np.ndarray], total: float
     return CliqueModel(schema, max(1.0, total), tree, beliefs)
 
 
-def model_errors(counts: DataFrame, model, workload: list[Clique]) -> DataFrame:
+def model_errors(counts: DataFrame, model, workload: list[Clique], only: list[int] | None = None) -> DataFrame:
     """(clique, error): how far each joint table lies from what the model has there, in L1, in one pass.
 
     ``counts`` is a ``marginals`` table of the workload; the model's side is a table of the declared
     domain's size, of which only cells above a billionth of a row are sent. Counts and model meet as
-    a union that is summed by cell, so that cells of one side alone count too.
+    a union that is summed by cell, so that cells of one side alone count too. ``only``: the places of the
+    cliques that are asked for.
     """
     spark, rows = counts.sparkSession, []
-    for k, clique in enumerate(workload):
+    asked = list(range(len(workload))) if only is None else only
+    if only is not None:
+        counts = counts.where(F.col("clique").isin(only))
+    for k in asked:
+        clique = workload[k]
         expected = model.total * (model.marginal(clique) if hasattr(model, "marginal") else model.pair(*clique) if len(clique) == 2 else model.single(*clique)).ravel()
         at = np.flatnonzero(expected > 1e-9)
         rows.append((np.full(len(at), k), at, -expected[at]))
-    import pandas as pd
-
     table = pd.DataFrame({"clique": np.concatenate([r[0] for r in rows]), "cell": np.concatenate([r[1] for r in rows]), "n": np.concatenate([r[2] for r in rows])})
     other = spark.createDataFrame(table, "clique int, cell long, n double")
     both = counts.select("clique", "cell", F.col("n").cast("double").alias("n")).unionByName(other)
     errors = both.groupBy("clique", "cell").agg(F.sum("n").alias("n")).groupBy("clique").agg(F.sum(F.abs("n")).alias("error"))
-    names = spark.createDataFrame([(k, "|".join(c)) for k, c in enumerate(workload)], "clique int, name string")
+    names = spark.createDataFrame([(k, "|".join(workload[k])) for k in asked], "clique int, name string")
     return names.join(errors, "clique", "left").select(F.col("name").alias("clique"), F.coalesce("error", F.lit(0.0)).alias("error"))
 
 
+#: Cells of a table that is a constant of the plan; a larger one is joined.
+CONSTANT_CELLS = 100_000
+
+
+def constant(values: list, kind: str) -> Column:
+    """An array that the planner folds to one constant."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def drawn(out: DataFrame, shares: np.ndarray, up: Column, name: str, key: str, seed: int, aliases) -> DataFrame:
+    """``out`` with ``_cell``, drawn from the row ``up`` of a matrix of shares.
+
+    A hash of row number and name takes a place in the row, and a second one chooses between the place
+    and its alias. A matrix of up to ``CONSTANT_CELLS`` cells is a constant of the plan, so that nothing is
+    joined; a larger one is a table of arrays, one row for each row with any share.
+    """
+    n = shares.shape[1]
+    place = F.floor(uniform(key, F.lit(name), seed=seed) * n).cast("int")
+    pairs = [aliases(row) if row.sum() > 0 else [(1.0, j) for j in range(n)] for row in shares]
+    if shares.size <= CONSTANT_CELLS:
+        keep, other = constant([float(p[0]) for x in pairs for p in x], "double"), constant([int(p[1]) for x in pairs for p in x], "int")
+        out, at = out.withColumn("_place", place), up.cast("int") * n + F.col("_place")
+    else:
+        # at most MOST_CELLS numbers, by declaration
+        rows = [(k, [float(p[0]) for p in x], [int(p[1]) for p in x]) for k, x in enumerate(pairs)]
+        table = F.broadcast(out.sparkSession.createDataFrame(rows, "_up long, _keep array<double>, _alias array<int>"))
+        out = out.withColumn("_up", up.cast("long")).withColumn("_place", place).join(table, "_up")
+        keep, other, at = F.col("_keep"), F.col("_alias"), F.col("_place")
+    stays = uniform(F.lit(name), key, seed=seed) < F.get(keep, at)
+    return out.withColumn("_cell", F.when(stays, F.col("_place")).otherwise(F.get(other, at))).drop("_up", "_place", "_keep", "_alias")
+
+
 def draw_cliques(spark: SparkSession, model: CliqueModel, rows: int | None, seed: int, key: str, aliases) -> DataFrame:
-    """Rows of codes, a join a clique: a separator's cell has one row of arrays, from which a hash of the row
-    number takes the place of a cell of the new columns, and a second hash its alias or not."""
+    """Rows of codes, clique by clique: a separator's cell gives the row of shares of the new columns' cells."""
     out = spark.range(int(round(model.total)) if rows is None else rows).withColumnRenamed("id", key)
     for k, clique in enumerate(model.tree.cliques):
         sep = model.tree.separator(k)
@@ -300,26 +335,13 @@ def draw_cliques(spark: SparkSession, model: CliqueModel, rows: int | None, seed
         if not new:
             continue
         sizes = [model.schema[c].size for c in new]
-        axes = [clique.index(c) for c in (*sep, *new)]
-        shares = model.beliefs[k].transpose(axes).reshape(-1, prod(sizes))
+        shares = model.beliefs[k].transpose([clique.index(c) for c in (*sep, *new)]).reshape(-1, prod(sizes))
         if shares.size > MOST_CELLS:
             raise ValueError(f"{clique}: a table of {shares.size} cells")
-        table = []
-        for at, row in enumerate(shares):
-            if row.sum() > 0:
-                pairs = aliases(row)
-                table.append((at, [float(p[0]) for p in pairs], [int(p[1]) for p in pairs]))
-        # at most MOST_CELLS numbers, by declaration
-        lookup = F.broadcast(spark.createDataFrame(table, "_up long, _keep array<double>, _alias array<int>"))
-        at = linear_index([F.col(f"`{c}`") for c in sep], [model.schema[c].size for c in sep]) if sep else F.lit(0).cast("long")
-        name = F.lit("|".join(clique))
-        place = F.floor(uniform(key, name, seed=seed) * prod(sizes)).cast("int")
-        out = out.withColumn("_up", at).withColumn("_place", place).join(lookup, "_up")
-        stays = uniform(name, key, seed=seed) < F.get("_keep", F.col("_place"))
-        out = out.withColumn("_cell", F.when(stays, F.col("_place")).otherwise(F.get("_alias", F.col("_place"))))
-        stride = prod(sizes)
+        at = linear_index([F.col(f"`{c}`") for c in sep], [model.schema[c].size for c in sep]) if sep else F.lit(0)
+        out, stride = drawn(out, shares, at, "|".join(clique), key, seed, aliases), prod(sizes)
         for c, n in zip(new, sizes, strict=True):
             stride //= n
             out = out.withColumn(c, F.expr(f"cast(_cell div {stride} % {n} as int)"))
-        out = out.drop("_up", "_place", "_cell", "_keep", "_alias")
+        out = out.drop("_cell")
     return out.select(key, *(F.col(f"`{c}`") for c in model.schema))

@@ -34,7 +34,7 @@ def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, eps
     rho = budget.zcdp_rho(epsilon, delta) / (len(links) + 1)
     reach = relations.sensitivities()
     root, _ = relations.order()[0]
-    done: dict[str, DataFrame] = {root: checkpointed(draw(spark, synthesize_codes(encode_table(tables[root], relations.tables[root]), relations.tables[root], rho, rng, method), seed=draw_seed))}
+    done: dict[str, DataFrame] = {root: checkpointed(draw(spark, synthesize_codes(encode_table(tables[root], relations.tables[root]), relations.tables[root], rho, rng, method, forest=True), seed=draw_seed))}
     kept = dict(tables)
     for name, k in relations.order():
         if k is None:
@@ -49,7 +49,7 @@ def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, eps
             wide = checkpointed(wide)
             near: Schema = {**up, "group_size": Categorical(tuple(range(k.capacity + 1)))}
             reached = reach[f"{k.parent}->{name}"]
-            parents = synthesize_codes(wide.select(*near, "weight"), near, rho / 2, rng, method, weight="weight", sensitivity=reached)
+            parents = synthesize_codes(wide.select(*near, "weight"), near, rho / 2, rng, method, weight="weight", sensitivity=reached, forest=True)
             model = fit_families(wide, near, sizes, k.capacity, slots, rho / 2, rng, reached, parents)
             there = done[k.parent]
             made = draw(spark, model, there.count(), seed=draw_seed + 1, key="_family")
@@ -61,7 +61,7 @@ def synthesize_relations(tables: dict[str, DataFrame], relations: Relations, eps
             continue
         wide = wide.select(*list(up), "group_size", *(F.col(f"`slot_1.{c}`").alias(f"child_{c}") for c in own), "weight")
         joint: Schema = {**up, "group_size": Categorical(tuple(range(k.capacity + 1))), **{f"child_{c}": Categorical(tuple(range(a.size + 1))) for c, a in own.items()}}
-        model = synthesize_codes(wide, joint, rho, rng, method, weight="weight", sensitivity=reach[f"{k.parent}->{name}"])
+        model = synthesize_codes(wide, joint, rho, rng, method, weight="weight", sensitivity=reach[f"{k.parent}->{name}"], forest=True)
         families = draw(spark, _only(model, [*up, "group_size"]), seed=draw_seed + 1, given=done[k.parent])
         kids = families.where("group_size > 0").select(F.col("id").alias("_parent"), *list(up), "group_size", F.explode(F.sequence(F.lit(1), F.col("group_size"))).alias("_slot"))
         kids = kids.withColumn("id", F.col("_parent") * (k.capacity + 1) + F.col("_slot"))

@@ -18,7 +18,8 @@ from noisemill.functions import budget
 from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
 from noisemill.operators.private import common_codes, discover, noisy_columns, noisy_marginal, private_edges
-from noisemill.plans.cliques import CliqueModel, draw_cliques, fit_cliques
+from noisemill.operators.relational import checkpointed
+from noisemill.plans.cliques import CliqueModel, affordable, compile_workload, draw_cliques, drawn, fit_cliques, model_errors
 from noisemill.spec import Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
 
 #: Cells of a pair's table that a broadcast may have.
@@ -136,17 +137,33 @@ def _masks(schema: Schema, constraints: tuple[Constraint, ...]) -> dict[tuple[st
     return out
 
 
-def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.random.Generator, method: str = "mst", cliques: list[tuple[str, ...]] | None = None, weight: str | None = None, sensitivity: float = 1.0, constraints: tuple[Constraint, ...] = ()) -> TreeModel | CliqueModel:
+def synthesize_codes(
+    codes: DataFrame,
+    schema: Schema,
+    rho: float,
+    rng: np.random.Generator,
+    method: str = "mst",
+    cliques: list[tuple[str, ...]] | None = None,
+    weight: str | None = None,
+    sensitivity: float = 1.0,
+    constraints: tuple[Constraint, ...] = (),
+    width: int = 2,
+    forest: bool = False,
+    most_cells: int = _MOST_CELLS,
+) -> TreeModel | CliqueModel:
     """Measure a coded table under rho-zCDP and fit the model.
 
     A tenth of rho goes to the columns and the total; the rest by ``method``: *independent* stops
     there; *direct* measures ``cliques`` of any width; *mst* draws a spanning tree by the pairs' distance from
-    independence and measures it; *aim* and *aim_gdp* add the pair that the model so far gets most
-    wrong, round by round (the latter from noisy errors taken once); *swift* takes noisy errors of all
-    pairs, keeps the tree that is worth its noise, and shares the budget to match. All pairs are
-    counted in one Spark pass, over codes; what comes back has the size of the declared domain.
-    Pairs that make a forest give a tree; wider cliques, cycles and constraints on three columns or
-    more give a model over the cliques of a junction tree.
+    independence and measures it; *swift* takes noisy errors of all pairs, keeps the tree that is worth
+    its noise, and shares the budget to match. *aim* and *aim_gdp* choose among all cliques of up to
+    ``width`` columns, round by round (``_rounds``).
+
+    All candidates are counted in one Spark pass, over codes, into a table of the declared domain's
+    size. Errors against a model are passes over that table; only the cells of cliques that are
+    measured come to the driver. Pairs that make a forest give a tree; wider cliques, cycles and
+    constraints on three columns or more give a model over the cliques of a junction tree, of at
+    most ``most_cells``. With ``forest``, *aim* and *aim_gdp* take only pairs that make one.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -157,77 +174,124 @@ def synthesize_codes(codes: DataFrame, schema: Schema, rho: float, rng: np.rando
     total = n + rng.normal(0, sensitivity * budget.sigma_of_rho(parts["each"]))
     masks = _masks(schema, constraints)
     wide = any(len(m) != 2 for m in masks)
+    ones = {(c,): x for c, x in singles.items()}
     if method == "independent" and not wide or len(columns) < 2 and not masks:
         return fit_tree(schema, singles, {}, total)
     if method == "independent":
-        return fit_cliques(schema, {(c,): x for c, x in singles.items()}, total, masks)
+        return fit_cliques(schema, ones, total, masks, most_cells=most_cells)
     if method == "direct":
-        cliques = list(dict.fromkeys(map(tuple, cliques)))
-        forest = all(len(c) == 2 for c in cliques) and len(_forest(dict.fromkeys(cliques, 0.0), columns, lambda f: f[0])) == len(cliques)
-    pairs = cliques if method == "direct" else list(itertools.combinations(columns, 2))
-    if big := [e for e in pairs if cells_of(schema, e) > _MOST_CELLS]:
-        raise ValueError(f"tables of more than {_MOST_CELLS} cells: {big}")
-    counts = marginals(codes, schema, pairs, weight).toPandas()
-    tables = {e: counts[counts["clique"] == k] for k, e in enumerate(pairs)}
-    shape = {e: tuple(schema[c].size for c in e) for e in pairs}
+        asked = list(dict.fromkeys(map(tuple, cliques)))
+    else:
+        widest = min(width, len(columns)) if method in ("aim", "aim_gdp") and not forest else 2
+        asked = [c for k in range(2, widest + 1) for c in itertools.combinations(columns, k)]
+    if method in ("direct", "mst", "swift") and (big := [e for e in asked if cells_of(schema, e) > most_cells]):
+        raise ValueError(f"tables of more than {most_cells} cells: {big}")
+    asked = [e for e in asked if cells_of(schema, e) <= most_cells]
+    counts = checkpointed(marginals(codes, schema, asked, weight))
+    place = {e: k for k, e in enumerate(asked)}
+    shape = lambda e: tuple(schema[c].size for c in e)
     rest = parts["joint"]
 
-    def exact(e: tuple[str, str]) -> np.ndarray:
-        out = np.zeros(cells_of(schema, e))
-        out[tables[e]["cell"].to_numpy(int)] = tables[e]["n"].to_numpy(float)
-        return out.reshape(shape[e])
-
-    def measure(e: tuple[str, str], share: float) -> np.ndarray:
-        return noisy_marginal(tables[e], cells_of(schema, e), share, rng, sensitivity).reshape(shape[e])
+    def measure(shares: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], np.ndarray]:
+        rows = counts.where(F.col("clique").isin([place[e] for e in shares])).toPandas()
+        return {e: noisy_marginal(rows[rows["clique"] == place[e]], cells_of(schema, e), share, rng, sensitivity).reshape(shape(e)) for e, share in shares.items()}
 
-    def error(e: tuple[str, str], model: TreeModel) -> float:
-        return float(np.abs(exact(e) - model.total * model.pair(*e)).sum())
+    def errors(model: TreeModel | CliqueModel, some: list[tuple[str, ...]]) -> dict[tuple[str, ...], float]:
+        found = {r.clique: r.error for r in model_errors(counts, model, asked, [place[e] for e in some]).collect()}
+        return {e: found["|".join(e)] for e in some}
 
     free = fit_tree(schema, singles, {}, total)
     need = len(columns) - 1
-    log: list[dict] = []
     if method == "direct":
-        found = {e: measure(e, rest / len(pairs)) for e in pairs}
+        shares = dict.fromkeys(asked, rest / len(asked))
+        found, log = measure(shares), _log(shares, sensitivity)
     elif method == "mst":
-        scores = {e: error(e, free) for e in pairs}
+        scores = errors(free, asked)
         epsilon = budget.selection_epsilon(rest / 2 / need)
         tree = _forest(scores, columns, lambda f: f[_exponential(np.array([scores[e] for e in f]), epsilon, sensitivity, rng)])
-        found = {e: measure(e, rest / 2 / need) for e in tree}
+        shares = dict.fromkeys(tree, rest / 2 / need)
+        found, log = measure(shares), _log(shares, sensitivity)
     elif method == "swift":
-        sigma = sensitivity * budget.sigma_of_rho(0.1 * rest / len(pairs))
-        scores = {e: error(e, free) + rng.normal(0, sigma) for e in pairs}
+        sigma = sensitivity * budget.sigma_of_rho(0.1 * rest / len(asked))
+        scores = {e: x + rng.normal(0, sigma) for e, x in errors(free, asked).items()}
         tree = _forest(scores, columns, lambda f: max(f, key=lambda e: scores[e] - sensitivity * math.sqrt(2 / math.pi) * cells_of(schema, e) * budget.sigma_of_rho(rest / need)))
         keep = budget.allocate({"|".join(e): (scores[e], cells_of(schema, e) * sensitivity, 1.0) for e in tree}, 0.9 * rest)
-        found = {e: measure(e, keep["|".join(e)]) for e in tree if "|".join(e) in keep}
+        shares = {e: keep["|".join(e)] for e in tree if "|".join(e) in keep}
+        found, log = measure(shares), _log(shares, sensitivity)
+    else:
+        found, log = _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, method == "aim_gdp", forest, most_cells, measure, errors)
+    pairs = all(len(e) == 2 for e in found)
+    if wide or not pairs or len(_forest(dict.fromkeys(found, 0.0), columns, lambda f: f[0])) < len(found):
+        model = fit_cliques(schema, {**ones, **found}, total, masks, most_cells=most_cells)
     else:
-        found, part = {}, {c: c for c in columns}
-        model = free
-        noisy = {e: error(e, free) + rng.normal(0, sensitivity * budget.sigma_of_rho(0.1 * rest / len(pairs))) for e in pairs} if method == "aim_gdp" else {}
-        left = 0.9 * rest if method == "aim_gdp" else rest
-        for k in range(need):
-            free_edges = [e for e in pairs if part[e[0]] != part[e[1]]]
-            share = left / need
-            if method == "aim":
-                scores = np.array([error(e, model) - sensitivity * math.sqrt(2 / math.pi) * budget.sigma_of_rho(0.9 * share) * cells_of(schema, e) for e in free_edges])
-                e = free_edges[_exponential(scores, budget.selection_epsilon(0.1 * share), sensitivity, rng)]
-                share *= 0.9
-            else:
-                e = max(free_edges, key=noisy.__getitem__)
-            found[e] = measure(e, share)
+        for e in masks:
+            if e not in found and e[::-1] not in found:
+                found = _with_edge(found, e, lambda p, x=e: np.outer(np.maximum(singles[x[0]], 0), np.maximum(singles[x[1]], 0)))
+        model = fit_tree(schema, singles, found, total, masks)
+    model.log = log
+    return model
+
+
+def _log(shares: dict[tuple[str, ...], float], sensitivity: float) -> list[dict]:
+    return [{"round": k, "clique": "|".join(e), "rho": share, "sigma": sensitivity * budget.sigma_of_rho(share)} for k, (e, share) in enumerate(shares.items())]
+
+
+def _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, by_noise, forest, most_cells, measure, errors, refreshed: int = 16):
+    """The adaptive choice of cliques: (tables, log).
+
+    Each round takes the clique that the model so far gets most wrong, weighted by how many columns it
+    shares with the others, less what its own noise would be; the junction tree may grow as the budget
+    is spent. By the exponential mechanism, or, ``by_noise``, by noisy errors of all candidates, of which
+    the best ``refreshed`` are taken anew against the current model each round. Where a measurement
+    moves the model by no more than its noise, the next rounds get four times as much.
+    """
+    columns = list(schema)
+    score = {c: s for c, _, s, _, _ in compile_workload(schema, dict.fromkeys(asked, 1.0), max(map(len, asked)), most_cells)}
+    weights = {e: score[tuple(sorted(e))] for e in asked}
+    top = max(weights.values())
+    weights = {e: w / top for e, w in weights.items()}
+    model = fit_cliques(schema, ones, total, masks, most_cells=most_cells)
+    found: dict[tuple[str, ...], np.ndarray] = {}
+    log: list[dict] = []
+    left, share = rest, rest / (2 * max(1, len(columns) - 1))
+    noisy: dict[tuple[str, ...], float] = {}
+    if by_noise:
+        sigma = sensitivity * budget.sigma_of_rho(0.1 * rest / len(asked))
+        noisy = {e: x + rng.normal(0, sigma) for e, x in errors(model, asked).items()}
+        left = 0.9 * rest
+        share *= 0.9
+    part = {c: c for c in columns}
+    while left > 1e-9 * rest or math.isinf(left):
+        spent = 1.0 if math.isinf(rest) else min(1.0, 1 - (left - share) / rest)
+        free = [e for e in asked if e not in found and (not forest or part[e[0]] != part[e[1]])]
+        own = [*found, *masks]
+        free = affordable(schema, own, free, max(most_cells * spent, 2 * sum(schema[c].size for c in columns) + max(map(lambda e: cells_of(schema, e), free), default=0)))
+        if not free:
+            break
+        share = left if len(free) == 1 or left - share < 0.5 * share else min(share, left)
+        penalty = {e: sensitivity * math.sqrt(2 / math.pi) * budget.sigma_of_rho(0.9 * share) * cells_of(schema, e) for e in free}
+        if by_noise:
+            best = sorted(free, key=lambda e: penalty[e] * weights[e] - noisy[e] * weights[e])[:refreshed]
+            if found:
+                sigma = sensitivity * budget.sigma_of_rho(0.1 * share / len(best))
+                noisy |= {e: x + rng.normal(0, sigma) for e, x in errors(model, best).items()}
+            e = max(best, key=lambda e: weights[e] * (noisy[e] - penalty[e]))
+        else:
+            now = errors(model, free)
+            scores = np.array([weights[e] * (now[e] - penalty[e]) for e in free])
+            e = free[_exponential(scores, budget.selection_epsilon(0.1 * share), sensitivity, rng)]
+        before = model.marginal(e)
+        found |= measure({e: 0.9 * share})
+        if forest:
             old = part[e[1]]
             part = {c: part[e[0]] if p == old else p for c, p in part.items()}
-            model = fit_tree(schema, singles, found, total)
-            log.append({"round": k, "clique": "|".join(e), "rho": share})
-    if wide or method == "direct" and not forest:
-        model = fit_cliques(schema, {**{(c,): x for c, x in singles.items()}, **found}, total, masks)
-        model.log = log or [{"round": k, "clique": "|".join(e), "rho": rest / len(found)} for k, e in enumerate(found)]
-        return model
-    for e in masks:
-        if e not in found and e[::-1] not in found:
-            found = _with_edge(found, e, lambda p, x=e: np.outer(np.maximum(singles[x[0]], 0), np.maximum(singles[x[1]], 0)))
-    model = fit_tree(schema, singles, found, total, masks)
-    model.log = log or [{"round": k, "clique": "|".join(e), "rho": None} for k, e in enumerate(found)]
-    return model
+        model = fit_cliques(schema, {**ones, **found}, total, masks, most_cells=most_cells)
+        moved = float(np.abs(model.marginal(e) - before).sum()) * model.total
+        log.append({"round": len(log), "clique": "|".join(e), "rho": share, "sigma": sensitivity * budget.sigma_of_rho(0.9 * share), "moved": moved})
+        left = left if math.isinf(left) else left - share
+        if moved <= penalty[e] and not math.isinf(share):
+            share *= 4
+    return found, log
 
 
 def _with_edge(found: dict, edge: tuple[str, str], table) -> dict:
@@ -274,9 +338,7 @@ def _aliases(shares: np.ndarray) -> list[tuple[float, int]]:
 def draw(spark: SparkSession, model: TreeModel | CliqueModel, rows: int | None = None, seed: int = 0, given: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Rows of codes from the model, in as many tasks as Spark likes.
 
-    Each column is one lookup in an alias table of domain size, by the parent's code and a place that
-    a hash of row number and column draws; a second hash chooses between the place's code and its
-    alias. Columns that ``given`` has already are taken from there; its rows are told apart by ``key``.
+    Each column is one lookup in an alias table of domain size, by the parent's code (``drawn``). Columns that ``given`` has already are taken from there; its rows are told apart by ``key``.
     """
     if isinstance(model, CliqueModel):
         if given is not None:
@@ -290,13 +352,7 @@ def draw(spark: SparkSession, model: TreeModel | CliqueModel, rows: int | None =
         shares = np.atleast_2d(model.shares[c])
         if shares.size > _MOST_CELLS:
             raise ValueError(f"{c}: a table of {shares.size} cells")
-        rows_of = [(k, j, *pair) for k, row in enumerate(shares) for j, pair in enumerate(_aliases(row))]
-        table = F.broadcast(spark.createDataFrame(rows_of, "_up int, _place int, _keep double, _alias int"))
-        place = F.floor(uniform(key, F.lit(c), seed=seed) * shares.shape[1]).cast("int")
-        parent = F.lit(0) if up is None else F.col(up)
-        out = out.withColumn("_up", parent).withColumn("_place", place).join(table, ["_up", "_place"])
-        stays = uniform(F.lit(c), key, seed=seed) < F.col("_keep")
-        out = out.withColumn(c, F.when(stays, F.col("_place")).otherwise(F.col("_alias"))).drop("_up", "_place", "_keep", "_alias")
+        out = drawn(out, shares, F.lit(0) if up is None else F.col(up), c, key, seed, _aliases).withColumnRenamed("_cell", c)
     return out
 
 
@@ -328,6 +384,7 @@ def synthesize(
     per_user: int = 1,
     compress: bool = False,
     draw_seed: int = 0,
+    width: int = 2,
 ) -> DataFrame:
     """A synthetic table under (epsilon, delta)-differential privacy.
 
@@ -360,7 +417,7 @@ def synthesize(
         codes = codes.select(*((merge_rare(c, masks[c]) if c in masks else F.col(c)).alias(c) for c in schema))
         small |= {c: Categorical(tuple(range(sum(m) + 1))) for c, m in masks.items()}
         rho *= 0.9
-    model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints)
+    model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints, width=width)
     made = draw(df.sparkSession, model, rows, draw_seed)
     made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=draw_seed) if c in masks else F.col(c)).alias(c) for c in schema))
     return decode_table(made, schema, "id", seed=draw_seed).drop("id")

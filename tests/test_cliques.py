@@ -149,3 +149,29 @@ def test_no_user_shows_values_of_their_own_but_with_delta(per_user, rho):
     for k in range(1, per_user + 1):
         stay = NormalDist().cdf((cut - 1) / (per_user * sigma)) ** (k - 1) * NormalDist().cdf((cut - (per_user - k + 1)) / (per_user * sigma))
         assert 1 - stay <= delta * 1.0001
+
+
+@pytest.mark.parametrize("method", ["aim", "aim_gdp"])
+def test_rounds_find_the_triple_that_no_pair_shows(spark, odd, method):
+    codes = encode_table(odd, BITS)
+    model = synthesis.synthesize_codes(codes, BITS, 50.0, np.random.default_rng(0), method, width=3)
+    assert any(r["clique"] == "a|b|c" for r in model.log) and all({"rho", "sigma", "moved"} <= r.keys() for r in model.log)
+    assert sum(r["rho"] for r in model.log) <= 45.0001
+    made = synthesis.draw(spark, model, 3000)
+    assert made.where("(a + b) % 2 <> c").count() < 60
+
+
+def test_budget_is_raised_where_measuring_tells_nothing(spark):
+    even = spark.range(2000).select(*((F.col("id") / n).cast("long") % 2 for n in (1, 2, 4, 8)))
+    even = even.toDF(*"abcd")
+    schema = {c: Categorical((0, 1)) for c in "abcd"}
+    model = synthesis.synthesize_codes(encode_table(even, schema), schema, 0.01, np.random.default_rng(0), "aim")
+    shares = [r["rho"] for r in model.log]
+    assert len(shares) < 6 and shares[-1] > shares[0] and sum(shares) <= 0.0091
+
+
+def test_only_measured_cliques_reach_the_driver_and_all_methods_log(spark, odd):
+    codes = encode_table(odd, BITS)
+    for method in ("mst", "swift", "direct"):
+        model = synthesis.synthesize_codes(codes, BITS, 1.0, np.random.default_rng(0), method, [("a", "b")])
+        assert model.log and all(r["rho"] > 0 and r["sigma"] > 0 for r in model.log)
