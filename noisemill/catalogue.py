@@ -636,6 +636,29 @@ def histogram_exact_median(spark, sf):
     return ranks.where("c >= total / 2").agg(F.min("point").alias("point"))
 
 
+_RELEASED = {("o_orderstatus", "o_orderpriority"): 3.0, ("o_totalprice",): 1.0, ("o_orderstatus", "o_totalprice"): 2.0}
+
+
+@query(f"WITH t AS ({coded(ORDERS, 'orders')}), a AS (SELECT CAST(range AS BIGINT) AS cell FROM range(15)), b AS (SELECT CAST(range AS BIGINT) AS cell FROM range(5)), x AS (SELECT o_orderstatus * 5 + o_orderpriority AS cell, count(*) AS n FROM t GROUP BY ALL), y AS (SELECT o_totalprice AS cell, count(*) AS n FROM t GROUP BY ALL), z AS (SELECT o_orderstatus * 5 + o_totalprice AS cell, count(*) AS n FROM t GROUP BY ALL) SELECT CAST(0 AS INT) AS clique, cell, coalesce(n, 0)::DOUBLE AS n, 0.0::DOUBLE AS sigma FROM a LEFT JOIN x USING (cell) UNION ALL SELECT CAST(1 AS INT), cell, coalesce(n, 0)::DOUBLE, 0.0 FROM b LEFT JOIN y USING (cell) UNION ALL SELECT CAST(2 AS INT), cell, coalesce(n, 0)::DOUBLE, 0.0 FROM a LEFT JOIN z USING (cell)")
+def weighted_release_exact(spark, sf):
+    """Three joint tables released as one, without noise: all cells, those that don't occur as zero."""
+    codes = codec.encode_table(table(spark, sf, "orders"), ORDERS)
+    return private.release(codes, ORDERS, _RELEASED, float("inf"))
+
+
+_CUTS = [5.0, 10.0, 10.0, 10.0, 33.0, 50.0, 50.0]
+
+
+@query("SELECT CAST((l_quantity > 5)::INT + (l_quantity > 10)::INT + (l_quantity > 33)::INT AS INT) AS bin, count(*) AS n, [1, 3, 1, 3][bin + 1] / 8.0::DOUBLE AS share FROM lineitem GROUP BY ALL")
+def edges_to_measurement(spark, sf):
+    """Given cuts: the fine histogram's counts between them, and the shares that the cuts stand for."""
+    a = Numerical(1, 50)
+    edges, weights = private.edge_weights(_CUTS, a)
+    bins = private.rebinned(private.grid_histogram(table(spark, sf, "lineitem"), "l_quantity", 1, 50, 1.0), edges, 1, 1.0)
+    shares = F.array(*(F.lit(w / sum(weights)) for w in weights))
+    return bins.select("bin", "n", F.get(shares, F.col("bin")).alias("share"))
+
+
 @query("SELECT DISTINCT \"column\", value FROM (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders)")
 def infer_domain_from_marginals(spark, sf):
     orders = table(spark, sf, "orders")
@@ -749,8 +772,8 @@ def annotation_prompt(spark, sf):
 
 def _synthetic(method: str):
     def run(spark, sf):
-        cliques = [("o_orderstatus", "o_totalprice"), ("o_orderstatus", "o_orderpriority")]
-        model = synthesis.synthesize_codes(codec.encode_table(table(spark, sf, "orders"), ORDERS), ORDERS, 1.0, np.random.default_rng(0), method, cliques)
+        known = [("o_orderstatus", "o_totalprice"), ("o_orderstatus", "o_orderpriority")]
+        model = synthesis.synthesize_codes(codec.encode_table(table(spark, sf, "orders"), ORDERS), ORDERS, 1.0, np.random.default_rng(), method, known)
         return codec.decode_table(synthesis.draw(spark, model), ORDERS, "id").drop("id")
 
     return run
@@ -808,7 +831,7 @@ def open_set_discovery(spark, sf):
 @query()
 def dp_quantiles(spark, sf):
     a = Numerical(0, 500_000)
-    edges = private.private_edges(table(spark, sf, "orders"), "o_totalprice", a, 0.5, np.random.default_rng(0), 3)
+    edges = private.private_edges(table(spark, sf, "orders"), "o_totalprice", a, 0.5, np.random.default_rng(), 3)
     return spark.createDataFrame([(k, float(e)) for k, e in enumerate(edges)], "place int, edge double")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noisemill.functions import budget
-from noisemill.functions.codec import gaussian, grid_index
-from noisemill.operators.counts import dense_counts, open_counts
+from noisemill.functions.codec import gaussian, grid_index, uniform
+from noisemill.operators.counts import dense_counts, marginals, open_counts
 from noisemill.operators.relational import checkpointed
 from noisemill.spec import Numerical, OpenSet, Schema
 
@@ -31,6 +31,37 @@ def noisy_marginal(counts: pd.DataFrame, cells: int, rho: float, rng: np.random.
     return out + rng.normal(0, per_user * budget.sigma_of_rho(rho), cells)
 
 
+def release_sigmas(weights: dict[tuple[str, ...], float], rho: float, sensitivity: float = 1.0) -> dict[tuple[str, ...], float]:
+    """The noise of each clique when all are released as one vector, each scaled by its weight over the
+    weights' norm: a row moves that vector by ``sensitivity``, whatever the number of cliques, and a
+    clique's share of rho is its squared weight's."""
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError(f"weights must be positive: {weights}")
+    norm, sigma = math.sqrt(sum(w * w for w in weights.values())), sensitivity * budget.sigma_of_rho(rho)
+    return {c: sigma * norm / w for c, w in weights.items()}
+
+
+def release(codes: DataFrame, schema: Schema, weights: dict[tuple[str, ...], float], rho: float, secret: str | None = None, sensitivity: float = 1.0, weight: str | None = None) -> DataFrame:
+    """(clique, cell, n, sigma): the joint tables of all cliques, every cell with Gaussian noise, as one rho-zCDP release.
+
+    Counts are one pass. Cells that don't occur get noise too: each clique's range of cells is listed by
+    Spark and joined with the counts, and noise is a keyed hash of clique and cell, so that no table
+    passes through the driver. ``secret``, or one of the operating system's, keys it: use it once.
+    """
+    workload, spark = list(weights), codes.sparkSession
+    sigmas = release_sigmas(weights, rho, sensitivity)
+    sizes = [math.prod(schema[c].size for c in clique) for clique in workload]
+    ends = np.cumsum([0, *sizes]).tolist()
+    at = F.col("id")
+    place = sum(((at >= e).cast("int") for e in ends[1:-1]), F.lit(0))
+    starts, widths = F.array(*map(F.lit, ends[:-1])), F.array(*(F.lit(float(sigmas[c])) for c in workload))
+    cells = spark.range(ends[-1]).select(place.alias("clique"), (at - F.get(starts, place)).alias("cell"), F.get(widths, place).alias("sigma"))
+    counts = marginals(codes, schema, workload, weight)
+    exact = F.coalesce(F.col("n").cast("double"), F.lit(0.0))
+    noisy = exact + F.col("sigma") * gaussian(secret or secrets.token_hex(32), "clique", "cell")
+    return cells.join(counts, ["clique", "cell"], "left").select("clique", "cell", noisy.alias("n"), "sigma")
+
+
 def common_codes(noisy: np.ndarray, stddev: float) -> list[bool]:
     """Which codes stay apart: those whose noisy count is three standard deviations or more. Where
     merging the others into one saves no code, all stay."""
@@ -45,7 +76,7 @@ def bound_contributions(df: DataFrame, user: str, most: int, seed: int = 0) -> D
     return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-def discover(
+def found_values(
     df: DataFrame,
     columns: dict[str, OpenSet],
     rho: float,
@@ -54,21 +85,31 @@ def discover(
     min_count: int = 1,
     most: int = 1_000_000,
     per_user: int = 1,
-) -> dict[str, list[str]]:
-    """Values of open columns that are safe to show: noisy counts above the threshold, and public ones.
+) -> dict[str, dict[str, float]]:
+    """Values of open columns that are safe to show, with the noisy counts by which they were found.
 
-    The default comes first, then values in order. A row adds to one histogram of each column, so rho
-    and delta are shared out among them. Noise and threshold are applied in Spark; only what may be
-    shown is collected, at most ``most`` values: more are no categories, and an error. ``secret``
-    keys the noise; without, the operating system gives one.
+    A row adds to one histogram of each column, so rho and delta are shared out among them. Noise and
+    threshold are applied in Spark; only what may be shown is collected, at most ``most`` values: more
+    are no categories, and an error. ``secret`` keys the noise; without, the operating system gives one.
     """
     sigma = budget.sigma_of_rho(rho / len(columns))
     threshold = budget.selection_threshold(sigma, delta / len(columns), per_user, min_count)
     noisy = F.col("n") + per_user * sigma * gaussian(secret or secrets.token_hex(32), "column", "value")
-    rows = open_counts(df, columns, min_count).where(noisy >= threshold).select("column", "value").limit(most + 1).collect()
+    rows = open_counts(df, columns, min_count).withColumn("noisy", noisy).where(F.col("noisy") >= threshold).select("column", "value", "noisy").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} values")
-    return {c: [a.default, *sorted(({r.value for r in rows if r.column == c} | set(a.public)) - {a.default})] for c, a in columns.items()}
+    return {c: {r.value: r.noisy for r in rows if r.column == c} for c in columns}
+
+
+def listed(found: dict[str, float], a: OpenSet) -> list[str]:
+    """An open column's values: the default first, then found and public ones in order."""
+    return [a.default, *sorted((set(found) | set(a.public)) - {a.default})]
+
+
+def discover(df: DataFrame, columns: dict[str, OpenSet], rho: float, delta: float, secret: str | None = None, min_count: int = 1, most: int = 1_000_000, per_user: int = 1) -> dict[str, list[str]]:
+    """The values of ``found_values``, and public ones, as categories: the default comes first, then values in order."""
+    found = found_values(df, columns, rho, delta, secret, min_count, most, per_user)
+    return {c: listed(found[c], a) for c, a in columns.items()}
 
 
 def sips_weights(df: DataFrame, user: str, partition: str, most: int) -> DataFrame:
@@ -135,20 +176,46 @@ def quantile_cells(cells: np.ndarray, counts: np.ndarray, size: int, epsilons: l
     return [max(c - 1, 0) for c in cuts]
 
 
-def private_edges(df: DataFrame, column: str, a: Numerical, rho: float, rng: np.random.Generator, levels: int = 5, points: int = 100_001) -> tuple[float, ...]:
-    """Bin edges near the quantiles: a histogram over a grid of ``points``, then private cuts.
+def private_cuts(df: DataFrame, column: str, a: Numerical, rho: float, rng: np.random.Generator, levels: int = 5, points: int = 100_001) -> list[float]:
+    """Places near the quantiles that cut the column's rows into 2 ** levels equal parts, as often as they
+    cut: a histogram over a grid of ``points``, then private cuts.
 
-    A point's rows are dealt at random to finer cells before anything is counted, so that points which
-    many rows have can be cut within. At most 2 ** 20 cells are collected.
+    A point's rows are dealt to finer cells before anything is counted, by a keyed hash of their place in
+    the table, so that points which many rows have can be cut within. At most 2 ** 20 cells are collected.
     """
     step = max(1.0, math.ceil((a.high - a.low) / (points - 1))) if a.integer else (a.high - a.low) / (points - 1)
     size = int(math.floor((a.high - a.low) / step)) + 2
     fine = max(1, (1 << 20) // size)
     rows = df if a.clip else df.where(F.col(column).between(a.low, a.high) & ~F.isnan(F.col(column).cast("double")))
     point = F.least(F.coalesce(grid_index(column, a.low, a.high, step), F.lit(0)), F.lit(size - 1))
-    cell = (point * fine + F.floor(F.rand() * fine)).cast("long")
+    dealt = uniform(F.monotonically_increasing_id(), F.lit(rng.bytes(16).hex()))
+    cell = (point * fine + F.floor(dealt * fine)).cast("long")
     dense = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").toPandas()
     epsilons = [math.inf] * levels if math.isinf(rho) else budget.quantile_levels(rho, levels)
     cells = quantile_cells(dense["cell"].to_numpy(np.int64), dense["n"].to_numpy(np.int64), size * fine, epsilons, rng)
-    edges = sorted({a.low + step * (c // fine) for c in cells})
-    return tuple(e for e in edges if a.low <= e < a.high)
+    return sorted(a.low + step * (c // fine) for c in cells)
+
+
+def edge_weights(cuts: list[float], a: Numerical) -> tuple[tuple[float, ...], list[int]]:
+    """Edges from equal cuts, each once, and how many of the equal parts each bin between them has.
+
+    A bin takes the parts that end at its upper edge; what is cut at the column's maximum or above goes
+    into the last bin, which reaches there anyway. Without clip, bin 0, for invalid values, has none.
+    """
+    edges, times = np.unique(np.asarray(cuts, float), return_counts=True)
+    inside = edges < a.high
+    weights = [*times[inside].tolist(), int(times[~inside].sum()) + 1]
+    return tuple(edges[inside].tolist()), weights if a.clip else [0, *weights]
+
+
+def private_edges(df: DataFrame, column: str, a: Numerical, rho: float, rng: np.random.Generator, levels: int = 5, points: int = 100_001) -> tuple[float, ...]:
+    """Bin edges near the quantiles, from ``private_cuts``."""
+    return edge_weights(private_cuts(df, column, a, rho, rng, levels, points), a)[0]
+
+
+def rebinned(histogram: DataFrame, edges: tuple[float, ...], low: float, step: float) -> DataFrame:
+    """(bin, n): a ``grid_histogram`` summed up between edges, bins closed on the right and empty ones as zero."""
+    value = low + F.col("point") * step
+    place = sum(((value > e).cast("int") for e in edges), F.lit(0))
+    every = histogram.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("long").alias("n"))
+    return histogram.select(place.alias("bin"), "n").unionByName(every).groupBy("bin").agg(F.sum("n").alias("n"))

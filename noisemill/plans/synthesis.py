@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from noisemill.functions import budget
 from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
-from noisemill.operators.private import common_codes, discover, noisy_columns, noisy_marginal, private_edges
+from noisemill.operators.private import common_codes, edge_weights, found_values, listed, noisy_columns, noisy_marginal, private_cuts
 from noisemill.operators.relational import checkpointed
 from noisemill.plans.cliques import CliqueModel, affordable, compile_workload, draw_cliques, drawn, fit_cliques, model_errors
 from noisemill.spec import Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
@@ -150,10 +150,11 @@ def synthesize_codes(
     width: int = 2,
     forest: bool = False,
     most_cells: int = _MOST_CELLS,
+    known: dict[str, np.ndarray] | None = None,
 ) -> TreeModel | CliqueModel:
     """Measure a coded table under rho-zCDP and fit the model.
 
-    A tenth of rho goes to the columns and the total; the rest by ``method``: *independent* stops
+    A tenth of rho goes to the columns and the total, but not to columns whose shares are ``known``; the rest by ``method``: *independent* stops
     there; *direct* measures ``cliques`` of any width; *mst* draws a spanning tree by the pairs' distance from
     independence and measures it; *swift* takes noisy errors of all pairs, keeps the tree that is worth
     its noise, and shares the budget to match. *aim* and *aim_gdp* choose among all cliques of up to
@@ -168,10 +169,18 @@ def synthesize_codes(
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     columns = list(schema)
-    parts = budget.split(rho, len(columns))
-    singles = noisy_columns(codes, schema, parts["each"], rng, sensitivity) if weight is None else _weighted_columns(codes, schema, weight, parts["each"], rng, sensitivity)
+    known = known or {}
+    fresh = {c: a for c, a in schema.items() if c not in known}
+    parts = budget.split(rho, len(fresh))
+    if not fresh:
+        singles = {}
+    elif weight is None:
+        singles = noisy_columns(codes, fresh, parts["each"], rng, sensitivity)
+    else:
+        singles = _weighted_columns(codes, fresh, weight, parts["each"], rng, sensitivity)
     n = codes.count() if weight is None else codes.agg(F.sum(weight)).first()[0] or 0.0
     total = n + rng.normal(0, sensitivity * budget.sigma_of_rho(parts["each"]))
+    singles |= {c: max(1.0, total) * x for c, x in known.items()}
     masks = _masks(schema, constraints)
     wide = any(len(m) != 2 for m in masks)
     ones = {(c,): x for c, x in singles.items()}
@@ -356,20 +365,30 @@ def draw(spark: SparkSession, model: TreeModel | CliqueModel, rows: int | None =
     return out
 
 
-def declared(df: DataFrame, schema: Schema, rho: float, delta: float, rng: np.random.Generator, per_user: int = 1) -> Schema:
-    """The schema with values for its open columns and edges for its numbers without any, found privately.
+def declared(df: DataFrame, schema: Schema, rho: float, delta: float, rng: np.random.Generator, per_user: int = 1) -> tuple[Schema, dict[str, np.ndarray]]:
+    """The schema with values for its open columns and edges for its numbers without any, found privately,
+    and those columns' shares, which finding them has measured already.
 
-    The columns share rho; the open ones delta. Numbers get edges near their octiles.
+    The columns share rho; the open ones delta. Numbers get edges near their octiles, and an eighth of
+    the rows for each part between two cuts. An open column's values have their noisy counts, public ones
+    that weren't found none, and its default the rest.
     """
     opened = {c: a for c, a in schema.items() if isinstance(a, OpenSet)}
     bare = [c for c, a in schema.items() if isinstance(a, Numerical) and not a.edges]
-    share, out = rho / max(1, len(opened) + len(bare)), dict(schema)
+    # the open columns' defaults need the number of rows, which is one release more
+    share, out, known = rho / max(1, len(opened) + len(bare) + bool(opened)), dict(schema), {}
     if opened:
-        found = discover(df, opened, share * len(opened), delta, rng.bytes(32).hex(), per_user=per_user)
-        out |= {c: Categorical(tuple(v)) for c, v in found.items()}
+        found = found_values(df, opened, share * len(opened), delta, rng.bytes(32).hex(), per_user=per_user)
+        n = max(1.0, df.count() + rng.normal(0, per_user * budget.sigma_of_rho(share)))
+        for c, a in opened.items():
+            values = listed(found[c], a)
+            counts = np.array([max(found[c].get(v, 0.0), 0.0) for v in values])
+            counts[0] = max(found[c].get(values[0], 0.0), n - counts[1:].sum(), 0.0)
+            out[c], known[c] = Categorical(tuple(values)), counts / max(counts.sum(), 1e-9)
     for c in bare:
-        out[c] = replace(schema[c], edges=private_edges(df, c, schema[c], share / per_user**2, rng, levels=3))
-    return out
+        edges, weights = edge_weights(private_cuts(df, c, schema[c], share / per_user**2, rng, levels=3), schema[c])
+        out[c], known[c] = replace(schema[c], edges=edges), np.array(weights) / sum(weights)
+    return out, known
 
 
 def synthesize(
@@ -392,7 +411,7 @@ def synthesize(
     With ``compress``, a tenth of the budget finds each column's rare codes, which count as one while
     the rest is measured, and are drawn evenly in the end; columns with constraints keep theirs.
     Open columns' values, and edges of numbers without any, are found privately, for a tenth of the
-    budget and, for open columns, half of delta. Free text is an error.
+    budget and, for open columns, half of delta; these columns aren't measured again on their own. Free text is an error.
 
     Noise comes from the operating system. A ``seed`` makes it predictable, so that it protects
     nothing: for tests only. ``draw_seed`` tells the rows that are drawn from the noisy model.
@@ -401,23 +420,24 @@ def synthesize(
         raise ValueError("per_user must be at least 1")
     if bad := [n for n, a in schema.items() if isinstance(a, FreeText)]:
         raise ValueError(f"columns without values: {bad}")
-    rng, masks = np.random.default_rng(seed), {}
+    rng, masks, known = np.random.default_rng(seed), {}, {}
     opened = any(isinstance(a, OpenSet) for a in schema.values())
     rho = budget.zcdp_rho(epsilon, delta / 2 if opened else delta)
     if opened or any(isinstance(a, Numerical) and not a.edges for a in schema.values()):
-        schema = declared(df, schema, 0.1 * rho, delta / 2, rng, per_user)
+        schema, known = declared(df, schema, 0.1 * rho, delta / 2, rng, per_user)
         rho *= 0.9
     codes = encode_table(df, schema)
     small = dict(schema)
     if compress:
-        each = 0.1 * rho / len(schema)
+        some = {c: a for c, a in schema.items() if c not in known}
+        each = 0.1 * rho / max(1, len(some))
         sigma = per_user * budget.sigma_of_rho(each)
         fixed = {c for k in constraints for c in k.columns}
-        masks = {c: m for c, x in noisy_columns(codes, schema, each, rng, per_user).items() if c not in fixed and not all(m := common_codes(x, sigma))}
+        masks = {c: m for c, x in (noisy_columns(codes, some, each, rng, per_user) if some else {}).items() if c not in fixed and not all(m := common_codes(x, sigma))}
         codes = codes.select(*((merge_rare(c, masks[c]) if c in masks else F.col(c)).alias(c) for c in schema))
         small |= {c: Categorical(tuple(range(sum(m) + 1))) for c, m in masks.items()}
         rho *= 0.9
-    model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints, width=width)
+    model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints, width=width, known=known)
     made = draw(df.sparkSession, model, rows, draw_seed)
     made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=draw_seed) if c in masks else F.col(c)).alias(c) for c in schema))
     return decode_table(made, schema, "id", seed=draw_seed).drop("id")

@@ -102,3 +102,57 @@ def test_sips_finds_common_partitions(spark):
 def test_contributions(spark):
     df = spark.range(100).selectExpr("id % 3 as user", "id as x")
     assert {r["count"] for r in private.bound_contributions(df, "user", 5).groupBy("user").count().collect()} == {5}
+
+
+def test_equal_cuts_become_bins_with_weights():
+    a = Numerical(0, 10)
+    assert private.edge_weights([1, 2, 2, 5, 10, 10, 11], a) == ((1.0, 2.0, 5.0), [1, 2, 1, 4])
+    assert private.edge_weights([1.5], a) == ((1.5,), [1, 1]) and private.edge_weights([], a) == ((), [1])
+    assert private.edge_weights([3, 3], Numerical(0, 10, clip=False)) == ((3.0,), [0, 2, 1])
+
+
+def test_found_columns_are_not_paid_for_twice(spark):
+    from noisemill.plans import synthesis
+    from noisemill.spec import Categorical
+
+    df = spark.range(4000).selectExpr("concat('v', id % 5) as a", "cast(id % 1000 as double) as x", "cast(id % 2 as int) as b")
+    schema = {"a": OpenSet(), "x": Numerical(0, 1000), "b": Categorical((0, 1))}
+    full, known = synthesis.declared(df, schema, 5.0, 1e-6, np.random.default_rng(0))
+    assert set(known) == {"a", "x"} and all(len(s) == full[c].size and abs(s.sum() - 1) < 1e-9 for c, s in known.items())
+    assert np.abs(known["a"][1:] - 0.2).max() < 0.02 and known["a"][0] < 0.02 and np.abs(known["x"] - 1 / 8).max() < 0.13
+    seen = []
+    real = synthesis.noisy_columns
+    synthesis.noisy_columns = lambda codes, some, *rest: seen.append(set(some)) or real(codes, some, *rest)
+    try:
+        made = synthesis.synthesize(df, schema, 20.0, 1e-6, seed=0, compress=True)
+    finally:
+        synthesis.noisy_columns = real
+    assert seen and all(s == {"b"} for s in seen)
+    counts = {r.a: r["count"] for r in made.groupBy("a").count().collect()}
+    assert all(abs(counts[f"v{k}"] - 800) < 150 for k in range(5))
+
+
+def test_one_release_over_weighted_cliques(spark):
+    from pyspark.sql import functions as F
+
+    from noisemill.spec import Categorical
+
+    schema = {"a": Categorical(tuple(range(60))), "b": Categorical(tuple(range(50)))}
+    weights = {("a", "b"): 3.0, ("b", "a"): 1.0, ("a",): 2.0}
+    sigmas = private.release_sigmas(weights, 0.02, 2.0)
+    assert sum(4 / (2 * s * s) for s in sigmas.values()) == pytest.approx(0.02)
+    assert sigmas["b", "a"] == pytest.approx(3 * sigmas["a", "b"])
+    codes = spark.range(500).select((F.col("id") % 60).cast("int").alias("a"), (F.col("id") % 50).cast("int").alias("b"))
+    rows = private.release(codes, schema, weights, 0.02, "key", 2.0).toPandas()
+    assert rows.groupby("clique").size().tolist() == [3000, 3000, 60]
+    for k, clique in enumerate(weights):
+        part = rows[rows["clique"] == k].sort_values("cell")
+        exact = np.zeros(len(part))
+        for r in codes.groupBy(*clique).count().collect():
+            exact[r[0] * 50 + r[1] if clique == ("a", "b") else r[0] * 60 + r[1] if k == 1 else r[0]] = r["count"]
+        assert set(part["sigma"]) == {sigmas[clique]}
+        if k < 2:
+            noise = part["n"].to_numpy() - exact
+            assert noise.std() == pytest.approx(sigmas[clique], rel=0.06) and abs(noise.mean()) < 0.1 * sigmas[clique]
+    with pytest.raises(ValueError):
+        private.release_sigmas({("a",): 0.0}, 1.0)
