@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from noisemill.functions import codec
 from noisemill.operators import annotate, counts, evaluate, private, relational
 from noisemill.plans import cliques, families, synthesis
+from noisemill.sources import records
 from noisemill.spec import Categorical, Constraint, ForeignKey, Numerical, OpenSet, Relations, Schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -665,6 +667,19 @@ def infer_domain_from_marginals(spark, sf):
     return synthesis.domain_values([orders.groupBy("o_orderstatus", "o_orderpriority").count(), orders.groupBy("o_orderpriority").count()])
 
 
+# ---- record files
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def record_file_round_trip(spark, sf):
+    """Orders written as framed records, and read back by offsets."""
+    path = f"{relational.scratch_root(spark).rstrip('/').removeprefix('file:')}/noisemill/records-{uuid.uuid4().hex}"
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
+    records.write_records(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", cents), path)
+    back = records.read_records(spark, path, "o_orderkey long, o_orderstatus string, cents long", 1 << 20)
+    return back.select("o_orderkey", "o_orderstatus", (F.col("cents") / 100).alias("o_totalprice"))
+
+
 # ---- models over cliques
 
 _RING = [("l_returnflag", "l_linestatus"), ("l_linestatus", "l_quantity"), ("l_quantity", "l_discount"), ("l_returnflag", "l_discount")]
