@@ -580,14 +580,14 @@ def child_parent_join(spark, sf):
     return orders.join(table(spark, sf, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
-def _bands(spark, sf, slots: int) -> DataFrame:
+def _slot_bands(spark, sf, slots: int) -> DataFrame:
     """Orders with up to three made slots of one band column, 5 meaning empty."""
     c = F.col("o_custkey")
     cells = [F.when(c % 4 > s, c % (7 - s)).otherwise(5).cast("int").alias(f"slot_{s + 1}.band") for s in range(slots)]
     return table(spark, sf, "orders").select((F.col("o_orderkey") % 3).cast("int").alias("kind"), *(F.least(x, F.lit(5)).alias(f"slot_{s + 1}.band") for s, x in enumerate(cells)))
 
 
-def _bands_sql(slots: int) -> str:
+def _slot_bands_sql(slots: int) -> str:
     each = ", ".join(f"CASE WHEN o_custkey % 4 > {s} THEN least(o_custkey % {7 - s}, 5) ELSE 5 END AS b{s}" for s in range(slots))
     return f"WITH t AS (SELECT o_orderkey % 3 AS kind, {each} FROM orders)"
 
@@ -595,20 +595,20 @@ def _bands_sql(slots: int) -> str:
 _TWO = [("kind", "slot_1.band"), ("slot_1.band", "slot_2.band"), ("kind",)]
 
 
-@query(_bands_sql(2) + ", r AS (SELECT 0 AS clique, kind * 6 + b0 AS cell, 0.5 AS n FROM t UNION ALL SELECT 0, kind * 6 + b1, 0.5 FROM t UNION ALL SELECT 1, b0 * 6 + b1, 0.5 FROM t UNION ALL SELECT 1, b1 * 6 + b0, 0.5 FROM t UNION ALL SELECT 2, kind, 1 FROM t) SELECT CAST(clique AS INT) AS clique, CAST(cell AS BIGINT) AS cell, round(sum(n)::DOUBLE, 6) AS n FROM r GROUP BY ALL")
+@query(_slot_bands_sql(2) + ", r AS (SELECT 0 AS clique, kind * 6 + b0 AS cell, 0.5 AS n FROM t UNION ALL SELECT 0, kind * 6 + b1, 0.5 FROM t UNION ALL SELECT 1, b0 * 6 + b1, 0.5 FROM t UNION ALL SELECT 1, b1 * 6 + b0, 0.5 FROM t UNION ALL SELECT 2, kind, 1 FROM t) SELECT CAST(clique AS INT) AS clique, CAST(cell AS BIGINT) AS cell, round(sum(n)::DOUBLE, 6) AS n FROM r GROUP BY ALL")
 def symmetrized_two_slots(spark, sf):
     sizes = {"kind": 3, "slot_1.band": 6, "slot_2.band": 6}
-    return relational.symmetric_marginals(_bands(spark, sf, 2), sizes, _TWO, 2).withColumn("n", F.round("n", 6))
+    return relational.symmetric_marginals(_slot_bands(spark, sf, 2), sizes, _TWO, 2).withColumn("n", F.round("n", 6))
 
 
-_PAIRS = [(a, b) for a in range(3) for b in range(3) if a != b]
+_SLOT_PAIRS = [(a, b) for a in range(3) for b in range(3) if a != b]
 
 
-@query(_bands_sql(3) + ", f AS (SELECT *, CAST(b0 <> 5 AS INT) + CAST(b1 <> 5 AS INT) + CAST(b2 <> 5 AS INT) AS k FROM t), r AS (" + " UNION ALL ".join([f"SELECT 0 AS clique, kind * 6 + b{a} AS cell, 1.0::DOUBLE / k AS n FROM f WHERE b{a} <> 5" for a in range(3)] + [f"SELECT 1, b{a} * 6 + b{b}, 1.0::DOUBLE / (k * (k - 1)) FROM f WHERE b{a} <> 5 AND b{b} <> 5" for a, b in _PAIRS]) + ") SELECT CAST(clique AS INT) AS clique, CAST(cell AS BIGINT) AS cell, round(sum(n), 6) AS n FROM r GROUP BY ALL")
+@query(_slot_bands_sql(3) + ", f AS (SELECT *, CAST(b0 <> 5 AS INT) + CAST(b1 <> 5 AS INT) + CAST(b2 <> 5 AS INT) AS k FROM t), r AS (" + " UNION ALL ".join([f"SELECT 0 AS clique, kind * 6 + b{a} AS cell, 1.0::DOUBLE / k AS n FROM f WHERE b{a} <> 5" for a in range(3)] + [f"SELECT 1, b{a} * 6 + b{b}, 1.0::DOUBLE / (k * (k - 1)) FROM f WHERE b{a} <> 5 AND b{b} <> 5" for a, b in _SLOT_PAIRS]) + ") SELECT CAST(clique AS INT) AS clique, CAST(cell AS BIGINT) AS cell, round(sum(n), 6) AS n FROM r GROUP BY ALL")
 def symmetrized_three_slots(spark, sf):
     """Only slots that hold a child: a family counts once for a clique of which it has enough children."""
     sizes = {"kind": 3, **{f"slot_{s}.band": 6 for s in (1, 2, 3)}}
-    return relational.symmetric_marginals(_bands(spark, sf, 3), sizes, _TWO[:2], 3, real={"band": 5}).withColumn("n", F.round("n", 6))
+    return relational.symmetric_marginals(_slot_bands(spark, sf, 3), sizes, _TWO[:2], 3, real={"band": 5}).withColumn("n", F.round("n", 6))
 
 
 # ---- private releases, those parts that are exact
