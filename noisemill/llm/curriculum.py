@@ -72,12 +72,14 @@ def assign(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2
 
     A source may hold any share of the rows: streams are summed in parts of about ``part_rows`` rows,
     by the leading digits of the hash. A null text is empty and a text without words is never taken;
-    repeated rows count each, and rows that share a doc_id follow one another, shorter ones first; an
-    empty table gives an empty one.
+    repeated rows count each, and rows that share a doc_id follow one another, shorter ones first,
+    then by a hash of what is kept of them; an empty table gives an empty one.
     """
     text = F.coalesce("text", F.lit(""))
+    told = [c for c in keep if "map<" not in docs.schema[c].dataType.simpleString()]
     base = docs.select(
         F.struct(*keep).alias("doc"),
+        F.xxhash64(*told).alias("tie"),
         F.col("source"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("stream"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -96,7 +98,7 @@ def assign(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (3, 1, 2
     parts = rows.groupBy("stream", "part").agg(F.sum("size").alias("in_part"))
     ahead = Window.partitionBy("stream").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("stream", "part", F.coalesce(F.sum("in_part").over(ahead), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("stream", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("stream", "part").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(parts, ["stream", "part"])
     start = F.col("part_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     rows = rows.select("doc", "size", "source_size", "target", "kind", start.alias("start"))
