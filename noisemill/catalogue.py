@@ -661,6 +661,55 @@ def edges_to_measurement(spark, sf):
     return bins.select("bin", "n", F.get(shares, F.col("bin")).alias("share"))
 
 
+_SAMPLED = f"{int(0.3 * (1 << 48)):012x}"
+
+
+@query(f"SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events WHERE substr(sha256('open' || coalesce(CAST(user_id AS VARCHAR), '')), 1, 12) < '{_SAMPLED}' GROUP BY ALL")
+def sampled_users(spark, sf):
+    """Users and rows of a sample of three users in ten, under a key that is no secret here."""
+    kept = private.sampled_users(table(spark, sf, "events"), "user_id", 0.3, "open")
+    return kept.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("n"))
+
+
+
+@query("WITH v AS (SELECT 'p_brand' AS \"column\", p_brand AS value FROM part GROUP BY ALL HAVING count(*) >= 2 AND p_brand IS NOT NULL UNION ALL SELECT 'p_name', p_name FROM part WHERE p_name IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) SELECT \"column\", CAST(row_number() OVER (PARTITION BY \"column\" ORDER BY encode(value)) AS INT) AS code, value FROM v UNION ALL SELECT c, CAST(0 AS INT), '<OOD>' FROM (VALUES ('p_brand'), ('p_name')) x(c)")
+def open_set_discovery_exact(spark, sf):
+    """Open columns without noise: values that two rows have, in order, after the default."""
+    found = private.discover(table(spark, sf, "part"), {"p_name": OpenSet(), "p_brand": OpenSet()}, float("inf"), 1e-6, min_count=2)
+    return spark.createDataFrame([(c, k, v) for c, vs in found.items() for k, v in enumerate(vs)], "column string, code int, value string")
+
+
+@query("WITH d AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL), k AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS k FROM d) SELECT event_type FROM k GROUP BY ALL HAVING sum(1 / sqrt(k)) >= 1")
+def dp_sips_partitions_exact(spark, sf):
+    """Partitions without noise: those whose users' weights sum to one user's. No user has more than ``most``."""
+    return private.sips(table(spark, sf, "events"), "user_id", "event_type", float("inf"), 1e-6, most=5, rounds=1)
+
+
+def _fitted(method: str, columns: list[tuple[str, ...]]):
+    """A model without noise: its counts of some columns, cells without rows left out."""
+
+    def run(spark, sf):
+        codes = codec.encode_table(table(spark, sf, "orders"), ORDERS)
+        known = [("o_orderstatus", "o_totalprice"), ("o_orderstatus", "o_orderpriority")]
+        model = synthesis.synthesize_codes(codes, ORDERS, float("inf"), np.random.default_rng(), method, known)
+        rows = []
+        for c in columns:
+            x = model.total * (model.single(*c) if len(c) == 1 else model.pair(*c))
+            rows += [("|".join(c), "|".join(map(str, at)), float(round(x[at], 6))) for at in np.ndindex(x.shape) if round(x[at], 6) > 0]
+        return spark.createDataFrame(rows, "columns string, cell string, n double")
+
+    return run
+
+
+def _fitted_sql(columns: list[tuple[str, ...]]) -> str:
+    counted = (f"SELECT '{'|'.join(c)}' AS columns, concat_ws('|', {', '.join(c)}) AS cell, count(*)::DOUBLE AS n FROM t GROUP BY ALL" for c in columns)
+    return f"WITH t AS ({coded(ORDERS, 'orders')}) " + " UNION ALL ".join(counted)
+
+
+for _fitting, _of in (("independent", [(c,) for c in ORDERS]), ("direct", [("o_orderstatus", "o_totalprice"), ("o_orderstatus", "o_orderpriority"), ("o_totalprice",)])):
+    QUERIES[f"fitted_{_fitting}_exact"], ORACLES[f"fitted_{_fitting}_exact"] = _fitted(_fitting, _of), _fitted_sql(_of)
+
+
 @query("SELECT DISTINCT \"column\", value FROM (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders)")
 def infer_domain_from_marginals(spark, sf):
     orders = table(spark, sf, "orders")
@@ -825,6 +874,12 @@ def synthesize_constrained(spark, sf):
     return synthesis.synthesize(table(spark, sf, "orders"), ORDERS, 1.0, 1e-6, constraints=(rule,))
 
 
+@query()
+def synthesize_sampled(spark, sf):
+    """From the orders of a secret half of the customers, as many orders as all have."""
+    return synthesis.synthesize(table(spark, sf, "orders"), ORDERS, 1.0, 1e-6, share=0.5, user="o_custkey")
+
+
 _WIDE_RULE = Constraint(("l_returnflag", "l_linestatus", "bulk"), impossible=(("R", "O", True), ("A", "O", True), ("N", "F", False)))
 
 

@@ -98,6 +98,14 @@ def selection_epsilon(rho: float) -> float:
     return math.sqrt(8 * rho)
 
 
+def laplace_epsilon(std: float) -> float:
+    """Epsilon of an exponential mechanism where the accountant names the deviation of Laplace noise that costs as
+    much: that noise has scale 1 / epsilon, and sqrt(2) times its scale as deviation."""
+    if std <= 0:
+        raise ValueError(f"a deviation must be positive: {std}")
+    return math.sqrt(2) / std
+
+
 def split(rho: float, columns: int, first: float = 0.1) -> dict[str, float]:
     """The share of each column's first look and of the total, and what the joint tables get."""
     each = first * rho / (columns + 1)

@@ -105,9 +105,9 @@ def undiscretize(code: Column | str, a: Numerical, *keys: Column | str, seed: in
         out = pick([f"[{bounds[0][0]}, {bounds[0][1]}]", *(f"({l}, {r}]" for l, r in bounds[1:])])
         return out if a.clip else F.when(c == 0, F.lit(a.sentinel or "")).otherwise(out)
     if a.decode == "midpoint":
-        out = pick([(l + r) / 2 for l, r in bounds])
+        out = pick([(l + r) / 2 for l, r in a.spans()])
     else:
-        out = pick([float(l) for l, _ in bounds]) + uniform(*keys, seed=seed) * pick([float(r - l) for l, r in bounds])
+        out = pick([float(l) for l, _ in a.spans()]) + uniform(*keys, seed=seed) * pick([float(r - l) for l, r in a.spans()])
     if a.integer and a.clip:
         return F.ceil(out).cast("long")
     return out if a.clip else F.when(c == 0, F.lit(a.sentinel).cast("double")).otherwise(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -19,14 +20,24 @@ def strip_fences(text: Column | str) -> Column:
     return F.when(F.regexp_like(c, F.lit(fence)), F.trim(F.regexp_extract(c, fence, 1))).otherwise(c)
 
 
+#: JSON's names of types of categories; a boolean is an integer too, so it comes first.
+_JSON_TYPES = ((bool, "boolean"), (int, "integer"), (float, "number"))
+
+
+def _json_type(a: Categorical) -> str:
+    return next((k for t, k in _JSON_TYPES if isinstance(a.values[0], t)), "string")
+
+
 def json_schema(schema: Schema) -> dict:
     """The schema of an answer: an object with a property for each attribute."""
     out = {}
     for name, a in schema.items():
         if isinstance(a, Categorical):
-            out[name] = {"type": "string", "enum": [str(v) for v in a.values]}
+            kind = _json_type(a)
+            out[name] = {"type": kind, "enum": [str(v) for v in a.values] if kind == "string" else list(a.values)}
         elif isinstance(a, Numerical):
-            out[name] = {"type": "integer" if a.integer else "number", "minimum": a.low, "maximum": a.high}
+            ends = {k: v for k, v in (("minimum", a.low), ("maximum", a.high)) if math.isfinite(v)}
+            out[name] = {"type": "integer" if a.integer else "number", **ends}
         else:
             out[name] = {"type": "string"}
     return {"type": "object", "properties": out, "required": list(schema)}
@@ -37,17 +48,21 @@ def parse_answers(df: DataFrame, answer: str, schema: Schema) -> DataFrame:
 
     What is no JSON object, lacks a key, has a null there, or a value that isn't the attribute's (none
     of its categories, no number, or one out of range), takes the attribute's default: the
-    out-of-domain value, the least number, or an empty text, and doesn't count. Other keys are ignored.
+    out-of-domain value, the least number (of an endless range, its first edge), or an empty text, and
+    doesn't count. Categories keep their type, text unless all are numbers or booleans. Other keys are ignored.
     """
     parsed = F.try_parse_json(strip_fences(answer))
     out, got = [], F.lit(0)
     for name, a in schema.items():
         value, default = F.try_variant_get(parsed, f"$.{name}", "string"), F.lit("")
         if isinstance(a, Categorical):
-            value, default = F.when(value.isin(*map(str, a.values)), value), F.lit(str(a.values[a.ood]))
+            kind = _json_type(a)
+            typed = value.try_cast({"boolean": "boolean", "integer": "long", "number": "double", "string": "string"}[kind])
+            values = a.values if kind != "string" else tuple(map(str, a.values))
+            value, default = F.when(typed.isin(*values), typed), F.lit(values[a.ood])
         elif isinstance(a, Numerical):
             number = value.try_cast("double")
-            value, default = F.when(number.between(a.low, a.high), number), F.lit(float(a.low))
+            value, default = F.when(number.between(a.low, a.high), number), F.lit(float(a.low if math.isfinite(a.low) else a.spans()[0][0]))
         got = got + F.when(value.isNotNull(), 1).otherwise(0)
         out.append(F.coalesce(value, default).alias(name))
     return df.select("*", *out, got.alias("_fields_decoded"))

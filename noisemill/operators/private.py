@@ -76,6 +76,23 @@ def bound_contributions(df: DataFrame, user: str, most: int, seed: int = 0) -> D
     return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
+def sampled_users(df: DataFrame, user: str, share: float, secret: str | None = None) -> DataFrame:
+    """The rows of a Poisson sample of users, each in it with probability ``share`` on their own; all rows of a user
+    stay or go together, and users without a name are one.
+
+    A keyed hash in the scan decides, so that nothing is shuffled and a table that is read again, or a task that
+    runs again, gives the same sample. ``secret``, or one of the operating system's, keys it: the accounting
+    (``functions.sampling``) holds while it stays unknown.
+    """
+    if not 0 < share <= 1:
+        raise ValueError(f"a share must lie in (0, 1]: {share}")
+    if share == 1:
+        return df
+    name = F.coalesce(F.col(f"`{user}`").cast("string"), F.lit(""))
+    digest = F.sha2(F.concat(F.lit(secret or secrets.token_hex(32)), name), 256)
+    return df.where(F.substring(digest, 1, 12) < F.lit(f"{int(share * (1 << 48)):012x}"))
+
+
 def found_values(
     df: DataFrame,
     columns: dict[str, OpenSet],

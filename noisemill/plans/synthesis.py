@@ -9,24 +9,38 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field, replace
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noisemill.functions import budget
+from noisemill.functions import budget, sampling
 from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
-from noisemill.operators.private import common_codes, edge_weights, found_values, listed, noisy_columns, noisy_marginal, private_cuts
+from noisemill.operators.private import common_codes, edge_weights, found_values, listed, noisy_columns, noisy_marginal, private_cuts, sampled_users
 from noisemill.operators.relational import checkpointed
 from noisemill.plans.cliques import CliqueModel, affordable, compile_workload, draw_cliques, drawn, fit_cliques, model_errors
-from noisemill.spec import Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
+from noisemill.spec import Attribute, Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
 
 #: Cells of a pair's table that a broadcast may have.
 _MOST_CELLS = 5_000_000
 METHODS = ("independent", "direct", "mst", "aim", "aim_gdp", "swift")
 
 
+class Initializer(Protocol):
+    """Turns a column of any declared kind into one with codes, under ``rho``-zCDP for users of ``per_user`` rows:
+    a ``Categorical`` or a ``Numerical`` with edges, and its codes' shares, or None to have them measured."""
+
+    def __call__(self, df: DataFrame, column: str, attribute: Attribute, rho: float, rng: np.random.Generator, per_user: int) -> tuple[Attribute, np.ndarray | None]: ...
+
+
+class Mechanism(Protocol):
+    """Measures a coded table under ``rho``-zCDP, where a user moves counts by ``sensitivity``, and fits a model of all columns."""
+
+    def __call__(self, codes: DataFrame, schema: Schema, rho: float, rng: np.random.Generator, sensitivity: float, known: dict[str, np.ndarray]) -> TreeModel | CliqueModel: ...
+
+
 @dataclass
 class TreeModel:
     """A root-first list of columns, each with its parent or none, and the shares of its codes: a
@@ -151,6 +165,7 @@ def synthesize_codes(
     forest: bool = False,
     most_cells: int = _MOST_CELLS,
     known: dict[str, np.ndarray] | None = None,
+    workload: dict[tuple[str, ...], float] | None = None,
 ) -> TreeModel | CliqueModel:
     """Measure a coded table under rho-zCDP and fit the model.
 
@@ -164,7 +179,9 @@ def synthesize_codes(
     size. Errors against a model are passes over that table; only the cells of cliques that are
     measured come to the driver. Pairs that make a forest give a tree; wider cliques, cycles and
     constraints on three columns or more give a model over the cliques of a junction tree, of at
-    most ``most_cells``. With ``forest``, *aim* and *aim_gdp* take only pairs that make one.
+    most ``most_cells``. With ``forest``, *aim* and *aim_gdp* take only pairs that make one. A
+    ``workload`` of weighted cliques has them choose among its cliques and their parts, by what those share
+    with it; cliques of more than ``most_cells`` aren't candidates themselves, but their parts are.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
@@ -192,10 +209,19 @@ def synthesize_codes(
         asked = list(dict.fromkeys(map(tuple, cliques)))
     else:
         widest = min(width, len(columns)) if method in ("aim", "aim_gdp") and not forest else 2
-        asked = [c for k in range(2, widest + 1) for c in itertools.combinations(columns, k)]
+        if workload and method in ("aim", "aim_gdp"):
+            if lacking := sorted({c for e in workload for c in e} - set(columns)):
+                raise ValueError(f"a workload's columns that the table lacks: {lacking}")
+            widest = 2 if forest else max(map(len, workload))
+            wanted = {tuple(sorted(p, key=columns.index)) for e in workload for k in range(2, min(widest, len(e)) + 1) for p in itertools.combinations(e, k)}
+            asked = sorted(wanted, key=lambda e: (len(e), [columns.index(c) for c in e]))
+        else:
+            asked = [c for k in range(2, widest + 1) for c in itertools.combinations(columns, k)]
     if method in ("direct", "mst", "swift") and (big := [e for e in asked if cells_of(schema, e) > most_cells]):
         raise ValueError(f"tables of more than {most_cells} cells: {big}")
     asked = [e for e in asked if cells_of(schema, e) <= most_cells]
+    if not asked:
+        return fit_cliques(schema, ones, total, masks, most_cells=most_cells) if masks else fit_tree(schema, singles, {}, total)
     counts = checkpointed(marginals(codes, schema, asked, weight))
     place = {e: k for k, e in enumerate(asked)}
     shape = lambda e: tuple(schema[c].size for c in e)
@@ -228,7 +254,7 @@ def synthesize_codes(
         shares = {e: keep["|".join(e)] for e in tree if "|".join(e) in keep}
         found, log = measure(shares), _log(shares, sensitivity)
     else:
-        found, log = _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, method == "aim_gdp", forest, most_cells, measure, errors)
+        found, log = _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, method == "aim_gdp", forest, most_cells, measure, errors, workload)
     pairs = all(len(e) == 2 for e in found)
     if wide or not pairs or len(_forest(dict.fromkeys(found, 0.0), columns, lambda f: f[0])) < len(found):
         model = fit_cliques(schema, {**ones, **found}, total, masks, most_cells=most_cells)
@@ -245,7 +271,7 @@ def _log(shares: dict[tuple[str, ...], float], sensitivity: float) -> list[dict]
     return [{"round": k, "clique": "|".join(e), "rho": share, "sigma": sensitivity * budget.sigma_of_rho(share)} for k, (e, share) in enumerate(shares.items())]
 
 
-def _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, by_noise, forest, most_cells, measure, errors, refreshed: int = 16):
+def _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, by_noise, forest, most_cells, measure, errors, workload=None, refreshed: int = 16):
     """The adaptive choice of cliques: (tables, log).
 
     Each round takes the clique that the model so far gets most wrong, weighted by how many columns it
@@ -255,7 +281,7 @@ def _rounds(schema, asked, ones, total, masks, rest, rng, sensitivity, by_noise,
     moves the model by no more than its noise, the next rounds get four times as much.
     """
     columns = list(schema)
-    score = {c: s for c, _, s, _, _ in compile_workload(schema, dict.fromkeys(asked, 1.0), max(map(len, asked)), most_cells)}
+    score = {c: s for c, _, s, _, _ in compile_workload(schema, workload or dict.fromkeys(asked, 1.0), max(map(len, asked)), most_cells)}
     weights = {e: score[tuple(sorted(e))] for e in asked}
     top = max(weights.values())
     weights = {e: w / top for e, w in weights.items()}
@@ -365,18 +391,19 @@ def draw(spark: SparkSession, model: TreeModel | CliqueModel, rows: int | None =
     return out
 
 
-def declared(df: DataFrame, schema: Schema, rho: float, delta: float, rng: np.random.Generator, per_user: int = 1) -> tuple[Schema, dict[str, np.ndarray]]:
+def declared(df: DataFrame, schema: Schema, rho: float, delta: float, rng: np.random.Generator, per_user: int = 1, initializers: dict[str, Initializer] | None = None) -> tuple[Schema, dict[str, np.ndarray]]:
     """The schema with values for its open columns and edges for its numbers without any, found privately,
     and those columns' shares, which finding them has measured already.
 
     The columns share rho; the open ones delta. Numbers get edges near their octiles, and an eighth of
     the rows for each part between two cuts. An open column's values have their noisy counts, public ones
-    that weren't found none, and its default the rest.
+    that weren't found none, and its default the rest. Columns with one of the ``initializers`` are left to it.
     """
-    opened = {c: a for c, a in schema.items() if isinstance(a, OpenSet)}
-    bare = [c for c, a in schema.items() if isinstance(a, Numerical) and not a.edges]
+    own = initializers or {}
+    opened = {c: a for c, a in schema.items() if isinstance(a, OpenSet) and c not in own}
+    bare = [c for c, a in schema.items() if isinstance(a, Numerical) and not a.edges and c not in own]
     # the open columns' defaults need the number of rows, which is one release more
-    share, out, known = rho / max(1, len(opened) + len(bare) + bool(opened)), dict(schema), {}
+    share, out, known = rho / max(1, len(opened) + len(bare) + len(own) + bool(opened)), dict(schema), {}
     if opened:
         found = found_values(df, opened, share * len(opened), delta, rng.bytes(32).hex(), per_user=per_user)
         n = max(1.0, df.count() + rng.normal(0, per_user * budget.sigma_of_rho(share)))
@@ -388,6 +415,14 @@ def declared(df: DataFrame, schema: Schema, rho: float, delta: float, rng: np.ra
     for c in bare:
         edges, weights = edge_weights(private_cuts(df, c, schema[c], share / per_user**2, rng, levels=3), schema[c])
         out[c], known[c] = replace(schema[c], edges=edges), np.array(weights) / sum(weights)
+    for c, look in own.items():
+        out[c], shares = look(df, c, schema[c], share, rng, per_user)
+        if not isinstance(out[c], Categorical | Numerical):
+            raise ValueError(f"the initializer of {c} gave no column with codes: {out[c]}")
+        if shares is not None:
+            if len(shares) != out[c].size or min(shares) < 0 or not sum(shares) > 0:
+                raise ValueError(f"the initializer of {c} gave no shares of its {out[c].size} codes")
+            known[c] = np.asarray(shares, float) / sum(shares)
     return out, known
 
 
@@ -397,13 +432,17 @@ def synthesize(
     epsilon: float,
     delta: float,
     seed: int | None = None,
-    method: str = "mst",
+    method: str | Mechanism = "mst",
     rows: int | None = None,
     constraints: tuple[Constraint, ...] = (),
     per_user: int = 1,
     compress: bool = False,
     draw_seed: int = 0,
     width: int = 2,
+    share: float = 1.0,
+    user: str | None = None,
+    workload: dict[tuple[str, ...], float] | None = None,
+    initializers: dict[str, Initializer] | None = None,
 ) -> DataFrame:
     """A synthetic table under (epsilon, delta)-differential privacy.
 
@@ -413,18 +452,35 @@ def synthesize(
     Open columns' values, and edges of numbers without any, are found privately, for a tenth of the
     budget and, for open columns, half of delta; these columns aren't measured again on their own. Free text is an error.
 
+    With a ``share`` below 1, the job reads the rows of a secret sample of users, told apart by the column ``user``,
+    may spend more on them (``sampling.on_sample``), and draws as many rows as the whole table has.
+    ``initializers`` look at columns in ways of their own, for a part of that tenth as large as any
+    other such column's; a ``method`` may be a ``Mechanism`` of one's own, and *aim* and *aim_gdp* take a ``workload``.
+
     Noise comes from the operating system. A ``seed`` makes it predictable, so that it protects
     nothing: for tests only. ``draw_seed`` tells the rows that are drawn from the noisy model.
     """
     if per_user < 1:
         raise ValueError("per_user must be at least 1")
-    if bad := [n for n, a in schema.items() if isinstance(a, FreeText)]:
+    own = initializers or {}
+    if lacking := sorted(set(own) - set(schema)):
+        raise ValueError(f"initializers of no column: {lacking}")
+    if bad := [n for n, a in schema.items() if isinstance(a, FreeText) and n not in own]:
         raise ValueError(f"columns without values: {bad}")
+    if not isinstance(method, str) and (constraints or workload):
+        raise ValueError("a mechanism of one's own has its own constraints and workload")
+    if workload and method not in ("aim", "aim_gdp"):
+        raise ValueError("only aim and aim_gdp take a workload")
     rng, masks, known = np.random.default_rng(seed), {}, {}
-    opened = any(isinstance(a, OpenSet) for a in schema.values())
+    if share != 1:
+        if user is None:
+            raise ValueError("a sample needs the column that tells users apart")
+        epsilon, delta = sampling.on_sample(epsilon, delta, share)
+        df = sampled_users(df, user, share, None if seed is None else rng.bytes(32).hex())
+    opened = any(isinstance(a, OpenSet) for n, a in schema.items() if n not in own)
     rho = budget.zcdp_rho(epsilon, delta / 2 if opened else delta)
-    if opened or any(isinstance(a, Numerical) and not a.edges for a in schema.values()):
-        schema, known = declared(df, schema, 0.1 * rho, delta / 2, rng, per_user)
+    if own or opened or any(isinstance(a, Numerical) and not a.edges for a in schema.values()):
+        schema, known = declared(df, schema, 0.1 * rho, delta / 2, rng, per_user, own)
         rho *= 0.9
     codes = encode_table(df, schema)
     small = dict(schema)
@@ -437,7 +493,12 @@ def synthesize(
         codes = codes.select(*((merge_rare(c, masks[c]) if c in masks else F.col(c)).alias(c) for c in schema))
         small |= {c: Categorical(tuple(range(sum(m) + 1))) for c, m in masks.items()}
         rho *= 0.9
-    model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints, width=width, known=known)
+    if isinstance(method, str):
+        model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints, width=width, known=known, workload=workload)
+    else:
+        model = method(codes, small, rho, rng, sensitivity=per_user, known=known)
+    if rows is None and share != 1:
+        rows = int(round(model.total / share))
     made = draw(df.sparkSession, model, rows, draw_seed)
     made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=draw_seed) if c in masks else F.col(c)).alias(c) for c in schema))
     return decode_table(made, schema, "id", seed=draw_seed).drop("id")

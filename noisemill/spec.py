@@ -41,7 +41,7 @@ class OpenSet:
 
 @dataclass(frozen=True)
 class Numerical:
-    """A bounded number. ``edges`` cut [low, high] into right-closed bins. With ``clip``, values
+    """A number within bounds, which may be infinite where edges are given. ``edges`` cut [low, high] into right-closed bins. With ``clip``, values
     outside go to the nearest bin and invalid ones to the first; else bin 0 is for all of these.
     ``decode``: midpoint, sample or interval; ``sentinel``: what bin 0 decodes to without clip."""
 
@@ -56,6 +56,8 @@ class Numerical:
     def __post_init__(self):
         if not self.low < self.high:
             raise ValueError(f"empty range [{self.low}, {self.high}]")
+        if not self.edges and math.isinf(self.high - self.low):
+            raise ValueError(f"an endless range needs edges: [{self.low}, {self.high}]")
         if self.decode not in ("midpoint", "sample", "interval"):
             raise ValueError(f"unknown decode {self.decode!r}")
         if list(self.edges) != sorted(set(self.edges)) or any(not self.low <= e < self.high for e in self.edges):
@@ -75,11 +77,16 @@ class Numerical:
         ends = [self.low, *self.edges, self.high]
         return list(zip(ends[:-1], ends[1:], strict=True))
 
+    def spans(self) -> list[tuple[float, float]]:
+        """What values of each bin are drawn between: its bounds, or twice the finite one where the other is infinite."""
+        return [(r, r) if math.isinf(l) else (l, l) if math.isinf(r) else (l, r) for l, r in self.bounds()]
+
     def labels(self) -> list[str]:
         """The bins as the values of a categorical column."""
         ends = [self.exclusive_low, *self.edges, self.high]
         pairs = zip(ends[:-1], ends[1:], strict=True)
-        out = [f"[{int(a) + 1}, {int(b)}]" if self.integer else f"({a}, {b}]" for a, b in pairs]
+        whole = lambda x: x if math.isinf(x) else int(x)
+        out = [f"[{whole(a + 1)}, {whole(b)}]" if self.integer else f"({a}, {b}]" for a, b in pairs]
         return out if self.clip else ["OUT_OF_DOMAIN", *out]
 
 
