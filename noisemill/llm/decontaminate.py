@@ -197,15 +197,51 @@ def _covered(runs: list[tuple], size: int) -> int:
     return int(at.sum())
 
 
+def _places(runs: list[tuple], size: int):
+    """The runs of each stretch of the text that is long enough for the item and a quarter more words.
+
+    Runs end in (from, to in the text). A stretch begins with a run; those that hold nothing new are left out.
+    """
+    span, before = size + size // 4, -1
+    runs = sorted(runs, key=lambda r: r[-2:])
+    starts, ends = (np.array([r[k] for r in runs]) for k in (-2, -1))
+    limits = starts + span
+    for k, (limit, last) in enumerate(zip(limits.tolist(), np.searchsorted(starts, limits).tolist(), strict=True)):
+        inside = ends[k:last]
+        if ((inside > before) & (inside <= limit)).any():
+            yield [runs[k + j] for j in np.flatnonzero(inside <= limit).tolist()]
+        before = limit
+
+
+def _enough(runs: list[tuple], size: int, least: float, run: int) -> int:
+    """How many of the item's tokens the runs cover, or 0 if neither those nor the longest run are enough."""
+    longest, total = max(r[1] - r[0] for r in runs), sum(r[1] - r[0] for r in runs)
+    if longest < run and total < least * size:
+        return 0
+    covered = _covered(runs, size)
+    return covered if longest >= run or covered >= least * size else 0
+
+
+def _best(runs: list[tuple], size: int, least: float, run: int, choose) -> tuple[list[tuple] | None, int]:
+    """What ``choose`` takes of the place where that covers most of the item, the first of equal ones, and how much it covers."""
+    best, most = None, 0
+    for place in _places(runs, size):
+        if _enough(place, size, least, run) and (own := choose(place)) is not None and (n := _covered(own, size)) > most:
+            best, most = own, n
+            if most == size:
+                break
+    return best, most
+
+
 def _renaming(runs: list[tuple], size: int, least: float, run: int) -> list[tuple] | None:
-    """The runs of one renaming that hold enough of an item, those with the most tokens; None if none does.
+    """The runs of one renaming that hold enough of an item in one place, those with the most tokens; None if none does.
 
     ``runs``: (from, to, slots of the item, slots of the text, from and to in the text). Each run
     begins a renaming, which takes up, longest first, all others that agree with it. So other
     variants of the item in the same text don't count against a variant.
     """
     if _consistent(np.concatenate([r[2] for r in runs]), np.concatenate([r[3] for r in runs])):
-        return runs if _covered(runs, size) >= least * size or max(r[1] - r[0] for r in runs) >= run else None
+        return runs if _enough(runs, size, least, run) else None
     runs = sorted((r for r in runs if _consistent(r[2], r[3])), key=lambda r: (r[0] - r[1], r[4]))
     once: dict[tuple, tuple] = {}
     for r in runs:
@@ -238,7 +274,7 @@ def _verified(x: pa.RecordBatch, width: int, least: float, run: int):
     bases = buffers(texts)[1]
     for k, (shifts, only) in enumerate(zip(x.column("shifts").to_pylist(), x.column("verbatim").to_pylist(), strict=True)):
         size, origin, begin = int(first[k + 1] - first[k]), int(first[k]), int(bounds[k])
-        quoted, runs, longest = np.zeros(size, bool), [], 0
+        quotes, runs = [], []
         for shift, verbatim in zip(shifts, only, strict=True):
             shift += begin
             a, b = max(0, begin - shift), min(size, int(bounds[k + 1]) - shift)
@@ -249,25 +285,24 @@ def _verified(x: pa.RecordBatch, width: int, least: float, run: int):
             if not verbatim:
                 same[a + 1 : b + 1] |= tokens["template"][shift + a : shift + b] == items["template"][origin + a : origin + b]
             for s, e in _runs(equal, min(width, size)):
-                quoted[s:e] = True
-                longest = max(longest, e - s)
+                quotes.append((s, e, shift + s, shift + e))
             for s, e in _runs(same, min(width, size)):
                 theirs, ours = items["value"][origin + s : origin + e], tokens["value"][shift + s : shift + e]
                 slot = items["template"][origin + s : origin + e] < _PLACEHOLDERS
                 runs.append((s, e, theirs[slot], ours[slot], shift + s, shift + e))
         if not runs:
             continue
-        own = _renaming(runs, size, least, run)
+        own, matched = _best(runs, size, least, run, lambda place, n=size: _renaming(place, n, least, run))
         if own is not None:
             theirs, ours = (np.concatenate([r[j] for r in own]) for j in (2, 3))
             changed = int((theirs != ours).sum())
-            kind, matched = ("reparameterised" if changed else "exact"), _covered(own, size)
-        elif quoted.sum() >= least * size or longest >= run:
-            own, theirs, changed = runs, np.zeros(0), 0
-            kind, matched = "quoted", int(quoted.sum())
+            kind = "reparameterised" if changed else "exact"
         else:
-            continue
-        low, high = min(r[4] for r in own), max(r[5] for r in own)
+            own, matched = _best(quotes, size, least, run, lambda place: place)
+            if own is None:
+                continue
+            kind, theirs, changed = "quoted", np.zeros(0), 0
+        low, high = min(r[-2] for r in own), max(r[-1] for r in own)
         raw, base = texts[k].as_py().encode(), int(bases[k])
         span = (len(raw[: int(at) - base].decode(errors="ignore")) for at in (tokens["start"][low], tokens["end"][high - 1]))
         most = max(r[1] - r[0] for r in own)
@@ -342,12 +377,14 @@ def contaminated(
     shorter than a window is one as a whole. So copies in capitals, and copies of items of numbers,
     are found too. A pair's windows are extended on their diagonals to runs of equal templates.
 
+    Each place of the text is judged by itself: a stretch with room for the item and a quarter more
+    tokens, so that scattered phrases, or contradictory variants one after another, don't add up.
     The values in the slots must be a one-to-one renaming; runs that disagree are other variants of
     the item, each judged with the runs that agree with it. The pair counts if the runs of a renaming
     cover ``coverage`` of the item's tokens, or one of them is ``run`` long: ``kind`` is then exact or
     reparameterised. Where no renaming does, runs of at least ``width`` tokens that are equal as they
     stand may cover as much, or one be ``run`` long: quoted. Slots that contradict each other make no
-    pair. ``start`` and ``end`` bound the matches, in code points.
+    pair. ``start`` and ``end`` bound the place that covers most, in code points; of equal ones the first.
 
     All documents are read once: a filter of fixed size, made of the items' window hashes, lets few
     windows pass, and those are joined with the items' windows as tables. Null texts count as empty; an

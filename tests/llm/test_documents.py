@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +235,36 @@ def test_other_variants_hide_none(spark, text, kind):
     assert "Other" not in text or rows[0].matched_tokens == rows[0].item_tokens
 
 
+def test_contradictory_copies_do_not_add_up(spark):
+    """Each copy has its own words for most of the item, so that only together they would hold half of it."""
+    item = "Mia 3 sells eleven red clay pots daily while Tom 4 paints fourteen old wooden doors near the quiet harbour"
+    words = item.split()
+    copies = []
+    for k in range(50):
+        other = [f"w{k}x{j}" for j in range(len(words))]
+        at = 2 if k % 2 else 11
+        copies.append(" ".join([*other[:at], *words[at : at + 6], *other[at + 6 :], "and so on it went with them all for long"]))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.contaminated(docs_of(spark, [" ".join(copies)]), benchmark, run=99).count() == 0
+    both = " ".join(words[2:8]) + " but then " + " ".join(words[11:17])
+    assert [r.kind for r in decontaminate.contaminated(docs_of(spark, [both]), benchmark, run=99).collect()] == ["exact"]
+    far = " ".join(words[2:8]) + " but then" * 30 + " " + " ".join(words[11:17])
+    assert decontaminate.contaminated(docs_of(spark, [far]), benchmark, run=99).count() == 0
+
+
+def test_many_variants_in_one_text_take_linear_time(spark):
+    """A text with 8,000 variants of an item: one pair, found in seconds."""
+    made = [SLOTTED.replace("3", str(k)).replace("Mia", f"Mia{k}") for k in range(1000, 9000)]
+    benchmark = spark.createDataFrame([(1, SLOTTED)], "item_id long, text string")
+    start = time.monotonic()
+    rows = decontaminate.contaminated(docs_of(spark, [". ".join(made)]), benchmark).collect()
+    assert [(r.item_id, r.kind) for r in rows] == [(1, "reparameterised")] and rows[0].matched_tokens == rows[0].item_tokens
+    bad = [SLOTTED.replace("and", f"and{k}").replace("cups to", f"cups{k} to") for k in range(1000, 9000)]
+    contradicting = [re.sub(r"[0-9]+", "4", x) for x in bad]
+    assert decontaminate.contaminated(docs_of(spark, [". ".join(contradicting)]), benchmark, coverage=0.95, run=99).count() == 0
+    assert time.monotonic() - start < 40
+
+
 def test_span_is_in_code_points(spark, benchmark):
     text = "é😀 ü. " + ITEMS[0] + " fin"
     r = decontaminate.contaminated(docs_of(spark, [text]), benchmark).first()
