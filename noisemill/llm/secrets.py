@@ -193,6 +193,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     names; a rule without scans every text. Postings are keyed by a hash of id and text, so equal
     rows share an entry and a hash shared by chance only costs a verification. A null text is empty
     here and stays null in the output; other columns stay as they are, but a column ``spans`` gives way.
+    Repeated rows stay as often as they are there; an empty table gives none; a text of any length is scanned whole.
     """
     names = [c for c in docs.columns if c.lower() != "spans"]
     return _found(docs, rules).select(*(F.col(f"row.`{c}`") for c in names), "spans")

@@ -114,6 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     the ``features`` with the largest excess stay. With ``hold_out`` = (modulus, remainder)
     neither labels nor texts of such ids are seen. Without a positive text the model gives each
     text the prior. A document with several labels is toxic if one says so; null labels don't count.
+
+    After the fit the bias is cut down to the prior's log odds, which is no part of the risk: with few
+    positives the risk alone leaves it higher, and a text that holds no feature would be called toxic.
     """
     if hold_out:
         labels, docs = (x.where(fold("doc_id", hold_out[0]) != hold_out[1]) for x in (labels, docs))
@@ -148,7 +151,6 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     for k, r in enumerate(seen):
         x[k, np.frombuffer(r.features, np.int32)] = 1
     weights, bias = fit_nnpu(x, positive, prior)
-    # few positives leave the bias too high: a text without any feature is at most as likely as any text
     bias = min(bias, float(np.log(prior / (1 - prior))))
     return ToxicityModel(names, weights, bias, prior)
 
@@ -170,7 +172,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns.
+
+    Each row is judged by its own text: repeated rows stay or go alike, a score of exactly ``threshold``
+    goes, a null or empty text is one without features. Texts are read in slices of bounded size, a very
+    long one alone; an empty table stays empty.
+    """
 
     @F.arrow_udf("boolean")
     def keeps(text: pa.Array) -> pa.Array:
