@@ -103,44 +103,67 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(gram, key) of the trigrams that the rules ask for: each once for a text that holds it."""
-    grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for one in clause for g in one})
+def _grams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for r in rules for clause in trigram_query(r.pattern) for one in clause for g in one})
+
+
+def postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES, block_texts: int = 4096) -> DataFrame:
+    """(block, gram, keys): the posting lists of the trigrams that the rules ask for.
+
+    A list holds the keys of the texts with the trigram, each once. Lists are cut into blocks of about
+    ``block_texts`` texts by the key, so that none grows with the table; the texts are counted for that.
+    """
+    grams = _grams(rules)
+    blocks = -(-max(texts.count(), 1) // block_texts)
     lower = texts.select("key", F.lower("text").alias("lower"))
-    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(g)), F.lit(k)) for k, g in enumerate(grams))))
-    return lower.select("key", F.explode(held).alias("gram"))
+    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(g)), F.lit(g)) for g in grams)))
+    each = lower.select(F.pmod("key", F.lit(blocks)).alias("block"), F.explode(held).alias("gram"), "key")
+    return each.groupBy("block", "gram").agg(F.collect_set("key").alias("keys"))
+
+
+def _intersected(lists: list[Column]) -> Column:
+    """What all posting lists hold, from the shortest on."""
+    if len(lists) == 1:
+        return lists[0]
+    by_size = F.array_sort(F.array(*lists), lambda a, b: F.size(a) - F.size(b))
+    return let(by_size, lambda v: F.aggregate(F.slice(v, 2, len(lists) - 1), F.element_at(v, 1), lambda have, more: F.array_intersect(have, more)))
+
+
+def _united(lists: list[Column]) -> Column:
+    return lists[0] if len(lists) == 1 else F.array_distinct(F.concat(*lists))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, may_<kind> ...): intersected postings, for the texts that at least one rule may match."""
-    grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for one in clause for g in one})
-    place = {g: k for k, g in enumerate(grams)}
-    words = -(-len(grams) // 60)
-    masks = [F.bit_or(F.when(F.floor(F.col("gram") / 60) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("gram") % 60).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in range(words)]
-
-    def holds(one: frozenset[str]) -> Column:
-        out = F.lit(True)
-        for w in range(words):
-            need = sum(1 << (place[g] % 60) for g in one if place[g] // 60 == w)
-            if need:
-                out = out & (F.col(f"mask{w}").bitwiseAND(F.lit(need)) == F.lit(need))
-        return out
+    """(key, may_<kind> ...) of the texts that at least one rule may match: in each block, the rule's
+    Boolean query over the posting lists, an alternative as the intersection of its trigrams' lists."""
+    asked = [(k, r) for k, r in enumerate(rules) if trigram_query(r.pattern)]
+    grams = sorted({g for _, r in asked for clause in trigram_query(r.pattern) for one in clause for g in one})
+    none = F.array().cast("array<bigint>")
+    lists = {g: f"list{n}" for n, g in enumerate(grams)}
+    block = index.groupBy("block").agg(*(F.first(F.when(F.col("gram") == g, F.col("keys")), ignorenulls=True).alias(name) for g, name in lists.items()))
+    block = block.select(*(F.coalesce(name, none).alias(name) for name in lists.values()))
+
+    def named(rule: Rule) -> Column:
+        clauses = [_united([_intersected([F.col(lists[g]) for g in sorted(one)]) for one in clause]) for clause in trigram_query(rule.pattern)]
+        return _intersected(clauses)
+
+    each = F.array(*(F.struct(named(r).alias("keys"), F.lit(k).alias("rule")) for k, r in asked))
+    found = block.select(F.inline(each)).select(F.explode("keys").alias("key"), "rule")
+    return found.groupBy("key").agg(*(F.bool_or(F.col("rule") == k).alias(f"may_{r.kind}") for k, r in asked))
+
+
+_FILTER_WORDS = 1 << 17  # of 64 bits: 1 MB, whatever the number of candidates
+
+
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_FILTER_WORDS * 64))
 
-    def may(rule: Rule) -> Column:
-        out = F.lit(True)
-        for clause in trigram_query(rule.pattern):
-            any_ = F.lit(False)
-            for one in clause:
-                any_ = any_ | holds(one)
-            out = out & any_
-        return out
 
-    asked = [r for r in rules if trigram_query(r.pattern)]
-    found = index.groupBy("key").agg(*masks).select("key", *(may(r).alias(f"may_{r.kind}") for r in asked))
-    wanted = F.lit(False)
-    for r in asked:
-        wanted = wanted | F.col(f"may_{r.kind}")
-    return found.where(wanted)
+def _filter(may: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each candidate's hash, in at most ``_FILTER_WORDS`` rows."""
+    place = may.select(_place(F.col("key")).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    return place.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
 _SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
@@ -175,23 +198,37 @@ def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(row, text, spans): each row of ``docs`` as a struct, its text, null as empty, and the secrets in it."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     texts = docs.select(whole, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("row.doc_id", "text"))
+    none = F.array().cast(_SPANS)
+    asked = {r.kind for r in rules if trigram_query(r.pattern)}
+
+    def spans(df: DataFrame, candidate: bool) -> DataFrame:
+        each = []
+        for k, rule in enumerate(rules):
+            if rule.kind not in asked:
+                each.append(_spans(rule, k))
+            elif candidate:
+                each.append(F.when(F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)), _spans(rule, k)).otherwise(none))
+        return df.select("row", "text", F.array_sort(F.concat(none, *each)).alias("spans"))
+
+    if not asked:
+        return spans(texts, False)
     may = candidates(postings(texts.select("key", "text"), rules), rules)
-    each = []
-    for k, rule in enumerate(rules):
-        spans = _spans(rule, k)
-        if f"may_{rule.kind}" in may.columns:
-            spans = F.when(F.coalesce(F.col(f"may_{rule.kind}"), F.lit(False)), spans).otherwise(F.array().cast(_SPANS))
-        each.append(spans)
-    return texts.join(may, "key", "left").select("row", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    # only texts that the filter lets pass travel to the candidates; it errs on the side of passing
+    place = _place(F.col("key"))
+    marked = texts.withColumn("word", F.floor(place / 64)).join(F.broadcast(_filter(may)), "word", "left")
+    passes = F.coalesce(F.call_function("bit_get", "bits", (place % 64).cast("int")) == 1, F.lit(False))
+    likely = marked.where(passes).select("row", "text", "key").join(may, "key", "left")
+    return spans(likely, True).unionByName(spans(marked.where(~passes), False))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` with ``spans``: an array of (start, ord, end, kind), by start, then in
     the rules' order; places in code points, ends exclusive.
 
-    A rule with mandatory trigrams is verified only on texts that its postings' intersection
-    names; a rule without scans every text. Postings are keyed by a hash of id and text, so equal
-    rows share an entry and a hash shared by chance only costs a verification. A null text is empty
+    A rule with mandatory trigrams is verified only on texts that its posting lists' intersection
+    names; a rule without scans every text. Lists hold hashes of id and text, so equal rows share an
+    entry and a hash shared by chance only costs a verification. A filter of fixed size keeps other texts
+    from being shuffled. ``docs`` is read for the count, the lists and the verification, so its rows should repeat themselves. A null text is empty
     here and stays null in the output; other columns stay as they are, but a column ``spans`` gives way.
     Repeated rows stay as often as they are there; an empty table gives none; a text of any length is scanned whole.
     """

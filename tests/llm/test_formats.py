@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import os
+import random
 import re
 import time
 
@@ -74,6 +75,34 @@ def test_index_names_only_candidates(spark, secret_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_posting_lists_are_intersected(spark, small):
+    rng = random.Random(4)
+    parts = ["password=", "pass", "word", "Secret", "toke", "oken", "AKIA", "kia", "api_key", "apikey", "xoxb-", "xox", "eyJ", "AIza", "-----", "begin ", "PRIVATE KEY-----", " ", "z"]
+    texts = {k: "".join(rng.choices(parts, k=rng.randrange(12))) for k in range(400)}
+    df = spark.createDataFrame([*texts.items(), *list(texts.items())[:50]], "key long, text string")
+    index = secrets.postings(df, block_texts=37)
+    lists = index.collect()
+    assert len({r.block for r in lists}) == 13 and all(len(r["keys"]) == len(set(r["keys"])) for r in lists)
+    for g in {r.gram for r in lists}:
+        assert {k for r in lists if r.gram == g for k in r["keys"]} == {k for k, t in texts.items() if g in t.lower()}
+    found = {r.key: r for r in secrets.candidates(index).collect()}
+    for rule in secrets.RULES:
+        if query := secrets.trigram_query(rule.pattern):
+            want = {k for k, t in texts.items() if all(any(all(g in t.lower() for g in one) for one in clause) for clause in query)}
+            assert {k for k, r in found.items() if r[f"may_{rule.kind}"]} == want, rule.kind
+
+
+def test_only_candidates_are_joined(spark):
+    df = spark.createDataFrame([(k, "token=abcdefgh" if k % 50 == 0 else f"clean text {k}") for k in range(2000)], "doc_id long, text string")
+    found = secrets.scan(df)
+    assert {r.doc_id for r in found.where(F.size("spans") > 0).collect()} == set(range(0, 2000, 50)) and found.count() == 2000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [word#" in plan and "Union" in plan
+    may = secrets.candidates(secrets.postings(df.select(F.col("doc_id").alias("key"), "text")))
+    assert may.count() == 40 and 0 < secrets._filter(may).count() <= 40
+    assert secrets.scan(df, (secrets.Rule("hex", "[0-9a-f]{24,}"),)).where(F.size("spans") > 0).count() == 0
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert q["hex"] == [] and q["access"] == [[frozenset({"aki", "kia"})]]
