@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisemill.functions import codec
-from noisemill.operators import annotate, counts, evaluate, private, relational
+from noisemill.operators import annotate, compression, counts, evaluate, private, relational
 from noisemill.plans import cliques, families, synthesis
 from noisemill.sources import records
 from noisemill.spec import Categorical, Constraint, ForeignKey, Numerical, OpenSet, Relations, Schema
@@ -183,6 +183,32 @@ def codec_roundtrip_counts(spark, sf):
     return back.groupBy(*ORDERS).agg(F.count("*").alias("n"))
 
 
+def _compression_sql() -> str:
+    """Codes below a quarter of the rows merged, and the joint counts of what comes of it."""
+    maps = []
+    for c, a in ORDERS.items():
+        maps.append(f"""n_{c} AS (SELECT CAST(k.range AS INT) AS code, count(o.{c}) AS n FROM range({a.size}) k LEFT JOIN coded o ON o.{c} = k.range GROUP BY ALL),
+        f_{c} AS (SELECT code, n >= 3 * ((SELECT count(*) FROM coded) / 12e0) AS common FROM n_{c}),
+        m_{c} AS (SELECT code, CASE WHEN count_if(common) OVER () + 1 >= {a.size} THEN code WHEN common THEN count_if(common) OVER (ORDER BY code) - 1 ELSE count_if(common) OVER () END AS bin,
+            CASE WHEN count_if(common) OVER () + 1 >= {a.size} OR common THEN code ELSE min(code) FILTER (NOT common) OVER () END AS back FROM f_{c})""")
+    columns = ", ".join(f"CAST(m_{c}.bin AS INT) AS {c}_bin, CAST(m_{c}.back AS INT) AS {c}_back" for c in ORDERS)
+    joins = " ".join(f"JOIN m_{c} ON m_{c}.code = o.{c}" for c in ORDERS)
+    return f"WITH coded AS ({coded(ORDERS, 'orders', 'o_orderkey')}), {', '.join(maps)} SELECT {columns}, count(*) AS n FROM coded o {joins} GROUP BY ALL"
+
+
+@query(_compression_sql())
+def compressed_table(spark, sf):
+    codes = codec.encode_table(table(spark, sf, "orders"), ORDERS)
+    dense = counts.dense_counts(codes, ORDERS).toPandas()  # of the domain's size
+    rows = codes.count()
+    full = {c: dense[dense["column"] == c].sort_values("code")["n"].to_numpy(float) for c in ORDERS}
+    rare = compression.find_compression(full, rows / 12.0)
+    small = rare.compress(codes)
+    sums = small.groupBy(*ORDERS).agg(F.count("*").alias("n"))
+    back = rare.uncompress(sums.select(*ORDERS, *(F.col(c).alias(f"{c}_bin") for c in ORDERS), "n"))
+    return back.select(*(F.col(f"{c}_bin").cast("int") for c in ORDERS), *(F.col(c).cast("int").alias(f"{c}_back") for c in ORDERS), "n")
+
+
 # ---- counts
 
 

@@ -137,10 +137,10 @@ def merge_rare(code: Column | str, common: list[bool]) -> Column:
 
 
 def unmerge_rare(code: Column | str, common: list[bool], *keys: Column | str, seed: int = 0) -> Column:
-    """Back from ``merge_rare``; a rare code is drawn evenly by a hash of ``keys``, the first without."""
+    """Back from ``merge_rare``; a rare code is drawn evenly by a hash of ``keys``, the first without. Null stays null."""
     c = F.col(code) if isinstance(code, str) else code
     kept, rare = [k for k, x in enumerate(common) if x], [k for k, x in enumerate(common) if not x]
-    out = F.try_element_at(F.array(*map(F.lit, kept or [0])), F.least(c + 1, F.lit(max(1, len(kept)))).cast("int"))
+    out = F.when(c.isNotNull(), F.try_element_at(F.array(*map(F.lit, kept or [0])), F.least(c + 1, F.lit(max(1, len(kept)))).cast("int")))
     if not rare:
         return out
     draw = F.try_element_at(F.array(*map(F.lit, rare)), (F.floor(uniform(*keys, seed=seed) * len(rare)) + 1).cast("int")) if keys else F.lit(rare[0])

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noisemill.functions import budget, sampling
-from noisemill.functions.codec import decode_table, encode_table, merge_rare, uniform, unmerge_rare
+from noisemill.functions.codec import decode_table, encode_table, uniform
+from noisemill.operators.compression import Compression, find_compression
 from noisemill.operators.counts import cells_of, column_counts, independence_errors, marginals
-from noisemill.operators.private import common_codes, edge_weights, found_values, listed, noisy_columns, noisy_marginal, private_cuts, sampled_users
+from noisemill.operators.private import edge_weights, found_values, listed, noisy_columns, noisy_marginal, private_cuts, sampled_users
 from noisemill.operators.relational import checkpointed
 from noisemill.plans.cliques import CliqueModel, affordable, compile_workload, draw_cliques, drawn, fit_cliques, model_errors
 from noisemill.spec import Attribute, Categorical, Constraint, FreeText, Numerical, OpenSet, Schema
@@ -448,7 +449,8 @@ def synthesize(
 
     One row is a user's, or at most ``per_user`` are: bound them first (``bound_contributions``).
     With ``compress``, a tenth of the budget finds each column's rare codes, which count as one while
-    the rest is measured, and are drawn evenly in the end; columns with constraints keep theirs.
+    the rest is measured, and are drawn evenly in the end; columns with constraints keep theirs. The
+    counts that found them serve as these columns' own and aren't paid for again.
     Open columns' values, and edges of numbers without any, are found privately, for a tenth of the
     budget and, for open columns, half of delta; these columns aren't measured again on their own. Free text is an error.
 
@@ -471,7 +473,7 @@ def synthesize(
         raise ValueError("a mechanism of one's own has its own constraints and workload")
     if workload and method not in ("aim", "aim_gdp"):
         raise ValueError("only aim and aim_gdp take a workload")
-    rng, masks, known = np.random.default_rng(seed), {}, {}
+    rng, known = np.random.default_rng(seed), {}
     if share != 1:
         if user is None:
             raise ValueError("a sample needs the column that tells users apart")
@@ -483,16 +485,14 @@ def synthesize(
         schema, known = declared(df, schema, 0.1 * rho, delta / 2, rng, per_user, own)
         rho *= 0.9
     codes = encode_table(df, schema)
-    small = dict(schema)
-    if compress:
-        some = {c: a for c, a in schema.items() if c not in known}
-        each = 0.1 * rho / max(1, len(some))
-        sigma = per_user * budget.sigma_of_rho(each)
-        fixed = {c for k in constraints for c in k.columns}
-        masks = {c: m for c, x in (noisy_columns(codes, some, each, rng, per_user) if some else {}).items() if c not in fixed and not all(m := common_codes(x, sigma))}
-        codes = codes.select(*((merge_rare(c, masks[c]) if c in masks else F.col(c)).alias(c) for c in schema))
-        small |= {c: Categorical(tuple(range(sum(m) + 1))) for c, m in masks.items()}
+    rare = Compression({})
+    if compress and (some := {c: a for c, a in schema.items() if c not in known}):
+        each = 0.1 * rho / len(some)
+        noisy = noisy_columns(codes, some, each, rng, per_user)
+        rare = find_compression(noisy, per_user * budget.sigma_of_rho(each), {c for k in constraints for c in k.columns})
+        known |= {c: _shares(rare.counts(c, x)) for c, x in noisy.items()}
         rho *= 0.9
+    codes, small = rare.compress(codes), rare.schema(schema)
     if isinstance(method, str):
         model = synthesize_codes(codes, small, rho, rng, method, sensitivity=per_user, constraints=constraints, width=width, known=known, workload=workload)
     else:
@@ -500,7 +500,7 @@ def synthesize(
     if rows is None and share != 1:
         rows = int(round(model.total / share))
     made = draw(df.sparkSession, model, rows, draw_seed)
-    made = made.select("id", *((unmerge_rare(c, masks[c], "id", F.lit(c), seed=draw_seed) if c in masks else F.col(c)).alias(c) for c in schema))
+    made = rare.uncompress(made.select("id", *(F.col(f"`{c}`") for c in schema)), "id", seed=draw_seed)
     return decode_table(made, schema, "id", seed=draw_seed).drop("id")
 
 
