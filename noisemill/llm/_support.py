@@ -86,6 +86,37 @@ def spread_join(
     return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
+def split_by(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be one of ``keys``, and those whose isn't, which thus need no join.
+
+    A hash of each of the keys sets a bit, of ``words`` * 64 at most; the filter is broadcast as rows
+    (word, bits), so its size is bounded whatever the keys' number. It errs on the side of the first part
+    only, so an exact join of that part must follow. ``key`` has one type in both tables; ``keys`` and
+    ``rows`` are read more than once.
+    """
+
+    def place(of: DataFrame):
+        return F.pmod(F.xxhash64(of[key]), F.lit(words * 64))
+
+    at, word, bits = (free_name(c, rows.columns) for c in ("at", "word", "bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(at) % 64).cast("int"))
+    known = keys.where(F.col(key).isNotNull()).select(place(keys).alias(at)).groupBy(F.floor(F.col(at) / 64).alias(word)).agg(F.bit_or(bit).alias(bits))
+    marked = rows.withColumn(at, place(rows)).withColumn(word, F.floor(F.col(at) / 64)).join(F.broadcast(known), word, "left")
+    passes = F.coalesce(F.call_function("bit_get", bits, (F.col(at) % 64).cast("int")) == 1, F.lit(False))
+    return marked.where(passes).select(*(f"`{c}`" for c in rows.columns)), marked.where(~passes).select(*(f"`{c}`" for c in rows.columns))
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:
+    """The rows whose ``key`` is one of ``keys``; of the others hardly any is shuffled."""
+    return split_by(rows, keys, key, words)[0].join(keys.select(key), key, "left_semi")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:
+    """The rows whose ``key`` is none of ``keys``, or null; hardly any of them is shuffled."""
+    some, others = split_by(rows, keys, key, words)
+    return others.unionByName(some.join(keys.select(key), key, "left_anti").select(*(f"`{c}`" for c in rows.columns)))
+
+
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, more); a null text becomes empty, other columns go."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import LOWER_VALUES, batch, buffers, free_name, hash_of, id_text, materialize, mix, slices, span_hashes
+from ._support import LOWER_VALUES, anti_join, batch, buffers, free_name, hash_of, id_text, materialize, mix, slices, span_hashes
 
 #: Words that count as units when they follow a number.
 UNITS = """
@@ -416,5 +416,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     key = free_name("key", docs.columns)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, **options)
-    bad = found.select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(bad, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    bad = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return anti_join(keyed, bad, key).select(*(f"`{c}`" for c in docs.columns))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import discard, id_text, materialize, mix, slices, spread_join, word_hashes
+from ._support import anti_join, discard, free_name, id_text, materialize, mix, semi_join, slices, split_by, spread_join, word_hashes
 from .components import connected_components
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -281,7 +281,7 @@ def _with_common(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The nodes that have sets, with ``common``: how many of a node's shingles another of them has too."""
     alone = sets.select("key", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     own = alone.where("n = 1").groupBy("key").agg(F.count("*").alias("own"))
-    known = nodes.join(sets.select("key"), "key").join(own, "key", "left")
+    known = semi_join(nodes, sets.select("key"), "key").join(own, "key", "left")
     return known.select("key", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), *_BITS, *_ODD)
 
 
@@ -308,6 +308,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (u, v) of keys, those that share ``similarity`` of their shingles: counted, not estimated."""
     both = F.size(F.array_intersect("shingles_u", "shingles_v"))
     either = F.size("shingles_u") + F.size("shingles_v") - both
+    # a round's few pairs need few of the sets, which are the largest rows here
+    sets = split_by(sets, pairs.select(F.explode(F.array("u", "v")).alias("key")), "key")[0]
     return materialize(_with_ends(pairs, sets, pairs).where(both / either >= similarity).select("u", "v"), "close")
 
 
@@ -364,6 +366,9 @@ def _between(state: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return found.where(f"{once} and {_fits(similarity)}").select("u", "v").distinct()
 
 
+#: Words of the filter of shared bands: 4 MB of bits.
+_BAND_WORDS = 1 << 19
+
 #: Orders in which the leaders of bands are chosen, round after round.
 _MASKS = [0, *map(int, mix(np.arange(1, 9, dtype=np.uint64)).view(np.int64))]
 
@@ -391,12 +396,15 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near:
     discard(found)
     bands = nodes.select("key", F.explode("bands").alias("band"))
     many = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    shared = materialize(spread_join(bands, many.select("band"), "band", "key", many).select("band", "key"), "shared")
+    # most bands are of one node alone: the filter spares them a second shuffle
+    likely = split_by(bands, many, "band", _BAND_WORDS)[0]
+    shared = materialize(spread_join(likely, many.select("band"), "band", "key", many).select("band", "key"), "shared")
     pairs = materialize(_by_fingerprint(nodes, near), "pairs")
 
     keys = shared.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
-    ids = nodes.join(keys, "key", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = _shingle_sets(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi"), width)
+    keys = materialize(keys, "compared")
+    ids_read = materialize(nodes.select("key", "first_id").join(keys, "key", "left_semi").select(F.col("first_id").alias("doc_id")), "first-ids")
+    sets = _shingle_sets(semi_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids_read, "doc_id"), width)
     sets = sets.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
     # a node that shares too little with all others together can't be like any of them
@@ -427,7 +435,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near:
     least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
     ids = materialize(spread_join(named.select("key", "label"), least, "label", "key").select("key", "component_id"), "ids")
     out = materialize(spread_join(member_of, ids, "key", "doc_id").select("doc_id", "component_id"), "components")
-    discard(member_of, nodes, many, shared, sets, small, state, pairs, named, least, ids)
+    discard(member_of, nodes, many, keys, ids_read, shared, sets, small, state, pairs, named, least, ids)
     return out
 
 
@@ -436,5 +444,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Rows without a doc_id are kept as they are; of repeated rows with one id, all stay.
     """
-    kept = near_copies(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = near_copies(docs.where("doc_id is not null"), **options)
+    stays = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    key = free_name("key", docs.columns)
+    gone = materialize(stays.where("not stays").select(F.col("doc_id").alias(key)), "gone")
+    # the few that go are sought, so that the texts of those that stay needn't be shuffled
+    return anti_join(docs.withColumn(key, F.col("doc_id").cast("long")), gone, key).select(*(f"`{c}`" for c in docs.columns))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from noisemill.llm import components, simhash
+from noisemill.llm import _support, components, simhash
 
 DOCS = "doc_id long, text string, source string, node long, label long"
 
@@ -143,3 +143,34 @@ def test_deduplicate_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 0), (False, 2), (False, 4), (True, None)]
     assert simhash.deduplicate(df.where("false")).count() == 0 and simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_filtered_joins_equal_plain_ones(spark):
+    rows = spark.createDataFrame([(k if k % 7 else None, f"t{k}", k) for k in range(300)], "id long, word string, bits long")
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 2, 5, 6, 100, 999, None)], "id long")
+    for words in (1, 1 << 17):
+        for got, how in ((_support.semi_join(rows, keys, "id", words), "left_semi"), (_support.anti_join(rows, keys, "id", words), "left_anti")):
+            assert sorted(r.bits for r in got.collect()) == sorted(r.bits for r in rows.join(keys, "id", how).collect())
+    some, others = _support.split_by(rows, keys, "id")
+    assert some.columns == others.columns == rows.columns and some.count() < 20 and some.count() + others.count() == 300
+    assert _support.anti_join(rows, keys.where("false"), "id").count() == 300 and _support.semi_join(rows, keys.where("false"), "id").count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        each = context.statusStore().executorList(True)
+        return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+    r, old = np.random.default_rng(3), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    texts = ["".join(map(chr, r.integers(97, 123, 20000))) + f" w{k}" for k in range(400)]
+    path = _support.shared_dir(spark, "texts")
+    docs_of(spark, [*texts, texts[0], None, ""]).write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled()
+        kept = {x.doc_id for x in simhash.deduplicate(spark.read.parquet(path)).collect()}
+        assert kept == {*range(400), 401} and shuffled() - before < sum(map(len, texts)) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
