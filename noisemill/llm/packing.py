@@ -277,15 +277,25 @@ class _Bm25:
         part = corpus.idf()[token] * tf * np.float32(K1 + 1) / (tf + corpus.norm(lengths)[doc])
         self.n, self.token, self.own = n, token, np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(token, kind="stable")
-        self.doc, self.part, self.first = doc[order].astype(np.int32), part[order], np.append(0, np.cumsum(df))
-
-    def scores(self, seed: int) -> np.ndarray:
-        """Of every document for all tokens of the seed."""
+        # in the types that are summed, so that no seed's lists have to be converted
+        self.doc, self.part, self.first = doc[order].astype(np.intp), part[order].astype(float), np.append(0, np.cumsum(df))
+        self.held = n
+
+    def scores(self, seed: int, unused: np.ndarray | None = None) -> np.ndarray:
+        """Of every document for all tokens of the seed.
+
+        With ``unused``, a mask from which documents only go: at least of those in it. The lists are
+        rid of the others whenever a quarter of their documents have gone.
+        """
+        if unused is not None and 4 * (left := np.count_nonzero(unused)) <= 3 * self.held:
+            keep = unused[self.doc]
+            self.first = np.append(0, np.cumsum(keep))[self.first]
+            self.doc, self.part, self.held = self.doc[keep], self.part[keep], left
         terms = self.token[self.own[seed] : self.own[seed + 1]]
-        begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
-        return np.bincount(self.doc[at], self.part[at], self.n)
+        lists = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True) if a < b]
+        if not lists:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.part[x] for x in lists]), self.n)
 
 
 def _ranked(scores: np.ndarray):
@@ -301,7 +311,7 @@ def _ranked(scores: np.ndarray):
 def pack_shard(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that hold each document's tokens once.
 
-    ``scores(seed)`` ranks all documents for a seed. Full windows of one document come first; what
+    ``scores(seed, unused)`` ranks at least the unused documents for a seed. Full windows of one document come first; what
     is left of it then seeds or fills others. The document that no longer fits whole is cut at the
     window's end, and its rest seeds the next window. Only the last window may lack tokens: it is
     cut into sequences whose lengths are powers of two.
@@ -335,7 +345,7 @@ def pack_shard(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int,
         query, seed = seed, None
         rest = take(query)
         if used < window and unused.any():
-            for doc in _ranked(np.where(unused, scores(query), 0.0)):
+            for doc in _ranked(np.where(unused, scores(query, unused), 0.0)):
                 rest = take(doc)
                 if used == window:
                     break

@@ -104,6 +104,21 @@ def test_bm25_and_neighbours():
     assert first[0] == 0 and all(d % 3 == 0 for d in first)
 
 
+def test_lists_are_rid_of_used_documents():
+    r = np.random.default_rng(4)
+    lengths = r.integers(1, 60, 300)
+    ids, bounds = r.zipf(1.4, lengths.sum()).clip(0, 900).astype(np.uint16), np.append(0, np.cumsum(lengths))
+    index, plain = packing._Bm25(ids, bounds), packing._Bm25(ids, bounds)
+    unused, read = np.ones(300, bool), []
+    for seed in r.permutation(300).tolist():
+        unused[seed] = False
+        assert np.array_equal(index.scores(seed, unused)[unused], plain.scores(seed)[unused])
+        read.append(len(index.doc))
+    assert np.mean(read) < 0.7 * len(plain.doc)
+    index = packing._Bm25(ids, bounds)
+    assert packing.pack_shard(lengths, index.scores, 128) == packing.pack_shard(lengths, lambda seed, unused: plain.scores(seed), 128)
+
+
 def test_shards_hold_neighbours_and_weights_are_the_corpus(spark, tokenizer):
     r = np.random.default_rng(1)
     vocabulary = sorted(t[:-4] for t in tokenizer.get_vocab() if re.fullmatch("[a-z]{6,}</w>", t))
