@@ -366,9 +366,6 @@ def _between(state: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     return found.where(f"{once} and {_fits(similarity)}").select("u", "v").distinct()
 
 
-#: Words of the filter of shared bands: 4 MB of bits.
-_BAND_WORDS = 1 << 19
-
 #: Orders in which the leaders of bands are chosen, round after round.
 _MASKS = [0, *map(int, mix(np.arange(1, 9, dtype=np.uint64)).view(np.int64))]
 
@@ -397,7 +394,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, near:
     bands = nodes.select("key", F.explode("bands").alias("band"))
     many = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     # most bands are of one node alone: the filter spares them a second shuffle
-    likely = split_by(bands, many, "band", _BAND_WORDS)[0]
+    likely = split_by(bands, many, "band")[0]
     shared = materialize(spread_join(likely, many.select("band"), "band", "key", many).select("band", "key"), "shared")
     pairs = materialize(_by_fingerprint(nodes, near), "pairs")
 
