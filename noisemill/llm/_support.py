@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -139,8 +140,25 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of at most ``most`` bytes of text, or of one row."""
+def give_back() -> None:
+    """Return freed memory to the system, which a worker otherwise holds while it waits, beside its JVM.
+
+    Only where the C library has ``malloc_trim``; elsewhere nothing happens.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return
+    trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of at most ``most`` bytes of text, or of one row.
+
+    Scans take some fifty bytes for one of text, so this bounds a worker's memory. When all rows are
+    read, what they took goes back to the system.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -150,6 +168,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    batch = None
+    give_back()
 
 
 # Vectorised hashing of spans. A span's hash is a polynomial over a table of 64-bit values of its

@@ -1,5 +1,8 @@
 import functools
 import itertools
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -174,3 +177,33 @@ def test_texts_that_stay_are_not_shuffled(spark):
         assert kept == {*range(400), 401} and shuffled() - before < sum(map(len, texts)) / 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+_WORKER = """
+import re
+import numpy as np, pyarrow as pa
+from noisemill.llm import _support, simhash
+
+def held():
+    return int(re.search(r"\\nPss_Anon: +(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches(n):
+    r = np.random.default_rng(1)
+    for _ in range(n):
+        texts = [" ".join(map(str, r.integers(0, 9999, r.integers(1, 800)))) for _ in range(1500)]
+        yield pa.record_batch([np.arange(1500), texts], ["doc_id", "text"])
+
+for _ in batches(1):
+    pass
+before, rows = held(), 0
+for x in _support.slices(batches(3)):
+    rows += simhash._sketch(x, 5, 8).num_rows
+print(rows, held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_workers_give_memory_back():
+    out = subprocess.run([sys.executable, "-c", _WORKER], check=True, capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    rows, mb = out.stdout.split()
+    assert int(rows) == 4500 and float(mb) < 30
