@@ -378,7 +378,7 @@ def _fine(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH c AS (SELECT o_orderpriority, band, count(*) FILTER (real) AS a, count(*) FILTER (NOT real) AS b FROM ({_FINE}) GROUP BY 1, 2) SELECT 'o_orderpriority|band' AS clique, count(*) AS unseen, CAST(sum(b) AS BIGINT) AS unseen_rows FROM c WHERE a = 0 AND b > 0")
 def unseen_combinations(spark, sf):
-    return evaluate.total_variation(*_fine(spark, sf), ["o_orderpriority", "band"], 2).where("clique = 'o_orderpriority|band'").select("clique", "unseen", "unseen_rows")
+    return evaluate.unseen(*_fine(spark, sf), ["o_orderpriority", "band"])
 
 
 @query(f"WITH c AS (SELECT '[\"' || o_orderpriority || '\",\"' || band || '\"]' AS cell, count(*) FILTER (real) AS a, count(*) FILTER (NOT real) AS n FROM ({_FINE}) GROUP BY 1) SELECT cell, n, CAST(row_number() OVER (ORDER BY n DESC, cell) AS INT) AS place FROM c WHERE a = 0 AND n > 0 ORDER BY n DESC, cell LIMIT 3")

@@ -55,3 +55,15 @@ def test_random_queries_run(spark, small, name):
         assert {r.value for r in df.where("column = 'p_brand'").collect()} <= known | {"<OOD>"}
     else:
         assert name == "dp_sips_partitions" and {r.event_type for r in df.collect()} <= {"click", "view", "signup", "purchase", "error"}
+
+
+@pytest.mark.parametrize("rows", [4, 0])
+def test_no_unseen_combination_has_null_rows_as_in_sql(spark, tmp_path, rows):
+    """Each combination is on both sides of the split, as in a table repeated with shifted keys, or there is none."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS o_orderkey, '1-URGENT' AS o_orderpriority, 250.0::DOUBLE AS o_totalprice FROM range({rows}) r(k)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    df = catalogue.QUERIES["unseen_combinations"](spark, str(tmp_path))
+    found = con.execute(catalogue.ORACLES["unseen_combinations"])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in found.description], found.fetchall())
+    assert [tuple(r) for r in df.collect()] == [("o_orderpriority|band", 0, None)]
