@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +153,17 @@ def give_back() -> None:
     trim(0)
 
 
+def gives_back(scan: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The scan of a task, which returns what it has taken to the system when it has read its rows."""
+
+    @wraps(scan)
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        yield from scan(*args)
+        give_back()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of at most ``most`` bytes of text, or of one row.
 
@@ -160,18 +171,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     read, what they took goes back to the system.
     """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = buffers(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-            yield batch.slice(at, end - at)
-            at = end
+        yield from cut(batch, column, most)
     batch = None
     give_back()
 
 
+def cut(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one batch, in batches of at most ``most`` bytes of text, or of one row."""
+    if not batch.num_rows:
+        return
+    _, offsets = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # Vectorised hashing of spans. A span's hash is a polynomial over a table of 64-bit values of its
 # bytes, from prefix sums modulo 2**64, so that every span of a buffer costs a few array operations.
 _ODD = 0x9E3779B97F4A7C15

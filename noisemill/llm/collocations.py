@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import LOWER, LOWER_VALUES, batch, buffers, discard, materialize, mix, slices, span_hashes, spread_join, words
+from ._support import LOWER, LOWER_VALUES, batch, buffers, cut, discard, gives_back, materialize, mix, slices, span_hashes, spread_join, words
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -70,32 +70,48 @@ def _lists(*columns: list) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
-def _ones(batches: Iterator[pa.RecordBatch], salt: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of R_1. A word's name is a hash of language, word and salt."""
+@gives_back
+def _ones(batches: Iterator[pa.RecordBatch], salt: int, block_bytes: int, scan_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Blocks of R_1. A word's name is a hash of language, word and salt.
+
+    A scan takes some eighty bytes for one of text, so a block is scanned in parts of ``scan_bytes``.
+    """
     number = TaskContext.get().partitionId() << 32
     for rows in slices(batches, "text", block_bytes):
-        data, offsets = buffers(rows.column("text"))
-        starts, ends, row = words(data, offsets, _APART)
-        if not len(starts):
+        parts = [x for x in (_scanned(part, salt) for part in cut(rows, "text", scan_bytes)) if x]
+        if not parts:
             continue
-        langs = rows.column("lang").dictionary_encode()
-        lang_names = _exact(*buffers(langs.dictionary))
-        lang_of = langs.indices.to_numpy()[row]
-        lowered = LOWER[data]
-        names = mix((span_hashes(LOWER_VALUES[data], starts, ends) ^ np.uint64(salt)) * _ODD + lang_names[lang_of])
-        known, first, codes, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
-        often = np.argsort(-counts, kind="stable")
-        codes = np.argsort(often)[codes]
-        known, first, counts = known[often], first[often], counts[often]
-        ended = np.cumsum(_PIECE_END[data])[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (row[1:] != row[:-1]) | (ended[1:] != ended[:-1])
-        text = _gather(lowered, starts[first], ends[first])
-        lang = langs.dictionary.take(pa.array(lang_of[first]))
-        yield batch(_ONES, [number], *_lists(known.view(np.int64), text, lang, counts.astype(np.int32)), [_packed(codes)], [_packed(np.flatnonzero(new), True)])
+        listed, text, lang, often, places, new = zip(*parts, strict=True)
+        known, first, merged = np.unique(np.concatenate(listed), return_index=True, return_inverse=True)
+        counts = np.bincount(merged, np.concatenate(often)).astype(np.int32)
+        order = np.argsort(-counts, kind="stable")
+        merged = np.argsort(order).astype(np.int32)[merged]
+        ends = np.cumsum([len(x) for x in listed])
+        codes = np.concatenate([merged[end - len(x) : end][at] for x, at, end in zip(listed, places, ends, strict=True)])
+        first = pa.array(first[order])
+        yield batch(_ONES, [number], *_lists(known[order].view(np.int64), pa.concat_arrays(text).take(first), pa.concat_arrays(lang).take(first), counts[order]), [_packed(codes)], [_packed(np.flatnonzero(np.concatenate(new)), True)])
         number += 1
 
 
+def _scanned(rows: pa.RecordBatch, salt: int) -> tuple | None:
+    """The distinct words of whole texts: names, texts, languages and counts; and of each word in order its
+    place among them, and whether it begins a piece."""
+    data, offsets = buffers(rows.column("text"))
+    starts, ends, row = words(data, offsets, _APART)
+    if not len(starts):
+        return None
+    langs = rows.column("lang").dictionary_encode()
+    lang_names = _exact(*buffers(langs.dictionary))
+    lang_of = langs.indices.to_numpy()[row]
+    names = mix((span_hashes(LOWER_VALUES[data], starts, ends) ^ np.uint64(salt)) * _ODD + lang_names[lang_of])
+    known, first, places, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+    ended = np.cumsum(_PIECE_END[data])[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ended[1:] != ended[:-1])
+    text = _gather(LOWER[data], starts[first], ends[first])
+    return known, text, langs.dictionary.take(pa.array(lang_of[first])), counts, places.astype(np.int32), new
+
+
 def _exact(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hashes of whole strings, upper and lower case apart."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)[data]
@@ -139,6 +155,7 @@ def _hashed(names: np.ndarray, codes: np.ndarray, at: np.ndarray, length: int) -
     return out
 
 
+@gives_back
 def _keys(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For each block and bucket the distinct 32-bit keys of its phrases and their counts, 255 at most."""
     for rows in batches:
@@ -157,6 +174,7 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Itera
             yield batch(_KEYS, found.astype(np.int32), [block] * len(found), [low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], [few[a:b].tobytes() for a, b in zip(first, ends, strict=True)])
 
 
+@gives_back
 def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket, which come one after another, the keys that reach ``least`` over all blocks, back to their blocks."""
     held: list[tuple[int, bytes, bytes]] = []
@@ -180,16 +198,18 @@ def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
                 yield batch(_KEPT, [block], [now], [keys[part][kept[part]].tobytes()])
 
     for rows in batches:
-        for bucket, block, keys, counts in zip(*(rows.column(c).to_pylist() for c in _KEYS.names), strict=True):
-            if bucket != now and held:
-                yield from close()
-                held = []
-            now = bucket
-            held.append((block, keys, counts))
+        for at in range(0, rows.num_rows, 64):  # else a batch lies here twice
+            for bucket, block, keys, counts in zip(*(rows.column(c).slice(at, 64).to_pylist() for c in _KEYS.names), strict=True):
+                if bucket != now and held:
+                    yield from close()
+                    held = []
+                now = bucket
+                held.append((block, keys, counts))
     if held:
         yield from close()
 
 
+@gives_back
 def _reduced(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """R_length: a block's phrases among the frequent keys; words that are in none of them go."""
     for rows in batches:
@@ -215,6 +235,7 @@ def _reduced(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
             yield batch(_LONGER, [rows.column("block")[k].as_py()], *_lists(names[used]), [_packed(again)], [_packed(np.flatnonzero(starts[needed]), True)], [_packed(new[at], True)])
 
 
+@gives_back
 def _groups(batches: Iterator[pa.RecordBatch], length: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Words' names and n: a block's distinct phrases of R_length, and of those that are one word longer
     where these are the ``longest``; shorter ones end in nulls."""
@@ -228,12 +249,19 @@ def _groups(batches: Iterator[pa.RecordBatch], length: int, longest: int) -> Ite
             for size, at in sets:
                 if not len(at):
                     continue
-                whole = names[codes[at[:, None] + np.arange(size)]]
-                whole = whole[np.argsort(_hashed(names, codes, at, size), kind="stable")]
+                at = at[np.argsort(_hashed(names, codes, at, size), kind="stable")]
                 # two phrases of one hash stand apart, each perhaps in several runs
-                first = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]).any(1)))
-                none = [pa.nulls(len(first), pa.int64())] * (longest - size)
-                yield batch(schema, *(pa.array(np.ascontiguousarray(whole[first, j])) for j in range(size)), *none, np.diff(np.append(first, len(whole))))
+                new = np.zeros(len(at), bool)
+                new[0] = True
+                for j in range(size):
+                    word = codes[at + j]
+                    new[1:] |= word[1:] != word[:-1]
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(at)))
+                for x in range(0, len(first), 1 << 16):
+                    held = at[first[x : x + (1 << 16)]]
+                    none = [pa.nulls(len(held), pa.int64())] * (longest - size)
+                    yield batch(schema, *(pa.array(names[codes[held + j]]) for j in range(size)), *none, n[x : x + len(held)])
 
 
 def _counted(relation: DataFrame, length: int, longest: int, least: int) -> DataFrame:
@@ -290,9 +318,9 @@ def mine(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, m
         kept = kept.groupBy("block").agg(F.collect_list(F.struct("bucket", "keys")).alias("kept"))
         joined = before.join(kept, "block")
         relation = materialize(joined.mapInArrow(lambda x, k=length: _reduced(x, k, buckets), "block long, names array<long>, codes binary, starts binary, at binary"), f"phrases{length}")
-        counts.append(materialize(_counted(relation, length, longest, least), f"counts{length}"))
         discard(written.pop())
         written.append(relation)
+        counts.append(materialize(_counted(relation, length, longest, least), f"counts{length}"))
     every = counts[0]
     for x in counts[1:]:
         every = every.unionByName(x)

@@ -3,10 +3,13 @@
 import itertools
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +97,23 @@ def test_no_documents_no_phrases(spark):
     assert collocations.mine(spark.createDataFrame([], "text string, lang string")).count() == 0
 
 
+def test_a_block_is_scanned_in_parts(monkeypatch):
+    """Two workers beside a JVM each took 150 MB and more for a block of 4 MB."""
+    monkeypatch.setattr(collocations, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 5)))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("aAbeé", k=rng.randint(1, 7))) for _ in range(30_000)]
+    texts = [rng.choice([". ", " "]).join(rng.choices(words, k=rng.choice([0, 1, 300]))) for _ in range(8000)]
+    rows = pa.record_batch({"text": texts, "lang": [rng.choice(["en", "EN", "und"]) for _ in texts]})
+    tracemalloc.start()
+    try:
+        blocks = list(collocations._ones(iter([rows]), 7, 1 << 22))
+        assert len(blocks) == 2 and tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    for parts in (1, 1000, 1 << 30):
+        assert [x.equals(y) for x, y in zip(collocations._ones(iter([rows]), 7, 1 << 22, parts), blocks, strict=True)] == [True, True]
+
+
 # ---- mixing
 
 
